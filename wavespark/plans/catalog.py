@@ -255,3 +255,257 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     sig, _ = _raw_signal(spark, sf, "lineitem")
     prod = pointwise.multiply(sig, ["l_extendedprice", "l_discount"], "power")
     return stats.trace_stats(prod)
+
+
+# --------------------------------------------------------------------------
+# Capture ingest
+
+from ..functions import radix as RX  # noqa: E402
+from ..functions import units as U  # noqa: E402
+from ..operators import registry as REG  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import capture as CAP  # noqa: E402
+from ..sources import store as STORE  # noqa: E402
+from . import fixtures as FX  # noqa: E402
+
+
+@register("radix_decode", """
+SELECT o_orderkey, o_orderkey AS from_hex, o_orderkey AS from_hex_lower, o_custkey AS from_oct,
+       o_custkey AS from_bin, o_custkey AS from_dec, -o_custkey AS from_neg_hex,
+       o_custkey AS from_plus_dec
+FROM orders""")
+def q_radix_decode(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    enc = o.select("o_orderkey", F.hex("o_orderkey").alias("h"),
+                   F.lower(F.hex("o_orderkey")).alias("hl"),
+                   F.conv(F.col("o_custkey").cast("string"), 10, 8).alias("oc"),
+                   F.bin("o_custkey").alias("b"), F.col("o_custkey").cast("string").alias("d"),
+                   F.concat(F.lit("-"), F.hex("o_custkey")).alias("nh"),
+                   F.concat(F.lit("+"), F.col("o_custkey").cast("string")).alias("pd"))
+
+    def dec(c, word):
+        return RX.decode(F.col(c), RX.base_of(F.upper(F.trim(F.lit(word)))))
+    return enc.select("o_orderkey", dec("h", "HEX").alias("from_hex"),
+                      dec("hl", "hex").alias("from_hex_lower"), dec("oc", "OCTAL").alias("from_oct"),
+                      dec("b", "BIN").alias("from_bin"), dec("d", "SIGNED").alias("from_dec"),
+                      dec("nh", "HEX").alias("from_neg_hex"), dec("pd", "UNSIGNED").alias("from_plus_dec"))
+
+
+_ORDER_STORES: dict = {}
+
+
+def ingest_orders(spark: SparkSession, sf: str, fresh: bool = False) -> STORE.Store:
+    """Generate the F4 capture files from ``orders`` and ingest them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if not fresh and key in _ORDER_STORES:
+        return _ORDER_STORES[key]
+    src = FX.write_order_captures(spark, sf, scratch_path(spark, "order-captures"))
+    store = STORE.Store(scratch_path(spark, "order-store"))
+    STORE.ingest(spark, store, CAP.read_lines(spark, src), "orders")
+    _ORDER_STORES[key] = store
+    return store
+
+
+def _bucket_of(c):
+    return F.regexp_extract(F.col(c), r"bucket=(\d+)", 1).cast("bigint")
+
+
+_FR = f"""fr AS (
+  SELECT CAST(floor(o_orderkey / {FX.CAPTURE_ROWS_PER_FILE}) AS BIGINT) AS bucket,
+         row_number() OVER (PARTITION BY floor(o_orderkey / {FX.CAPTURE_ROWS_PER_FILE}) ORDER BY o_orderkey) - 1 AS idx,
+         o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS price,
+         CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS trig
+  FROM orders)"""
+
+_CAP_TRACES = [("Sample in Buffer", "idx"), ("Sample in Window", "idx"), ("TRIGGER", "trig"),
+               ("orders/key[31:0]", "o_orderkey"), ("orders/cust[15:0]", "o_custkey"),
+               ("orders/price", "price"), ("orders/neg_cust", "-o_custkey"),
+               ("orders/cust,copy", "o_custkey")]
+
+
+@register("capture_ingest", f"WITH {_FR}\n" + "\nUNION ALL ".join(
+    f"SELECT bucket, '{t}' AS trace, idx AS i, CAST({e} AS BIGINT) AS y_raw FROM fr"
+    for t, e in _CAP_TRACES))
+def q_capture_ingest(spark, sf):
+    store = ingest_orders(spark, sf)
+    cap = store.captures(spark).select("project", "version", "source_uri")
+    return (store.samples(spark).join(cap, ["project", "version"])
+            .select(_bucket_of("source_uri").alias("bucket"), "trace", "i", "y_raw"))
+
+
+@register("capture_catalog", f"""WITH {_FR}
+SELECT bucket, CAST(count(*) AS BIGINT) AS n_samples,
+       CAST(CASE WHEN count(*) > 2 THEN coalesce(min(CASE WHEN idx >= 1 AND trig <> 0 THEN idx - 1 END), 0)
+            ELSE 0 END AS BIGINT) AS t0_index,
+       8 AS n_columns, 'orders' AS project
+FROM fr GROUP BY bucket""")
+def q_capture_catalog(spark, sf):
+    store = ingest_orders(spark, sf)
+    return store.captures(spark).select(
+        _bucket_of("source_uri").alias("bucket"), "n_samples", "t0_index",
+        F.size("columns").alias("n_columns"), "project")
+
+
+# --------------------------------------------------------------------------
+# Units over literals built from ``part``
+
+_FUNITS = ["THz", "ghz", " MHz", "KHz", "hz"]
+_TUNITS = ["ps", "NS", "us", " ms", "s"]
+_FPER = {"thz": 1e-12, "ghz": 1e-9, "mhz": 1e-6, "khz": 0.001, "hz": 1.0}
+_TSEC = {"ps": 1e-12, "ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1.0}
+
+
+def _pick(units):
+    return F.element_at(F.array(*[F.lit(u) for u in units]),
+                        (F.col("p_partkey") % len(units) + 1).cast("int"))
+
+
+def _case_sql(values: list[str]) -> str:
+    return "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@register("units_parse", f"""
+SELECT p_partkey, CAST(p_size AS DOUBLE) AS f_value,
+       {_case_sql([repr(u) for u in U.FREQUENCY_UNITS])} AS f_unit,
+       CAST(p_size AS DOUBLE) * 1.0 / {_case_sql([repr(_FPER[u.strip().lower()]) for u in _FUNITS])} AS f_hz,
+       CAST(p_size AS DOUBLE) AS d_value,
+       {_case_sql([repr(u) for u in ['ps','ns','us','ms','s']])} AS d_unit,
+       CAST(p_size AS DOUBLE) * {_case_sql([repr(_TSEC[u.strip().lower()]) for u in _TUNITS])} / 1.0 AS d_seconds
+FROM part""")
+def q_units_parse(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size")
+    ftxt = F.concat(F.col("p_size").cast("string"), F.lit(" "), _pick(_FUNITS))
+    dtxt = F.concat(F.lit(" "), F.col("p_size").cast("string"), _pick(_TUNITS))
+    q = p.select("p_partkey", U.parse_frequency(ftxt).alias("f"), U.parse_duration(dtxt).alias("d"))
+    return q.select("p_partkey", F.col("f.value").alias("f_value"), F.col("f.unit").alias("f_unit"),
+                    U.frequency_as("f", "Hz").alias("f_hz"), F.col("d.value").alias("d_value"),
+                    F.col("d.unit").alias("d_unit"), U.duration_as("d", "s").alias("d_seconds"))
+
+
+def _r6(e: str) -> str:
+    return f"(floor(({e}) * 1e6 + 0.5) / 1e6)"
+
+
+_FP = _case_sql([repr(_FPER[u.strip().lower()]) for u in _FUNITS])
+
+
+@register("units_convert", f"""
+SELECT p_partkey,
+       {_r6(f"p_retailprice * 0.001 / {_FP}")} AS in_khz,
+       (floor((1.0 / p_retailprice) * 1e9 + 0.5) / 1e9) AS period_value,
+       {_case_sql([repr(u) for u in ['ps','ns','us','ms','s']])} AS period_unit,
+       {_r6(f"p_retailprice + CAST(p_size AS DOUBLE) * {_FP} / 1.0")} AS plus_size_hz,
+       p_retailprice < CAST(p_size AS DOUBLE) * {_FP} / 1.0 AS below_size_hz,
+       {_r6("p_retailprice * 3.0 / 2.0")} AS scaled
+FROM part""")
+def q_units_convert(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
+    f = U.quantity(F.col("p_retailprice"), U.frequency_unit(_pick(_FUNITS)))
+    hz = U.quantity(F.col("p_size"), F.lit("Hz"))
+    q = p.select("p_partkey", f.alias("f"), hz.alias("hz"))
+    per = U.period_of(F.col("f"))
+    return q.select("p_partkey", rnd(U.frequency_as("f", "KHz")).alias("in_khz"),
+                    rnd9(per["value"]).alias("period_value"), per["unit"].alias("period_unit"),
+                    rnd(U.add("f", "hz")["value"]).alias("plus_size_hz"),
+                    U.lt("f", "hz").alias("below_size_hz"),
+                    rnd(U.divide(U.scale("f", 3.0), 2.0)["value"]).alias("scaled"))
+
+
+def rnd9(c):
+    x = F.col(c) if isinstance(c, str) else c
+    return F.floor(x * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+
+
+@register("dt_from_rate", f"""
+SELECT p_partkey, 1.0 / CAST(p_size AS DOUBLE) AS dt_value,
+       {_case_sql([repr(u) for u in ['ps','ns','us','ms','s']])} AS dt_unit,
+       1.0 / (1.0 / CAST(p_size AS DOUBLE)) AS rate_back
+FROM part""")
+def q_dt_from_rate(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size")
+    rate = U.quantity(F.col("p_size"), U.frequency_unit(_pick(_FUNITS)))
+    dt = U.dt_from_rate(rate)
+    back = U.rate_from_dt(dt["value"], dt["unit"])
+    return p.select("p_partkey", dt["value"].alias("dt_value"), dt["unit"].alias("dt_unit"),
+                    back["value"].alias("rate_back"))
+
+
+# --------------------------------------------------------------------------
+# P2-P4, P8-P11, A9, R1-R4 over the registry derived from ``embeddings``
+
+_EMB_REG = """ereg AS (
+  SELECT 'embeddings' AS project, CAST(vec_id AS VARCHAR) AS trace, 'vec ' || CAST(vec_id AS VARCHAR) AS label,
+         'Active' AS state, 1.0 AS y_scale, 0.0 AS y_offset, CAST(vec_id AS INTEGER) AS ord
+  FROM embeddings)"""
+
+
+def _emb_registry(spark, sf):
+    st = fixture_store(spark, sf)
+    return st.registry(spark).where(F.col("project") == "embeddings")
+
+
+@register("registry_search", f"""WITH {_EMB_REG}
+SELECT project, trace, label, state FROM ereg
+WHERE instr(lower(label), 'vec 1') > 0 AND state = 'Active'""")
+def q_registry_search(spark, sf):
+    reg = REG.by_state(REG.label_search(_emb_registry(spark, sf), "  VEC 1 "), "Active")
+    return reg.select("project", "trace", "label", "state")
+
+
+def _updated_registry(spark, sf):
+    reg = _emb_registry(spark, sf)
+    reg = REG.rename_label(reg, "embeddings", "0", "first")
+    reg = REG.set_state(reg, "embeddings", F.instr(F.col("label"), "vec 2") > 0, "Inactive")
+    reg = REG.set_scale_offset(reg, "embeddings", F.instr(F.col("label"), "vec 1") > 0, 2.0, -0.5)
+    reg = REG.add_stat_function(reg, "embeddings", F.instr(F.col("label"), "vec 3") > 0, "mean")
+    return reg
+
+
+_UPD = f"""upd AS (
+  SELECT project, trace, CASE WHEN trace = '0' THEN 'first' ELSE label END AS label,
+         CASE WHEN instr(label, 'vec 2') > 0 THEN 'Inactive' ELSE state END AS state,
+         CASE WHEN instr(label, 'vec 1') > 0 THEN 2.0 ELSE y_scale END AS y_scale,
+         CASE WHEN instr(label, 'vec 1') > 0 THEN -0.5 ELSE y_offset END AS y_offset,
+         CASE WHEN instr(label, 'vec 3') > 0 THEN 'stdev,mean' ELSE 'mean,stdev' END AS stat_functions,
+         ord
+  FROM ereg)"""
+
+
+@register("registry_update", f"""WITH {_EMB_REG}, {_UPD}
+SELECT project, trace, label, state, CAST(y_scale AS DOUBLE) AS y_scale, CAST(y_offset AS DOUBLE) AS y_offset,
+       stat_functions FROM upd""")
+def q_registry_update(spark, sf):
+    reg = _updated_registry(spark, sf)
+    return reg.select("project", "trace", "label", "state", "y_scale", "y_offset",
+                      F.array_join("stat_functions", ",").alias("stat_functions"))
+
+
+@register("scale_consensus", f"""WITH {_EMB_REG}, {_UPD}
+SELECT 'vec 1' AS selection, CAST(CASE WHEN count(DISTINCT y_scale) = 1 THEN min(y_scale) ELSE 1.0 END AS DOUBLE) AS y_scale,
+       CAST(CASE WHEN count(DISTINCT y_offset) = 1 THEN min(y_offset) ELSE 0.0 END AS DOUBLE) AS y_offset
+FROM upd WHERE instr(lower(label), 'vec 1') > 0
+UNION ALL
+SELECT 'all', CAST(CASE WHEN count(DISTINCT y_scale) = 1 THEN min(y_scale) ELSE 1.0 END AS DOUBLE),
+       CAST(CASE WHEN count(DISTINCT y_offset) = 1 THEN min(y_offset) ELSE 0.0 END AS DOUBLE)
+FROM upd""")
+def q_scale_consensus(spark, sf):
+    reg = _updated_registry(spark, sf)
+    a = REG.consensus(REG.label_search(reg, "vec 1")).select(F.lit("vec 1").alias("selection"), "y_scale", "y_offset")
+    b = REG.consensus(reg).select(F.lit("all").alias("selection"), "y_scale", "y_offset")
+    return a.unionByName(b)
+
+
+@register("registry_summary", f"""WITH {_EMB_REG}, {_UPD}
+SELECT project, state, count(*) AS n, string_agg(label, '|' ORDER BY ord) AS labels
+FROM upd GROUP BY project, state""")
+def q_registry_summary(spark, sf):
+    out = REG.state_summary(_updated_registry(spark, sf))
+    return out.select("project", "state", "n", F.array_join("labels", "|").alias("labels"))
+
+
+@register("version_list", S.with_(*S.BASE, S.F3) + """
+SELECT project, version, CAST(dense_rank() OVER (PARTITION BY project ORDER BY version DESC) AS INTEGER) AS rank
+FROM (SELECT DISTINCT project, version FROM (SELECT project, version FROM f1 UNION ALL
+      SELECT project, version FROM f2 UNION ALL SELECT project, version FROM f3))""")
+def q_version_list(spark, sf):
+    return compare.version_list(fixture_store(spark, sf).captures(spark))

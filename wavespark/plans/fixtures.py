@@ -166,3 +166,58 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> FixtureStore:
         st = FixtureStore(root)
         _STORES[key] = st
         return st
+
+
+# --------------------------------------------------------------------------
+# capture files generated from ``orders``
+
+CAPTURE_ROWS_PER_FILE = 4096
+# Capture columns: (header text, radix word).
+CAPTURE_COLUMNS = [
+    ("Sample in Buffer", "UNSIGNED"),
+    ("Sample in Window", "UNSIGNED"),
+    ("TRIGGER", "UNSIGNED"),
+    ("orders/key[31:0]", "HEX"),
+    ("orders/cust[15:0]", "OCTAL"),
+    ("orders/price", "BIN"),
+    ("orders/neg_cust", "SIGNED"),
+    ('"orders/cust,copy"', "unsigned"),
+]
+
+
+def capture_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bucket, idx, o_orderkey, o_custkey, price, trig): one capture per
+    block of CAPTURE_ROWS_PER_FILE consecutive order keys (bounded groups)."""
+    from pyspark.sql import Window
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    o = o.withColumn("bucket", F.floor(F.col("o_orderkey") / CAPTURE_ROWS_PER_FILE).cast("bigint"))
+    w = Window.partitionBy("bucket").orderBy("o_orderkey")
+    return o.select("bucket", (F.row_number().over(w) - 1).cast("bigint").alias("idx"),
+                    "o_orderkey", "o_custkey",
+                    F.floor("o_totalprice").cast("bigint").alias("price"),
+                    F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).cast("bigint").alias("trig"))
+
+
+def write_order_captures(spark: SparkSession, sf_dir: str, dest: str) -> str:
+    """Write one capture CSV per bucket under ``dest/bucket=NNNNN/``: header,
+    radix row, data rows, and an empty line before every 1000th row."""
+    fr = capture_frame(spark, sf_dir)
+    header = ",".join(h for h, _ in CAPTURE_COLUMNS)
+    radix = "Radix - " + ",".join(r for _, r in CAPTURE_COLUMNS)
+    data = F.concat_ws(",", F.col("idx").cast("string"), F.col("idx").cast("string"),
+                       F.col("trig").cast("string"), F.hex("o_orderkey"),
+                       F.conv(F.col("o_custkey").cast("string"), 10, 8), F.bin("price"),
+                       (-F.col("o_custkey")).cast("string"), F.col("o_custkey").cast("string"))
+    rows = fr.select("bucket", (F.col("idx") * 2).alias("seq"), data.alias("value"))
+    blanks = fr.where(F.col("idx") % 1000 == 500).select(
+        "bucket", (F.col("idx") * 2 - 1).alias("seq"), F.lit("").alias("value"))
+    buckets = fr.select("bucket").distinct()
+    heads = buckets.select("bucket", F.lit(-3).cast("bigint").alias("seq"), F.lit(header).alias("value")) \
+        .unionByName(buckets.select("bucket", F.lit(-2).cast("bigint").alias("seq"),
+                                    F.lit(radix).alias("value")))
+    lines = rows.unionByName(blanks).unionByName(heads).withColumn(
+        "bucket", F.lpad(F.col("bucket").cast("string"), 5, "0"))
+    (lines.repartition("bucket").sortWithinPartitions("bucket", "seq").select("bucket", "value")
+     .write.mode("overwrite").partitionBy("bucket").text(dest))
+    return dest
