@@ -48,6 +48,11 @@ _REG = [
      ["max", "mean", "range", "stdev", "min"], None, None, None, 4),
     ("events", "click_plus_view", "Click+View", "Active", 1.0, 0.0, ["mean"],
      "add", ["click", "view"], {}, 5),
+    ("events", "click_spectrum", "Click spectrum", "Active", 1.0, 0.0, [],
+     "fourier_transform", ["Click"],
+     {"frequency_min": "0.0 MHz", "frequency_max": "None", "display_frequency_unit": "Hz"}, 6),
+    ("events", "click_lp", "Click low-pass", "Active", 1.0, 0.0, [],
+     "lowpass_filter", ["click"], {"cutoff_frequency": "100.0 Hz"}, 7),
     ("lineitem", "l_quantity", "Quantity", "Active", 1.0, 0.0, ["mean"], None, None, None, 0),
     ("lineitem", "l_extendedprice", "Price", "Active", 0.001, 0.0, ["min", "max"], None, None, None, 1),
     ("lineitem", "l_discount", "Discount", "Active", 100.0, 0.0, ["mean", "stdev"], None, None, None, 2),
