@@ -637,3 +637,175 @@ def q_lowpass_derivative(spark, sf):
     sig, st = _raw_signal(spark, sf, "events")
     out = derive.resolve(sig, st.registry(spark), st.projects(spark), "events", ["Click low-pass"])
     return _sig_out(out)
+
+
+# --------------------------------------------------------------------------
+# Views over the lineitem and events fixtures
+
+from .. import schemas as SC  # noqa: E402
+from ..operators import views as VW  # noqa: E402
+
+
+_VIEWS: dict = {}
+
+
+def fixture_views(spark: SparkSession) -> DataFrame:
+    """Two views built with the maintenance operators (R8, R10, R11); the
+    resulting view table (two rows of metadata) is kept as a local relation
+    so later plans do not carry the edit history."""
+    key = spark.sparkContext.applicationId
+    if key not in _VIEWS:
+        _VIEWS[key] = spark.createDataFrame(_build_views(spark).collect(), SC.VIEWS)
+    return _VIEWS[key]
+
+
+def _build_views(spark: SparkSession) -> DataFrame:
+    v = spark.createDataFrame([], SC.VIEWS)
+    v = VW.create_view(v, "lineitem", "prices", 2, 1, "Prices and taxes")
+    v = VW.add_spec(v, "lineitem", "prices", 0, 0, "l_extendedprice", -1, show_legends=True)
+    v = VW.add_spec(v, "lineitem", "prices", 0, 0, "Price", 1, on_axis="right")
+    v = VW.add_spec(v, "lineitem", "prices", 0, 0, "l_quantity", 99)
+    v = VW.add_spec(v, "lineitem", "prices", 1, 0, "Tax", -2, show_legends=True)
+    v = VW.edit_spec(v, "lineitem", "prices", 1, 0, "Tax", -2, show_filtered_trace=True)
+    v = VW.add_spec(v, "lineitem", "prices", 1, 0, "unit_price", -1, on_axis="right", show_legends=True)
+    v = VW.add_spec(v, "lineitem", "prices", 1, 0, "missing_trace", -1)
+    v = VW.add_spec(v, "lineitem", "prices", 1, 0, "l_discount", -1)
+    v = VW.remove_spec(v, "lineitem", "prices", 1, 0, "l_discount", -1)
+    v = VW.create_view(v, "events", "mixed", 1, 3, "Time and frequency")
+    v = VW.add_spec(v, "events", "mixed", 0, 0, "click_spectrum", -1)
+    v = VW.add_spec(v, "events", "mixed", 0, 1, "Click", -1)
+    v = VW.add_spec(v, "events", "mixed", 0, 1, "click_spectrum", -2)
+    return v
+
+
+def _view_inputs(spark, sf):
+    st = fixture_store(spark, sf)
+    smp = st.samples(spark).where(F.col("project").isin("lineitem", "events"))
+    reg = st.registry(spark)
+    reg = REG.set_overlay(reg, "lineitem", "l_tax", FL.SAVGOL_NAME, window_length="5", polyorder=2)
+    sig = signal.signal_frame(smp, reg, st.captures(spark), st.projects(spark))
+    return fixture_views(spark), sig, reg, st.captures(spark), st.projects(spark)
+
+
+_VIEW_RAW_SQL = f"""
+SELECT 'lineitem' AS project, 'prices' AS view_name, 0 AS "row", 0 AS "column", 0 AS spec_pos,
+       trace, version, 'left' AS on_axis, 'raw' AS series, i, {_r("x")} AS x, {_r("y")} AS y
+FROM s2 WHERE trace = 'l_extendedprice' AND version = 7
+UNION ALL
+SELECT 'lineitem', 'prices', 0, 0, 1, trace, version, 'right', 'raw', i, {_r("x")}, {_r("y")}
+FROM s2 WHERE trace = 'l_extendedprice' AND version = 1
+UNION ALL
+SELECT 'lineitem', 'prices', 1, 0, 0, trace, version, 'left', 'raw', i, {_r("x")}, {_r("y")}
+FROM s2 WHERE trace = 'l_tax' AND version = 6
+UNION ALL
+SELECT 'lineitem', 'prices', 1, 0, 1, 'unit_price', a.version, 'right', 'raw', a.i, {_r("a.x")}, {_r("a.y / b.y")}
+FROM s2 a JOIN s2 b ON b.version = a.version AND b.i = a.i AND b.trace = 'l_quantity'
+WHERE a.trace = 'l_extendedprice' AND a.version = 7"""
+
+
+_TAX6 = "tax6 AS (SELECT * FROM s2 WHERE trace = 'l_tax' AND version = 6)"
+
+
+@register("view_rows", S.with_(*S.BASE, _TAX6, _savgol_sql("tax6", "5").replace(
+    "\nSELECT a.project, a.version, a.trace, a.i,", ",\nsg AS (SELECT a.project, a.version, a.trace, a.i,")
+    .replace("GROUP BY a.project, a.version, a.trace, a.i, a.x", "GROUP BY a.project, a.version, a.trace, a.i, a.x)")
+) + _VIEW_RAW_SQL + f"""
+UNION ALL
+SELECT 'lineitem', 'prices', 1, 0, 0, trace, version, 'left', 'overlay', i, x, y_overlay FROM sg""")
+def q_view_rows(spark, sf):
+    views, sig, reg, cap, prj = _view_inputs(spark, sf)
+    rows = VW.materialize(views.where(F.col("view_name") == "prices"), sig, reg, cap, prj)
+    return rows.select("project", "view_name", F.col("row"), F.col("column"), "spec_pos", "trace", "version",
+                       "on_axis", "series", "i", rnd("x").alias("x"), rnd("y").alias("y"))
+
+
+def _fmt2g(e: str) -> str:
+    return f"CAST(CAST(printf('%.1e', {e}) AS DOUBLE) AS VARCHAR)"
+
+
+_LEG_STATS = """ls AS (
+  SELECT 0 AS r, 0 AS spec_pos, 'l_extendedprice' AS trace, 7 AS version, 'Price' AS label FROM (VALUES (1))
+  UNION ALL SELECT 1, 0, 'l_tax', 6, 'Tax' FROM (VALUES (1))
+  UNION ALL SELECT 1, 1, 'unit_price', 7, 'Unit price' FROM (VALUES (1))),
+up AS (SELECT 'unit_price' AS trace, a.version, a.y / b.y AS y FROM s2 a
+       JOIN s2 b ON b.version = a.version AND b.i = a.i AND b.trace = 'l_quantity'
+       WHERE a.trace = 'l_extendedprice'),
+allsig AS (SELECT trace, version, y FROM s2 UNION ALL SELECT trace, version, y FROM up),
+agg AS (SELECT trace, version, min(y) AS mn, max(y) AS mx, avg(y) AS av FROM allsig GROUP BY trace, version)"""
+
+
+@register("view_legend", S.with_(*S.BASE, _LEG_STATS) + f"""
+SELECT 'lineitem' AS project, 'prices' AS view_name, ls.r AS "row", 0 AS "column", ls.spec_pos, ls.trace,
+       ls.version,
+       ls.label || ' V:' || CAST(ls.version AS VARCHAR) ||
+       CASE ls.trace
+         WHEN 'l_extendedprice' THEN ', $Y_{{-}}=' || {_fmt2g(_r("agg.mn"))} || '$, $Y^{{+}}=' || {_fmt2g(_r("agg.mx"))} || '$'
+         WHEN 'l_tax' THEN ', $\\Delta=' || {_fmt2g(_r("agg.mx - agg.mn"))} || '$'
+         ELSE ', $\\overline{{Y}}=' || {_fmt2g(_r("agg.av"))} || '$' END AS legend
+FROM ls JOIN agg ON agg.trace = ls.trace AND agg.version = ls.version""")
+def q_view_legend(spark, sf):
+    views, sig, reg, cap, prj = _view_inputs(spark, sf)
+    v = views.where(F.col("view_name") == "prices")
+    res = VW.resolve_specs(VW.specs(v), reg, cap).where("show_legends")
+    sig2 = VW._signals_for(sig, reg, prj, res)
+    want = res.select("project", "trace", "version").distinct()
+    st = stats.trace_stats(sig2.join(want, ["project", "trace", "version"], "left_semi"))
+    st = st.select("project", "version", "trace", *[rnd(c).alias(c) for c in stats.STAT_FUNCTIONS])
+    txt = stats.legend_text(stats.selected_stats(st, reg), reg, style="view")
+    return (res.join(txt, ["project", "trace", "version"])
+            .select("project", "view_name", F.col("row"), F.col("column"), "spec_pos", "trace", "version",
+                    "legend"))
+
+
+@register("view_extent", S.with_(*S.BASE) + f"""
+SELECT 'lineitem' AS project, 'prices' AS view_name, 'TIME' AS domain, {_r("min(x)")} AS x_min, {_r("max(x)")} AS x_max
+FROM s2 WHERE (trace = 'l_extendedprice' AND version IN (1, 7)) OR (trace = 'l_tax' AND version = 6)
+   OR (trace = 'l_quantity' AND version = 7)""")
+def q_view_extent(spark, sf):
+    views, sig, reg, cap, prj = _view_inputs(spark, sf)
+    v = views.where(F.col("view_name") == "prices")
+    rows = VW.materialize(v, sig, reg, cap, prj, with_overlay=False)
+    doms = VW.resolve_specs(VW.specs(v), reg, cap)
+    out = VW.shared_extent(rows, doms)
+    return out.select("project", "view_name", "domain", rnd("x_min").alias("x_min"), rnd("x_max").alias("x_max"))
+
+
+_CELL_COUNTS = """cnt AS (
+  SELECT 'lineitem' AS project, 'prices' AS view_name, 0 AS r, 0 AS c,
+         (SELECT count(*) FROM s2 WHERE trace = 'l_extendedprice' AND version IN (1, 7)) AS n_samples
+  UNION ALL SELECT 'lineitem', 'prices', 1, 0,
+         (SELECT count(*) FROM s2 WHERE trace = 'l_tax' AND version = 6)
+       + (SELECT count(*) FROM s2 WHERE trace = 'l_quantity' AND version = 7)
+  UNION ALL SELECT 'events', 'mixed', 0, 0,
+         (SELECT count(*) FROM (SELECT version, count(*) AS n FROM s1 WHERE trace = 'click' AND version = 3
+                                GROUP BY version) q, range(1, q.n // 2) t(k))
+  UNION ALL SELECT 'events', 'mixed', 0, 1,
+         (SELECT count(*) FROM s1 WHERE trace = 'click' AND version = 3)
+       + (SELECT count(*) FROM (SELECT version, count(*) AS n FROM s1 WHERE trace = 'click' AND version = 2
+                                GROUP BY version) q, range(1, q.n // 2) t(k))
+  UNION ALL SELECT 'events', 'mixed', 0, 2, 0)"""
+
+
+@register("view_cells", S.with_(*S.BASE, _CELL_COUNTS) + """
+SELECT t.project, t.view_name, t."row", t."column", t.domain, t.compatible, t.summary,
+       CAST(cnt.n_samples AS BIGINT) AS n_samples
+FROM (VALUES
+  ('lineitem', 'prices', 0, 0, 'TIME', true, 'Price :: -1' || chr(10) || 'Price :: 1' || chr(10) || 'Quantity :: 99'),
+  ('lineitem', 'prices', 1, 0, 'TIME', true, 'Tax :: -2' || chr(10) || 'Unit price :: -1' || chr(10) || 'missing_trace :: -1'),
+  ('events', 'mixed', 0, 0, 'FREQUENCY', true, 'Click spectrum :: -1'),
+  ('events', 'mixed', 0, 1, 'TIME', false, 'Click :: -1' || chr(10) || 'Click spectrum :: -2'),
+  ('events', 'mixed', 0, 2, NULL, true, NULL))
+  AS t(project, view_name, "row", "column", domain, compatible, summary)
+JOIN cnt ON cnt.project = t.project AND cnt.view_name = t.view_name AND cnt.r = t."row" AND cnt.c = t."column"
+""")
+def q_view_cells(spark, sf):
+    """R12 + R15 + R13 per subplot: domain, compatibility, spec summary and
+    the number of raw samples the subplot materialises."""
+    views, sig, reg, cap, prj = _view_inputs(spark, sf)
+    rows = VW.materialize(views, sig, reg, cap, prj, with_overlay=False)
+    n = rows.groupBy("project", "view_name", "row", "column").agg(F.count(F.lit(1)).alias("n_samples"))
+    cells = VW.subplot_domains(views, reg).join(VW.spec_summary(views, reg),
+                                                ["project", "view_name", "row", "column"], "left")
+    return (cells.join(n, ["project", "view_name", "row", "column"], "left")
+            .select("project", "view_name", F.col("row"), F.col("column"), "domain", "compatible", "summary",
+                    F.coalesce("n_samples", F.lit(0)).cast("bigint").alias("n_samples")))
