@@ -809,3 +809,103 @@ def q_view_cells(spark, sf):
     return (cells.join(n, ["project", "view_name", "row", "column"], "left")
             .select("project", "view_name", F.col("row"), F.col("column"), "domain", "compatible", "summary",
                     F.coalesce("n_samples", F.lit(0)).cast("bigint").alias("n_samples")))
+
+
+# --------------------------------------------------------------------------
+# Configs, catalogue, snapshots, notes, streaming
+
+from ..sources import config as CFG  # noqa: E402
+from ..streaming import ingest as STREAM  # noqa: E402
+
+
+@register("config_roundtrip", f"""WITH {_EMB_REG}
+SELECT project, trace, label, state, CAST(y_scale AS DOUBLE) AS y_scale, CAST(y_offset AS DOUBLE) AS y_offset,
+       'Savitzky–Golay' AS filter_name, '7' AS window_length, 2 AS polyorder, 'mean,stdev' AS stat_functions,
+       false AS is_derivative, ord
+FROM ereg""")
+def q_config_roundtrip(spark, sf):
+    """The registry derived from ``embeddings`` written as JSON documents
+    (one per project) and read back with defaults applied."""
+    reg = _emb_registry(spark, sf)
+    root = scratch_path(spark, "registry-json")
+    CFG.write_registry(reg, root)
+    back = CFG.read_registry_written(spark, root)
+    return back.select("project", "trace", "label", "state", "y_scale", "y_offset",
+                       F.col("overlay.filter_name").alias("filter_name"),
+                       F.col("overlay.window_length").alias("window_length"),
+                       F.col("overlay.polyorder").alias("polyorder"),
+                       F.array_join("stat_functions", ",").alias("stat_functions"),
+                       F.col("derivative").isNotNull().alias("is_derivative"), "ord")
+
+
+_NATION_UNITS = ["s", "ms", "us", "ns", "ps"]
+
+
+@register("project_catalogue", f"""
+SELECT lower(n_name) AS project, CAST(n_nationkey + 1 AS DOUBLE) * 0.5 AS implied_dt,
+       CASE n_regionkey % 5 {" ".join(f"WHEN {k} THEN '{u}'" for k, u in enumerate(_NATION_UNITS))} END AS dt_unit,
+       'nation ' || n_name AS description,
+       1.0 / (CAST(n_nationkey + 1 AS DOUBLE) * 0.5) AS rate_value,
+       CASE n_regionkey % 5 {" ".join(f"WHEN {k} THEN '{u}'" for k, u in enumerate(['Hz', 'KHz', 'MHz', 'GHz', 'THz']))} END AS rate_unit
+FROM nation""")
+def q_project_catalogue(spark, sf):
+    """Projects created from ``nation`` names, settings updated, written
+    as JSON, listed and read back; U10 rate from the step."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+    prj = STORE.create_projects(spark.createDataFrame([], SC.PROJECTS),
+                                n.select(F.lower("n_name").alias("project")))
+    upd = n.select(F.lower("n_name").alias("_p"),
+                   ((F.col("n_nationkey") + 1).cast("double") * F.lit(0.5)).alias("_dt"),
+                   F.element_at(F.array(*[F.lit(u) for u in _NATION_UNITS]),
+                                (F.col("n_regionkey") % 5 + 1).cast("int")).alias("_u"),
+                   F.concat(F.lit("nation "), F.col("n_name")).alias("_d"))
+    prj = (prj.join(upd, F.col("project") == F.col("_p"))
+           .select("project", F.col("_dt").alias("implied_dt"), F.col("_u").alias("dt_unit"),
+                   F.col("_d").alias("description")))
+    root = scratch_path(spark, "projects-json")
+    CFG.write_projects(prj, root)
+    schema = "project_version int, name string, implied_dt double, dt_unit string, description string"
+    back = (spark.read.schema(schema).json(f"{root}/project=*/*.txt")
+            .select(F.col("name").alias("project"), "implied_dt", "dt_unit", "description"))
+    rate = U.rate_from_dt(F.col("implied_dt"), F.col("dt_unit"))
+    return back.select("project", "implied_dt", "dt_unit", "description",
+                       rate["value"].alias("rate_value"), rate["unit"].alias("rate_unit"))
+
+
+_SNAP_TRACES = [("TRIGGER", "trig"), ("orders/key[31:0]", "o_orderkey"),
+                ("orders/cust[15:0]", "o_custkey"), ("orders/price", "price")]
+
+
+@register("snapshot_read", f"WITH {_FR}\n" + "\nUNION ALL ".join(
+    f"SELECT 'legacy' AS project, CAST(bucket + 1 AS INTEGER) AS version, '{t}' AS trace, idx AS i, "
+    f"CAST({e} AS BIGINT) AS y_raw FROM fr" for t, e in _SNAP_TRACES))
+def q_snapshot_read(spark, sf):
+    """A legacy project folder of wide per-version lz4 Parquet files,
+    read as long samples (index = Parquet row index)."""
+    d = FX.write_legacy_snapshots(spark, sf, scratch_path(spark, "legacy-project"))
+    return STORE.read_legacy_project(spark, d, "legacy")
+
+
+@register("capture_notes", f"""WITH {_FR}
+SELECT DISTINCT bucket, t.trace, '' AS note FROM fr,
+  (VALUES {", ".join("('" + t.replace("'", "''") + "')" for t, _ in _CAP_TRACES)}) AS t(trace)""")
+def q_capture_notes(spark, sf):
+    """Empty notes at the first load, carried to later versions."""
+    store = ingest_orders(spark, sf)
+    cap = store.captures(spark).select("project", "version", "source_uri")
+    return (store.notes(spark).join(cap, ["project", "version"])
+            .select(_bucket_of("source_uri").alias("bucket"), "trace", "note"))
+
+
+@register("stream_ingest", ORACLE["capture_ingest"])
+def q_stream_ingest(spark, sf):
+    """The capture files dropped in a landing folder, ingested by a
+    file-source stream (``availableNow``) through ``foreachBatch``."""
+    landing = FX.write_order_captures(spark, sf, scratch_path(spark, "landing"))
+    store = STORE.Store(scratch_path(spark, "stream-store"))
+    q = STREAM.start_ingest(spark, f"{landing}/*/*.txt", store, "orders",
+                            checkpoint=scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    cap = store.captures(spark).select("project", "version", "source_uri")
+    return (store.samples(spark).join(cap, ["project", "version"])
+            .select(_bucket_of("source_uri").alias("bucket"), "trace", "i", "y_raw"))

@@ -13,6 +13,8 @@ and read back with partition pruning, like any ingested store.
 from __future__ import annotations
 
 import threading
+
+import pandas as pd
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -226,3 +228,31 @@ def write_order_captures(spark: SparkSession, sf_dir: str, dest: str) -> str:
     (lines.repartition("bucket").sortWithinPartitions("bucket", "seq").select("bucket", "value")
      .write.mode("overwrite").partitionBy("bucket").text(dest))
     return dest
+
+
+def write_legacy_snapshots(spark: SparkSession, sf_dir: str, project_dir: str) -> str:
+    """Legacy project folder ``project_dir/data/NNNNN/traces.parquet.lz4``: one
+    wide lz4 Parquet file per capture block of ``orders`` (bounded size),
+    written by the task that holds the block.  Assumes the shared folder is
+    mounted on the executors (POSIX path)."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    fr = capture_frame(spark, sf_dir)
+    root = project_dir[len("file:"):] if project_dir.startswith("file:") else project_dir
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        version = int(pdf["bucket"].iloc[0]) + 1
+        d = os.path.join(root, "data", f"{version:05}")
+        os.makedirs(d, exist_ok=True)
+        cols = {"TRIGGER": pdf["trig"], "orders/key[31:0]": pdf["o_orderkey"],
+                "orders/cust[15:0]": pdf["o_custkey"], "orders/price": pdf["price"]}
+        t = pa.table({k: pa.array(v.to_numpy(), pa.int64()) for k, v in cols.items()})
+        pq.write_table(t, os.path.join(d, "traces.parquet.lz4"), compression="lz4", row_group_size=1000)
+        return pd.DataFrame({"version": [version], "rows": [len(pdf)]})
+
+    fr.groupBy("bucket").applyInPandas(write, "version int, rows long").collect()
+    return project_dir

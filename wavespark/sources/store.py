@@ -237,3 +237,15 @@ def set_project(projects: DataFrame, name: str, implied_dt: float | None = None,
     if description is not None:
         out = out.withColumn("description", F.when(me, F.lit(description)).otherwise(F.col("description")))
     return out
+
+
+def create_projects(projects: DataFrame, names: DataFrame) -> DataFrame:
+    """S13 in bulk: ``names`` (project) become projects with defaults; any
+    existing name raises."""
+    clash = names.join(projects.select("project"), "project", "left_semi")
+    hit = clash.limit(1).collect()
+    if hit:
+        raise RuntimeError(f"Project [{hit[0][0]}] already exists.")
+    new = names.select("project", F.lit(1.0).alias("implied_dt"), F.lit("ms").alias("dt_unit"),
+                       F.lit("").alias("description"))
+    return projects.unionByName(new)
