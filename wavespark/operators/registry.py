@@ -53,18 +53,17 @@ def label_check(candidates: DataFrame, registry: DataFrame) -> DataFrame:
 
     Valid: non-empty after trim, matches the allowed characters, and not used
     as a label or name by another trace of the project."""
-    taken = registry.select("project", F.col("trace").alias("_owner"),
+    taken = registry.select(F.col("project").alias("_tp"), F.col("trace").alias("_owner"),
                             F.explode(F.array("trace", "label")).alias("_used"))
-    c = candidates.alias("c")
-    clash = (c.join(taken, (F.col("c.project") == taken.project)
-                    & (F.col("c.new_label") == F.col("_used"))
-                    & (F.col("c.trace") != F.col("_owner")), "left_semi"))
-    clash = clash.select("project", "trace", F.lit(True).alias("_clash"))
+    clash = (candidates.join(taken, (F.col("project") == F.col("_tp"))
+                             & (F.col("new_label") == F.col("_used"))
+                             & (F.col("trace") != F.col("_owner")), "left_semi")
+             .select("project", "trace", "new_label").distinct().withColumn("_clash", F.lit(True)))
     t = F.trim(F.col("new_label"))
     reason = (F.when(t == "", F.lit("empty"))
               .when(~F.col("new_label").rlike(LABEL_PATTERN), F.lit("invalid characters"))
               .when(F.coalesce(F.col("_clash"), F.lit(False)), F.lit("already used")))
-    return (candidates.join(clash, ["project", "trace"], "left")
+    return (candidates.join(clash, ["project", "trace", "new_label"], "left")
             .withColumn("reason", reason)
             .withColumn("valid", F.col("reason").isNull()).drop("_clash"))
 
@@ -244,6 +243,8 @@ def update_derivative(registry: DataFrame, project: str, ref: str, function: str
 def delete_derivative(registry: DataFrame, project: str, name: str) -> DataFrame:
     """Raw traces are never deleted; a trace used by another derivative
     cannot be deleted."""
+    if not _one(registry.where(_is(project, name) & F.col("derivative").isNotNull())):
+        return registry  # raw or unknown: nothing to delete
     users = registry.where((F.col("project") == project)
                            & F.array_contains(F.col("derivative.sources"), name))
     if _one(users):

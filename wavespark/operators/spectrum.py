@@ -134,8 +134,10 @@ def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str
     lengths = bounded_broadcast(lengths)
     rows = sig.select(*KEY, "i", "y").join(lengths, KEY)
     small = rows.where(F.col("size_n") <= max_single).drop("size_n")
+    # Arrow turns pandas NaN into null; a zero-sum spectrum is NaN (Q16)
     out = (small.groupBy(*KEY)
-           .applyInPandas(_single(implied_dt, dt_unit, display_unit, out_trace), OUT_SCHEMA))
+           .applyInPandas(_single(implied_dt, dt_unit, display_unit, out_trace), OUT_SCHEMA)
+           .withColumn("y", F.coalesce(F.col("y"), F.lit(float("nan")))))
     big_traces = lengths.where(F.col("size_n") > max_single)
     if big_traces.limit(1).count() == 0:
         return out

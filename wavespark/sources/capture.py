@@ -90,8 +90,15 @@ def decode_captures(lines: DataFrame, heads: DataFrame | None = None) -> DataFra
     long = data.select("file", "mtime", (F.col("line_no") - F.col("first_data")).alias("i"),
                        F.explode(z).alias("c"))
     cell = F.col("c.cell")
-    return long.select("file", "mtime", F.col("c.name").alias("trace"), "i",
-                       R.decode(cell, R.base_of(F.col("c.radix")), cell).alias("y_raw"))
+    out = long.select("file", "mtime", F.col("c.name").alias("trace"), "i",
+                      R.decode(cell, R.base_of(F.col("c.radix")), cell).alias("y_raw"))
+    # Files without data rows never reach the decode above; evaluating their
+    # head (one row per file) makes a header-only file or a bad radix row
+    # raise instead of vanishing.  Valid heads produce no rows here.
+    bad = heads.where(F.size("radix") < 0).select(
+        "file", "mtime", F.lit(None).cast("string").alias("trace"), F.lit(None).cast("bigint").alias("i"),
+        F.lit(None).cast("bigint").alias("y_raw"))
+    return out.unionByName(bad)
 
 
 def column_specs(heads: DataFrame) -> DataFrame:
