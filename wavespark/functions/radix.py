@@ -28,41 +28,51 @@ def decode(cell: Column, base: Column, what: Column | None = None) -> Column:
     Empty cell -> null.  Anything but an optional sign and digits of the base
     raises (``conv`` alone would read '12G4' as 0x12); values outside the
     64-bit range raise.  No two's-complement sign extension by bus width.
+    Base 10 is a plain cast; other bases go through ``conv`` on the unsigned
+    digits.
     """
     what = what if what is not None else cell
     err = F.raise_error(F.concat(F.lit("invalid integer ["), F.coalesce(what, F.lit("null")),
                                  F.lit("] for base "), base.cast("string")))
+    # base 10: the cast itself validates (sign + digits, 64-bit range); it
+    # trims blanks and accepts a trailing "L"-free integer only, so blanks and
+    # '.' are rejected explicitly.
+    dec = cell.try_cast("bigint")
+    dec_ok = dec.isNotNull() & (F.length(F.trim(cell)) == F.length(cell)) & (F.instr(cell, ".") == 0)
     ok = F.lit(False)
     for b, d in _DIGITS.items():
-        ok = F.when(base == b, cell.rlike(f"^[+-]?{d}+$")).otherwise(ok)
-    neg = cell.startswith("-")
-    digits = F.regexp_replace(cell, r"^[+-]", "")
-    mag = _conv(digits, base)  # unsigned magnitude in decimal
-    as_long = F.when(neg, F.concat(F.lit("-"), mag)).otherwise(mag).try_cast("bigint")
+        if b != 10:
+            ok = F.when(base == b, cell.rlike(f"^[+-]?{d}+$")).otherwise(ok)
+    signed = cell.startswith("-") | cell.startswith("+")
+    digits = F.when(signed, cell.substr(F.lit(2), F.length(cell))).otherwise(cell)
+    conv = _conv(digits, base)
+    other = F.when(cell.startswith("-"), F.concat(F.lit("-"), conv)).otherwise(conv).try_cast("bigint")
     return (F.when(cell.isNull() | (cell == ""), F.lit(None).cast("bigint"))
+            .when(base == 10, F.when(dec_ok, dec).otherwise(err))
             .when(~ok, err)
-            .when(as_long.isNull(), err)
-            .otherwise(as_long))
+            .when(other.isNull(), err)
+            .otherwise(other))
 
 
 def _conv(digits: Column, base: Column) -> Column:
-    # F.conv needs literal bases: branch per supported base.
-    out = digits  # base 10: the digits themselves
+    # F.conv needs literal bases: one branch per non-decimal base.
+    out = F.lit(None).cast("string")
     for b in (16, 8, 2):
         out = F.when(base == b, F.conv(digits, b, 10)).otherwise(out)
-    return F.regexp_replace(out, "^0+(?=[0-9])", "")
+    return out
 
 
 def split_csv_line(line: Column) -> Column:
     """Quote-aware split of one CSV line; quotes are removed and doubled
-    quotes unescaped.  Lines without quotes take the plain split."""
+    quotes unescaped.  Lines without quotes take the plain split (no
+    per-cell lambda)."""
     plain = F.split(line, ",", -1)
     quoted = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    cells = F.when(F.instr(line, '"') == 0, plain).otherwise(quoted)
-    return F.transform(cells, lambda c: F.when(
+    unquoted = F.transform(quoted, lambda c: F.when(
         c.startswith('"') & c.endswith('"') & (F.length(c) >= 2),
         F.regexp_replace(c.substr(F.lit(2), F.length(c) - 2), '""', '"'))
         .otherwise(c))
+    return F.when(F.instr(line, '"') == 0, plain).otherwise(unquoted)
 
 
 def radix_words(line1: Column) -> Column:

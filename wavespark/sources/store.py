@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +65,11 @@ class Store:
 
 
 def write_samples(df: DataFrame, path: str) -> None:
-    """Long-layout sink partitioned by (project, version); each task writes a
-    sorted (trace, i) range so Parquet statistics skip other traces.  Only the
-    partitions present in ``df`` are replaced."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, "project", "version", "trace", "i")
-     .sortWithinPartitions("project", "version", "trace", "i")
+    """Long-layout sink partitioned by (project, version).  No shuffle: each
+    task sorts its own rows by (trace, i) before writing, so every file's row
+    groups cover narrow trace ranges and Parquet statistics skip the other
+    traces.  Only the partitions present in ``df`` are replaced."""
+    (df.sortWithinPartitions("project", "version", "trace", "i")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("project", "version").parquet(path))
 
@@ -97,6 +97,17 @@ def ingest(spark: SparkSession, store: Store, lines: DataFrame,
     order.  Returns the committed captures rows.
     """
     pcol = F.lit(project) if isinstance(project, str) else project
+    # The numbered lines feed the heads, the plan and the decode: computed
+    # once.  A lost cached block is recomputed from the (deterministic) file
+    # scan with the same numbers.
+    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _ingest(spark, store, lines, pcol)
+    finally:
+        lines.unpersist()
+
+
+def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column) -> DataFrame:
     heads = capture.capture_heads(lines).withColumn("project", pcol)
     caps = store.captures(spark)
     new = changed_files(heads.select("project", "file", "mtime"), caps)
