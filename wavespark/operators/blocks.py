@@ -47,3 +47,42 @@ def trace_lengths(df: DataFrame) -> DataFrame:
 
 def own_range(chunk: int, chunk_size: int) -> tuple[int, int]:
     return chunk * chunk_size, (chunk + 1) * chunk_size - 1
+
+
+def grouped_map(df: DataFrame, keys: list[str], order: str, fn, schema: str,
+                num_partitions: int | None = None) -> DataFrame:
+    """Apply ``fn(pdf) -> pdf`` to every ``keys`` group, groups sorted by
+    ``order``.
+
+    Same shuffle as ``groupBy(keys).applyInPandas`` (hash on the keys), but
+    the rows are then sorted within partitions and streamed through
+    ``mapInPandas``: a Python worker walks the contiguous groups of its
+    Arrow batches, so thousands of small groups cost one call per batch
+    instead of one call per group.  Memory holds one group at a time (plus a
+    batch); callers keep groups bounded (chunk + halo).
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = df.repartition(n, *keys).sortWithinPartitions(*keys, order)
+
+    def run(batches):
+        import pandas as pd
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            k = pdf[keys]
+            change = (k != k.shift()).any(axis=1).to_numpy()
+            starts = change.nonzero()[0].tolist() + [len(pdf)]
+            # the last group may continue in the next batch
+            for a, b in zip(starts[:-2], starts[1:-1]):
+                out = fn(pdf.iloc[a:b].reset_index(drop=True))
+                if out is not None and len(out):
+                    yield out
+            carry = pdf.iloc[starts[-2]:].reset_index(drop=True)
+        if carry is not None and len(carry):
+            out = fn(carry)
+            if out is not None and len(out):
+                yield out
+    return part.mapInPandas(run, schema)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import bounded_broadcast
 
 
 def resolve_versions(requests: DataFrame, captures: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def compare_versions(sig: DataFrame, captures: DataFrame, version_a: int, versio
     """
     if version_a == version_b:
         raise ValueError("need two different versions")
-    cap = bounded_broadcast(captures.select("project", "version", "t0_index"))
+    cap = captures.select("project", "version", "t0_index")  # planner size check
 
     def side(v: int, tag: str) -> DataFrame:
         s = sig.where(F.col("version") == v)

@@ -1,8 +1,10 @@
 """Savitzky-Golay (L3) and zero-phase Butterworth low-pass (L1, L2) filters,
 overlay dispatch (L4), normalised cutoff (U11).
 
-Both filters run per chunk + halo group (:mod:`.blocks`) with
-``applyInPandas``; the kernels are numpy (Arrow batches, no per-row Python).
+Both filters run per chunk + halo group (:mod:`.blocks`) through
+:func:`.blocks.grouped_map` (hash shuffle on the group key, then groups
+streamed through ``mapInPandas``); the kernels are numpy over Arrow batches,
+no per-row Python.
 The true signal ends get the reference's edge rules: "nearest" padding for
 Savitzky-Golay, odd extension of 33 samples plus steady-state start for the
 low-pass; interior chunk edges see real neighbouring samples.
@@ -120,8 +122,8 @@ def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK)
            .select(*KEY, "_w", "_p", "_h"))
     rows = sig.join(bounded_broadcast(per), KEY)
     rows = blocks.with_halo(rows, blocks.chunk_size_for(F.col("_h"), min_chunk), F.col("_h"))
-    return (rows.select(*KEY, "i", "x", "y", "domain", "_w", "_p", "chunk", "chunk_size", "halo")
-            .groupBy(*KEY, "chunk").applyInPandas(_savgol_group, OUT_SCHEMA))
+    rows = rows.select(*KEY, "i", "x", "y", "domain", "_w", "_p", "chunk", "chunk_size", "halo")
+    return blocks.grouped_map(rows, [*KEY, "chunk"], "i", _savgol_group, OUT_SCHEMA)
 
 
 def savgol_reference(y: np.ndarray, window: int, polyorder: int) -> np.ndarray:
@@ -254,7 +256,7 @@ def lowpass(sig: DataFrame, cutoff: str, implied_dt: float, dt_unit: str,
     C = max(min_chunk, 8 * H)
     rows = sig.select(*KEY, "i", "x", "y", "domain")
     rows = blocks.with_halo(rows, C, H)
-    return rows.groupBy(*KEY, "chunk").applyInPandas(_lowpass_group(wn, out_trace), OUT_SCHEMA)
+    return blocks.grouped_map(rows, [*KEY, "chunk"], "i", _lowpass_group(wn, out_trace), OUT_SCHEMA)
 
 
 def filtfilt_reference(x: np.ndarray, wn: float, padlen: int = FILTFILT_PADLEN) -> np.ndarray:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import bounded_broadcast
 
 KEY = ["project", "version", "trace"]
 
@@ -51,7 +50,7 @@ def linear_transform(df: DataFrame, registry: DataFrame, value_col: str = "y_raw
     Traces missing from the registry keep scale 1.0 / offset 0.0.  The result
     is always DOUBLE.
     """
-    reg = bounded_broadcast(registry.select("project", "trace", "y_scale", "y_offset"))
+    reg = registry.select("project", "trace", "y_scale", "y_offset")  # planner size check
     return (df.join(reg, ["project", "trace"], "left")
             .withColumn(out_col, F.coalesce("y_scale", F.lit(1.0))
                         * F.col(value_col).cast("double")
@@ -70,8 +69,8 @@ def time_axis(df: DataFrame, captures: DataFrame, projects: DataFrame) -> DataFr
     """``x = implied_dt * (i - t0_index)`` in project units (negative
     before the trigger).  Versions without a capture row use t0 = 0 and
     projects without a row use the default step 1.0."""
-    cap = bounded_broadcast(captures.select("project", "version", "t0_index"))
-    prj = bounded_broadcast(projects.select("project", "implied_dt"))
+    cap = captures.select("project", "version", "t0_index")  # planner size check
+    prj = projects.select("project", "implied_dt")
     return (df.join(cap, ["project", "version"], "left")
             .join(prj, ["project"], "left")
             .withColumn("x", F.coalesce("implied_dt", F.lit(1.0))

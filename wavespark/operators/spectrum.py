@@ -117,12 +117,11 @@ def _four_step(rows: DataFrame) -> DataFrame:
     r = rows.withColumn("size_b", (F.col("size_n") / F.col("size_a")).cast("bigint"))
     r = r.withColumn("ia", F.floor(F.col("i") / F.col("size_b")).cast("bigint")) \
          .withColumn("ib", (F.col("i") % F.col("size_b")).cast("bigint"))
-    p1 = (r.select(*KEY, "size_n", "size_a", "ia", "ib", "y").groupBy(*KEY, "ib")
-          .applyInPandas(_pass1, "project string, version int, trace string, size_n bigint, "
-                                 "size_a bigint, ka bigint, ib bigint, re double, im double"))
-    return (p1.groupBy(*KEY, "ka")
-            .applyInPandas(_pass2, "project string, version int, trace string, size_n bigint, "
-                                   "k bigint, mag double"))
+    p1 = blocks.grouped_map(r.select(*KEY, "size_n", "size_a", "ia", "ib", "y"), [*KEY, "ib"], "ia", _pass1,
+                            "project string, version int, trace string, size_n bigint, "
+                            "size_a bigint, ka bigint, ib bigint, re double, im double")
+    return blocks.grouped_map(p1, [*KEY, "ka"], "ib", _pass2,
+                              "project string, version int, trace string, size_n bigint, k bigint, mag double")
 
 
 def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str = "Hz",
@@ -135,8 +134,8 @@ def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str
     rows = sig.select(*KEY, "i", "y").join(lengths, KEY)
     small = rows.where(F.col("size_n") <= max_single).drop("size_n")
     # Arrow turns pandas NaN into null; a zero-sum spectrum is NaN (Q16)
-    out = (small.groupBy(*KEY)
-           .applyInPandas(_single(implied_dt, dt_unit, display_unit, out_trace), OUT_SCHEMA)
+    out = (blocks.grouped_map(small, KEY, "i", _single(implied_dt, dt_unit, display_unit, out_trace),
+                              OUT_SCHEMA)
            .withColumn("y", F.coalesce(F.col("y"), F.lit(float("nan")))))
     big_traces = lengths.where(F.col("size_n") > max_single)
     if big_traces.limit(1).count() == 0:

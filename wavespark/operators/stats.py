@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bounded_broadcast
 
 # Statistic names, in the order the configuration dialog lists
 # them, and the legend symbols shown for each (must equal the reference's).
@@ -48,8 +47,7 @@ def selected_stats(stats: DataFrame, registry: DataFrame) -> DataFrame:
     """Only the statistics listed in each trace's ``stat_functions``, in
     list order -> (project, version, trace, stat_pos, stat, value).  An unknown
     name raises when evaluated."""
-    reg = bounded_broadcast(registry.select("project", "trace", "stat_functions")
-                            .where(F.size("stat_functions") > 0))
+    reg = registry.select("project", "trace", "stat_functions").where(F.size("stat_functions") > 0)
     long = stats.unpivot(KEY, STAT_FUNCTIONS, "stat", "value")
     listed = reg.select("project", "trace",
                         F.posexplode("stat_functions").alias("stat_pos", "stat"))
@@ -84,7 +82,7 @@ def legend_text(selected: DataFrame, registry: DataFrame, style: str = "view",
                     v.cast("string"), F.lit("$"))
     per = selected.withColumn("_part", F.struct("stat_pos", part.alias("s")))
     agg = per.groupBy(*KEY).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
-    reg = bounded_broadcast(registry.select("project", "trace", "label"))
+    reg = registry.select("project", "trace", "label")  # planner size check
     if style == "view":
         head = F.concat(F.col("label"), F.lit(" V:"), F.col("version").cast("string"))
     elif show_version:

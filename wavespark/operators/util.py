@@ -12,7 +12,14 @@ BROADCAST_MAX_ROWS = 500_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a proven row bound (a LIMIT-capped count)."""
+    """Broadcast hint only behind a proven row bound (a LIMIT-capped count).
+
+    For derived inputs (aggregates, exploded specs).  Stored metadata tables
+    (registry, captures, projects) are not hinted: the planner's own check of
+    their file-size statistics against ``autoBroadcastJoinThreshold``
+    broadcasts them while they are small and falls back to a sort-merge join
+    beyond it, without an extra job.
+    """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
