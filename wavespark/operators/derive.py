@@ -3,8 +3,9 @@
 A derivative trace is a registry entry with a function, its parameters and an
 ordered list of source names; it is computed on read, never stored, and its
 sources may themselves be derivative.  Resolution walks the (small) registry
-slice of one project on the driver -- it is the plan, not the data -- and
-composes one lazy DataFrame per trace; a source shared by several traces is
+of one project on the driver, fetching only the entries it references (one
+small query per DAG level) -- it is the plan, not the data -- and composes
+one lazy DataFrame per trace; a source shared by several traces is
 the same DataFrame, so Spark reuses its exchange.  Sources are looked up at
 the version being computed: the frame carries all versions at once.
 """
@@ -72,16 +73,30 @@ def function_builder(function_name: str):
 @dataclass
 class _Resolver:
     raw: DataFrame
-    rows: list  # registry rows of one project, in registry order
+    registry: DataFrame  # one project's entries
     ctx: ProjectContext
+    known: dict = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
 
+    def fetch(self, refs: list[str]) -> None:
+        """Look up names/labels in one small query; only the referenced
+        entries reach the driver (bounded by the derivative DAG)."""
+        missing = [r for r in dict.fromkeys(refs) if r not in self.known]
+        if not missing:
+            return
+        rows = (self.registry.where(F.col("trace").isin(missing) | F.col("label").isin(missing))
+                .select("trace", "label", "y_scale", "y_offset", "derivative", "ord")
+                .orderBy("ord").collect())
+        for ref in missing:
+            self.known[ref] = next((r for r in rows if r["trace"] == ref or r["label"] == ref), None)
+
     def lookup(self, ref: str):
-        """First registry entry whose name or label equals ``ref``."""
-        for r in self.rows:
-            if r["trace"] == ref or r["label"] == ref:
-                return r
-        raise KeyError(f"trace [{ref}] not found in project [{self.ctx.project}]")
+        """First registry entry (registry order) whose name or label is ``ref``."""
+        self.fetch([ref])
+        r = self.known[ref]
+        if r is None:
+            raise KeyError(f"trace [{ref}] not found in project [{self.ctx.project}]")
+        return r
 
     def frame(self, ref: str, visiting: tuple = ()) -> DataFrame:
         r = self.lookup(ref)
@@ -94,7 +109,9 @@ class _Resolver:
         if d is None or d["function"] is None:
             out = self.raw.where(F.col("trace") == name)
         else:
-            srcs = [self.lookup(s)["trace"] for s in (d["sources"] or [])]
+            refs = list(d["sources"] or [])
+            self.fetch(refs)
+            srcs = [self.lookup(s)["trace"] for s in refs]
             parts = [self.frame(s, visiting + (name,)) for s in dict.fromkeys(srcs)]
             union = reduce(DataFrame.unionByName, parts)
             built = function_builder(d["function"])(union, srcs, name, dict(d["params"] or {}), self.ctx)
@@ -111,11 +128,11 @@ def resolve(raw_signal: DataFrame, registry: DataFrame, projects: DataFrame,
     project, all versions wanted.  Derivative traces get their function, then
     their own scale/offset.
     """
-    rows = (registry.where(F.col("project") == project).orderBy("ord")
-            .select("trace", "label", "y_scale", "y_offset", "derivative").collect())
     prj = projects.where(F.col("project") == project).select("implied_dt", "dt_unit").collect()
     ctx = ProjectContext(project, *(tuple(prj[0]) if prj else ()))
-    res = _Resolver(raw_signal.where(F.col("project") == project), rows, ctx)
+    res = _Resolver(raw_signal.where(F.col("project") == project),
+                    registry.where(F.col("project") == project), ctx)
+    res.fetch(traces)
     frames = [res.frame(t) for t in dict.fromkeys(traces)]
     return reduce(DataFrame.unionByName, frames)
 

@@ -909,3 +909,50 @@ def q_stream_ingest(spark, sf):
     cap = store.captures(spark).select("project", "version", "source_uri")
     return (store.samples(spark).join(cap, ["project", "version"])
             .select(_bucket_of("source_uri").alias("bucket"), "trace", "i", "y_raw"))
+
+
+# --------------------------------------------------------------------------
+# P9 label validity, R5-R7 derivative maintenance over table-derived registries
+
+@register("label_check", f"""WITH {_EMB_REG},
+cand AS (
+  SELECT project, trace, ord, 'vec ' || CAST(ord + 1 AS VARCHAR) AS new_label FROM ereg
+  UNION ALL SELECT project, trace, ord, 'v-' || trace || ' ok' FROM ereg
+  UNION ALL SELECT project, trace, ord, '  ' FROM ereg
+  UNION ALL SELECT project, trace, ord, 'bad/' || trace FROM ereg),
+used AS (SELECT project, trace AS owner, trace AS u FROM ereg UNION ALL SELECT project, trace, label FROM ereg)
+SELECT c.project, c.trace, c.new_label,
+       CASE WHEN trim(c.new_label) = '' THEN 'empty'
+            WHEN NOT regexp_matches(c.new_label, '^[a-zA-Z0-9\\[\\]_\\-+. ]+$') THEN 'invalid characters'
+            WHEN EXISTS (SELECT 1 FROM used WHERE used.project = c.project AND used.u = c.new_label
+                                              AND used.owner <> c.trace) THEN 'already used' END AS reason
+FROM cand c""")
+def q_label_check(spark, sf):
+    """P9 for four candidate labels per embeddings trace (one clashes with
+    the next vector's label, one is valid, one blank, one with '/')."""
+    reg = _emb_registry(spark, sf)
+    base = reg.select("project", "trace", "ord")
+    cand = (base.select("project", "trace", F.concat(F.lit("vec "), (F.col("ord") + 1).cast("string")).alias("new_label"))
+            .unionByName(base.select("project", "trace", F.concat(F.lit("v-"), "trace", F.lit(" ok")).alias("new_label")))
+            .unionByName(base.select("project", "trace", F.lit("  ").alias("new_label")))
+            .unionByName(base.select("project", "trace", F.concat(F.lit("bad/"), "trace").alias("new_label"))))
+    return REG.label_check(cand, reg).select("project", "trace", "new_label", "reason")
+
+
+@register("registry_derivative", S.with_(*S.BASE[:-2], S.F3, S.signal("f3", "s3")) + f"""
+SELECT a.project, a.version, 'd01' AS trace, a.i, {_r("a.x")} AS x, {_r("0.5 * (a.y - b.y) + 1.0")} AS y,
+       'TIME' AS domain
+FROM s3 a JOIN s3 b ON b.version = a.version AND b.i = a.i AND b.trace = '1'
+WHERE a.trace = '0'""")
+def q_registry_derivative(spark, sf):
+    """R5 add (sources given by label), R6 update by label, R3 scale/offset,
+    R7 delete of another derivative, then J6 evaluation over the data."""
+    sig, st = _emb_signal(spark, sf)
+    reg = _emb_registry(spark, sf)
+    reg = REG.add_derivative(reg, "embeddings", "d01", "add", ["vec 0", "vec 1"])
+    reg = REG.add_derivative(reg, "embeddings", "tmp", "multiply", ["vec 2", "vec 3"])
+    reg = REG.update_derivative(reg, "embeddings", "d01", "subtract", ["vec 0", "vec 1"])
+    reg = REG.set_scale_offset(reg, "embeddings", ["d01"], 0.5, 1.0)
+    reg = REG.delete_derivative(reg, "embeddings", "tmp")
+    out = derive.resolve(sig, reg, st.projects(spark), "embeddings", ["d01"])
+    return _sig_out(out)

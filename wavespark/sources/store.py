@@ -74,10 +74,16 @@ def write_samples(df: DataFrame, path: str) -> None:
      .partitionBy("project", "version").parquet(path))
 
 
-def changed_files(files: DataFrame, captures: DataFrame) -> DataFrame:
+def changed_files(files: DataFrame, captures: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """Files whose modification time differs from the change id last
     recorded for that source (inequality, not "newer than"); files never seen
-    are new."""
+    are new.  ``reference`` (project, file, change_id) replaces the recorded
+    ids, like the reference's caller-given change id."""
+    if reference is not None:
+        last = reference.select("project", "file", F.col("change_id").alias("_last"))
+        return (files.join(last, ["project", "file"], "left")
+                .where(F.col("_last").isNull() | (F.col("_last") != F.col("mtime")))
+                .drop("_last"))
     w = Window.partitionBy("project", "source_uri").orderBy(F.desc("version"))
     last = (captures.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
             .select("project", F.col("source_uri").alias("file"), F.col("change_id").alias("_last")))
