@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .util import bounded_broadcast
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
 
@@ -50,7 +51,9 @@ def dense_index(df: DataFrame, by: list[str], order: list[Column | str],
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
                .drop("_n"))
-    o = offsets.alias("_o")
+    # one row per (partition, group): broadcast when bounded, else a shuffle
+    # join on (partition, group), which spreads even a hot group
+    o = bounded_broadcast(offsets).alias("_o")
     t = tagged.alias("_t")
     cond = reduce(lambda a, b: a & b,
                   [F.col(f"_t.{c}").eqNullSafe(F.col(f"_o.{c}")) for c in ["_pid", *by]])

@@ -25,6 +25,7 @@ from .. import schemas
 from ..operators.indexing import dense_index
 from ..operators.signal import capture_summary
 from ..session import scratch_path
+from ..sources.store import write_samples
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 LINEITEM_VALUES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -144,15 +145,6 @@ _LOCK = threading.Lock()
 _STORES: dict[tuple[str, str], FixtureStore] = {}
 
 
-def write_samples(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Long layout sink: partitioned by (project, version); each file holds a
-    sorted (trace, i) range so row-group statistics skip other traces."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, "project", "version", "trace", "i")
-     .sortWithinPartitions("project", "version", "trace", "i")
-     .write.mode(mode).partitionBy("project", "version").parquet(path))
-
-
 def fixture_store(spark: SparkSession, sf_dir: str) -> FixtureStore:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
@@ -162,7 +154,7 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> FixtureStore:
         samples = (events_samples(spark, sf_dir)
                    .unionByName(lineitem_samples(spark, sf_dir))
                    .unionByName(embeddings_samples(spark, sf_dir)))
-        write_samples(samples, f"{root}/samples")
+        write_samples(samples, f"{root}/samples")  # the store's shuffle-free sink
         stored = spark.read.parquet(f"{root}/samples")
         capture_summary(stored).write.mode("overwrite").parquet(f"{root}/captures")
         reg = spark.createDataFrame(registry_rows(), schemas.REGISTRY)

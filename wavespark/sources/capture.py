@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import radix as R
+from ..operators.util import bounded_broadcast
 
 _POS_BITS = 33
 
@@ -42,7 +43,8 @@ def number_lines(raw: DataFrame) -> DataFrame:
                                                        F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    return (tagged.join(splits, ["file", "blk", "_pid"])
+    # one row per input split: broadcast (bounded) so the lines are not shuffled
+    return (tagged.join(bounded_broadcast(splits), ["file", "blk", "_pid"])
             .select("file", "mtime",
                     (F.col("_off") + F.col("_pos") - F.col("_first")).alias("line_no"), "value"))
 
@@ -74,12 +76,13 @@ def capture_heads(lines: DataFrame) -> DataFrame:
 def decode_captures(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(file, mtime, trace, i, y_raw BIGINT) long samples (S1 + S3).
 
-    The per-file heads join the data lines by file name: one row per file,
-    which AQE broadcasts after measuring it; a huge file count falls back to
-    a shuffle join.
+    The per-file heads join the data lines by file name.  A sort-merge join
+    on ``file`` would send every line of a huge capture to one task, so the
+    heads (one row per file) are broadcast behind a row bound; only an
+    enormous file count falls back to a shuffle join.
     """
     heads = heads if heads is not None else capture_heads(lines)
-    data = lines.where(F.col("line_no") >= 1).join(heads.drop("mtime"), "file")
+    data = lines.where(F.col("line_no") >= 1).join(bounded_broadcast(heads.drop("mtime")), "file")
     data = data.where(F.col("line_no") >= F.col("first_data"))
     cells = R.split_csv_line(F.col("value"))
     err = F.raise_error(F.concat(F.lit("wrong number of cells in line "),
