@@ -22,3 +22,15 @@ def test_dense_index_invariant_to_partition_count(spark):
     a = dense_index(df, ["g"], ["o"], num_partitions=3).orderBy("g", "o").toPandas()
     b = dense_index(df, ["g"], ["o"], num_partitions=11).orderBy("g", "o").toPandas()
     assert a.equals(b)
+
+
+def test_dense_index_shuffle_fallback(spark, monkeypatch):
+    # force the offsets table above the broadcast bound: shuffle join path
+    from wavespark.operators import indexing, util
+    monkeypatch.setattr(indexing, "bounded_broadcast", lambda df: util.bounded_broadcast(df, max_rows=0))
+    df = spark.range(0, 3000).select((F.col("id") % 4).alias("g"), (F.col("id") * 31 % 3001).alias("o"))
+    got = dense_index(df, ["g"], ["o"], num_partitions=5).toPandas()
+    w = Window.partitionBy("g").orderBy("o")
+    ref = df.withColumn("rn", F.row_number().over(w) - 1).toPandas()
+    m = got.merge(ref, on=["g", "o"])
+    assert len(m) == 3000 and (m["i"] == m["rn"]).all()

@@ -135,10 +135,10 @@ def set_scale_offset(registry: DataFrame, project: str, traces: list[str] | Colu
     return out
 
 
-def set_overlay(registry: DataFrame, project: str, trace: str, filter_name: str,
+def set_overlay(registry: DataFrame, project: str, trace: str | list[str] | Column, filter_name: str,
                 frequency: str | None = None, window_length: str | None = None,
                 polyorder: int | None = None) -> DataFrame:
-    """Overlay of one trace."""
+    """Overlay of one trace (or a selection)."""
     ov = F.struct(F.lit(filter_name).alias("filter_name"), F.lit(frequency).cast("string").alias("frequency"),
                   F.lit(window_length).cast("string").alias("window_length"),
                   F.lit(polyorder).cast("int").alias("polyorder"))

@@ -956,3 +956,31 @@ def q_registry_derivative(spark, sf):
     reg = REG.delete_derivative(reg, "embeddings", "tmp")
     out = derive.resolve(sig, reg, st.projects(spark), "embeddings", ["d01"])
     return _sig_out(out)
+
+
+@register("lowpass_overlay")
+def q_lowpass_overlay(spark, sf):
+    """L2 through the overlay dispatch (L4): every raw events trace gets a
+    100 Hz low-pass overlay (Wn 0.1 at the project's 0.5 ms step)."""
+    sig, st = _raw_signal(spark, sf, "events")
+    reg = st.registry(spark).where(F.col("project") == "events")
+    reg = REG.set_overlay(reg, "events", F.col("derivative").isNull(), FL.LOWPASS_NAME, frequency="100 Hz")
+    out = FL.overlay(sig, reg, st.projects(spark))
+    return out.select("project", "version", "trace", "i", rnd("x").alias("x"),
+                      rnd("y_overlay").alias("y_overlay"), "filter")
+
+
+@register("domain_check", ORACLE["view_cells"].replace(
+    "SELECT t.project, t.view_name, t.\"row\", t.\"column\", t.domain, t.compatible, t.summary,",
+    "SELECT t.project, t.view_name, t.\"row\", t.\"column\", t.domain, t.compatible,"))
+def q_domain_check(spark, sf):
+    """R12 per subplot (with the materialised sample count)."""
+    return q_view_cells(spark, sf).drop("summary")
+
+
+@register("view_summary", ORACLE["view_cells"].replace(
+    "SELECT t.project, t.view_name, t.\"row\", t.\"column\", t.domain, t.compatible, t.summary,",
+    "SELECT t.project, t.view_name, t.\"row\", t.\"column\", t.summary,"))
+def q_view_summary(spark, sf):
+    """R15 per subplot (with the materialised sample count)."""
+    return q_view_cells(spark, sf).drop("domain", "compatible")
