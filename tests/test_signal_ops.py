@@ -134,3 +134,10 @@ def test_blocks_replication_exactly_once(spark):
     own = rep.where(F.floor(F.col("i") / 2000) == F.col("chunk"))
     assert own.count() == 10000
     assert rep.count() == 10000 + 2 * 100 * 4 + 100  # halos around 4 inner edges, +100 past the end
+
+
+def test_two_significant_matches_python(spark):
+    vals = [1234.5, 0.0012345, 0.00012345, 1.2345e-05, 98765432.1, 1.5e17, -0.5, 7.0, 0.0, 99.9, 1e-4, 5e-7]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(stats.two_significant("v")).collect()]
+    assert got == [repr(float(f"{v:.2g}")) for v in vals]

@@ -7,7 +7,7 @@ so a hot trace never lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,29 @@ def selected_stats(stats: DataFrame, registry: DataFrame) -> DataFrame:
             .select(*KEY, F.col("stat_pos").cast("int").alias("stat_pos"), "stat", "value"))
 
 
+def two_significant(value) -> Column:
+    """Text of ``float(f"{v:.2g}")`` as Python prints it: positional for
+    1e-4 <= |v| < 1e16 ("1200.0", "0.00012"), else "1.2e-05" / "1e+16"."""
+    v = F.col(value) if isinstance(value, str) else value
+    s = F.format_string("%.1e", v)
+    pat = r"^(-?)(\d)\.(\d)e([+-]\d+)$"
+    sign, d1, d2 = (F.regexp_extract(s, pat, k) for k in (1, 2, 3))
+    e = F.regexp_extract(s, pat, 4).cast("int")
+    digits = F.when(d2 == "0", d1).otherwise(F.concat(d1, d2))
+    nd = F.length(digits)
+    pos_big = F.when(nd - 1 <= e, F.concat(digits, F.repeat(F.lit("0"), e - nd + 1), F.lit(".0"))) \
+        .otherwise(F.concat(d1, F.lit("."), d2))
+    pos_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    mant = F.when(nd == 2, F.concat(d1, F.lit("."), d2)).otherwise(d1)
+    sci = F.concat(mant, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
+                   F.lpad(F.abs(e).cast("string"), 2, "0"))
+    body = F.when((e >= 0) & (e < 16), pos_big).when((e < 0) & (e >= -4), pos_small).otherwise(sci)
+    out = F.when(v == 0, F.lit("0.0")).otherwise(F.concat(sign, body))
+    return (F.when(F.isnan(v), F.lit("nan"))
+            .when(v == float("inf"), F.lit("inf")).when(v == float("-inf"), F.lit("-inf"))
+            .otherwise(out))
+
+
 def _symbols():
     return F.create_map(*[c for k, v in STAT_SYMBOLS.items() for c in (F.lit(k), F.lit(v))])
 
@@ -73,13 +96,12 @@ def legend_text(selected: DataFrame, registry: DataFrame, style: str = "view",
     """
     if style == "plot":
         # Python rounds half to even; bround does the same on the decimal form.
-        v = F.bround("value", 2)
+        v = F.bround("value", 2).cast("string")
     elif style == "view":
-        v = F.format_string("%.1e", F.col("value")).cast("double")
+        v = two_significant("value")
     else:
         raise ValueError("style must be 'plot' or 'view'")
-    part = F.concat(F.lit(", $"), _symbols()[F.col("stat")], F.lit("="),
-                    v.cast("string"), F.lit("$"))
+    part = F.concat(F.lit(", $"), _symbols()[F.col("stat")], F.lit("="), v, F.lit("$"))
     per = selected.withColumn("_part", F.struct("stat_pos", part.alias("s")))
     agg = per.groupBy(*KEY).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
     reg = registry.select("project", "trace", "label")  # planner size check
