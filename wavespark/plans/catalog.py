@@ -984,3 +984,80 @@ def q_domain_check(spark, sf):
 def q_view_summary(spark, sf):
     """R15 per subplot (with the materialised sample count)."""
     return q_view_cells(spark, sf).drop("domain", "compatible")
+
+
+# --------------------------------------------------------------------------
+# SQL oracle for the zero-phase low-pass: the cascade recurrence, sample by
+# sample, in a recursive CTE (independent of the FFT path of the library).
+
+def _lowpass_sql(src: str, wn: float, out_trace: str | None = None, ycol: str = "y") -> str:
+    """CTEs + final SELECT: filtfilt of every trace of CTE ``src``
+    (project, version, trace, i, x, y).  Needs ``WITH RECURSIVE``."""
+    sos = FL.butter_sos(wn)
+    pad = FL.FILTFILT_PADLEN
+    lit = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+
+    def step(prev: str, inp: str) -> tuple[list[str], str]:
+        # transposed direct form II, 5 sections; returns (new state exprs, output expr)
+        v = inp
+        states = []
+        for k, (b0, b1, b2, _a0, a1, a2) in enumerate(sos):
+            y = f"({lit(b0)} * {v} + {prev}.z1_{k})"
+            states.append(f"({lit(b1)} * {v} - {lit(a1)} * {y} + {prev}.z2_{k})")
+            states.append(f"({lit(b2)} * {v} - {lit(a2)} * {y})")
+            v = y
+        return states, v
+
+    def init(u: str) -> list[str]:
+        out = []
+        for b0, b1, b2, _a0, a1, a2 in sos:
+            out.append(f"{u} * (1.0 - {lit(b0)})")
+            out.append(f"{u} * ({lit(b2)} - {lit(a2)})")
+        return out
+
+    zcols = [f"z{w}_{k}" for k in range(len(sos)) for w in (1, 2)]
+
+    def recursion(name: str, inp: str) -> str:
+        st, outexpr = step("f", "x.e")
+        first = ", ".join(f"{e} AS {c}" for e, c in zip(init("e"), zcols))
+        nxt = ", ".join(f"{e} AS {c}" for e, c in zip(st, zcols))
+        return f"""{name} AS (
+  SELECT project, version, trace, j, e AS yo, {first} FROM {inp} WHERE j = 0
+  UNION ALL
+  SELECT f.project, f.version, f.trace, f.j + 1, {outexpr}, {nxt}
+  FROM {name} f JOIN {inp} x ON x.project = f.project AND x.version = f.version AND x.trace = f.trace
+   AND x.j = f.j + 1)"""
+
+    tr = f"'{out_trace}'" if out_trace else "s.trace"
+    return f"""lpx AS (SELECT project, version, trace, i, x, y,
+                count(*) OVER (PARTITION BY project, version, trace) AS n FROM {src}),
+lpe AS (
+  SELECT project, version, trace, {pad} + i AS j, y AS e, n FROM lpx
+  UNION ALL
+  SELECT a.project, a.version, a.trace, {pad} - b.i, 2 * a.y - b.y, a.n
+  FROM lpx a JOIN lpx b ON b.project = a.project AND b.version = a.version AND b.trace = a.trace
+   AND a.i = 0 AND b.i BETWEEN 1 AND {pad}
+  UNION ALL
+  SELECT a.project, a.version, a.trace, {pad} + a.n + (a.n - 2 - b.i), 2 * a.y - b.y, a.n
+  FROM lpx a JOIN lpx b ON b.project = a.project AND b.version = a.version AND b.trace = a.trace
+   AND a.i = a.n - 1 AND b.i BETWEEN a.n - {pad + 1} AND a.n - 2),
+{recursion("lpf", "lpe")},
+lpr AS (SELECT f.project, f.version, f.trace, (e.n + {2 * pad} - 1) - f.j AS j, f.yo AS e, e.n
+        FROM lpf f JOIN (SELECT DISTINCT project, version, trace, n FROM lpe) e
+          ON e.project = f.project AND e.version = f.version AND e.trace = f.trace),
+{recursion("lpb", "lpr")}
+SELECT s.project, s.version, {tr} AS trace, s.i, {_r("s.x")} AS x, {_r("b.yo")} AS {ycol}
+FROM lpb b JOIN lpx s ON s.project = b.project AND s.version = b.version AND s.trace = b.trace
+ AND s.i = (s.n + {2 * pad} - 1 - b.j) - {pad}"""
+
+
+ORACLE["lowpass"] = "WITH RECURSIVE " + ",\n".join(S.BASE[:-2] + [S.F3, S.signal("f3", "s3")]) + ",\n" + \
+    _lowpass_sql("s3", FL.normalized_cutoff("50 MHz", 1.0, "ns")).replace(
+        " AS y\nFROM lpb b", " AS y, 'TIME' AS domain\nFROM lpb b")
+ORACLE["lowpass_derivative"] = "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" + \
+    "clk AS (SELECT * FROM s1 WHERE trace = 'click'),\n" + \
+    _lowpass_sql("clk", FL.normalized_cutoff("100.0 Hz", 0.5, "ms"), out_trace="click_lp").replace(
+        " AS y\nFROM lpb b", " AS y, 'TIME' AS domain\nFROM lpb b")
+ORACLE["lowpass_overlay"] = "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" + \
+    _lowpass_sql("s1", FL.normalized_cutoff("100 Hz", 0.5, "ms"), ycol="y_overlay").replace(
+        " AS y_overlay\nFROM lpb b", " AS y_overlay, 'Lowpass' AS filter\nFROM lpb b")
