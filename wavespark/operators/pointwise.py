@@ -11,6 +11,8 @@ present in every source are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,29 +44,34 @@ def _x0():
     return F.max(F.when(F.col("_pos") == 0, F.col("x"))).alias("x")
 
 
-def _nulls_propagate(value, n: int):
-    # An empty cell in any source gives null (aggregates would skip it).
-    return F.when(F.count("y") == n, value)
+def _fold(sources: list[str], op) -> list:
+    """One aggregate per source position (exactly one value each), folded
+    left to right in source order afterwards: bit-identical whatever the
+    partitioning, and the reference's fold order.  A null operand (empty
+    cell) gives null."""
+    return [_y(k).alias(f"_y{k}") for k in range(len(sources))], \
+        reduce(op, [F.col(f"_y{k}") for k in range(len(sources))])
+
+
+def _combine(df: DataFrame, sources: list[str], out_trace: str, op) -> DataFrame:
+    n = len(sources)
+    aggs, folded = _fold(sources, op)
+    agg = _tagged(df, sources).groupBy(*GROUP).agg(_x0(), *aggs, F.count(F.lit(1)).alias("_n"))
+    return _finish(agg.withColumn("y", folded), n, out_trace)
 
 
 def add(df: DataFrame, sources: list[str], out_trace: str = "add") -> DataFrame:
-    """Sum of n traces."""
+    """Sum of n traces (left fold from the first source)."""
     if not sources:
         raise ValueError("Add needs at least one source")
-    n = len(sources)
-    agg = _tagged(df, sources).groupBy(*GROUP).agg(
-        _x0(), _nulls_propagate(F.sum("y"), n).alias("y"), F.count(F.lit(1)).alias("_n"))
-    return _finish(agg, n, out_trace)
+    return _combine(df, sources, out_trace, lambda a, b: a + b)
 
 
 def multiply(df: DataFrame, sources: list[str], out_trace: str = "multiply") -> DataFrame:
-    """Product of n traces."""
+    """Product of n traces (left fold)."""
     if not sources:
         raise ValueError("Multiply needs at least one source")
-    n = len(sources)
-    agg = _tagged(df, sources).groupBy(*GROUP).agg(
-        _x0(), _nulls_propagate(F.product("y"), n).alias("y"), F.count(F.lit(1)).alias("_n"))
-    return _finish(agg, n, out_trace)
+    return _combine(df, sources, out_trace, lambda a, b: a * b)
 
 
 def subtract(df: DataFrame, sources: list[str], out_trace: str = "subtract") -> DataFrame:
