@@ -103,24 +103,35 @@ def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK)
     """L3 on every trace of ``sig`` that has a row in ``params``
     (project, trace, window_length STRING, polyorder INT).
 
-    An "N%" window depends on the trace length, so per-trace lengths are
-    aggregated first (partial + final count).  The per-trace parameter table
-    (one row per trace) is broadcast behind a row-count bound; the halo is
-    sized per trace.
+    An "N%" window depends on the trace length, so then per-trace lengths are
+    aggregated first (partial + final count) and the per-trace parameter
+    table (one row per trace) is broadcast behind a row-count bound; absolute
+    windows need no pass over the samples.  The halo is sized per trace.
     """
     prm = params.select("project", "trace", F.trim("window_length").alias("window_length"),
                         F.col("polyorder").cast("bigint").alias("_p"))
-    lengths = blocks.trace_lengths(sig)
-    pct = F.col("window_length").endswith("%")
-    win = F.when(pct, F.floor(F.col("n") * F.regexp_replace("window_length", "%", "").cast("double")
-                              / F.lit(100.0))).otherwise(F.col("window_length").cast("double")).cast("bigint")
-    per = (lengths.join(prm, ["project", "trace"])
-           .withColumn("_w", win)
-           .withColumn("_w", F.when(F.col("_w") > F.col("_p"), F.col("_w")).otherwise(
-               F.raise_error(F.lit("polyorder must be less than window_length."))))
-           .withColumn("_h", F.floor(F.col("_w") / 2).cast("bigint") + 1)
-           .select(*KEY, "_w", "_p", "_h"))
-    rows = sig.join(bounded_broadcast(per), KEY)
+    too_small = F.raise_error(F.lit("polyorder must be less than window_length."))
+    # Window settings are configuration (a handful of distinct strings): when
+    # none is a percentage, the window is known per trace without a pass
+    # over the samples.
+    settings = [r[0] for r in prm.select("window_length").distinct().collect()]
+    if not any(w is not None and w.endswith("%") for w in settings):
+        per = (prm.withColumn("_w", F.col("window_length").cast("double").cast("bigint"))
+               .withColumn("_w", F.when(F.col("_w") > F.col("_p"), F.col("_w")).otherwise(too_small))
+               .withColumn("_h", F.floor(F.col("_w") / 2).cast("bigint") + 1)
+               .select("project", "trace", "_w", "_p", "_h"))
+        rows = sig.join(per, ["project", "trace"])  # params: stored-registry sized, planner decides
+    else:
+        lengths = blocks.trace_lengths(sig)
+        pct = F.col("window_length").endswith("%")
+        win = F.when(pct, F.floor(F.col("n") * F.regexp_replace("window_length", "%", "").cast("double")
+                                  / F.lit(100.0))).otherwise(F.col("window_length").cast("double")).cast("bigint")
+        per = (lengths.join(prm, ["project", "trace"])
+               .withColumn("_w", win)
+               .withColumn("_w", F.when(F.col("_w") > F.col("_p"), F.col("_w")).otherwise(too_small))
+               .withColumn("_h", F.floor(F.col("_w") / 2).cast("bigint") + 1)
+               .select(*KEY, "_w", "_p", "_h"))
+        rows = sig.join(bounded_broadcast(per), KEY)
     rows = blocks.with_halo(rows, blocks.chunk_size_for(F.col("_h"), min_chunk), F.col("_h"))
     rows = rows.select(*KEY, "i", "x", "y", "domain", "_w", "_p", "chunk", "chunk_size", "halo")
     return blocks.grouped_map(rows, [*KEY, "chunk"], "i", _savgol_group, OUT_SCHEMA)
