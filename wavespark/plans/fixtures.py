@@ -225,25 +225,26 @@ def write_order_captures(spark: SparkSession, sf_dir: str, dest: str) -> str:
 def write_legacy_snapshots(spark: SparkSession, sf_dir: str, project_dir: str) -> str:
     """Legacy project folder ``project_dir/data/NNNNN/traces.parquet.lz4``: one
     wide lz4 Parquet file per capture block of ``orders`` (bounded size),
-    written by the task that holds the block.  Assumes the shared folder is
-    mounted on the executors (POSIX path)."""
-    import os
-
+    written by the task that holds the block through the filesystem named by
+    the folder's URI (local path, ``file:``, ``hdfs://``, ``s3a://``...)."""
     import pyarrow as pa
     import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
 
     fr = capture_frame(spark, sf_dir)
-    root = project_dir[len("file:"):] if project_dir.startswith("file:") else project_dir
+    uri = project_dir if "://" in project_dir else "file://" + project_dir.replace("file:", "", 1)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         version = int(pdf["bucket"].iloc[0]) + 1
-        d = os.path.join(root, "data", f"{version:05}")
-        os.makedirs(d, exist_ok=True)
+        filesystem, root = pafs.FileSystem.from_uri(uri)
+        d = f"{root}/data/{version:05}"
+        filesystem.create_dir(d, recursive=True)
         cols = {"TRIGGER": pdf["trig"], "orders/key[31:0]": pdf["o_orderkey"],
                 "orders/cust[15:0]": pdf["o_custkey"], "orders/price": pdf["price"]}
         t = pa.table({k: pa.array(v.to_numpy(), pa.int64()) for k, v in cols.items()})
-        pq.write_table(t, os.path.join(d, "traces.parquet.lz4"), compression="lz4", row_group_size=1000)
+        pq.write_table(t, f"{d}/traces.parquet.lz4", compression="lz4", row_group_size=1000,
+                       filesystem=filesystem)
         return pd.DataFrame({"version": [version], "rows": [len(pdf)]})
 
     fr.groupBy("bucket").applyInPandas(write, "version int, rows long").collect()
