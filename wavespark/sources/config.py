@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import schemas
 
 _OVERLAY_JSON = T.StructType([
     T.StructField("filter_name", T.StringType()),
