@@ -137,7 +137,15 @@ def test_blocks_replication_exactly_once(spark):
 
 
 def test_two_significant_matches_python(spark):
-    vals = [1234.5, 0.0012345, 0.00012345, 1.2345e-05, 98765432.1, 1.5e17, -0.5, 7.0, 0.0, 99.9, 1e-4, 5e-7]
+    vals = [1234.5, 0.0012345, 0.00012345, 1.2345e-05, 98765432.1, 1.5e17, -0.5, 7.0, 0.0, 99.9, 1e-4, 5e-7, 3e-250]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(stats.two_significant("v")).collect()]
     assert got == [repr(float(f"{v:.2g}")) for v in vals]
+
+
+def test_py_repr_matches_python(spark):
+    vals = [1.5, 0.5, 1234.5678, 12345678.9, 1e7, 0.00012, 1.2e-05, 1e-05, 1e16, 1.5e17, 123456789012345.6,
+            -3.25, 0.001, 100.0, 2e-300, 6.02e23, 0.1 + 0.2]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(U.py_repr(F.col("v"))).collect()]
+    assert got == [repr(v) for v in vals]

@@ -124,10 +124,14 @@ def _four_step(rows: DataFrame) -> DataFrame:
                               "project string, version int, trace string, size_n bigint, k bigint, mag double")
 
 
-def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str = "Hz",
+def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str | None = None,
              out_trace: str | None = None, max_single: int = MAX_SINGLE) -> DataFrame:
     """L5/L6 on every trace of ``sig`` (all one project's step).  Output rows
-    use ``i`` = bin - 1, x = frequency, domain FREQUENCY."""
+    use ``i`` = bin - 1, x = frequency, domain FREQUENCY.  Without a display
+    unit (the ad-hoc spectrum, L6) x is in the frequency unit matching the
+    project's time unit (ms -> KHz, us -> MHz, ...)."""
+    if display_unit is None:
+        display_unit = TIME_TO_FREQ[{u.lower(): u for u in TIME_UNITS}[dt_unit.strip().lower()]]
     _freq_unit(display_unit)
     lengths = blocks.trace_lengths(sig).withColumnRenamed("n", "size_n")
     lengths = bounded_broadcast(lengths)

@@ -74,7 +74,8 @@ def two_significant(value) -> Column:
     pos_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
     mant = F.when(nd == 2, F.concat(d1, F.lit("."), d2)).otherwise(d1)
     sci = F.concat(mant, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-                   F.lpad(F.abs(e).cast("string"), 2, "0"))
+                   F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string")))
+                   .otherwise(F.abs(e).cast("string")))
     body = F.when((e >= 0) & (e < 16), pos_big).when((e < 0) & (e >= -4), pos_small).otherwise(sci)
     out = F.when(v == 0, F.lit("0.0")).otherwise(F.concat(sign, body))
     return (F.when(F.isnan(v), F.lit("nan"))

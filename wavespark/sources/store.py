@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.signal import trigger_index
-from ..operators.util import bounded_broadcast
+from ..operators.util import BROADCAST_MAX_ROWS
 from ..session import scratch_path
 from . import capture
 
@@ -127,9 +127,11 @@ def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column) -
     staging = scratch_path(spark, "ingest-plan")
     new.join(capture.column_specs(heads), "file").write.mode("overwrite").parquet(staging)
     plan = spark.read.parquet(staging)
-    if plan.limit(1).count() == 0:
+    n_new = plan.limit(BROADCAST_MAX_ROWS + 1).count()  # one bounded count: emptiness and size
+    if n_new == 0:
         return spark.createDataFrame([], schemas.CAPTURES)
-    plan_b = bounded_broadcast(plan.select("file", "project", "version"))
+    plan_b = plan.select("file", "project", "version")
+    plan_b = F.broadcast(plan_b) if n_new <= BROADCAST_MAX_ROWS else plan_b
 
     data = capture.decode_captures(lines.join(plan_b.select("file"), "file", "left_semi"), heads)
     smp = data.join(plan_b, "file").select("project", "version", "trace", "i", "y_raw")
