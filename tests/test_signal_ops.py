@@ -149,3 +149,16 @@ def test_py_repr_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(U.py_repr(F.col("v"))).collect()]
     assert got == [repr(v) for v in vals]
+
+
+def test_long_traces_four_step_and_bluestein(spark):
+    rng = np.random.default_rng(11)
+    lengths = {"prime": 1009, "two_prime": 1018, "pow2": 1024, "mixed": 700}
+    data = {k: rng.normal(size=n) for k, n in lengths.items()}
+    s = _sig(spark, data)
+    out = spectrum.spectrum(s, 1.0, "ms", display_unit="Hz", max_single=64)
+    got = {t: np.array([r.y for r in out.where(F.col("trace") == t).orderBy("i").collect()]) for t in lengths}
+    for t, y in data.items():
+        x_ref, ref = spectrum.spectrum_values(y, spectrum.bin_width(1.0, "ms", len(y), "Hz"))
+        assert len(got[t]) == len(ref), t
+        assert np.abs(got[t] - ref).max() < 1e-12, t

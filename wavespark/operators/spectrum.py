@@ -11,8 +11,9 @@ Traces up to ``max_single`` samples are transformed in one grouped task
 N = N1*N2, pass 1 groups by n2 = i mod N2 and transforms the N1 samples
 n1 = i div N2, multiplied by the twiddle exp(-2 pi i n2 k1 / N); pass 2 groups
 by k1 and transforms over n2, giving bin k1 + N1*k2.  Every group holds about
-sqrt(N) values, so one trace is spread over ~sqrt(N) tasks.  A prime N has
-no split and stays in one task (documented limit).
+sqrt(N) values, so one trace is spread over ~sqrt(N) tasks.  A length with no
+balanced split (a prime, 2 x prime, ...) goes through Bluestein's chirp-z
+transform instead: three four-step transforms of a power of two M >= 2N-1.
 """
 
 from __future__ import annotations
@@ -84,44 +85,97 @@ def split_factor(n: int) -> int:
 
 
 # Column names: Spark resolves names case-insensitively, so sizes and
-# indexes get distinct names: size_n = N, size_a = N1, size_b = N2, index
-# ia = n1, ib = n2, bin ka = k1.
+# indexes get distinct names: size_m = transform length M, size_a = M1,
+# size_b = M2, index ia = n1, ib = n2, bin ka = k1.
+
+_P1 = ("project string, version int, trace string, size_m bigint, size_a bigint, "
+       "ka bigint, ib bigint, re double, im double")
+_P2 = "project string, version int, trace string, size_m bigint, k bigint, re double, im double"
+
 
 def _pass1(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ia")
-    n, na = int(pdf["size_n"].iloc[0]), int(pdf["size_a"].iloc[0])
+    m, ma = int(pdf["size_m"].iloc[0]), int(pdf["size_a"].iloc[0])
     ib = int(pdf["ib"].iloc[0])
-    a = np.fft.fft(pdf["y"].to_numpy(dtype=float), na)
-    ka = np.arange(na)
-    t = a * np.exp(-2j * np.pi * ib * ka / n)
+    v = np.zeros(ma, dtype=complex)  # absent rows are zeros (padding)
+    v[pdf["ia"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+    ka = np.arange(ma)
+    t = np.fft.fft(v) * np.exp(-2j * np.pi * (ib * ka) / m)  # ib * ka < m: exact
     return pd.DataFrame({"project": pdf["project"].iloc[0], "version": pdf["version"].iloc[0],
-                         "trace": pdf["trace"].iloc[0], "size_n": n, "size_a": na, "ka": ka, "ib": ib,
+                         "trace": pdf["trace"].iloc[0], "size_m": m, "size_a": ma, "ka": ka, "ib": ib,
                          "re": t.real, "im": t.imag})
 
 
 def _pass2(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ib")
-    n, na, ka = int(pdf["size_n"].iloc[0]), int(pdf["size_a"].iloc[0]), int(pdf["ka"].iloc[0])
-    nb = n // na
-    b = np.fft.fft(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), nb)
-    k = ka + na * np.arange(nb)
-    half = n // 2
-    keep = (k >= 1) & (k < half)
+    m, ma, ka = int(pdf["size_m"].iloc[0]), int(pdf["size_a"].iloc[0]), int(pdf["ka"].iloc[0])
+    mb = m // ma
+    v = np.zeros(mb, dtype=complex)
+    v[pdf["ib"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+    b = np.fft.fft(v)
     return pd.DataFrame({"project": pdf["project"].iloc[0], "version": pdf["version"].iloc[0],
-                         "trace": pdf["trace"].iloc[0], "size_n": n, "k": k[keep].astype(np.int64),
-                         "mag": np.abs(b[keep])})
+                         "trace": pdf["trace"].iloc[0], "size_m": m,
+                         "k": (ka + ma * np.arange(mb)).astype(np.int64), "re": b.real, "im": b.imag})
+
+
+def fft_distributed(rows: DataFrame) -> DataFrame:
+    """Complex DFT of length M = size_m per trace, four-step with M = M1*M2
+    (M1 = size_a): rows (KEY, n, re, im, size_m, size_a), absent n = 0 ->
+    (KEY, size_m, k, re, im) for k = 0..M-1.  Pass 1 groups by n2 = n mod M2
+    (M1 values each), pass 2 by k1 (M2 values each)."""
+    r = rows.withColumn("size_b", (F.col("size_m") / F.col("size_a")).cast("bigint"))
+    r = r.withColumn("ia", F.floor(F.col("n") / F.col("size_b")).cast("bigint")) \
+         .withColumn("ib", (F.col("n") % F.col("size_b")).cast("bigint"))
+    p1 = blocks.grouped_map(r.select(*KEY, "size_m", "size_a", "ia", "ib", "re", "im"), [*KEY, "ib"], "ia",
+                            _pass1, _P1)
+    return blocks.grouped_map(p1, [*KEY, "ka"], "ib", _pass2, _P2)
 
 
 def _four_step(rows: DataFrame) -> DataFrame:
-    """rows: (KEY, i, y, size_n, size_a) -> (KEY, size_n, k, mag), k in 1..N/2-1."""
-    r = rows.withColumn("size_b", (F.col("size_n") / F.col("size_a")).cast("bigint"))
-    r = r.withColumn("ia", F.floor(F.col("i") / F.col("size_b")).cast("bigint")) \
-         .withColumn("ib", (F.col("i") % F.col("size_b")).cast("bigint"))
-    p1 = blocks.grouped_map(r.select(*KEY, "size_n", "size_a", "ia", "ib", "y"), [*KEY, "ib"], "ia", _pass1,
-                            "project string, version int, trace string, size_n bigint, "
-                            "size_a bigint, ka bigint, ib bigint, re double, im double")
-    return blocks.grouped_map(p1, [*KEY, "ka"], "ib", _pass2,
-                              "project string, version int, trace string, size_n bigint, k bigint, mag double")
+    """rows: (KEY, i, y, size_n, size_a) with size_a | size_n ->
+    (KEY, size_n, k, mag) for k in 1..N/2-1."""
+    x = rows.select(*KEY, F.col("i").alias("n"), F.col("y").alias("re"), F.lit(0.0).alias("im"),
+                    F.col("size_n").alias("size_m"), "size_a")
+    out = fft_distributed(x).withColumnRenamed("size_m", "size_n")
+    return (out.where((F.col("k") >= 1) & (F.col("k") < F.floor(F.col("size_n") / 2)))
+            .select(*KEY, "size_n", "k", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("mag")))
+
+
+def _bluestein(rows: DataFrame) -> DataFrame:
+    """rows: (KEY, i, y, size_n) -> (KEY, size_n, k, mag), k in 1..N/2-1, for
+    any N: chirp-z with three power-of-two transforms of M >= 2N-1
+    (balanced M1 = 2^floor(log2(M)/2)).  |X_k| = |(a * b)_k| with
+    a_n = x_n e^{-i pi n^2/N}, b_m = e^{i pi m^2/N}; the convolution is
+    conj(FFT(conj(FFT(a) FFT(b)))) / M.  n^2 mod 2N is exact (decimal)."""
+    n = F.col("size_n")
+    bits = F.ceil(F.log2(n * 2 - 1)).cast("int")
+    r = (rows.withColumn("size_m", F.pow(F.lit(2.0), bits).cast("bigint"))
+         .withColumn("size_a", F.pow(F.lit(2.0), F.floor(bits / 2)).cast("bigint")))
+    dec = "decimal(38,0)"
+    sq = F.pmod(F.col("i").cast(dec) * F.col("i").cast(dec), (n * 2).cast(dec)).cast("double")
+    r = r.withColumn("_th", F.lit(math.pi) * sq / n.cast("double"))
+    a = r.select(*KEY, F.col("i").alias("n"), (F.col("y") * F.cos("_th")).alias("re"),
+                 (-F.col("y") * F.sin("_th")).alias("im"), "size_m", "size_a")
+    # b_m at m = i and at M - i (i >= 1): derived from the trace's own rows
+    b = (r.select(*KEY, "i", "_th", "size_m", "size_a",
+                  F.explode(F.array(F.col("i"), F.col("size_m") - F.col("i"))).alias("n"))
+         .where((F.col("n") == F.col("i")) | (F.col("i") >= 1))
+         .select(*KEY, "n", F.cos("_th").alias("re"), F.sin("_th").alias("im"), "size_m", "size_a"))
+    fa = fft_distributed(a).alias("fa")
+    fb = fft_distributed(b).alias("fb")
+    keys = [F.col(f"fa.{c}") == F.col(f"fb.{c}") for c in [*KEY, "k"]]
+    cond = keys[0]
+    for c in keys[1:]:
+        cond = cond & c
+    prod = fa.join(fb, cond).select(
+        *[F.col(f"fa.{c}") for c in KEY], F.col("fa.k").alias("n"),
+        (F.col("fa.re") * F.col("fb.re") - F.col("fa.im") * F.col("fb.im")).alias("re"),
+        (-(F.col("fa.re") * F.col("fb.im") + F.col("fa.im") * F.col("fb.re"))).alias("im"),  # conjugate
+        F.col("fa.size_m").alias("size_m"))
+    sizes = r.select(*KEY, "size_n", "size_a").distinct()
+    conv = fft_distributed(prod.join(F.broadcast(sizes), KEY))
+    out = conv.join(F.broadcast(sizes.drop("size_a")), KEY)
+    return (out.where((F.col("k") >= 1) & (F.col("k") < F.floor(F.col("size_n") / 2)))
+            .select(*KEY, "size_n", "k",
+                    (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.col("size_m")).alias("mag")))
 
 
 def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str | None = None,
@@ -147,8 +201,12 @@ def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str
     spark = sig.sparkSession
     facts = big_traces.withColumn("size_a", F.udf(lambda n: split_factor(int(n)), "bigint")(F.col("size_n")))
     # (row-at-a-time on purpose: one call per long trace, a tiny table)
-    big = rows.join(F.broadcast(facts.select(*KEY, "size_a")), KEY)
-    bins = _four_step(big)
+    # a split whose larger factor still exceeds max_single (primes, 2 x prime,
+    # ...) would leave ~N values in one task: those traces take Bluestein
+    balanced = F.greatest(F.col("size_a"), F.col("size_n") / F.col("size_a")) <= max_single
+    big = rows.join(F.broadcast(facts.select(*KEY, "size_a", balanced.alias("_bal"))), KEY)
+    bins = _four_step(big.where("_bal").drop("_bal")).unionByName(
+        _bluestein(big.where(~F.col("_bal")).drop("_bal", "size_a")))
     path = scratch_path(spark, "spectrum-bins")
     bins.write.mode("overwrite").parquet(path)
     bins = spark.read.parquet(path)

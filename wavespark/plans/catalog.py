@@ -1061,3 +1061,13 @@ ORACLE["lowpass_derivative"] = "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" +
 ORACLE["lowpass_overlay"] = "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" + \
     _lowpass_sql("s1", FL.normalized_cutoff("100 Hz", 0.5, "ms"), ycol="y_overlay").replace(
         " AS y_overlay\nFROM lpb b", " AS y_overlay, 'Lowpass' AS filter\nFROM lpb b")
+
+
+@register("spectrum_long_paths", S.with_(*S.BASE, _dft_sql(
+    "SELECT version, trace, i, y FROM s1", "mag.trace", _F1_EVT, "events")))
+def q_spectrum_long_paths(spark, sf):
+    """L5 with the long-trace paths forced (max_single=32) on every events
+    trace: lengths with a balanced split take the four-step FFT, the others
+    (primes, 2 x prime, ...) Bluestein's chirp-z transform."""
+    sig, _ = _raw_signal(spark, sf, "events")
+    return _sig_out(SP.spectrum(sig, 0.5, "ms", display_unit="Hz", max_single=32))
