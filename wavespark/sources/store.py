@@ -137,10 +137,17 @@ def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column) -
     smp = data.join(plan_b, "file").select("project", "version", "trace", "i", "y_raw")
     write_samples(smp, store.path("samples"))
 
-    written = store.samples(spark).join(plan_b.select("project", "version"), ["project", "version"],
-                                        "left_semi")
-    n = written.groupBy("project", "version", "trace").agg(F.count(F.lit(1)).alias("_n")) \
-        .groupBy("project", "version").agg(F.max("_n").cast("bigint").alias("n_samples"))
+    # sample count = data lines of the file (lines are numbered densely):
+    # from the cached lines, without re-reading the written samples
+    last = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
+    n = (last.join(plan_b, "file")
+         .join(heads.select("file", "first_data"), "file")
+         .select("project", "version",
+                 F.greatest(F.col("_last") - F.col("first_data") + 1, F.lit(0)).cast("bigint").alias("n_samples")))
+    # trigger: only the TRIGGER trace of the new versions is read back
+    # (partition pruning + pushed-down trace filter)
+    written = (store.samples(spark).where(F.col("trace") == "TRIGGER")
+               .join(plan_b.select("project", "version"), ["project", "version"], "left_semi"))
     t0 = trigger_index(written)
     rows = (plan.join(n, ["project", "version"], "left").join(t0, ["project", "version"], "left")
             .select("project", "version", F.col("file").alias("source_uri"),
