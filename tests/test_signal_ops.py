@@ -162,3 +162,18 @@ def test_long_traces_four_step_and_bluestein(spark):
         x_ref, ref = spectrum.spectrum_values(y, spectrum.bin_width(1.0, "ms", len(y), "Hz"))
         assert len(got[t]) == len(ref), t
         assert np.abs(got[t] - ref).max() < 1e-12, t
+
+
+def test_savgol_wide_prefix_sum_path(spark):
+    rng = np.random.default_rng(9)
+    ys = {"w": np.cumsum(rng.normal(size=4000)), "v": rng.normal(size=333) + 50.0}
+    s = _sig(spark, ys)
+    for win, p in (("3%", 2), ("10%", 3), ("500", 2), ("4%", 0)):
+        prm = spark.createDataFrame([("p", t, win, p) for t in ys],
+                                    "project string, trace string, window_length string, polyorder int")
+        out = filters.savgol(s, prm, max_halo=0, min_chunk=128)
+        for t, y in ys.items():
+            got = np.array(_ys(out, t))
+            ref = filters.savgol_reference(y, filters.savgol_window(win, len(y)), p)
+            assert len(got) == len(ref)
+            assert np.abs(got - ref).max() <= 1e-8 * max(1.0, np.abs(ref).max()), (win, p, t)

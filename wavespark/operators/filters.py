@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -99,14 +99,20 @@ def _savgol_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return res[own][["project", "version", "trace", "i", "x", "y", "domain"]]
 
 
-def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK) -> DataFrame:
+MAX_HALO = 1 << 15  # wider windows (polyorder <= 3) take the prefix-sum path
+
+
+def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK,
+           max_halo: int = MAX_HALO) -> DataFrame:
     """L3 on every trace of ``sig`` that has a row in ``params``
     (project, trace, window_length STRING, polyorder INT).
 
     An "N%" window depends on the trace length, so then per-trace lengths are
     aggregated first (partial + final count) and the per-trace parameter
     table (one row per trace) is broadcast behind a row-count bound; absolute
-    windows need no pass over the samples.  The halo is sized per trace.
+    windows need no pass over the samples.  The halo is sized per trace; a
+    halo above ``max_halo`` (polyorder <= 3) switches that trace to
+    :func:`savgol_wide`, so no group grows with the window.
     """
     prm = params.select("project", "trace", F.trim("window_length").alias("window_length"),
                         F.col("polyorder").cast("bigint").alias("_p"))
@@ -115,7 +121,8 @@ def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK)
     # none is a percentage, the window is known per trace without a pass
     # over the samples.
     settings = [r[0] for r in prm.select("window_length").distinct().collect()]
-    if not any(w is not None and w.endswith("%") for w in settings):
+    wide = [w for w in settings if w is not None and not w.endswith("%") and float(w) // 2 + 1 > max_halo]
+    if not any(w is not None and w.endswith("%") for w in settings) and not wide:
         per = (prm.withColumn("_w", F.col("window_length").cast("double").cast("bigint"))
                .withColumn("_w", F.when(F.col("_w") > F.col("_p"), F.col("_w")).otherwise(too_small))
                .withColumn("_h", F.floor(F.col("_w") / 2).cast("bigint") + 1)
@@ -131,7 +138,19 @@ def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK)
                .withColumn("_w", F.when(F.col("_w") > F.col("_p"), F.col("_w")).otherwise(too_small))
                .withColumn("_h", F.floor(F.col("_w") / 2).cast("bigint") + 1)
                .select(*KEY, "_w", "_p", "_h"))
-        rows = sig.join(bounded_broadcast(per), KEY)
+        per = bounded_broadcast(per)
+        # a window too wide for a halo (it scales with the trace for "N%")
+        # takes the prefix-sum form when the polyorder allows it
+        is_wide = (F.col("_h") > max_halo) & (F.col("_p") <= 3)
+        rows = sig.join(per.where(~is_wide), KEY)
+        rows = blocks.with_halo(rows, blocks.chunk_size_for(F.col("_h"), min_chunk), F.col("_h"))
+        rows = rows.select(*KEY, "i", "x", "y", "domain", "_w", "_p", "chunk", "chunk_size", "halo")
+        out = blocks.grouped_map(rows, [*KEY, "chunk"], "i", _savgol_group, OUT_SCHEMA)
+        if per.where(is_wide).limit(1).count() == 0:  # small table: one row per trace
+            return out
+        wide_out = savgol_wide(sig.join(per.where(is_wide).select(*KEY), KEY, "left_semi"),
+                               per.where(is_wide).select(*KEY, "_w", "_p"), chunk=min_chunk)
+        return out.unionByName(wide_out)
     rows = blocks.with_halo(rows, blocks.chunk_size_for(F.col("_h"), min_chunk), F.col("_h"))
     rows = rows.select(*KEY, "i", "x", "y", "domain", "_w", "_p", "chunk", "chunk_size", "halo")
     return blocks.grouped_map(rows, [*KEY, "chunk"], "i", _savgol_group, OUT_SCHEMA)
@@ -325,3 +344,91 @@ def overlay(sig: DataFrame, registry: DataFrame, projects: DataFrame) -> DataFra
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --------------------------------------------------------------------------
+# Savitzky-Golay for windows too wide for a halo: windowed moments from
+# prefix sums (polyorder <= 3, where the centre value has a closed form)
+
+def _psum(m: int, k: Column) -> Column:
+    """sum_{d=1..k} d^m as its (Faulhaber) polynomial, valid for any integer
+    k, so sum_{d=lo..hi} d^m = _psum(m, hi) - _psum(m, lo - 1)."""
+    k = k.cast("double")
+    if m == 0:
+        return k
+    if m == 1:
+        return k * (k + 1) / 2
+    if m == 2:
+        return k * (k + 1) * (2 * k + 1) / 6
+    if m == 3:
+        return (k * (k + 1) / 2) * (k * (k + 1) / 2)
+    if m == 4:
+        return k * (k + 1) * (2 * k + 1) * (3 * k * k + 3 * k - 1) / 30
+    raise ValueError(m)
+
+
+def _range_sum(m: int, lo: Column, hi: Column) -> Column:
+    """sum_{d=lo..hi} d^m, 0 for an empty range."""
+    return F.when(hi >= lo, _psum(m, hi) - _psum(m, lo - 1)).otherwise(F.lit(0.0))
+
+
+def savgol_wide(sig: DataFrame, per: DataFrame, chunk: int = blocks.MIN_CHUNK) -> DataFrame:
+    """Savitzky-Golay ("nearest" edges) for any window width, polyorder <= 3.
+
+    ``per``: (project, version, trace, _w, _p) one row per trace.  The value
+    at i is (s4*T0 - s2*T2) / (s0*s4 - s2^2) (polyorder 2, 3) or T0 / W
+    (polyorder 0, 1), where T0, T2 are the window's sums of y and x^2 y about
+    the fit centre.  Both come from prefix sums P_m(j) = sum_{t<=j} t^m y_t
+    (chunked cumulative sums + chunk offsets: no group larger than a chunk),
+    looked up at the window ends by two equi-joins shuffled on the sample
+    index; padded samples outside the trace add y_first / y_last times
+    closed-form power sums.  Relative error ~1e-16 * (n / W)^3.
+    """
+    ends = (blocks.trace_lengths(sig)
+            .join(sig.groupBy(*KEY).agg(F.min_by("y", "i").alias("_y0"), F.max_by("y", "i").alias("_yn")), KEY)
+            .join(per, KEY))
+    ends = bounded_broadcast(ends)
+    c = F.floor(F.col("i") / chunk)
+    base = sig.select(*KEY, "i", "y").withColumn("_c", c)
+    terms = [F.col("y"), F.col("i").cast("double") * F.col("y"),
+             F.col("i").cast("double") * F.col("i").cast("double") * F.col("y")]
+    win = Window.partitionBy(*KEY, "_c").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    local = base.select(*KEY, "i", "_c", *[F.sum(t).over(win).alias(f"_l{m}") for m, t in enumerate(terms)])
+    tot = base.groupBy(*KEY, "_c").agg(*[F.sum(t).alias(f"_t{m}") for m, t in enumerate(terms)])
+    before = Window.partitionBy(*KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*KEY, "_c", *[F.coalesce(F.sum(f"_t{m}").over(before), F.lit(0.0)).alias(f"_o{m}")
+                                    for m in range(3)])
+    prefix = local.join(bounded_broadcast(offs), [*KEY, "_c"]).select(
+        *KEY, F.col("i").alias("_j"), *[(F.col(f"_l{m}") + F.col(f"_o{m}")).alias(f"_P{m}") for m in range(3)])
+
+    w, p = F.col("_w"), F.col("_p")
+    odd = (w % 2) == 1
+    lo_off = F.when(odd, -F.floor((w - 1) / 2)).otherwise(-(F.floor(w / 2) - 1)).cast("bigint")  # a
+    hi_off = F.floor(w / 2).cast("bigint")  # b
+    delta = F.when(odd, F.lit(0.0)).otherwise(F.lit(0.5))
+    rows = (sig.join(ends, KEY)
+            .withColumn("_a", lo_off).withColumn("_b", hi_off).withColumn("_dl", delta)
+            .withColumn("_R", F.least(F.col("n") - 1, F.col("i") + F.col("_b")))
+            .withColumn("_L1", F.greatest(F.lit(-1).cast("bigint"), F.col("i") + F.col("_a") - 1)))
+    pr = prefix.select(*KEY, F.col("_j").alias("_R"), *[F.col(f"_P{m}").alias(f"_R{m}") for m in range(3)])
+    pl = prefix.select(*KEY, F.col("_j").alias("_L1"), *[F.col(f"_P{m}").alias(f"_Q{m}") for m in range(3)])
+    rows = rows.join(pr, [*KEY, "_R"], "left").join(pl, [*KEY, "_L1"], "left")
+    i = F.col("i").cast("double")
+    D = [F.coalesce(F.col(f"_R{m}"), F.lit(0.0)) - F.coalesce(F.col(f"_Q{m}"), F.lit(0.0)) for m in range(3)]
+    # data part of U_m = sum (j - i)^m y_j over the window's in-range j
+    U = [D[0], D[1] - i * D[0], D[2] - 2 * i * D[1] + i * i * D[0]]
+    a, b, n = F.col("_a"), F.col("_b"), F.col("n")
+    # padding: j = i+d < 0 for d in [a, -1-i]; j > n-1 for d in [n-i, b]
+    for m in range(3):
+        U[m] = (U[m] + F.col("_y0") * _range_sum(m, a, -F.col("i") - 1)
+                + F.col("_yn") * _range_sum(m, n - F.col("i"), b))
+    dl = F.col("_dl")
+    t0 = U[0]
+    t2 = U[2] - 2 * dl * U[1] + dl * dl * U[0]
+    # moments of the fit positions x = d - delta over d in [a, b]
+    S = [_range_sum(m, a, b) for m in range(5)]
+    s0 = S[0]
+    s2 = S[2] - 2 * dl * S[1] + dl * dl * S[0]
+    s4 = (S[4] - 4 * dl * S[3] + 6 * dl * dl * S[2] - 4 * dl * dl * dl * S[1] + dl * dl * dl * dl * S[0])
+    val = F.when(p <= 1, t0 / s0).otherwise((s4 * t0 - s2 * t2) / (s0 * s4 - s2 * s2))
+    return rows.select(*KEY, "i", "x", val.alias("y"), "domain")

@@ -1071,3 +1071,20 @@ def q_spectrum_long_paths(spark, sf):
     (primes, 2 x prime, ...) Bluestein's chirp-z transform."""
     sig, _ = _raw_signal(spark, sf, "events")
     return _sig_out(SP.spectrum(sig, 0.5, "ms", display_unit="Hz", max_single=32))
+
+
+@register("savgol_wide")
+def q_savgol_wide(spark, sf):
+    """L3 "3%" windows through the prefix-sum form (forced with max_halo=0):
+    the path taken when a window is too wide for a chunk halo.  No oracle
+    entry: the prefix sums agree with the exact window sums (``savgol_percent``,
+    same input) only to ~1e-11 relative, which flips about one value in 300
+    across the comparison grid; tests/test_signal_ops.py checks it against
+    the whole-signal numpy filter with an explicit tolerance."""
+    sig, st = _raw_signal(spark, sf, "events")
+    prm = (st.registry(spark).where((F.col("project") == "events") & F.col("derivative").isNull())
+           .select("project", "trace", F.lit(FL.SAVGOL_DEFAULT_WINDOW).alias("window_length"),
+                   F.lit(FL.SAVGOL_DEFAULT_POLYORDER).alias("polyorder")))
+    out = FL.savgol(sig, prm, max_halo=0, min_chunk=64)
+    return out.select("project", "version", "trace", "i", rnd("x").alias("x"),
+                      rnd("y").alias("y_overlay"), F.lit(FL.SAVGOL_NAME).alias("filter"))
