@@ -32,3 +32,30 @@ def test_decode_rejects(spark, cell, word):
     df = spark.createDataFrame([(cell, word)], "cell string, word string")
     with pytest.raises(Exception):
         df.select(R.decode(F.col("cell"), R.base_of(F.col("word")))).collect()
+
+
+SIG = "project string, version int, trace string, i long, x double, y double, domain string"
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6, allow_nan=False)), min_size=0, max_size=12),
+                min_size=1, max_size=3),
+       st.lists(st.integers(0, 2), min_size=1, max_size=4),
+       st.sampled_from(["add", "multiply"]))
+def test_pointwise_matches_python_fold(spark, traces, picks, op):
+    from functools import reduce
+
+    from wavespark.operators import pointwise
+    names = [f"t{k}" for k in range(len(traces))]
+    sources = [names[p % len(names)] for p in picks]
+    rows = [("p", 1, n, i, float(i), v, "TIME") for n, ys in zip(names, traces) for i, v in enumerate(ys)]
+    df = spark.createDataFrame(rows, SIG)
+    fn = pointwise.add if op == "add" else pointwise.multiply
+    got = {r.i: r.y for r in fn(df, sources).collect()}
+    n = min(len(traces[names.index(s)]) for s in sources)
+    assert set(got) == set(range(n))
+    for i in range(n):
+        vals = [traces[names.index(s)][i] for s in sources]
+        want = None if any(v is None for v in vals) else reduce(
+            (lambda a, b: a + b) if op == "add" else (lambda a, b: a * b), vals)
+        assert got[i] == want
