@@ -177,3 +177,17 @@ def test_savgol_wide_prefix_sum_path(spark):
             ref = filters.savgol_reference(y, filters.savgol_window(win, len(y)), p)
             assert len(got) == len(ref)
             assert np.abs(got - ref).max() <= 1e-8 * max(1.0, np.abs(ref).max()), (win, p, t)
+
+
+def test_lowpass_overlay_refuses_frequency_domain(spark):
+    from wavespark import schemas
+    rows = [("p", 1, "f", i, float(i), float(i % 5), "FREQUENCY") for i in range(64)]
+    s = spark.createDataFrame(rows, SIG)
+    reg = spark.createDataFrame([("p", "f", "f", "Active", 1.0, 0.0, ("Lowpass", "100 Hz", None, None), [], None, 0)],
+                                schemas.REGISTRY)
+    prj = spark.createDataFrame([("p", 0.5, "ms", "")], schemas.PROJECTS)
+    with pytest.raises(Exception):
+        filters.overlay(s, reg, prj).collect()
+    reg2 = spark.createDataFrame([("p", "f", "f", "Active", 1.0, 0.0, ("Savitzky–Golay", None, "5", 2), [], None, 0)],
+                                 schemas.REGISTRY)
+    assert filters.overlay(s, reg2, prj).count() == 64

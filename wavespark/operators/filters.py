@@ -337,7 +337,12 @@ def overlay(sig: DataFrame, registry: DataFrame, projects: DataFrame) -> DataFra
           .join(projects.select("project", "implied_dt", "dt_unit"), "project"))
     for prj, fc, dt, unit in lp.select("project", "fc", "implied_dt", "dt_unit").distinct().collect():
         chosen = lp.where((F.col("project") == prj) & (F.col("fc") == fc)).select("project", "trace")
-        part = lowpass(sig.join(chosen, ["project", "trace"], "left_semi"), fc, dt, unit)
+        src = sig.join(chosen, ["project", "trace"], "left_semi")
+        # the step of a spectrum is not a time step: a low-pass overlay on a
+        # FREQUENCY trace is refused (Savitzky-Golay stays allowed)
+        src = src.withColumn("y", F.when(F.col("domain") == "FREQUENCY", F.raise_error(
+            F.lit("low-pass overlay on a frequency-domain trace"))).otherwise(F.col("y")))
+        part = lowpass(src, fc, dt, unit)
         parts.append(part.select(*KEY, "i", "x", F.col("y").alias("y_overlay"),
                                  F.lit(LOWPASS_NAME).alias("filter")))
     out = parts[0]
