@@ -191,3 +191,16 @@ def test_lowpass_overlay_refuses_frequency_domain(spark):
     reg2 = spark.createDataFrame([("p", "f", "f", "Active", 1.0, 0.0, ("Savitzky–Golay", None, "5", 2), [], None, 0)],
                                  schemas.REGISTRY)
     assert filters.overlay(s, reg2, prj).count() == 64
+
+
+def test_x_unit(spark):
+    from wavespark import schemas
+    from wavespark.operators.signal import with_x_unit
+    df = spark.createDataFrame([("p", 1, "a", 0, 0.0, 1.0, "TIME"), ("p", 1, "s", 0, 5.0, 0.1, "FREQUENCY")], SIG)
+    reg = spark.createDataFrame(
+        [("p", "a", "a", "Active", 1.0, 0.0, None, [], None, 0),
+         ("p", "s", "s", "Active", 1.0, 0.0, None, [],
+          ("fourier_transform", {"display_frequency_unit": "KHz"}, ["a"]), 1)], schemas.REGISTRY)
+    prj = spark.createDataFrame([("p", 0.5, "us", "")], schemas.PROJECTS)
+    got = {r.trace: r.x_unit for r in with_x_unit(df, reg, prj).collect()}
+    assert got == {"a": "us", "s": "KHz"}

@@ -90,3 +90,15 @@ def signal_frame(samples: DataFrame, registry: DataFrame, captures: DataFrame,
     xy = time_axis(y, captures, projects)
     return xy.select("project", "version", "trace", "i", "x", "y",
                      F.lit("TIME").alias("domain"))
+
+
+def with_x_unit(df: DataFrame, registry: DataFrame, projects: DataFrame) -> DataFrame:
+    """Q28: add ``x_unit``: the project's time unit for TIME traces, the
+    display frequency unit of the Fourier derivative for FREQUENCY traces
+    (in single plots and views alike).  Needs (project, trace, domain)."""
+    reg = registry.select("project", "trace",
+                          F.col("derivative.params")["display_frequency_unit"].alias("_fu"))
+    prj = projects.select("project", F.col("dt_unit").alias("_tu"))  # planner size check
+    out = df.join(reg, ["project", "trace"], "left").join(prj, "project", "left")
+    unit = F.when(F.col("domain") == "FREQUENCY", F.col("_fu")).otherwise(F.coalesce("_tu", F.lit("ms")))
+    return out.withColumn("x_unit", unit).drop("_fu", "_tu")
