@@ -709,14 +709,14 @@ _TAX6 = "tax6 AS (SELECT * FROM s2 WHERE trace = 'l_tax' AND version = 6)"
 @register("view_rows", S.with_(*S.BASE, _TAX6, _savgol_sql("tax6", "5").replace(
     "\nSELECT a.project, a.version, a.trace, a.i,", ",\nsg AS (SELECT a.project, a.version, a.trace, a.i,")
     .replace("GROUP BY a.project, a.version, a.trace, a.i, a.x", "GROUP BY a.project, a.version, a.trace, a.i, a.x)")
-) + _VIEW_RAW_SQL + f"""
+) + "SELECT v.*, 'us' AS x_unit FROM (" + _VIEW_RAW_SQL + f"""
 UNION ALL
-SELECT 'lineitem', 'prices', 1, 0, 0, trace, version, 'left', 'overlay', i, x, y_overlay FROM sg""")
+SELECT 'lineitem', 'prices', 1, 0, 0, trace, version, 'left', 'overlay', i, x, y_overlay FROM sg) v""")
 def q_view_rows(spark, sf):
     views, sig, reg, cap, prj = _view_inputs(spark, sf)
     rows = VW.materialize(views.where(F.col("view_name") == "prices"), sig, reg, cap, prj)
     return rows.select("project", "view_name", F.col("row"), F.col("column"), "spec_pos", "trace", "version",
-                       "on_axis", "series", "i", rnd("x").alias("x"), rnd("y").alias("y"))
+                       "on_axis", "series", "i", rnd("x").alias("x"), rnd("y").alias("y"), "x_unit")
 
 
 def _fmt2g(e: str) -> str:
