@@ -204,3 +204,23 @@ def test_x_unit(spark):
     prj = spark.createDataFrame([("p", 0.5, "us", "")], schemas.PROJECTS)
     got = {r.trace: r.x_unit for r in with_x_unit(df, reg, prj).collect()}
     assert got == {"a": "us", "s": "KHz"}
+
+
+def test_version_helpers(spark):
+    from wavespark.operators import compare
+    cap = spark.createDataFrame([("p", 1, 0), ("p", 2, 1), ("p", 3, 0), ("q", 1, 0)],
+                                "project string, version int, t0_index long")
+    assert compare.latest_and_previous(None, cap, "p") == (3, 2)
+    with pytest.raises(ValueError):
+        compare.latest_and_previous(None, cap, "q")
+    vl = {(r.project, r.version): r.rank for r in compare.version_list(cap).collect()}
+    assert vl[("p", 3)] == 1 and vl[("p", 1)] == 3 and vl[("q", 1)] == 1
+    req = spark.createDataFrame([("p", -1), ("p", -3), ("p", -4), ("p", 0), ("p", 4), ("q", 1)],
+                                "project string, requested int")
+    got = {r.requested if r.project == "p" else 100: r.version for r in compare.resolve_versions(req, cap).collect()}
+    assert got == {-1: 3, -3: 1, -4: None, 0: None, 4: None, 100: 1}
+    s = spark.createDataFrame([("p", 1, "a", i, 0.0, float(i), "TIME") for i in range(4)]
+                              + [("p", 2, "a", i, 0.0, float(10 * i), "TIME") for i in range(3)], SIG)
+    out = {r.k: (r.y_a, r.y_b) for r in compare.compare_versions(s, cap, 1, 2).collect()}
+    # version 2 has its trigger at 1: k = i - 1, a full outer join keeps both ends
+    assert out[-1] == (None, 0.0) and out[0] == (0.0, 10.0) and out[3] == (3.0, None)
