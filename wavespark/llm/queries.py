@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, shards, warc
+from . import bpe, order_minhash, shards, warc
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, q.d AS payload_digest,
        CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM q LEFT JOIN f ON q.d = f.d AND q.n >= 100"""
+
+
+@query
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return order_minhash.compare_with_next(docs).drop("text")
