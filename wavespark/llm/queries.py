@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, order_minhash, shards, warc
+from . import bpe, decontaminate, order_minhash, shards, warc
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,10 @@ FROM q LEFT JOIN f ON q.d = f.d AND q.n >= 100"""
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return order_minhash.compare_with_next(docs).drop("text")
+
+
+@query
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_overlaps(docs, read(spark, sf_dir, "benchmark")).select(
+        "doc_id", (F.size("hits") > 0).alias("contaminated"), "hits")
