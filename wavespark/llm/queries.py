@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, order_minhash, shards, warc
+from . import bpe, decontaminate, language_id, order_minhash, shards, warc
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,15 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_overlaps(docs, read(spark, sf_dir, "benchmark")).select(
         "doc_id", (F.size("hits") > 0).alias("contaminated"), "hits")
+
+
+def crc_of_id(key: str = "doc_id"):
+    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "utf-8"))
+
+
+@query
+def op6_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_of_id() % 3 == 1
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held))
+    return language_id.identify(docs.select("doc_id", held.alias("held_out"), "text"), model, spans=False).drop("text")
