@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, order_minhash, shards, warc
+from . import bpe, decontaminate, hidden_markov, language_id, order_minhash, shards, warc
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,11 @@ def op6_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~held))
     return language_id.identify(docs.select("doc_id", held.alias("held_out"), "text"), model, spans=False).drop("text")
+
+
+@query
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_of_id() % 10 == 0
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    corpus, model = hidden_markov.fit(docs.where(~held))
+    return hidden_markov.score(docs.withColumn("held_out", held), corpus, model)
