@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hidden_markov, language_id, order_minhash, shards, warc
+from . import bpe, decontaminate, hidden_markov, language_id, order_minhash, quality, shards, warc
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     corpus, model = hidden_markov.fit(docs.where(~held))
     return hidden_markov.score(docs.withColumn("held_out", held), corpus, model)
+
+
+@query
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", "text_score", "meta_score", "score", "keep")
