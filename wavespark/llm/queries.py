@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hidden_markov, language_id, order_minhash, quality, shards, warc
+from . import bpe, decontaminate, hidden_markov, language_id, ngram_join, order_minhash, quality, shards, warc
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,26 @@ def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
     return quality.classify(docs, model).select("doc_id", "text_score", "meta_score", "score", "keep")
+
+
+@query
+def op10_ngram_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link_documents(docs, n=3, num=90, den=100)
+
+
+ORACLE["op10_ngram_orders"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 3 THEN [hash(array_to_string(a, ' '))]
+    ELSE list_distinct(list_transform(range(1, len(a) - 1), lambda i: hash(a[i], a[i + 1], a[i + 2]))) END AS t FROM w),
+e AS (SELECT doc_id, len(t) AS n, unnest(t) AS g FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS k
+      FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * k >= 90 * (n + m - k)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT s.doc_id, CAST(len(t) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, t"""
