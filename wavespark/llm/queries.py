@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hidden_markov, language_id, ngram_join, order_minhash, quality, shards, warc
+from . import bpe, decontaminate, hidden_markov, language_id, ngram_join, order_minhash, paragraphs, quality, shards, warc
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
 SELECT s.doc_id, CAST(len(t) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
 FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, t"""
+
+
+@query
+def op5_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraphs.dedup(docs).select("doc_id", "n_words", "n_removed", "removed", "text")
