@@ -38,7 +38,7 @@ def quantity(value, unit) -> Column:
 def _number(text: Column, what: Column) -> Column:
     v = text.try_cast("double")
     return F.when(v.isNotNull(), v).otherwise(
-        F.raise_error(F.concat(F.lit("Unable to parse ["), what, F.lit("]"))))
+        F.raise_error(F.concat(F.lit("not a number with a unit: ["), what, F.lit("]"))))
 
 
 def _parse(c, units: list[str], suffix_order: list[str]) -> Column:
@@ -48,7 +48,7 @@ def _parse(c, units: list[str], suffix_order: list[str]) -> Column:
     suffix = F.regexp_extract(clean, pat, 2)
     number = F.regexp_replace(clean, suffix, "")  # removes every occurrence, as the reference
     unit = _canon(units)[suffix]
-    return F.when(suffix == F.lit(""), F.raise_error(F.concat(F.lit("Unable to parse ["),
+    return F.when(suffix == F.lit(""), F.raise_error(F.concat(F.lit("not a number with a unit: ["),
                                                               F.coalesce(src, F.lit("null")),
                                                               F.lit("]")))) \
         .otherwise(quantity(_number(F.trim(number), src), unit))
@@ -69,12 +69,12 @@ def parse_duration(c) -> Column:
 def frequency_unit(c) -> Column:
     """Unit name (trimmed, case-insensitive) -> canonical name; raises."""
     u = _canon(FREQUENCY_UNITS)[F.lower(F.trim(_col(c)))]
-    return F.coalesce(u, F.raise_error(F.concat(F.lit("Unknown frequency unit: "), _col(c))))
+    return F.coalesce(u, F.raise_error(F.concat(F.lit("no frequency unit: "), _col(c))))
 
 
 def time_unit(c) -> Column:
     u = _canon(TIME_UNITS)[F.lower(F.trim(_col(c)))]
-    return F.coalesce(u, F.raise_error(F.lit("Invalid time unit")))
+    return F.coalesce(u, F.raise_error(F.concat(F.lit("no time unit: "), _col(c))))
 
 
 def frequency_as(q, unit: str | Column | None = None) -> Column:
@@ -229,7 +229,7 @@ def normalized_cutoff(cutoff_hz, implied_dt, dt_unit) -> Column:
     fs = frequency_as(rate_from_dt(implied_dt, dt_unit), "Hz")
     w = _col(cutoff_hz) / (fs / F.lit(2.0))
     return F.when((w > 0) & (w < 1), w).otherwise(
-        F.raise_error(F.lit("Digital filter critical frequencies must be 0 < Wn < 1")))
+        F.raise_error(F.lit("the cutoff lies outside (0, fs / 2)")))
 
 
 # Driver-side (scalar) counterparts for plan parameters -------------------------
@@ -239,7 +239,7 @@ def parse_frequency_value(text: str) -> tuple[float, str]:
     for suf in ["thz", "ghz", "mhz", "khz", "hz"]:
         if s.endswith(suf):
             return float(s.replace(suf, "")), {u.lower(): u for u in FREQUENCY_UNITS}[suf]
-    raise RuntimeError(f"Unable to parse [{text}]")
+    raise RuntimeError(f"{text!r} is not a number with a frequency unit")
 
 
 def frequency_hz(text: str) -> float:

@@ -63,7 +63,7 @@ def savgol_coeffs(window: int, polyorder: int) -> np.ndarray:
     """Weights of the least-squares polynomial's value at the window centre,
     aligned with :func:`savgol_offsets`."""
     if window <= polyorder:
-        raise ValueError("polyorder must be less than window_length.")
+        raise ValueError(f"a window of {window} samples cannot carry a fit of order {polyorder}")
     pos = savgol_offsets(window).astype(float) - (0.0 if window % 2 else 0.5)
     scale = max(1.0, np.abs(pos).max())
     A = np.vander(pos / scale, polyorder + 1, increasing=True)
@@ -116,7 +116,8 @@ def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK,
     """
     prm = params.select("project", "trace", F.trim("window_length").alias("window_length"),
                         F.col("polyorder").cast("bigint").alias("_p"))
-    too_small = F.raise_error(F.lit("polyorder must be less than window_length."))
+    too_small = F.raise_error(F.format_string(
+        "trace %s: a window of %s samples cannot carry a fit of order %s", "trace", "_w", "_p"))
     # Window settings are configuration (a handful of distinct strings): when
     # none is a percentage, the window is known per trace without a pass
     # over the samples.
@@ -172,7 +173,7 @@ def normalized_cutoff(cutoff: str, implied_dt: float, dt_unit: str) -> float:
     fs = sampling_rate_hz(implied_dt, dt_unit)
     w = frequency_hz(cutoff) / (fs / 2)
     if not 0 < w < 1:
-        raise ValueError("Digital filter critical frequencies must be 0 < Wn < 1")
+        raise ValueError(f"cutoff {cutoff} lies outside (0, fs / 2) at fs = {fs} Hz")
     return w
 
 

@@ -77,7 +77,7 @@ def multiply(df: DataFrame, sources: list[str], out_trace: str = "multiply") ->
 def subtract(df: DataFrame, sources: list[str], out_trace: str = "subtract") -> DataFrame:
     """y0 - y1; exactly two sources."""
     if len(sources) != 2:
-        raise ValueError("Subtract only supports 2 traces")
+        raise ValueError(f"a difference takes two sources, got {len(sources)}")
     agg = _tagged(df, sources).groupBy(*GROUP).agg(
         _x0(), (_y(0) - _y(1)).alias("y"), F.count(F.lit(1)).alias("_n"))
     return _finish(agg, 2, out_trace)
@@ -88,11 +88,11 @@ def divide(df: DataFrame, sources: list[str], out_trace: str = "divide",
     """y0 / y1; exactly two sources.  A zero divisor raises (default) or
     gives null with ``on_zero='null'``."""
     if len(sources) != 2:
-        raise ValueError("Divide only supports 2 traces")
+        raise ValueError(f"a quotient takes two sources, got {len(sources)}")
     if on_zero not in ("error", "null"):
         raise ValueError(f"on_zero must be 'error' or 'null', not {on_zero!r}")
     num, den = _y(0), _y(1)
-    zero = fail("Divide: division by zero") if on_zero == "error" else F.lit(None).cast("double")
+    zero = fail(f"trace {sources[1]} is zero where it should divide {sources[0]}") if on_zero == "error" else F.lit(None).cast("double")
     q = F.when(den == 0, zero).otherwise(num / den)
     agg = _tagged(df, sources).groupBy(*GROUP).agg(
         _x0(), q.alias("y"), F.count(F.lit(1)).alias("_n"))

@@ -111,7 +111,7 @@ def rename_label(registry: DataFrame, project: str, trace: str, label: str) -> D
     other = registry.where((F.col("project") == project) & (F.col("trace") != trace)
                            & ((F.col("label") == label) | (F.col("trace") == label)))
     if _one(other):
-        raise RuntimeError("Trace with such a label already exists")
+        raise RuntimeError(f"label {label!r} is taken in project {project!r}")
     return registry.withColumn("label", F.when(_is(project, trace), F.lit(label))
                                .otherwise(F.col("label")))
 
@@ -180,9 +180,9 @@ def _derivative(function: str, sources: list[str], params: dict | None):
     from .derive import function_builder
     function_builder(function)  # validates the name
     if function in ("subtract", "divide") and len(sources) != 2:
-        raise ValueError(f"{function} only supports 2 traces")
+        raise ValueError(f"{function} takes two sources, got {len(sources)}")
     if function in ("lowpass_filter", "fourier_transform") and len(sources) != 1:
-        raise ValueError(f"{function} only supports one input trace")
+        raise ValueError(f"{function} takes one source, got {len(sources)}")
     p = F.create_map(*[x for k, v in (params or {}).items() for x in (F.lit(k), F.lit(str(v)))]) \
         if params else F.create_map().cast("map<string,string>")
     return F.struct(F.lit(function).alias("function"), p.alias("params"),
@@ -195,7 +195,7 @@ def add_derivative(registry: DataFrame, project: str, name: str, function: str,
     are stored by name (labels are resolved now)."""
     if _one(registry.where((F.col("project") == project)
                            & ((F.col("trace") == name) | (F.col("label") == name)))):
-        raise RuntimeError(f"Trace [{name}] already exists")
+        raise RuntimeError(f"project {project!r} has a trace {name!r} already")
     srcs = _canonical_sources(registry, project, sources)
     nxt = registry.where(F.col("project") == project).agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
     row = registry.sparkSession.range(1).select(

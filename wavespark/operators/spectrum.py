@@ -49,18 +49,16 @@ def _freq_unit(u: str) -> str:
     m = {k.lower(): k for k in FREQUENCY_PERIOD_S}
     key = u.strip().lower()
     if key not in m:
-        raise ValueError(f"Unknown frequency unit: {u}")
+        raise ValueError(f"{u!r} is no frequency unit; known: {sorted(FREQUENCY_PERIOD_S)}")
     return m[key]
 
 
 def spectrum_values(y: np.ndarray, f1: float) -> tuple[np.ndarray, np.ndarray]:
     """Whole-signal numpy version: (x, y) of the normalised amplitude spectrum."""
-    half = int(len(y) / 2)
-    mags = np.abs(np.fft.fft(y)[0:half])[1:]
+    bins = np.arange(1, len(y) // 2)
+    size = np.abs(np.fft.rfft(y))[bins]
     with np.errstate(invalid="ignore", divide="ignore"):
-        norm = mags / mags.sum()
-    x = np.array([f1 * k for k in range(half)][1:], dtype=float)
-    return x, norm
+        return bins * f1, size / size.sum()
 
 
 def _single(implied_dt, dt_unit, display_unit, out_trace):

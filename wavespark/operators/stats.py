@@ -40,7 +40,7 @@ def trace_stats(sig: DataFrame, value_col: str = "y") -> DataFrame:
 def check_stat_names(names: list[str]) -> None:
     bad = [n for n in names if n not in STAT_FUNCTIONS]
     if bad:
-        raise RuntimeError(f"Unsupported function name: {bad[0]}")
+        raise RuntimeError(f"no statistic is called {bad[0]!r}; known: {STAT_FUNCTIONS}")
 
 
 def selected_stats(stats: DataFrame, registry: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def selected_stats(stats: DataFrame, registry: DataFrame) -> DataFrame:
     known = F.array(*[F.lit(s) for s in STAT_FUNCTIONS])
     listed = listed.withColumn(
         "stat", F.when(F.array_contains(known, F.col("stat")), F.col("stat"))
-        .otherwise(F.raise_error(F.concat(F.lit("Unsupported function name: "), F.col("stat")))))
+        .otherwise(F.raise_error(F.concat(F.lit("no statistic is called "), F.col("stat")))))
     return (long.join(listed, ["project", "trace", "stat"], "inner")
             .select(*KEY, F.col("stat_pos").cast("int").alias("stat_pos"), "stat", "value"))
 

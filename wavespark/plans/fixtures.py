@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.indexing import dense_index
 from ..operators.signal import capture_summary
-from ..session import scratch_path
+from ..session import qualified, scratch_path
 from ..sources.store import write_samples
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -231,7 +231,7 @@ def write_legacy_snapshots(spark: SparkSession, sf_dir: str, project_dir: str) -
     from pyarrow import fs as pafs
 
     fr = capture_frame(spark, sf_dir)
-    uri = project_dir if "://" in project_dir else "file://" + project_dir.replace("file:", "", 1)
+    uri = qualified(spark, project_dir)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,11 +54,34 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) as the cluster resolves ``path``, which may name no
+    scheme: the driver's own file system is never asked."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path of this library's own making."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a full URI, as tasks need it outside Spark's readers."""
+    fs, p = _hadoop(spark, path)
+    uri = fs.makeQualified(p).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    if "://" in root:
-        return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    p = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
-    os.makedirs(p, exist_ok=True)
-    return p
+    """A fresh, unique folder under the shared checkpoint folder."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+    return path

@@ -88,7 +88,7 @@ def _float_text(c: F.Column, key: str, default: float) -> F.Column:
     ok = c.rlike(r"^-?(\d+\.\d*|\.\d+|\d+(\.\d*)?[eE][-+]?\d+|nan|inf)$")
     return (F.when(c.isNull(), F.lit(default))
             .when(ok, c.cast("double"))
-            .otherwise(F.raise_error(F.concat(F.lit(f"Invalid type for config value [{key}]: "), c))))
+            .otherwise(F.raise_error(F.concat(F.lit(f"config entry {key} has a value of another kind: "), c))))
 
 
 def read_registry(spark: SparkSession, root: str) -> DataFrame:
@@ -193,7 +193,7 @@ def read_views(spark: SparkSession, root: str) -> DataFrame:
 def views_from_raw(raw: DataFrame) -> DataFrame:
     sv = F.col("spec_version")
     checked = F.when(sv == 1, F.col("view_name")).otherwise(
-        F.raise_error(F.concat(F.lit("Unable to parse ViewSpec version "), sv.cast("string"))))
+        F.raise_error(F.concat(F.lit("no reader for views of spec version "), sv.cast("string"))))
 
     def spec(t):
         return F.struct(t["name"].alias("name"), t["trace_version"].cast("int").alias("trace_version"),

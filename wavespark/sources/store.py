@@ -17,17 +17,18 @@ committed captures) and overwrites the half-written sample partitions
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.indexing import dense_index
 from ..operators.signal import trigger_index
-from ..operators.util import BROADCAST_MAX_ROWS
-from ..session import scratch_path
+from ..operators.util import BROADCAST_MAX_ROWS, bounded_broadcast
+from ..session import exists, remove, scratch_path
 from . import capture
 
 
@@ -39,17 +40,19 @@ class Store:
         return f"{self.root}/{table}"
 
     def _read(self, spark: SparkSession, table: str, schema) -> DataFrame:
+        """A stored table with its declared types: a project called 007 stays a
+        string although it is a folder name (partition value) on disk."""
         p = self.path(table)
-        if "://" not in p and not os.path.exists(p):
+        if not exists(spark, p):
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(p) if table != "samples" else spark.read.parquet(p)
+        return spark.read.schema(schema).parquet(p)
 
-    def samples(self, spark: SparkSession) -> DataFrame:
-        p = self.path("samples")
-        if "://" not in p and not os.path.exists(p):
-            return spark.createDataFrame([], schemas.SAMPLES)
-        return spark.read.parquet(p).select("project", F.col("version").cast("int"),
-                                            "trace", "i", "y_raw")
+    def samples(self, spark: SparkSession, committed: bool = True) -> DataFrame:
+        """Samples of committed versions (those that have a captures row)."""
+        rows = self._read(spark, "samples", schemas.SAMPLES)
+        if not committed:
+            return rows
+        return rows.join(self.captures(spark).select("project", "version"), ["project", "version"], "left_semi")
 
     def captures(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "captures", schemas.CAPTURES)
@@ -113,15 +116,36 @@ def ingest(spark: SparkSession, store: Store, lines: DataFrame,
         lines.unpersist()
 
 
+def list_captures(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, mtime) of capture files, from the listing alone."""
+    meta = spark.read.format("binaryFile").load(paths)
+    return meta.select(F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.file_modification_time").alias("mtime"))
+
+
+def ingest_changed(spark: SparkSession, store: Store, paths: str | list[str], project: str | Column) -> DataFrame:
+    """S6 + S7 on files: the listing is compared with the recorded change ids
+    first, and only new and changed files are opened, so a poll that finds
+    nothing reads no data.  (Paths of the changed files reach the driver, as
+    in any file scan.)"""
+    pcol = F.lit(project) if isinstance(project, str) else project
+    listed = list_captures(spark, paths).withColumn("project", pcol)
+    changed = [r["file"] for r in changed_files(listed, store.captures(spark)).select("file").collect()]
+    if not changed:
+        return spark.createDataFrame([], schemas.CAPTURES)
+    return ingest(spark, store, capture.read_lines(spark, changed), project)
+
+
 def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column) -> DataFrame:
     heads = capture.capture_heads(lines).withColumn("project", pcol)
     caps = store.captures(spark)
     new = changed_files(heads.select("project", "file", "mtime"), caps)
     latest = caps.groupBy("project").agg(F.max("version").alias("_latest"))
-    w = Window.partitionBy("project").orderBy("mtime", "file")
+    # many files of one project may be new at once: numbered without a task per project
+    new = dense_index(new, ["project"], ["mtime", "file"], "_nth")
     new = (new.join(latest, "project", "left")
-           .withColumn("version", (F.coalesce("_latest", F.lit(0)) + F.row_number().over(w)).cast("int"))
-           .drop("_latest"))
+           .withColumn("version", (F.coalesce("_latest", F.lit(0)) + F.col("_nth") + 1).cast("int"))
+           .drop("_latest", "_nth"))
     # The new-file table (one row per file) is the plan of this ingest; it is
     # written once so every later step sees the same version numbers.
     staging = scratch_path(spark, "ingest-plan")
@@ -146,7 +170,7 @@ def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column) -
                  F.greatest(F.col("_last") - F.col("first_data") + 1, F.lit(0)).cast("bigint").alias("n_samples")))
     # trigger: only the TRIGGER trace of the new versions is read back
     # (partition pruning + pushed-down trace filter)
-    written = (store.samples(spark).where(F.col("trace") == "TRIGGER")
+    written = (store.samples(spark, committed=False).where(F.col("trace") == "TRIGGER")
                .join(plan_b.select("project", "version"), ["project", "version"], "left_semi"))
     t0 = trigger_index(written)
     rows = (plan.join(n, ["project", "version"], "left").join(t0, ["project", "version"], "left")
@@ -159,8 +183,12 @@ def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column) -
     _bootstrap_registry(spark, store, plan)
     _carry_notes(spark, store, plan)
     rows.write.mode("append").parquet(store.path("captures"))  # commit marker
-    return store.captures(spark).join(plan.select("project", "version"), ["project", "version"],
-                                      "left_semi")
+    added = [tuple(r) for r in plan.select("project", "version").collect()] if n_new <= BROADCAST_MAX_ROWS else None
+    if added is None:
+        return store.captures(spark).join(plan.select("project", "version"), ["project", "version"], "left_semi")
+    remove(spark, staging)
+    keys = spark.createDataFrame(added, "project string, version int")
+    return store.captures(spark).join(keys, ["project", "version"], "left_semi")
 
 
 def _bootstrap_registry(spark: SparkSession, store: Store, plan: DataFrame) -> None:
@@ -183,7 +211,8 @@ def _carry_notes(spark: SparkSession, store: Store, plan: DataFrame) -> None:
     """New versions start with the notes of the latest existing version;
     a first load starts with empty notes for every column."""
     notes = store.notes(spark)
-    lastv = notes.groupBy("project").agg(F.max("version").alias("version"))
+    done = store.captures(spark).select("project", "version")
+    lastv = done.groupBy("project").agg(F.max("version").alias("version"))
     prev = notes.join(lastv, ["project", "version"], "left_semi").drop("version")
     firsts = (plan.withColumn("_rn", F.row_number().over(
         Window.partitionBy("project").orderBy("version"))).where(F.col("_rn") == 1)
@@ -191,6 +220,8 @@ def _carry_notes(spark: SparkSession, store: Store, plan: DataFrame) -> None:
         .select("project", F.explode("columns.name").alias("trace"), F.lit("").alias("note")))
     base = prev.unionByName(firsts)
     out = plan.select("project", "version").join(base, "project")
+    # a load that failed after this step left its rows: add none twice
+    out = out.join(notes.select("project", "version", "trace"), ["project", "version", "trace"], "left_anti")
     out.select("project", "version", "trace", "note").write.mode("append").parquet(store.path("notes"))
 
 
@@ -216,18 +247,70 @@ def read_version(spark: SparkSession, store: Store, project: str, version: int,
 
 def read_legacy_project(spark: SparkSession, project_dir: str, project: str) -> DataFrame:
     """Wide per-version snapshots ``data/NNNNN/traces.parquet.lz4`` -> long
-    samples.  The sample index is the Parquet row index inside the file."""
-    df = (spark.read.format("parquet").option("pathGlobFilter", "traces.parquet.lz4")
-          .option("recursiveFileLookup", "true").load(f"{project_dir}/data"))
-    cols = [c for c in df.columns]
-    base = df.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{5})/traces\.parquet\.lz4$", 1)
-        .cast("int").alias("version"),
-        F.col("_metadata.row_index").alias("i"),
-        *[F.col(f"`{c}`").cast("bigint").alias(c) for c in cols])
-    long = base.unpivot(["version", "i"], [F.col(f"`{c}`") for c in cols], "trace", "y_raw") \
-        if cols else base
-    return long.select(F.lit(project).alias("project"), "version", "trace", "i", "y_raw")
+    samples.  The sample index is the Parquet row index inside the file.
+
+    Versions may hold different columns.  The scan takes the union of all
+    files' columns; which of them a version really has comes from the files'
+    footers, read in tasks, so a column that a version lacks adds no rows
+    while a null cell of one it has stays a null sample."""
+    reader = (spark.read.format("parquet").option("pathGlobFilter", "traces.parquet.lz4")
+              .option("recursiveFileLookup", "true"))
+    df = reader.option("mergeSchema", "true").load(f"{project_dir}/data")
+    cols = list(df.columns)
+    version = F.regexp_extract(F.col("_metadata.file_path"), LEGACY_VERSION, 1).cast("int").alias("version")
+    base = df.select(version, F.col("_metadata.row_index").alias("i"),
+                     *[F.col(f"`{c}`").cast("bigint").alias(c) for c in cols])
+    if not cols:
+        return spark.createDataFrame([], schemas.SAMPLES)
+    long = base.unpivot(["version", "i"], [F.col(f"`{c}`") for c in cols], "trace", "y_raw")
+    has = bounded_broadcast(legacy_columns(spark, project_dir))
+    return long.join(has, ["version", "trace"], "left_semi").select(
+        F.lit(project).alias("project"), "version", "trace", "i", "y_raw")
+
+
+LEGACY_VERSION = r"/(\d{5})/[^/]+$"
+
+
+def legacy_columns(spark: SparkSession, project_dir: str) -> DataFrame:
+    """(version, trace): the columns in the footer of each snapshot file."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "traces.parquet.lz4")
+             .option("recursiveFileLookup", "true").load(f"{project_dir}/data").select("path"))
+
+    def footers(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                uri = "file://" + path.removeprefix("file:") if path.startswith("file:/") and "://" not in path else path
+                store, name = fs.FileSystem.from_uri(uri)
+                out += [(path, c) for c in pq.read_schema(name, filesystem=store).names]
+            yield pd.DataFrame(out, columns=["path", "trace"])
+
+    return files.mapInPandas(footers, "path string, trace string").select(
+        F.regexp_extract("path", LEGACY_VERSION, 1).cast("int").alias("version"), "trace")
+
+
+def read_legacy_captures(spark: SparkSession, project_dir: str, project: str) -> DataFrame:
+    """(project, version, t0_index) from each version's ``trigger.json``; a
+    version without one has t0 = 0 by the left join in the time axis."""
+    rows = (spark.read.schema("t0_index bigint").option("multiLine", "true").option("pathGlobFilter", "trigger.json")
+            .option("recursiveFileLookup", "true").json(f"{project_dir}/data"))
+    return rows.select(F.lit(project).alias("project"),
+                       F.regexp_extract(F.col("_metadata.file_path"), LEGACY_VERSION, 1).cast("int").alias("version"),
+                       "t0_index")
+
+
+def read_legacy_notes(spark: SparkSession, project_dir: str, project: str) -> DataFrame:
+    """Notes rows from each version's ``config.json`` (trace -> note)."""
+    text = (spark.read.option("wholetext", "true").option("pathGlobFilter", "config.json")
+            .option("recursiveFileLookup", "true").text(f"{project_dir}/data"))
+    version = F.regexp_extract(F.col("_metadata.file_path"), LEGACY_VERSION, 1)
+    rows = text.where(version != "").select(
+        version.cast("int").alias("version"),
+        F.explode(F.from_json("value", "map<string, struct<note: string>>")).alias("trace", "v"))
+    return rows.select(F.lit(project).alias("project"), "version", "trace",
+                       F.coalesce("v.note", F.lit("")).alias("note"))
 
 
 # --------------------------------------------------------------------------
@@ -240,7 +323,7 @@ def list_projects(projects: DataFrame) -> DataFrame:
 def create_project(projects: DataFrame, name: str) -> DataFrame:
     """New project with defaults (dt 1, unit ms); error if it exists."""
     if projects.where(F.col("project") == name).limit(1).count() > 0:
-        raise RuntimeError(f"Project [{name}] already exists.")
+        raise RuntimeError(f"there is a project {name!r} already")
     row = projects.sparkSession.createDataFrame([(name, 1.0, "ms", "")], schemas.PROJECTS)
     return projects.unionByName(row)
 
@@ -258,7 +341,7 @@ def set_project(projects: DataFrame, name: str, implied_dt: float | None = None,
         from ..functions.units import TIME_UNITS
         u = {t.lower(): t for t in TIME_UNITS}.get(dt_unit.strip().lower())
         if u is None:
-            raise RuntimeError("Invalid time unit")
+            raise RuntimeError(f"{dt_unit!r} is no time unit; known: {TIME_UNITS}")
         out = out.withColumn("dt_unit", F.when(me, F.lit(u)).otherwise(F.col("dt_unit")))
     if description is not None:
         out = out.withColumn("description", F.when(me, F.lit(description)).otherwise(F.col("description")))
@@ -271,7 +354,7 @@ def create_projects(projects: DataFrame, names: DataFrame) -> DataFrame:
     clash = names.join(projects.select("project"), "project", "left_semi")
     hit = clash.limit(1).collect()
     if hit:
-        raise RuntimeError(f"Project [{hit[0][0]}] already exists.")
+        raise RuntimeError(f"there is a project {hit[0][0]!r} already")
     new = names.select("project", F.lit(1.0).alias("implied_dt"), F.lit("ms").alias("dt_unit"),
                        F.lit("").alias("description"))
     return projects.unionByName(new)
