@@ -60,6 +60,11 @@ def _combine(df: DataFrame, sources: list[str], out_trace: str, op) -> DataFrame
     return _finish(agg.withColumn("y", folded), n, out_trace)
 
 
+def check_sources(function: str, sources: list[str]) -> None:
+    if function in ("subtract", "divide") and len(sources) != 2 or not sources:
+        raise ValueError(f"{function} cannot take {len(sources)} sources")
+
+
 def add(df: DataFrame, sources: list[str], out_trace: str = "add") -> DataFrame:
     """Sum of n traces (left fold from the first source)."""
     if not sources:

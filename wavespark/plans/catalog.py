@@ -163,13 +163,32 @@ def _pair_sql(name: str, src: str, expr: str, traces: list[str], extra_where: st
             f"\nWHERE a0.trace = '{traces[0]}' {extra_where}")
 
 
+# lineitem traces are columns of one wide row, so the oracle of a pointwise
+# function is an expression over that row: no join of samples.
+_WIDE = """w AS (
+  SELECT f.version, f.i, 2.0 * CAST(f.i - t.t0 AS DOUBLE) AS x, l_quantity AS q, 0.001 * l_extendedprice AS p,
+         100.0 * l_discount AS d, 100.0 * l_tax + 1.0 AS t
+  FROM f2w f JOIN (SELECT version, CASE WHEN count(*) > 2 THEN
+                   coalesce(min(CASE WHEN i >= 1 AND trig <> 0 THEN i - 1 END), 0) ELSE 0 END AS t0
+                   FROM f2w GROUP BY version) t ON t.version = f.version)"""
+
+
+def _wide_sql(name: str, expr: str) -> str:
+    return S.with_(S.F2W, _WIDE) + f"""
+SELECT 'lineitem' AS project, version, '{name}' AS trace, i, {_grid("x")} AS x, {_grid(expr)} AS y, 'TIME' AS domain
+FROM w"""
+
+
+def _grid(e: str) -> str:
+    return f"(floor(({e}) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6)"
+
+
 def _pw(df: DataFrame) -> DataFrame:
     return df.select("project", "version", "trace", "i", rnd("x").alias("x"),
                      rnd("y").alias("y"), "domain")
 
 
-@register("power_multiply", S.with_(*S.BASE) + _pair_sql(
-    "power", "s2", "a0.y * a1.y", ["l_extendedprice", "l_discount"]))
+@register("power_multiply", _wide_sql("power", "p * d"))
 def q_power_multiply(spark, sf):
     sig, _ = _raw_signal(spark, sf, "lineitem")
     return _pw(pointwise.multiply(sig, ["l_extendedprice", "l_discount"], "power"))
@@ -182,33 +201,26 @@ def q_trace_add(spark, sf):
     return _pw(pointwise.add(sig, ["click", "view", "purchase"], "sum3"))
 
 
-@register("trace_subtract", S.with_(*S.BASE) + _pair_sql(
-    "price_minus_tax", "s2", "a0.y - a1.y", ["l_extendedprice", "l_tax"]))
+@register("trace_subtract", _wide_sql("price_minus_tax", "p - t"))
 def q_trace_subtract(spark, sf):
     sig, _ = _raw_signal(spark, sf, "lineitem")
     return _pw(pointwise.subtract(sig, ["l_extendedprice", "l_tax"], "price_minus_tax"))
 
 
-@register("trace_divide", S.with_(*S.BASE) + _pair_sql(
-    "per_unit", "s2", "a0.y / a1.y", ["l_extendedprice", "l_quantity"]))
+@register("trace_divide", _wide_sql("per_unit", "p / q"))
 def q_trace_divide(spark, sf):
     sig, _ = _raw_signal(spark, sf, "lineitem")
     return _pw(pointwise.divide(sig, ["l_extendedprice", "l_quantity"], "per_unit"))
 
 
-@register("divide_by_zero_null", S.with_(*S.BASE) + _pair_sql(
-    "per_discount", "s2", "a0.y / nullif(a1.y, 0.0)", ["l_extendedprice", "l_discount"]))
+@register("divide_by_zero_null", _wide_sql("per_discount", "p / nullif(d, 0.0)"))
 def q_divide_by_zero_null(spark, sf):
     sig, _ = _raw_signal(spark, sf, "lineitem")
     return _pw(pointwise.divide(sig, ["l_extendedprice", "l_discount"], "per_discount",
                                 on_zero="null"))
 
 
-@register("derived_of_derived", S.with_(*S.BASE) + f"""
-SELECT a.project, a.version, 'net_price' AS trace, a.i, (floor((a.x) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6) AS x,
-       (floor((2.0 * (a.y - (a.y * b.y)) + -1.0) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6) AS y, 'TIME' AS domain
-FROM s2 a JOIN s2 b ON b.version = a.version AND b.i = a.i AND b.trace = 'l_discount'
-WHERE a.trace = 'l_extendedprice'""")
+@register("derived_of_derived", _wide_sql("net_price", "2.0 * (p - p * d) + -1.0"))
 def q_derived_of_derived(spark, sf):
     sig, st = _raw_signal(spark, sf, "lineitem")
     out = derive.resolve(sig, st.registry(spark), st.projects(spark), "lineitem", ["Net price"])
@@ -573,6 +585,28 @@ def q_spectrum_four_step(spark, sf):
     return _sig_out(SP.spectrum(sig, 1.0, "ns", display_unit="MHz", max_single=16))
 
 
+@register("add_of_spectra", S.with_(*S.BASE, """one AS (
+  SELECT a.version, a.trace, a.i, a.y, b.n FROM s1 a JOIN (SELECT version, trace, count(*) AS n FROM s1
+  WHERE trace IN ('click', 'view') GROUP BY version, trace) b ON b.version = a.version AND b.trace = a.trace),
+bin AS (SELECT version, trace, n, unnest(range(1, n // 2)) AS k FROM (SELECT DISTINCT version, trace, n FROM one)),
+mg AS (SELECT b.version, b.trace, b.k, sqrt(pow(sum(o.y * cos(2 * pi() * ((b.k * o.i) % b.n) / b.n)), 2)
+              + pow(sum(o.y * sin(2 * pi() * ((b.k * o.i) % b.n) / b.n)), 2)) AS m
+       FROM bin b JOIN one o ON o.version = b.version AND o.trace = b.trace GROUP BY b.version, b.trace, b.k),
+nm AS (SELECT version, trace, k, m / sum(m) OVER (PARTITION BY version, trace) AS y FROM mg)""") + f"""
+SELECT 'events' AS project, a.version, 'spectra' AS trace, CAST(a.k - 1 AS BIGINT) AS i,
+       {_r("0.5 * CAST(a.k - 1 AS DOUBLE)")} AS x, {_r("a.y + b.y")} AS y, 'TIME' AS domain
+FROM nm a JOIN nm b ON b.version = a.version AND b.k = a.k AND b.trace = 'view' WHERE a.trace = 'click'""")
+def q_add_of_spectra(spark, sf):
+    """J1 over two L5 traces: a function of spectra has a time axis of its own."""
+    sig, st = _raw_signal(spark, sf, "events")
+    reg = st.registry(spark)
+    unit = {"display_frequency_unit": "Hz"}
+    reg = REG.add_derivative(reg, "events", "view_spectrum", "fourier_transform", ["view"], unit)
+    reg = REG.add_derivative(reg, "events", "spectra", "add", ["click_spectrum", "view_spectrum"])
+    out = derive.resolve(sig, reg, st.projects(spark), "events", ["spectra"], st.captures(spark))
+    return _sig_out(out)
+
+
 @register("spectrum_derivative", S.with_(*S.BASE, _dft_sql(
     "SELECT version, trace, i, y FROM s1 WHERE trace = 'click'", "'click_spectrum'", _F1_EVT, "events")))
 def q_spectrum_derivative(spark, sf):
@@ -760,13 +794,21 @@ def q_view_legend(spark, sf):
 @register("view_extent", S.with_(*S.BASE) + f"""
 SELECT 'lineitem' AS project, 'prices' AS view_name, 'TIME' AS domain, {_r("min(x)")} AS x_min, {_r("max(x)")} AS x_max
 FROM s2 WHERE (trace = 'l_extendedprice' AND version IN (1, 7)) OR (trace = 'l_tax' AND version = 6)
-   OR (trace = 'l_quantity' AND version = 7)""")
+   OR (trace = 'l_quantity' AND version = 7)
+UNION ALL
+SELECT 'events', 'mixed', 'FREQUENCY', {_r("min(k) / (0.0005 * n)")}, {_r("max(k) / (0.0005 * n)")}
+FROM (SELECT n, unnest(range(1, n // 2)) AS k FROM (SELECT count(*) AS n FROM s1 WHERE trace = 'click' AND version = 3)) GROUP BY n
+UNION ALL
+SELECT 'events', 'mixed', 'TIME', {_r("min(x)")}, {_r("max(x)")} FROM (
+  SELECT x FROM s1 WHERE trace = 'click' AND version = 3
+  UNION ALL SELECT CAST(unnest(range(1, n // 2)) AS DOUBLE) / (0.0005 * n) FROM (
+    SELECT count(*) AS n FROM s1 WHERE trace = 'click' AND version = 2))""")
 def q_view_extent(spark, sf):
+    """A8 over all views: the cell of ``mixed`` that holds a TIME and a
+    FREQUENCY trace counts for the domain of its first spec only."""
     views, sig, reg, cap, prj = _view_inputs(spark, sf)
-    v = views.where(F.col("view_name") == "prices")
-    rows = VW.materialize(v, sig, reg, cap, prj, with_overlay=False)
-    doms = VW.resolve_specs(VW.specs(v), reg, cap)
-    out = VW.shared_extent(rows, doms)
+    rows = VW.materialize(views, sig, reg, cap, prj, with_overlay=False)
+    out = VW.shared_extent(rows, VW.subplot_domains(views, reg))
     return out.select("project", "view_name", "domain", rnd("x_min").alias("x_min"), rnd("x_max").alias("x_max"))
 
 
