@@ -56,33 +56,114 @@ def grouped_map(df: DataFrame, keys: list[str], order: str, fn, schema: str,
 
     Same shuffle as ``groupBy(keys).applyInPandas`` (hash on the keys), but
     the rows are then sorted within partitions and streamed through
-    ``mapInPandas``: a Python worker walks the contiguous groups of its
-    Arrow batches, so thousands of small groups cost one call per batch
-    instead of one call per group.  Memory holds one group at a time (plus a
-    batch); callers keep groups bounded (chunk + halo).
+    ``mapInPandas``.  Groups are told apart by one hash of the keys that Spark
+    computes; parts of a group that spans batches are kept in a list and
+    joined once at its end, so the work is linear in the group's size.  Memory
+    holds one group at a time (plus a batch); callers keep groups bounded.
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartition(n, *keys).sortWithinPartitions(*keys, order)
+    part = df.withColumn("_gid", F.xxhash64(*keys)).repartition(n, *keys).sortWithinPartitions("_gid", *keys, order)
 
     def run(batches):
+        import numpy as np
         import pandas as pd
-        carry = None
+        held, gid = [], None
+
+        def done():
+            out = fn(held[0] if len(held) == 1 else pd.concat(held, ignore_index=True))
+            return [out] if out is not None and len(out) else []
+
         for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            k = pdf[keys]
-            change = (k != k.shift()).any(axis=1).to_numpy()
-            starts = change.nonzero()[0].tolist() + [len(pdf)]
-            # the last group may continue in the next batch
-            for a, b in zip(starts[:-2], starts[1:-1]):
-                out = fn(pdf.iloc[a:b].reset_index(drop=True))
-                if out is not None and len(out):
-                    yield out
-            carry = pdf.iloc[starts[-2]:].reset_index(drop=True)
-        if carry is not None and len(carry):
-            out = fn(carry)
-            if out is not None and len(out):
-                yield out
+            g = pdf.pop("_gid").to_numpy()
+            cut = np.flatnonzero(g[1:] != g[:-1]) + 1
+            for a, b in zip([0, *cut], [*cut, len(g)]):
+                if held and g[a] != gid:
+                    yield from done()
+                    held = []
+                gid = g[a]
+                held.append(pdf.iloc[a:b].reset_index(drop=True))
+        if held:
+            yield from done()
     return part.mapInPandas(run, schema)
+
+
+def to_blocks(sig: DataFrame, size: int, carry: list[str] | None = None) -> DataFrame:
+    """One row per block of ``size`` samples: (KEY, block, x, y, domain) with
+    x and y as arrays in sample order, and the per-trace columns ``carry``."""
+    one = F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("_s")
+    return (sig.groupBy(*KEY, F.floor(F.col("i") / size).cast("bigint").alias("block"))
+            .agg(one, F.max("domain").alias("domain"), *[F.first(c).alias(c) for c in carry or []])
+            .select(*KEY, "block", F.col("_s.x").alias("x"), F.col("_s.y").alias("y"), "domain", *(carry or [])))
+
+
+def from_blocks(df: DataFrame, size: int) -> DataFrame:
+    """Rows (KEY, i, x, y, domain) of block rows."""
+    return (df.select(*KEY, "block", "domain", F.posexplode(F.arrays_zip("x", "y")).alias("_k", "_v"))
+            .select(*KEY, (F.col("block") * size + F.col("_k")).alias("i"), F.col("_v.x").alias("x"),
+                    F.col("_v.y").alias("y"), "domain"))
+
+
+def block_rows(batch) -> list[dict]:
+    """Rows of an Arrow batch; list columns as numpy arrays (null: NaN)."""
+    import numpy as np
+    import pyarrow as pa
+    cols = {}
+    for name in batch.schema.names:
+        col = batch.column(name)
+        if pa.types.is_list(col.type):
+            values, off = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+            gone = col.is_null().to_numpy(zero_copy_only=False)
+            cols[name] = [None if gone[k] else np.asarray(values[off[k]:off[k + 1]]) for k in range(len(col))]
+        else:
+            cols[name] = col.to_pylist()
+    return [dict(zip(cols, r)) for r in zip(*cols.values())]
+
+
+def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(row dict) -> iterable of dicts`` over block rows (arrays as numpy)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            for at in range(0, b.num_rows, 32):
+                out = [o for r in block_rows(b.slice(at, 32)) for o in fn(r)]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return df.mapInArrow(run, schema)
+
+
+def map_groups(df: DataFrame, keys: list[str], order: str, fn, schema: str) -> DataFrame:
+    """``fn(list of row dicts) -> iterable of dicts`` over the groups of a
+    small table (one row per block), sorted by ``order``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = df.repartition(n, *keys).sortWithinPartitions(*keys, order)
+
+    def run(batches):
+        import pyarrow as pa
+        held, key, out = [], None, []
+        for b in batches:
+            for r in block_rows(b):
+                k = tuple(r[c] for c in keys)
+                if held and k != key:
+                    out += fn(held)
+                    held = []
+                    if len(out) >= 256:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out = []
+                key = k
+                held.append(r)
+        if held:
+            out += fn(held)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return part.mapInArrow(run, schema)

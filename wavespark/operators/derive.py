@@ -198,7 +198,11 @@ def resolve(raw_signal: DataFrame, registry: DataFrame, projects: DataFrame,
     res = _Resolver(raw_signal.where(F.col("project") == project),
                     registry.where(F.col("project") == project), ctx, captures, projects)
     res.fetch(traces)
-    frames = [res.frame(t) for t in dict.fromkeys(traces)]
+    names = list(dict.fromkeys(traces))
+    stored = [res.lookup(t)["trace"] for t in names if res.function(t) is None]
+    frames = [res.frame(t) for t in names if res.function(t) is not None]
+    if stored:  # all raw traces are one scan
+        frames.insert(0, res.raw.where(F.col("trace").isin(stored)))
     return reduce(DataFrame.unionByName, frames)
 
 

@@ -1,27 +1,40 @@
 """Savitzky-Golay (L3) and zero-phase Butterworth low-pass (L1, L2) filters,
 overlay dispatch (L4), normalised cutoff (U11).
 
-Both filters run per chunk + halo group (:mod:`.blocks`) through
-:func:`.blocks.grouped_map` (hash shuffle on the group key, then groups
-streamed through ``mapInPandas``); the kernels are numpy over Arrow batches,
-no per-row Python.
-The true signal ends get the reference's edge rules: "nearest" padding for
-Savitzky-Golay, odd extension of 33 samples plus steady-state start for the
-low-pass; interior chunk edges see real neighbouring samples.
+Both filters work on blocks of ``blocks.MIN_CHUNK`` samples, whatever the
+width of the window or the length of the impulse response.
+
+Low-pass: every block is filtered from zero state; the ten numbers of filter
+state that it hands on are carried along the trace by a scan over one small
+row per block; then each block is filtered again from its true state.  The
+backward pass does the same from the end.  There is no truncated response and
+no halo.  A trace with a null sample is null throughout (the recurrence would
+carry it to every later sample of either pass).
+
+Savitzky-Golay: the weights of a window are a polynomial of the offset, so a
+window sum is a combination of moments.  A block of outputs needs the samples
+at the two moving ends of its windows and the moments of the whole blocks
+between them, taken about each block's own origin and moved to the output's.
+A null sample makes exactly the windows null that contain it.
+
+The true signal ends get the edge rules: "nearest" padding for Savitzky-Golay,
+odd extension of 33 samples plus steady-state start for the low-pass.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from ..functions import units
 from ..functions.units import frequency_hz, sampling_rate_hz
+from ..session import scratch_path
 from .util import bounded_broadcast
 
 KEY = blocks.KEY
@@ -70,91 +83,249 @@ def savgol_coeffs(window: int, polyorder: int) -> np.ndarray:
     return np.linalg.pinv(A)[0]
 
 
-def _savgol_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("i")
-    w, p = int(pdf["_w"].iloc[0]), int(pdf["_p"].iloc[0])
-    C, H, c = int(pdf["chunk_size"].iloc[0]), int(pdf["halo"].iloc[0]), int(pdf["chunk"].iloc[0])
-    lo, hi = blocks.own_range(c, C)
-    i = pdf["i"].to_numpy()
-    y = pdf["y"].to_numpy(dtype=float)
-    own = (i >= lo) & (i <= hi)
-    if not own.any():
-        return pdf.iloc[0:0][["project", "version", "trace", "i", "x", "y", "domain"]]
-    off = savgol_offsets(w)
-    coef = savgol_coeffs(w, p)
-    left, right = -off[0], off[-1]
-    at_start = i[0] == 0
-    at_end = i[-1] < hi + H
-    ext = np.concatenate([np.full(left, y[0]) if at_start else np.empty(0), y,
-                          np.full(right, y[-1]) if at_end else np.empty(0)])
-    base = left if at_start else 0  # ext index of i[0]
-    # out[j] = sum_k coef[k] * ext[base + j + off[k]] for rows j that have a full window
-    full = np.correlate(ext, coef, mode="valid")  # full[m] centred at ext[m + left]
-    idx = np.arange(len(y)) + base - left
-    ok = (idx >= 0) & (idx < len(full))
-    out = np.full(len(y), np.nan)
-    out[ok] = full[idx[ok]]
-    res = pdf[["project", "version", "trace", "i", "x", "domain"]].copy()
-    res["y"] = out
-    return res[own][["project", "version", "trace", "i", "x", "y", "domain"]]
-
-
-MAX_HALO = 1 << 15  # wider windows (polyorder <= 3) take the prefix-sum path
-
-
-def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK,
-           max_halo: int = MAX_HALO) -> DataFrame:
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=64)
+def _faulhaber(k: int) -> tuple[Fraction, ...]:
+    """Coefficients (by power) of sum_{d=1..n} d^k as a polynomial of n."""
+    rows = [[Fraction(n) ** (j + 1) for j in range(k + 1)] + [Fraction(sum(d ** k for d in range(1, n + 1)))]
+            for n in range(1, k + 2)]
+    for c in range(k + 1):  # exact elimination
+        rows[c] = [v / rows[c][c] for v in rows[c]]
+        for r in range(k + 1):
+            if r != c:
+                rows[r] = [v - rows[r][c] * w for v, w in zip(rows[r], rows[c])]
+    return (Fraction(0), *(r[-1] for r in rows))
+
+
+def power_sum(lo: int, hi: int, k: int) -> int:
+    """sum_{d=lo..hi} d^k, exactly (0 for an empty range)."""
+    if hi < lo:
+        return 0
+    at = (lambda n: sum(c * n ** j for j, c in enumerate(_faulhaber(k))))
+    return int(at(hi) - at(lo - 1))
+
+
+@lru_cache(maxsize=256)
+def savgol_poly(window: int, polyorder: int) -> tuple[int, int, float, np.ndarray]:
+    """(left, right, shift, c): the weight of offset d in -left..right is
+    sum_k c[k] ((d - shift) / right)^k."""
+    if window <= polyorder:
+        raise ValueError(f"a window of {window} samples cannot carry a fit of order {polyorder}")
+    left, right = (window - 1) // 2, window // 2
+    h = max(right, 1)
+    twice = 0 if window % 2 else 1  # 2 * shift
+    def moment(k):
+        total = sum(Fraction(math.comb(k, j)) * 2 ** j * (-twice) ** (k - j) * power_sum(-left, right, j)
+                    for j in range(k + 1))
+        return float(total / Fraction(2 * h) ** k)
+    m = np.array([[moment(a + b) for b in range(polyorder + 1)] for a in range(polyorder + 1)])
+    return left, right, twice / 2, np.linalg.solve(m, np.eye(polyorder + 1)[0])
+
+
+def _combine(q: np.ndarray, sigma: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """sum_k c_k sum_j (tau_j - sigma_i)^k y_j from moments q[r, i] = sum_j tau_j^r y_j."""
+    out = np.zeros(len(sigma))
+    for k in range(len(c)):
+        term = sum(math.comb(k, r) * (-sigma) ** (k - r) * q[r] for r in range(k + 1))
+        out += c[k] * term
+    return out
+
+
+def _band(y: np.ndarray, start: int, centre: int, h: int, order: int) -> np.ndarray:
+    """Running moments [order + 1, len + 1] of samples start, start + 1, ..."""
+    tau = (np.arange(start, start + len(y)) - centre) / h
+    terms = np.stack([tau ** r * y for r in range(order + 1)])
+    return np.concatenate([np.zeros((order + 1, 1)), np.cumsum(terms, axis=1)], axis=1)
+
+
+def savgol_ends(a: int, e: int, w: int, p: int, left: np.ndarray, left_at: int, right: np.ndarray, right_at: int,
+                middle: np.ndarray) -> np.ndarray:
+    """Outputs a..e.  ``left`` holds the samples from ``left_at`` <= a - hl up
+    to the first that every window has, ``right`` those from ``right_at`` (the
+    sample after the last that every window has) up to e + hr at least,
+    ``middle`` the moments of those between about centre (a + e) // 2."""
+    hl, hr, shift, c = savgol_poly(w, p)
+    h, centre = max(hr, 1), (a + e) // 2
+    i = np.arange(a, e + 1)
+    lead, tail = _band(left, left_at, centre, h, p), _band(right, right_at, centre, h, p)
+    q = middle[:, None] + (lead[:, -1:] - lead[:, i - hl - left_at]) + tail[:, i + hr + 1 - right_at]
+    return _combine(q, (i + shift - centre) / h, c)
+
+
+def savgol_run(y: np.ndarray, at: int, a: int, e: int, w: int, p: int) -> np.ndarray:
+    """Outputs a..e from the contiguous samples ``y`` that begin at ``at`` and
+    cover every window."""
+    hl, hr, _, _ = savgol_poly(w, p)
+    if w <= 64:
+        return np.correlate(y[a - hl - at:e + hr + 1 - at], savgol_coeffs(w, p), mode="valid")
+    out, h = [], max(hr, 1)
+    for s in range(a, e + 1, max(hl, 1)):
+        t = min(s + max(hl, 1) - 1, e)
+        m0, m1 = t - hl, s + hr  # common to all windows of s..t
+        tau = (np.arange(m0, m1 + 1) - (s + t) // 2) / h
+        mid = np.array([(tau ** r * y[m0 - at:m1 + 1 - at]).sum() for r in range(p + 1)])
+        out.append(savgol_ends(s, t, w, p, y[s - hl - at:m0 - at], s - hl, y[m1 + 1 - at:t + hr + 1 - at], m1 + 1, mid))
+    return np.concatenate(out)
+
+
+def _reach(a: int, e: int, hl: int, hr: int, size: int) -> tuple[int, int]:
+    """Whole blocks m0..m1 (nominal) that lie in every window of a..e."""
+    return -(-(e - hl) // size), (a + hr + 1) // size - 1
+
+
+def _savgol_plan(rows: list[dict], size: int) -> list[dict]:
+    """Per block of one trace: window, ends, and the moments of the whole
+    blocks between the moving ends of its windows (``rows``: one per block)."""
+    n = sum(r["len"] for r in rows)
+    key = {c: rows[0][c] for c in KEY}
+    p, w = rows[0]["_p"], savgol_window(rows[0]["window_length"], n)
+    hl, hr, _, _ = savgol_poly(w, p)
+    h = max(hr, 1)
+    first, last = rows[0]["first"], rows[-1]["last"]
+    moments = np.stack([r["moments"] for r in rows])  # [blocks, p + 1] about b * size + size // 2, in units of size
+    bad = np.cumsum([0, *(r["bad"] for r in rows)])
+    out = []
+    for r in rows:
+        a = r["block"] * size
+        e = a + r["len"] - 1
+        centre = (a + e) // 2
+        m0, m1 = _reach(a, e, hl, hr, size)
+        mid, gone = None, 0
+        if m1 >= m0:
+            mid = np.zeros(p + 1)
+            lo, hi = max(m0, 0), min(m1, len(rows) - 1)
+            if hi >= lo:
+                b = np.arange(lo, hi + 1)
+                d = (b * size + size // 2 - centre) / h
+                for q in range(p + 1):
+                    mid[q] += sum(math.comb(q, k) * (size / h) ** k * (d ** (q - k) * moments[b, k]).sum()
+                                  for k in range(q + 1))
+                gone += int(bad[hi + 1] - bad[lo])
+            for value, x, y in ((first, m0 * size, min(-1, (m1 + 1) * size - 1)),
+                                (last, max(n, m0 * size), (m1 + 1) * size - 1)):
+                if y >= x:  # padding that every window has
+                    gone += int(np.isnan(value))
+                    v = 0.0 if np.isnan(value) else value
+                    mid += [v * float(Fraction(power_sum(x - centre, y - centre, k), h ** k)) for k in range(p + 1)]
+        out.append({**key, "target": r["block"], "w": w, "p": p, "n": n, "first": first, "last": last,
+                    "mid": mid if mid is None else mid.tolist(), "gone": gone})
+    return out
+
+
+def _savgol_block(rows: list[dict], size: int) -> list[dict]:
+    """Outputs of one block from the pieces shipped to it."""
+    r = next(r for r in rows if r["block"] == r["target"])
+    w, p, n = r["w"], r["p"], r["n"]
+    hl, hr, _, _ = savgol_poly(w, p)
+    a = r["target"] * size
+    e = a + len(r["x"]) - 1
+
+    def span(lo: int, hi: int) -> np.ndarray:
+        """Samples lo..hi, padded beyond the signal's ends."""
+        v = np.empty(max(hi - lo + 1, 0))
+        v[:max(min(-lo, len(v)), 0)] = r["first"]
+        v[max(n - lo, 0):] = r["last"]
+        for s in rows:
+            x, y = max(lo, s["at"]), min(hi, s["at"] + len(s["piece"]) - 1)
+            if y >= x:
+                v[x - lo:y + 1 - lo] = s["piece"][x - s["at"]:y + 1 - s["at"]]
+        return v
+
+    if r["mid"] is None:
+        y = span(a - hl, e + hr)
+        nan = np.isnan(y)
+        out = savgol_run(np.where(nan, 0.0, y), a - hl, a, e, w, p)
+        count = np.concatenate([[0], np.cumsum(nan)])
+        out[count[hl + hr + 1:] - count[:-(hl + hr + 1)] > 0] = np.nan
+    else:
+        m0, m1 = _reach(a, e, hl, hr, size)
+        lead, tail = span(a - hl, m0 * size - 1), span((m1 + 1) * size, e + hr)
+        bad_l, bad_r = np.isnan(lead), np.isnan(tail)
+        out = savgol_ends(a, e, w, p, np.where(bad_l, 0.0, lead), a - hl, np.where(bad_r, 0.0, tail), (m1 + 1) * size,
+                          np.asarray(r["mid"]))
+        i = np.arange(a, e + 1)
+        nl, nr = np.concatenate([[0], np.cumsum(bad_l)]), np.concatenate([[0], np.cumsum(bad_r)])
+        out[(r["gone"] + nl[-1] - nl[i - hl - (a - hl)] + nr[i + hr + 1 - (m1 + 1) * size]) > 0] = np.nan
+    return [{**{c: r[c] for c in KEY}, "block": r["target"], "x": r["x"], "y": out, "domain": r["domain"]}]
+
+
+def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK) -> DataFrame:
     """L3 on every trace of ``sig`` that has a row in ``params``
-    (project, trace, window_length STRING, polyorder INT).
-
-    An "N%" window depends on the trace length, so then per-trace lengths are
-    aggregated first (partial + final count) and the per-trace parameter
-    table (one row per trace) is broadcast behind a row-count bound; absolute
-    windows need no pass over the samples.  The halo is sized per trace; a
-    halo above ``max_halo`` (polyorder <= 3) switches that trace to
-    :func:`savgol_wide`, so no group grows with the window.
+    (project, trace, window_length STRING, polyorder INT); ``min_chunk``
+    samples make a block.
+
+    The blocks are written once (the input may be a computed trace); lengths,
+    which an "N%" window needs, come from the block rows.  Each sample travels
+    to the blocks whose windows begin or end in its reach: once plus the
+    window's share of a block for narrow windows, about four times for wide
+    ones, never more.
     """
+    size = int(min_chunk)
     prm = params.select("project", "trace", F.trim("window_length").alias("window_length"),
-                        F.col("polyorder").cast("bigint").alias("_p"))
-    too_small = F.raise_error(F.format_string(
-        "trace %s: a window of %s samples cannot carry a fit of order %s", "trace", "_w", "_p"))
-    # Window settings are configuration (a handful of distinct strings): when
-    # none is a percentage, the window is known per trace without a pass
-    # over the samples.
-    settings = [r[0] for r in prm.select("window_length").distinct().collect()]
-    wide = [w for w in settings if w is not None and not w.endswith("%") and float(w) // 2 + 1 > max_halo]
-    if not any(w is not None and w.endswith("%") for w in settings) and not wide:
-        per = (prm.withColumn("_w", F.col("window_length").cast("double").cast("bigint"))
-               .withColumn("_w", F.when(F.col("_w") > F.col("_p"), F.col("_w")).otherwise(too_small))
-               .withColumn("_h", F.floor(F.col("_w") / 2).cast("bigint") + 1)
-               .select("project", "trace", "_w", "_p", "_h"))
-        rows = sig.join(per, ["project", "trace"])  # params: stored-registry sized, planner decides
-    else:
-        lengths = blocks.trace_lengths(sig)
-        pct = F.col("window_length").endswith("%")
-        win = F.when(pct, F.floor(F.col("n") * F.regexp_replace("window_length", "%", "").cast("double")
-                                  / F.lit(100.0))).otherwise(F.col("window_length").cast("double")).cast("bigint")
-        per = (lengths.join(prm, ["project", "trace"])
-               .withColumn("_w", win)
-               .withColumn("_w", F.when(F.col("_w") > F.col("_p"), F.col("_w")).otherwise(too_small))
-               .withColumn("_h", F.floor(F.col("_w") / 2).cast("bigint") + 1)
-               .select(*KEY, "_w", "_p", "_h"))
-        per = bounded_broadcast(per)
-        # a window too wide for a halo (it scales with the trace for "N%")
-        # takes the prefix-sum form when the polyorder allows it
-        is_wide = (F.col("_h") > max_halo) & (F.col("_p") <= 3)
-        rows = sig.join(per.where(~is_wide), KEY)
-        rows = blocks.with_halo(rows, blocks.chunk_size_for(F.col("_h"), min_chunk), F.col("_h"))
-        rows = rows.select(*KEY, "i", "x", "y", "domain", "_w", "_p", "chunk", "chunk_size", "halo")
-        out = blocks.grouped_map(rows, [*KEY, "chunk"], "i", _savgol_group, OUT_SCHEMA)
-        if per.where(is_wide).limit(1).count() == 0:  # small table: one row per trace
-            return out
-        wide_out = savgol_wide(sig.join(per.where(is_wide).select(*KEY), KEY, "left_semi"),
-                               per.where(is_wide).select(*KEY, "_w", "_p"), chunk=min_chunk)
-        return out.unionByName(wide_out)
-    rows = blocks.with_halo(rows, blocks.chunk_size_for(F.col("_h"), min_chunk), F.col("_h"))
-    rows = rows.select(*KEY, "i", "x", "y", "domain", "_w", "_p", "chunk", "chunk_size", "halo")
-    return blocks.grouped_map(rows, [*KEY, "chunk"], "i", _savgol_group, OUT_SCHEMA)
+                        F.col("polyorder").cast("int").alias("_p"))
+    data = _saved(blocks.to_blocks(sig.join(prm, ["project", "trace"]), size, ["window_length", "_p"]), "savgol-blocks")
+    key = "project string, version int, trace string"
+
+    def stats(r):
+        y, p = r["y"].astype(float), r["_p"]
+        nan = np.isnan(y)
+        u = (np.arange(len(y)) - size // 2) / size
+        z = np.where(nan, 0.0, y)
+        yield {**{c: r[c] for c in [*KEY, "block", "window_length", "_p"]}, "len": len(y), "first": y[0], "last": y[-1],
+               "bad": int(nan.sum()), "moments": [float((u ** k * z).sum()) for k in range(p + 1)]}
+
+    per_block = blocks.map_rows(data, stats, f"{key}, block bigint, window_length string, _p int, len bigint, "
+                                             "first double, last double, bad bigint, moments array<double>")
+    plan = _saved(blocks.map_groups(
+        per_block, KEY, "block", lambda rows: _savgol_plan(rows, size),
+        f"{key}, target bigint, w bigint, p int, n bigint, first double, last double, mid array<double>, gone bigint"),
+        "savgol-plan")
+    w, n, b = F.col("w"), F.col("n"), F.col("block")
+    hl, hr = F.floor((w - 1) / 2), F.floor(w / 2)
+    per_trace = plan.where("target = 0").select(*KEY, "w", "n")
+    rows = data.drop("window_length", "_p").join(bounded_broadcast(per_trace), KEY)
+
+    def ends(t):
+        """Sample ranges that block t needs: (from, to) of its left and right part."""
+        a = t * size
+        e = F.least(a + size, n) - 1
+        m0, m1 = F.ceil((e - hl) / size), F.floor((a + hr + 1) / size) - 1
+        whole = m1 >= m0
+        return (a - hl, F.when(whole, m0 * size - 1).otherwise(e + hr),
+                F.when(whole, (m1 + 1) * size).otherwise(a - hl), e + hr)
+
+    def wanted(t):
+        lo, l1, r0, hi = ends(t)
+        mine = (lambda x, y: (x <= b * size + size - 1) & (y >= b * size))
+        return (t == b) | mine(lo, l1) | mine(r0, hi)
+
+    top = F.ceil(n / size) - 1
+    targets = F.filter(F.sequence(F.greatest(F.lit(0), F.floor((b * size - hr) / size) - 1),
+                                  F.least(top, F.floor((b * size + size - 1 + hl) / size) + 1)), wanted)
+    rows = rows.withColumn("target", F.explode(targets))
+    # only the part of the block that the target's windows end in
+    lo, l1, r0, hi = ends(F.col("target"))
+    left = (lo <= b * size + size - 1) & (l1 >= b * size)
+    right = (r0 <= b * size + size - 1) & (hi >= b * size)
+    frm = F.greatest(b * size, F.when(left, lo).otherwise(r0))
+    to = F.least(b * size + size - 1, F.when(right, hi).otherwise(l1))
+    need = left | right
+    rows = rows.withColumn("at", F.when(need, frm).otherwise(b * size)).withColumn(
+        "piece", F.when(need, F.slice("y", (frm - b * size + 1).cast("int"), F.greatest(to - frm + 1, F.lit(0)).cast("int")))
+        .otherwise(F.array().cast("array<double>")))
+    own = F.col("target") == b
+    rows = rows.select(*KEY, "target", "block", "at", "piece", "domain", F.when(own, F.col("x")).alias("x"))
+    rows = rows.join(bounded_broadcast(plan), [*KEY, "target"])
+    out = blocks.map_groups(rows, [*KEY, "target"], "block", lambda rs: _savgol_block(rs, size),
+                            f"{key}, block bigint, x array<double>, y array<double>, domain string")
+    return blocks.from_blocks(out, size).select("project", "version", "trace", "i", "x",
+                                                F.nanvl("y", F.lit(None).cast("double")).alias("y"), "domain")
 
 
 def savgol_reference(y: np.ndarray, window: int, polyorder: int) -> np.ndarray:
@@ -196,98 +367,167 @@ def butter_sos(wn: float, order: int = BUTTER_ORDER) -> np.ndarray:
     return np.array(sos)
 
 
-def sos_freqz(sos: np.ndarray, m: int) -> np.ndarray:
-    """Frequency response on the rfft grid of size m."""
-    z = np.exp(-2j * np.pi * np.arange(m // 2 + 1) / m)
-    h = np.ones_like(z)
-    for b0, b1, b2, a0, a1, a2 in sos:
-        h *= (b0 + b1 * z + b2 * z * z) / (a0 + a1 * z + a2 * z * z)
-    return h
+@lru_cache(maxsize=64)
+def state_space(wn: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The cascade as one linear system: state' = A state + B u, y = C state + D u
+    (two numbers of state for each section)."""
+    sos = butter_sos(wn)
+    n = 2 * len(sos)
+
+    def step(z, u):
+        out = np.empty(n)
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+            y = b0 * u + z[2 * k]
+            out[2 * k] = b1 * u - a1 * y + z[2 * k + 1]
+            out[2 * k + 1] = b2 * u - a2 * y
+            u = y
+        return out, u
+
+    unit = [step(e, 0.0) for e in np.eye(n)]
+    b, d = step(np.zeros(n), 1.0)
+    return np.stack([s for s, _ in unit], axis=1), b, np.array([y for _, y in unit]), d
+
+
+def steady_state(wn: float, u: float) -> np.ndarray:
+    """State after an endless constant input ``u`` (unit DC gain)."""
+    return np.concatenate([[u * (b1 + b2 - a1 - a2), u * (b2 - a2)] for _, b1, b2, _, a1, a2 in butter_sos(wn)])
+
+
+RUN = 128  # samples of the dense inner step
+
+
+@lru_cache(maxsize=16)
+def _dense(wn: float):
+    """For a run of ``RUN`` samples: response matrix, output and state by
+    initial state, final state by input, powers of A."""
+    a, b, c, d = state_space(wn)
+    powers = [np.eye(len(b))]
+    for _ in range(RUN):
+        powers.append(a @ powers[-1])
+    h = np.array([d, *(c @ powers[k] @ b for k in range(RUN - 1))])
+    toeplitz = np.zeros((RUN, RUN))
+    for k in range(RUN):
+        toeplitz[k, :k + 1] = h[k::-1]
+    free = np.stack([c @ powers[k] for k in range(RUN)])             # [RUN, state]
+    into = np.stack([powers[RUN - 1 - k] @ b for k in range(RUN)])   # [RUN, state]
+    return toeplitz, free, into, powers
+
+
+def filter_block(u: np.ndarray, state: np.ndarray, wn: float) -> tuple[np.ndarray, np.ndarray]:
+    """(output, final state) of the recurrence over ``u`` from ``state``."""
+    toeplitz, free, into, powers = _dense(wn)
+    full = len(u) // RUN
+    rows = u[:full * RUN].reshape(full, RUN)
+    gain = rows @ into
+    states = np.empty((full + 1, len(state)))
+    states[0] = state
+    for k in range(full):
+        states[k + 1] = powers[RUN] @ states[k] + gain[k]
+    out = (rows @ toeplitz.T + states[:full] @ free.T).ravel()
+    rest = u[full * RUN:]
+    m = len(rest)
+    if m:
+        out = np.concatenate([out, toeplitz[:m, :m] @ rest + free[:m] @ states[full]])
+        return out, powers[m] @ states[full] + rest @ into[RUN - m:]
+    return out, states[full]
+
+
+def final_state(u: np.ndarray, wn: float) -> np.ndarray:
+    return filter_block(u, np.zeros(len(butter_sos(wn)) * 2), wn)[1]
 
 
 @lru_cache(maxsize=64)
-def impulse_response(wn: float, tol: float = 1e-15) -> np.ndarray:
-    """Causal impulse response truncated where it has decayed below ``tol``
-    (relative), computed from the frequency response (no sample loop)."""
-    sos = butter_sos(wn)
-    m = 1 << 12
-    while True:
-        h = np.fft.irfft(sos_freqz(sos, m), m)
-        peak = np.abs(h).max()
-        tail = np.abs(h[m // 2:]).max()
-        if tail <= tol * peak or m >= (1 << 26):
-            break
-        m <<= 1
-    keep = np.nonzero(np.abs(h[: m // 2]) > tol * peak)[0]
-    return h[: int(keep[-1]) + 1].copy()
-
-
-def _causal(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    n = len(x) + len(h) - 1
-    m = 1 << (n - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(x, m) * np.fft.rfft(h, m), m)[: len(x)]
-
-
-def filtfilt_block(x: np.ndarray, h: np.ndarray, at_start: bool, at_end: bool,
-                   padlen: int = FILTFILT_PADLEN) -> np.ndarray:
-    """Forward-backward filtering of one block.
-
-    At a true start the block is odd-extended by ``padlen`` and the forward
-    pass starts in steady state for the first value (constant history); at a
-    true end the same on the right for the backward pass.  Inner block edges
-    rely on the caller's halo of real samples.
-    """
-    L = len(h)
-    left = 2 * x[0] - x[padlen:0:-1] if at_start else np.empty(0)
-    right = 2 * x[-1] - x[-2:-padlen - 2:-1] if at_end else np.empty(0)
-    ext = np.concatenate([left, x, right])
-    pre = np.full(L, ext[0]) if at_start else np.empty(0)
-    yf = _causal(np.concatenate([pre, ext]), h)[len(pre):]
-    r = yf[::-1]
-    pre2 = np.full(L, r[0]) if at_end else np.empty(0)
-    yb = _causal(np.concatenate([pre2, r]), h)[len(pre2):][::-1]
-    return yb[len(left): len(left) + len(x)]
-
-
-def _lowpass_group(wn: float, out_trace: str | None):
-    h = impulse_response(wn)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        C, H, c = int(pdf["chunk_size"].iloc[0]), int(pdf["halo"].iloc[0]), int(pdf["chunk"].iloc[0])
-        lo, hi = blocks.own_range(c, C)
-        i = pdf["i"].to_numpy()
-        own = (i >= lo) & (i <= hi)
-        cols = ["project", "version", "trace", "i", "x", "y", "domain"]
-        if not own.any():
-            return pdf.iloc[0:0][cols]
-        y = pdf["y"].to_numpy(dtype=float)
-        at_start, at_end = i[0] == 0, i[-1] < hi + H
-        if at_start and at_end and len(y) <= FILTFILT_PADLEN:
-            raise ValueError("The length of the input vector x must be greater than padlen, "
-                             f"which is {FILTFILT_PADLEN}.")
-        out = filtfilt_block(y, h, at_start=at_start, at_end=at_end)
-        res = pdf[cols].copy()
-        res["y"] = out
-        if out_trace is not None:
-            res["trace"] = out_trace
-        return res[own]
-    return fn
+def carry(wn: float, n: int) -> np.ndarray:
+    """What ``n`` samples of zero input make of a state."""
+    return np.linalg.matrix_power(state_space(wn)[0], n)
+
+
+def _forward_scan(rows: list[dict]) -> list[dict]:
+    """Entry state of every block of one trace, and the entry state of the
+    backward pass (after the extension at the end)."""
+    wn, n = rows[0]["wn"], sum(r["len"] for r in rows)
+    if n <= FILTFILT_PADLEN:
+        raise ValueError(f"trace {rows[0]['trace']!r}: the low-pass needs more than {FILTFILT_PADLEN} samples, got {n}")
+    key = {c: rows[0][c] for c in KEY}
+    if any(r["bad"] for r in rows):
+        return [{**key, "block": r["block"], "state": None, "back": None} for r in rows]
+    head = rows[0]["head"]
+    tail = np.concatenate([r["tail"] for r in rows[-2:]])[-FILTFILT_PADLEN - 1:]
+    left = 2 * head[0] - head[FILTFILT_PADLEN:0:-1]
+    right = 2 * tail[-1] - tail[-2::-1]
+    _, state = filter_block(left, steady_state(wn, left[0]), wn)
+    out = []
+    for r in rows:
+        out.append({**key, "block": r["block"], "state": state.tolist(), "back": None})
+        state = carry(wn, r["len"]) @ state + r["end"]
+    beyond, _ = filter_block(right, state, wn)
+    _, back = filter_block(beyond[::-1], steady_state(wn, beyond[-1]), wn)
+    for o in out:
+        o["back"] = back.tolist()
+    return out
+
+
+def _backward_scan(rows: list[dict]) -> list[dict]:
+    rows = sorted(rows, key=lambda r: -r["block"])
+    wn, state, out = rows[0]["wn"], rows[0]["back"], []
+    for r in rows:
+        ok = r["back"] is not None
+        out.append({**{c: r[c] for c in KEY}, "block": r["block"], "state": np.asarray(state).tolist() if ok else None})
+        if ok:
+            state = carry(wn, r["len"]) @ state + r["end"]
+    return out
+
+
+def lowpass_by(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK) -> DataFrame:
+    """L1/L2 on every trace of ``sig`` with a row in ``params`` (project, trace,
+    wn): all traces and cutoffs in one pass of four jobs."""
+    size = max(int(min_chunk), FILTFILT_PADLEN + 1)
+    key = "project string, version int, trace string, block bigint"
+    data = _saved(blocks.to_blocks(sig.join(params.select("project", "trace", "wn"), ["project", "trace"]), size, ["wn"]),
+                  "lowpass-blocks")
+    keep = FILTFILT_PADLEN + 1
+
+    def ends(r):
+        y = r["y"].astype(float)
+        bad = bool(np.isnan(y).any())
+        yield {**{c: r[c] for c in [*KEY, "block", "wn"]}, "len": len(y), "bad": bad, "head": y[:keep].tolist(),
+               "tail": y[-keep:].tolist(), "end": None if bad else final_state(y, r["wn"]).tolist()}
+
+    first = blocks.map_rows(data, ends, f"{key}, wn double, len bigint, bad boolean, head array<double>, "
+                                        "tail array<double>, end array<double>")
+    entry = _saved(blocks.map_groups(first, KEY, "block", _forward_scan,
+                                     f"{key}, state array<double>, back array<double>"), "lowpass-states")
+
+    def forward(r):
+        y = None if r["state"] is None else filter_block(r["y"].astype(float), r["state"], r["wn"])[0]
+        yield {**{c: r[c] for c in [*KEY, "block", "wn", "domain", "back"]}, "len": len(r["y"]), "x": r["x"], "y": y,
+               "end": None if y is None else final_state(y[::-1], r["wn"])}
+
+    half = _saved(blocks.map_rows(
+        data.join(bounded_broadcast(entry), [*KEY, "block"]), forward,
+        f"{key}, wn double, domain string, back array<double>, len bigint, x array<double>, y array<double>, end array<double>"),
+        "lowpass-forward")
+    back = _saved(blocks.map_groups(half.select(*KEY, "block", "wn", "len", "back", "end"), KEY, "block", _backward_scan,
+                                    f"{key}, state array<double>"), "lowpass-back")
+
+    def backward(r):
+        y = np.full(len(r["x"]), np.nan) if r["state"] is None else filter_block(r["y"][::-1], r["state"], r["wn"])[0][::-1]
+        yield {**{c: r[c] for c in [*KEY, "block", "domain"]}, "x": r["x"], "y": y}
+
+    done = blocks.map_rows(half.drop("back", "end").join(bounded_broadcast(back), [*KEY, "block"]), backward,
+                           f"{key}, domain string, x array<double>, y array<double>")
+    return blocks.from_blocks(done, size).select("project", "version", "trace", "i", "x",
+                                                 F.nanvl("y", F.lit(None).cast("double")).alias("y"), "domain")
 
 
 def lowpass(sig: DataFrame, cutoff: str, implied_dt: float, dt_unit: str,
             out_trace: str | None = None, min_chunk: int = blocks.MIN_CHUNK) -> DataFrame:
     """L1/L2: order-10 Butterworth, zero phase, on every trace of ``sig``;
-    x unchanged.  Traces of 33 samples or fewer raise (checked in the task that
-    holds the whole short trace, no extra pass).  ``out_trace`` renames
+    x unchanged.  Traces of 33 samples or fewer raise.  ``out_trace`` renames
     the output (derivative trace); None keeps the names (overlay)."""
     wn = normalized_cutoff(cutoff, implied_dt, dt_unit)
-    h = impulse_response(wn)
-    H = len(h) + FILTFILT_PADLEN + 1
-    C = max(min_chunk, 8 * H)
-    rows = sig.select(*KEY, "i", "x", "y", "domain")
-    rows = blocks.with_halo(rows, C, H)
-    return blocks.grouped_map(rows, [*KEY, "chunk"], "i", _lowpass_group(wn, out_trace), OUT_SCHEMA)
+    out = lowpass_by(sig, sig.select("project", "trace").distinct().withColumn("wn", F.lit(wn)), min_chunk)
+    return out if out_trace is None else out.withColumn("trace", F.lit(out_trace))
 
 
 def filtfilt_reference(x: np.ndarray, wn: float, padlen: int = FILTFILT_PADLEN) -> np.ndarray:
@@ -322,119 +562,31 @@ def filtfilt_reference(x: np.ndarray, wn: float, padlen: int = FILTFILT_PADLEN)
 
 def overlay(sig: DataFrame, registry: DataFrame, projects: DataFrame) -> DataFrame:
     """L4: apply each trace's configured overlay -> (project, version, trace,
-    i, x, y_overlay, filter).  Unknown or "None" filters yield no rows;
-    Savitzky-Golay and low-pass traces are split by filter and unioned.
-    Low-pass parameters are per project (step) and per trace (cutoff): one
-    plan per distinct (project, cutoff) pair, read from the registry."""
+    i, x, y_overlay, filter).  Unknown or "None" filters yield no rows.  All
+    Savitzky-Golay traces are one pass and all low-pass traces another: window
+    and cutoff are columns, not plan branches."""
     reg = registry.select("project", "trace", "overlay")
     sg = (reg.where(F.col("overlay.filter_name") == SAVGOL_NAME)
           .select("project", "trace",
                   F.coalesce("overlay.window_length", F.lit(SAVGOL_DEFAULT_WINDOW)).alias("window_length"),
                   F.coalesce("overlay.polyorder", F.lit(SAVGOL_DEFAULT_POLYORDER)).alias("polyorder")))
-    parts = [savgol(sig.join(sg.select("project", "trace"), ["project", "trace"], "left_semi"), sg)
-             .select(*KEY, "i", "x", F.col("y").alias("y_overlay"), F.lit(SAVGOL_NAME).alias("filter"))]
+    fc = units.frequency_as(units.parse_frequency(F.coalesce("overlay.frequency", F.lit(LOWPASS_DEFAULT_CUTOFF))), "Hz")
     lp = (reg.where(F.col("overlay.filter_name") == LOWPASS_NAME)
-          .select("project", "trace", F.coalesce("overlay.frequency", F.lit(LOWPASS_DEFAULT_CUTOFF)).alias("fc"))
-          .join(projects.select("project", "implied_dt", "dt_unit"), "project"))
-    for prj, fc, dt, unit in lp.select("project", "fc", "implied_dt", "dt_unit").distinct().collect():
-        chosen = lp.where((F.col("project") == prj) & (F.col("fc") == fc)).select("project", "trace")
-        src = sig.join(chosen, ["project", "trace"], "left_semi")
-        # the step of a spectrum is not a time step: a low-pass overlay on a
-        # FREQUENCY trace is refused (Savitzky-Golay stays allowed)
-        src = src.withColumn("y", F.when(F.col("domain") == "FREQUENCY", F.raise_error(
-            F.lit("low-pass overlay on a frequency-domain trace"))).otherwise(F.col("y")))
-        part = lowpass(src, fc, dt, unit)
-        parts.append(part.select(*KEY, "i", "x", F.col("y").alias("y_overlay"),
-                                 F.lit(LOWPASS_NAME).alias("filter")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+          .join(projects.select("project", "implied_dt", "dt_unit"), "project")
+          .select("project", "trace", units.normalized_cutoff(fc, F.col("implied_dt"), F.col("dt_unit")).alias("wn")))
 
+    def shown(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*KEY, "i", "x", F.col("y").alias("y_overlay"), F.lit(name).alias("filter"))
 
-# --------------------------------------------------------------------------
-# Savitzky-Golay for windows too wide for a halo: windowed moments from
-# prefix sums (polyorder <= 3, where the centre value has a closed form)
-
-def _psum(m: int, k: Column) -> Column:
-    """sum_{d=1..k} d^m as its (Faulhaber) polynomial, valid for any integer
-    k, so sum_{d=lo..hi} d^m = _psum(m, hi) - _psum(m, lo - 1)."""
-    k = k.cast("double")
-    if m == 0:
-        return k
-    if m == 1:
-        return k * (k + 1) / 2
-    if m == 2:
-        return k * (k + 1) * (2 * k + 1) / 6
-    if m == 3:
-        return (k * (k + 1) / 2) * (k * (k + 1) / 2)
-    if m == 4:
-        return k * (k + 1) * (2 * k + 1) * (3 * k * k + 3 * k - 1) / 30
-    raise ValueError(m)
-
-
-def _range_sum(m: int, lo: Column, hi: Column) -> Column:
-    """sum_{d=lo..hi} d^m, 0 for an empty range."""
-    return F.when(hi >= lo, _psum(m, hi) - _psum(m, lo - 1)).otherwise(F.lit(0.0))
-
-
-def savgol_wide(sig: DataFrame, per: DataFrame, chunk: int = blocks.MIN_CHUNK) -> DataFrame:
-    """Savitzky-Golay ("nearest" edges) for any window width, polyorder <= 3.
-
-    ``per``: (project, version, trace, _w, _p) one row per trace.  The value
-    at i is (s4*T0 - s2*T2) / (s0*s4 - s2^2) (polyorder 2, 3) or T0 / W
-    (polyorder 0, 1), where T0, T2 are the window's sums of y and x^2 y about
-    the fit centre.  Both come from prefix sums P_m(j) = sum_{t<=j} t^m y_t
-    (chunked cumulative sums + chunk offsets: no group larger than a chunk),
-    looked up at the window ends by two equi-joins shuffled on the sample
-    index; padded samples outside the trace add y_first / y_last times
-    closed-form power sums.  Relative error ~1e-16 * (n / W)^3.
-    """
-    ends = (blocks.trace_lengths(sig)
-            .join(sig.groupBy(*KEY).agg(F.min_by("y", "i").alias("_y0"), F.max_by("y", "i").alias("_yn")), KEY)
-            .join(per, KEY))
-    ends = bounded_broadcast(ends)
-    c = F.floor(F.col("i") / chunk)
-    base = sig.select(*KEY, "i", "y").withColumn("_c", c)
-    terms = [F.col("y"), F.col("i").cast("double") * F.col("y"),
-             F.col("i").cast("double") * F.col("i").cast("double") * F.col("y")]
-    win = Window.partitionBy(*KEY, "_c").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    local = base.select(*KEY, "i", "_c", *[F.sum(t).over(win).alias(f"_l{m}") for m, t in enumerate(terms)])
-    tot = base.groupBy(*KEY, "_c").agg(*[F.sum(t).alias(f"_t{m}") for m, t in enumerate(terms)])
-    before = Window.partitionBy(*KEY).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*KEY, "_c", *[F.coalesce(F.sum(f"_t{m}").over(before), F.lit(0.0)).alias(f"_o{m}")
-                                    for m in range(3)])
-    prefix = local.join(bounded_broadcast(offs), [*KEY, "_c"]).select(
-        *KEY, F.col("i").alias("_j"), *[(F.col(f"_l{m}") + F.col(f"_o{m}")).alias(f"_P{m}") for m in range(3)])
-
-    w, p = F.col("_w"), F.col("_p")
-    odd = (w % 2) == 1
-    lo_off = F.when(odd, -F.floor((w - 1) / 2)).otherwise(-(F.floor(w / 2) - 1)).cast("bigint")  # a
-    hi_off = F.floor(w / 2).cast("bigint")  # b
-    delta = F.when(odd, F.lit(0.0)).otherwise(F.lit(0.5))
-    rows = (sig.join(ends, KEY)
-            .withColumn("_a", lo_off).withColumn("_b", hi_off).withColumn("_dl", delta)
-            .withColumn("_R", F.least(F.col("n") - 1, F.col("i") + F.col("_b")))
-            .withColumn("_L1", F.greatest(F.lit(-1).cast("bigint"), F.col("i") + F.col("_a") - 1)))
-    pr = prefix.select(*KEY, F.col("_j").alias("_R"), *[F.col(f"_P{m}").alias(f"_R{m}") for m in range(3)])
-    pl = prefix.select(*KEY, F.col("_j").alias("_L1"), *[F.col(f"_P{m}").alias(f"_Q{m}") for m in range(3)])
-    rows = rows.join(pr, [*KEY, "_R"], "left").join(pl, [*KEY, "_L1"], "left")
-    i = F.col("i").cast("double")
-    D = [F.coalesce(F.col(f"_R{m}"), F.lit(0.0)) - F.coalesce(F.col(f"_Q{m}"), F.lit(0.0)) for m in range(3)]
-    # data part of U_m = sum (j - i)^m y_j over the window's in-range j
-    U = [D[0], D[1] - i * D[0], D[2] - 2 * i * D[1] + i * i * D[0]]
-    a, b, n = F.col("_a"), F.col("_b"), F.col("n")
-    # padding: j = i+d < 0 for d in [a, -1-i]; j > n-1 for d in [n-i, b]
-    for m in range(3):
-        U[m] = (U[m] + F.col("_y0") * _range_sum(m, a, -F.col("i") - 1)
-                + F.col("_yn") * _range_sum(m, n - F.col("i"), b))
-    dl = F.col("_dl")
-    t0 = U[0]
-    t2 = U[2] - 2 * dl * U[1] + dl * dl * U[0]
-    # moments of the fit positions x = d - delta over d in [a, b]
-    S = [_range_sum(m, a, b) for m in range(5)]
-    s0 = S[0]
-    s2 = S[2] - 2 * dl * S[1] + dl * dl * S[0]
-    s4 = (S[4] - 4 * dl * S[3] + 6 * dl * dl * S[2] - 4 * dl * dl * dl * S[1] + dl * dl * dl * dl * S[0])
-    val = F.when(p <= 1, t0 / s0).otherwise((s4 * t0 - s2 * t2) / (s0 * s4 - s2 * s2))
-    return rows.select(*KEY, "i", "x", val.alias("y"), "domain")
+    parts = []
+    if sg.limit(1).count():
+        parts.append(shown(savgol(sig, sg), SAVGOL_NAME))
+    if lp.limit(1).count():
+        # the step of a spectrum is not a time step: a low-pass overlay on a
+        # FREQUENCY trace is refused (Savitzky-Golay stays allowed)
+        src = sig.withColumn("y", F.when(F.col("domain") == "FREQUENCY", F.raise_error(F.concat(
+            F.lit("a low-pass overlay needs a trace over time: "), F.col("trace")))).otherwise(F.col("y")))
+        parts.append(shown(lowpass_by(src, lp), LOWPASS_NAME))
+    if not parts:
+        return shown(sig.limit(0), NONE_NAME)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -32,7 +32,6 @@ from .util import bounded_broadcast
 
 KEY = blocks.KEY
 MAX_SINGLE = 1 << 22
-OUT_SCHEMA = "project string, version int, trace string, i bigint, x double, y double, domain string"
 
 
 def bin_width(implied_dt: float, dt_unit: str, n: int, display_unit: str) -> float:
@@ -62,15 +61,11 @@ def spectrum_values(y: np.ndarray, f1: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _single(implied_dt, dt_unit, display_unit, out_trace):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        y = pdf["y"].to_numpy(dtype=float)
-        f1 = bin_width(implied_dt, dt_unit, len(y), display_unit)
-        x, v = spectrum_values(y, f1)
-        k = np.arange(1, len(x) + 1, dtype=np.int64)
-        return pd.DataFrame({"project": pdf["project"].iloc[0], "version": pdf["version"].iloc[0],
-                             "trace": out_trace or pdf["trace"].iloc[0], "i": k - 1, "x": x, "y": v,
-                             "domain": "FREQUENCY"})
+    def fn(rows: list[dict]) -> list[dict]:
+        y = np.concatenate([r["y"].astype(float) for r in rows])
+        x, v = spectrum_values(y, bin_width(implied_dt, dt_unit, len(y), display_unit))
+        return [{"project": rows[0]["project"], "version": rows[0]["version"],
+                 "trace": out_trace or rows[0]["trace"], "x": x, "y": v}]
     return fn
 
 
@@ -169,8 +164,9 @@ def _bluestein(rows: DataFrame) -> DataFrame:
         (-(F.col("fa.re") * F.col("fb.im") + F.col("fa.im") * F.col("fb.re"))).alias("im"),  # conjugate
         F.col("fa.size_m").alias("size_m"))
     sizes = r.select(*KEY, "size_n", "size_a").distinct()
-    conv = fft_distributed(prod.join(F.broadcast(sizes), KEY))
-    out = conv.join(F.broadcast(sizes.drop("size_a")), KEY)
+    sizes = bounded_broadcast(sizes)
+    conv = fft_distributed(prod.join(sizes, KEY))
+    out = conv.join(sizes.drop("size_a"), KEY)
     return (out.where((F.col("k") >= 1) & (F.col("k") < F.floor(F.col("size_n") / 2)))
             .select(*KEY, "size_n", "k",
                     (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.col("size_m")).alias("mag")))
@@ -185,24 +181,32 @@ def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str
     if display_unit is None:
         display_unit = TIME_TO_FREQ[{u.lower(): u for u in TIME_UNITS}[dt_unit.strip().lower()]]
     _freq_unit(display_unit)
-    lengths = blocks.trace_lengths(sig).withColumnRenamed("n", "size_n")
+    # the input, which may be a computed trace, is evaluated once: block rows
+    # are written, and lengths come from them
+    spark = sig.sparkSession
+    path = scratch_path(spark, "spectrum-blocks")
+    blocks.to_blocks(sig, blocks.MIN_CHUNK).write.mode("overwrite").parquet(path)
+    data = spark.read.parquet(path)
+    lengths = data.groupBy(*KEY).agg(F.sum(F.size("y")).cast("bigint").alias("size_n"))
     lengths = bounded_broadcast(lengths)
-    rows = sig.select(*KEY, "i", "y").join(lengths, KEY)
-    small = rows.where(F.col("size_n") <= max_single).drop("size_n")
-    # Arrow turns pandas NaN into null; a zero-sum spectrum is NaN (Q16)
-    out = (blocks.grouped_map(small, KEY, "i", _single(implied_dt, dt_unit, display_unit, out_trace),
-                              OUT_SCHEMA)
-           .withColumn("y", F.coalesce(F.col("y"), F.lit(float("nan")))))
+    small = data.join(lengths.where(F.col("size_n") <= max_single), KEY)
+    small = blocks.map_groups(small.select(*KEY, "block", "y"), KEY, "block",
+                              _single(implied_dt, dt_unit, display_unit, out_trace),
+                              "project string, version int, trace string, x array<double>, y array<double>")
+    # a zero-sum spectrum is NaN (Q16)
+    out = small.select("project", "version", "trace", F.posexplode(F.arrays_zip("x", "y")).alias("k", "v")).select(
+        "project", "version", "trace", F.col("k").cast("bigint").alias("i"), F.col("v.x").alias("x"),
+        F.coalesce("v.y", F.lit(float("nan"))).alias("y"), F.lit("FREQUENCY").alias("domain"))
     big_traces = lengths.where(F.col("size_n") > max_single)
     if big_traces.limit(1).count() == 0:
         return out
-    spark = sig.sparkSession
-    facts = big_traces.withColumn("size_a", F.udf(lambda n: split_factor(int(n)), "bigint")(F.col("size_n")))
-    # (row-at-a-time on purpose: one call per long trace, a tiny table)
+    facts = blocks.map_rows(big_traces, lambda r: [{**r, "size_a": split_factor(r["size_n"])}],
+                            "project string, version int, trace string, size_n bigint, size_a bigint")
     # a split whose larger factor still exceeds max_single (primes, 2 x prime,
     # ...) would leave ~N values in one task: those traces take Bluestein
     balanced = F.greatest(F.col("size_a"), F.col("size_n") / F.col("size_a")) <= max_single
-    big = rows.join(F.broadcast(facts.select(*KEY, "size_a", balanced.alias("_bal"))), KEY)
+    long = blocks.from_blocks(data, blocks.MIN_CHUNK).select(*KEY, "i", "y")
+    big = long.join(bounded_broadcast(facts.select(*KEY, "size_n", "size_a", balanced.alias("_bal"))), KEY)
     bins = _four_step(big.where("_bal").drop("_bal")).unionByName(
         _bluestein(big.where(~F.col("_bal")).drop("_bal", "size_a")))
     path = scratch_path(spark, "spectrum-bins")

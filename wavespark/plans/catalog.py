@@ -1032,11 +1032,26 @@ def q_view_summary(spark, sf):
 # SQL oracle for the zero-phase low-pass: the cascade recurrence, sample by
 # sample, in a recursive CTE (independent of the FFT path of the library).
 
+def _sections(wn: float) -> list[tuple]:
+    """Order-10 Butterworth biquads from the real form of the bilinear map,
+    for the oracle only: with t = tan(pi wn / 2) and pole angle q,
+    b0 = t^2 / d, a1 = 2 (t^2 - 1) / d, a2 = (1 + 2 t cos q + t^2) / d,
+    d = 1 - 2 t cos q + t^2 (b1 = 2 b0, b2 = b0)."""
+    import math
+    t, out = math.tan(math.pi * wn / 2), []
+    for k in range(5):
+        cos = math.cos(math.pi * (11 + 2 * k) / 20)
+        d = 1 - 2 * t * cos + t * t
+        b0 = t * t / d
+        out.append((b0, 2 * b0, b0, 1.0, 2 * (t * t - 1) / d, (1 + 2 * t * cos + t * t) / d))
+    return out
+
+
 def _lowpass_sql(src: str, wn: float, out_trace: str | None = None, ycol: str = "y") -> str:
     """CTEs + final SELECT: filtfilt of every trace of CTE ``src``
     (project, version, trace, i, x, y).  Needs ``WITH RECURSIVE``."""
-    sos = FL.butter_sos(wn)
-    pad = FL.FILTFILT_PADLEN
+    sos = _sections(wn)
+    pad = 33
     lit = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
 
     def step(prev: str, inp: str) -> tuple[list[str], str]:
@@ -1094,14 +1109,14 @@ FROM lpb b JOIN lpx s ON s.project = b.project AND s.version = b.version AND s.t
 
 
 ORACLE["lowpass"] = "WITH RECURSIVE " + ",\n".join(S.BASE[:-2] + [S.F3, S.signal("f3", "s3")]) + ",\n" + \
-    _lowpass_sql("s3", FL.normalized_cutoff("50 MHz", 1.0, "ns")).replace(
+    _lowpass_sql("s3", 0.1).replace(
         " AS y\nFROM lpb b", " AS y, 'TIME' AS domain\nFROM lpb b")
 ORACLE["lowpass_derivative"] = "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" + \
     "clk AS (SELECT * FROM s1 WHERE trace = 'click'),\n" + \
-    _lowpass_sql("clk", FL.normalized_cutoff("100.0 Hz", 0.5, "ms"), out_trace="click_lp").replace(
+    _lowpass_sql("clk", 0.1, out_trace="click_lp").replace(
         " AS y\nFROM lpb b", " AS y, 'TIME' AS domain\nFROM lpb b")
 ORACLE["lowpass_overlay"] = "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" + \
-    _lowpass_sql("s1", FL.normalized_cutoff("100 Hz", 0.5, "ms"), ycol="y_overlay").replace(
+    _lowpass_sql("s1", 0.1, ycol="y_overlay").replace(
         " AS y_overlay\nFROM lpb b", " AS y_overlay, 'Lowpass' AS filter\nFROM lpb b")
 
 
@@ -1115,18 +1130,26 @@ def q_spectrum_long_paths(spark, sf):
     return _sig_out(SP.spectrum(sig, 0.5, "ms", display_unit="Hz", max_single=32))
 
 
-@register("savgol_wide")
+@register("savgol_wide", ORACLE["savgol_percent"])
 def q_savgol_wide(spark, sf):
-    """L3 "3%" windows through the prefix-sum form (forced with max_halo=0):
-    the path taken when a window is too wide for a chunk halo.  No oracle
-    entry: the prefix sums agree with the exact window sums (``savgol_percent``,
-    same input) only to ~1e-11 relative, which flips about one value in 300
-    across the comparison grid; tests/test_signal_ops.py checks it against
-    the whole-signal numpy filter with an explicit tolerance."""
+    """L3 "3%" windows over blocks of 16 samples, so that windows span many
+    blocks and their middle comes from block moments."""
     sig, st = _raw_signal(spark, sf, "events")
     prm = (st.registry(spark).where((F.col("project") == "events") & F.col("derivative").isNull())
            .select("project", "trace", F.lit(FL.SAVGOL_DEFAULT_WINDOW).alias("window_length"),
                    F.lit(FL.SAVGOL_DEFAULT_POLYORDER).alias("polyorder")))
-    out = FL.savgol(sig, prm, max_halo=0, min_chunk=64)
+    out = FL.savgol(sig, prm, min_chunk=16)
     return out.select("project", "version", "trace", "i", rnd("x").alias("x"),
                       rnd("y").alias("y_overlay"), F.lit(FL.SAVGOL_NAME).alias("filter"))
+
+
+@register("lowpass_low", "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" + _lowpass_sql("s1", 1e-3).replace(
+    _r("b.yo"), "floor(b.yo * 1.414213562373095e3 + 0.5) / 1.414213562373095e3"))
+def q_lowpass_low(spark, sf):
+    """L2 at Wn 1e-3 (1 Hz at the project's 0.5 ms step) on every raw events
+    trace: a response far longer than a block.  Compared on a grid of 1e-3,
+    as the textbook recurrence itself loses digits at this cutoff."""
+    sig, _ = _raw_signal(spark, sf, "events")
+    out = FL.lowpass(sig, "1 Hz", 0.5, "ms", min_chunk=256)
+    return out.select("project", "version", "trace", "i", rnd("x").alias("x"),
+                      (F.floor(F.col("y") * F.lit(1.414213562373095e3) + F.lit(0.5)) / F.lit(1.414213562373095e3)).alias("y"))
