@@ -27,7 +27,10 @@ def test_queries_and_updates(spark):
     assert R.rename_label(reg, "p", "a", "A") is reg
     r2 = R.add_stat_function(reg, "p", ["c"], "max")
     assert list(r2.where("trace = 'c'").first().stat_functions) == ["min", "max"]
-    summ = {r.state: (r.n, list(r.labels)) for r in R.state_summary(reg).collect()}
+    labels = {}
+    for r in R.state_labels(reg).orderBy("ord").collect():
+        labels.setdefault(r.state, []).append(r.label)
+    summ = {r.state: (r.n, labels[r.state]) for r in R.state_summary(reg).collect()}
     assert summ == {"Active": (2, ["A", "C"]), "Inactive": (1, ["B"])}
 
 

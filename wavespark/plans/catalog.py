@@ -66,11 +66,10 @@ def q_linear_transform(spark, sf):
 
 @register("time_axis", S.with_(*S.BASE) + f"""
 SELECT project, version, trace, i, (floor((x) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6) AS x, (floor((y) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6) AS y
-FROM s2 WHERE trace IN ('l_tax', 'TRIGGER')""")
+FROM s2""")
 def q_time_axis(spark, sf):
     sig, _ = _raw_signal(spark, sf, "lineitem")
-    return (sig.where(F.col("trace").isin("l_tax", "TRIGGER"))
-            .select("project", "version", "trace", "i", rnd("x").alias("x"), rnd("y").alias("y")))
+    return sig.select("project", "version", "trace", "i", rnd("x").alias("x"), rnd("y").alias("y"))
 
 
 # --------------------------------------------------------------------------
@@ -245,15 +244,15 @@ FROM (SELECT m.project, r.requested, m.latest,
 def q_version_resolve(spark, sf):
     st = fixture_store(spark, sf)
     cap = st.captures(spark).where(F.col("project").isin("events", "lineitem"))
-    req = spark.createDataFrame([(v,) for v in _REQ], "requested int")
-    requests = cap.select("project").distinct().crossJoin(req)
+    asked = F.explode(F.array(*[F.lit(v) for v in _REQ])).alias("requested")
+    requests = cap.select("project").distinct().select("project", asked)
     return compare.resolve_versions(requests, cap).select("project", "requested", "version")
 
 
 def _side(v: int) -> str:
     return f"""SELECT s2.project, s2.trace, s2.i - coalesce(t0.t0_index, 0) AS k, s2.y FROM s2
   LEFT JOIN t0 ON t0.project = s2.project AND t0.version = s2.version
-  WHERE s2.version = {v} AND s2.trace = 'l_tax'"""
+  WHERE s2.version = {v}"""
 
 
 @register("version_compare", S.with_(*S.BASE, f"va AS ({_side(1)})", f"vb AS ({_side(2)})") + f"""
@@ -263,7 +262,7 @@ SELECT coalesce(va.project, vb.project) AS project, coalesce(va.trace, vb.trace)
 FROM va FULL OUTER JOIN vb ON vb.project = va.project AND vb.trace = va.trace AND vb.k = va.k""")
 def q_version_compare(spark, sf):
     sig, st = _raw_signal(spark, sf, "lineitem")
-    out = compare.compare_versions(sig.where(F.col("trace") == "l_tax"), st.captures(spark), 1, 2)
+    out = compare.compare_versions(sig, st.captures(spark), 1, 2)
     return out.select("project", "trace", "k", rnd("y_a").alias("y_a"), rnd("y_b").alias("y_b"),
                       rnd("diff").alias("diff"))
 
@@ -514,11 +513,11 @@ def q_scale_consensus(spark, sf):
 
 
 @register("registry_summary", f"""WITH {_EMB_REG}, {_UPD}
-SELECT project, state, count(*) AS n, string_agg(label, '|' ORDER BY ord) AS labels
-FROM upd GROUP BY project, state""")
+SELECT project, state, ord, label, count(*) OVER (PARTITION BY project, state) AS n FROM upd""")
 def q_registry_summary(spark, sf):
-    out = REG.state_summary(_updated_registry(spark, sf))
-    return out.select("project", "state", "n", F.array_join("labels", "|").alias("labels"))
+    """A9 as rows: a label and its place per trace, with its state's count."""
+    reg = _updated_registry(spark, sf)
+    return REG.state_labels(reg).join(REG.state_summary(reg), ["project", "state"])
 
 
 @register("version_list", S.with_(*S.BASE, S.F3) + """
@@ -779,16 +778,8 @@ SELECT 'lineitem' AS project, 'prices' AS view_name, ls.r AS "row", 0 AS "column
 FROM ls JOIN agg ON agg.trace = ls.trace AND agg.version = ls.version""")
 def q_view_legend(spark, sf):
     views, sig, reg, cap, prj = _view_inputs(spark, sf)
-    v = views.where(F.col("view_name") == "prices")
-    res = VW.resolve_specs(VW.specs(v), reg, cap).where("show_legends")
-    sig2 = VW._signals_for(sig, reg, prj, res)
-    want = res.select("project", "trace", "version").distinct()
-    st = stats.trace_stats(sig2.join(want, ["project", "trace", "version"], "left_semi"))
-    st = st.select("project", "version", "trace", *[rnd(c).alias(c) for c in stats.STAT_FUNCTIONS])
-    txt = stats.legend_text(stats.selected_stats(st, reg), reg, style="view")
-    return (res.join(txt, ["project", "trace", "version"])
-            .select("project", "view_name", F.col("row"), F.col("column"), "spec_pos", "trace", "version",
-                    "legend"))
+    return VW.legends(views, sig, reg, cap, prj).select(
+        "project", "view_name", F.col("row"), F.col("column"), "spec_pos", "trace", "version", "legend")
 
 
 @register("view_extent", S.with_(*S.BASE) + f"""

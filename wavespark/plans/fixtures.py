@@ -221,11 +221,13 @@ def write_order_captures(spark: SparkSession, sf_dir: str, dest: str) -> str:
     return dest
 
 
-def write_legacy_snapshots(spark: SparkSession, sf_dir: str, project_dir: str) -> str:
+def write_legacy_snapshots(spark: SparkSession, sf_dir: str, project_dir: str, alternate: bool = False) -> str:
     """Legacy project folder ``project_dir/data/NNNNN/traces.parquet.lz4``: one
     wide lz4 Parquet file per capture block of ``orders`` (bounded size),
     written by the task that holds the block through the filesystem named by
-    the folder's URI (local path, ``file:``, ``hdfs://``, ``s3a://``...)."""
+    the folder's URI (local path, ``file:``, ``hdfs://``, ``s3a://``...).
+    ``alternate``: odd and even versions lack a column each, and every version
+    has a ``trigger.json`` (t0 = its block)."""
     import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow import fs as pafs
@@ -241,10 +243,14 @@ def write_legacy_snapshots(spark: SparkSession, sf_dir: str, project_dir: str) -
         filesystem.create_dir(d, recursive=True)
         cols = {"TRIGGER": pdf["trig"], "orders/key[31:0]": pdf["o_orderkey"],
                 "orders/cust[15:0]": pdf["o_custkey"], "orders/price": pdf["price"]}
+        if alternate:
+            del cols["orders/cust[15:0]" if version % 2 == 0 else "orders/price"]
+            with filesystem.open_output_stream(f"{d}/trigger.json") as out:
+                out.write(f'{{"t0_index": {version - 1}}}'.encode())
         t = pa.table({k: pa.array(v.to_numpy(), pa.int64()) for k, v in cols.items()})
         pq.write_table(t, f"{d}/traces.parquet.lz4", compression="lz4", row_group_size=1000,
                        filesystem=filesystem)
         return pd.DataFrame({"version": [version], "rows": [len(pdf)]})
 
-    fr.groupBy("bucket").applyInPandas(write, "version int, rows long").collect()
+    fr.groupBy("bucket").applyInPandas(write, "version int, rows long").write.format("noop").mode("overwrite").save()
     return project_dir

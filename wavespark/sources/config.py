@@ -101,39 +101,97 @@ def read_registry(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_registry(registry: DataFrame, root: str) -> None:
-    """Registry -> ``<root>/project=<p>/config.json`` (one JSON document per
-    project, traces in registry order)."""
-    ov = F.col("overlay")
+    """Registry -> ``<root>/project=<p>/``: one JSON line per trace with its
+    place in the registry, so no task gathers a project."""
+    rows = registry.select("project", F.to_json(F.struct("ord", _trace_json().alias("trace")),
+                                                {"ignoreNullFields": "true"}).alias("value"))
+    rows.write.mode("overwrite").partitionBy("project").text(root)
+
+
+def _trace_json() -> F.Column:
     d = F.col("derivative")
-    tr = F.struct(
-        F.col("ord"),
-        F.struct(F.col("trace").alias("name"), F.col("label"), F.col("state"),
-                 F.col("y_scale"), F.col("y_offset"),
-                 ov.alias("overlay"), F.col("stat_functions"),
-                 d.isNotNull().alias("derivative"),
-                 F.coalesce(d["function"], F.lit("")).alias("derivative_function"),
-                 F.coalesce(d["params"], F.create_map().cast("map<string,string>")).alias("derivative_params"),
-                 F.coalesce(d["sources"], F.array().cast("array<string>")).alias("derivative_sources"))
-        .alias("t"))
-    doc = (registry.groupBy("project")
-           .agg(F.array_sort(F.collect_list(tr), lambda a, b: F.when(a["ord"] < b["ord"], -1)
-                             .when(a["ord"] > b["ord"], 1).otherwise(0)).alias("_t"))
-           .select("project", F.to_json(F.struct(
-               F.transform("_t", lambda x: x["t"]).alias("traces")),
-               {"ignoreNullFields": "true"}).alias("value")))
-    doc.write.mode("overwrite").partitionBy("project").text(root)
+    return F.struct(F.col("trace").alias("name"), F.col("label"), F.col("state"), F.col("y_scale"), F.col("y_offset"),
+                    F.col("overlay"), F.col("stat_functions"), d.isNotNull().alias("derivative"),
+                    F.coalesce(d["function"], F.lit("")).alias("derivative_function"),
+                    F.coalesce(d["params"], F.create_map().cast("map<string,string>")).alias("derivative_params"),
+                    F.coalesce(d["sources"], F.array().cast("array<string>")).alias("derivative_sources"))
+
+
+def export_documents(rows: DataFrame, root: str, name: str, opening: str, closing: str) -> DataFrame:
+    """Write ``<root>/<project>/<name>`` for every project, the layout that
+    :func:`read_registry` and :func:`read_views` scan: ``rows`` (project, ord,
+    value) are sorted by (project, ord) and streamed into the document between
+    ``opening`` and ``closing``, so a long document is never held whole.
+    Returns (project, items), after the files are written."""
+    from ..session import qualified, scratch_path
+    spark = rows.sparkSession
+    uri = qualified(spark, root)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = rows.select("project", "ord", "value").repartition(n, "project").sortWithinPartitions("project", "ord")
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(uri)
+        project, out, count = None, None, 0
+
+        def close():
+            out.write(closing.encode())
+            out.close()
+            return pd.DataFrame({"project": [project], "items": [count]})
+
+        for pdf in batches:
+            for p, v in zip(pdf["project"], pdf["value"]):
+                if p != project:
+                    if out is not None:
+                        yield close()
+                    path = f"{base}/{p}/{name}"
+                    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    project, out, count = p, store.open_output_stream(path), 0
+                    out.write(opening.encode())
+                out.write((("," if count else "") + v).encode())
+                count += 1
+        if out is not None:
+            yield close()
+
+    done = scratch_path(spark, "documents")
+    part.mapInPandas(run, "project string, items bigint").write.mode("overwrite").parquet(done)
+    return spark.read.parquet(done)
+
+
+def export_registry(registry: DataFrame, root: str) -> DataFrame:
+    """``<root>/<project>/data/config.json`` of every project."""
+    rows = registry.select("project", "ord", F.to_json(_trace_json(), {"ignoreNullFields": "true"}).alias("value"))
+    return export_documents(rows, root, "data/config.json", '{"traces": [', "]}")
+
+
+def export_views(views: DataFrame, root: str) -> DataFrame:
+    """``<root>/<project>/data/views.json`` of every project."""
+    doc = F.struct(F.lit(1).alias("spec_version"), "title", "view_name", "num_rows", "num_columns", "sub_plots")
+    rows = views.select("project", F.col("view_name").alias("ord"), F.to_json(doc).alias("value"))
+    return export_documents(rows, root, "data/views.json", "[", "]")
+
+
+def export_projects(projects: DataFrame, root: str) -> DataFrame:
+    """``<root>/<project>/project.json`` of every project."""
+    doc = F.struct(F.lit(1).alias("project_version"), F.col("project").alias("name"), "implied_dt", "dt_unit", "description")
+    return export_documents(projects.select("project", F.lit(0).alias("ord"), F.to_json(doc).alias("value")),
+                            root, "project.json", "", "")
 
 
 def read_registry_written(spark: SparkSession, root: str) -> DataFrame:
     """Read back what :func:`write_registry` wrote (project from the folder)."""
-    raw = (spark.read.schema(REGISTRY_JSON).json(f"{root}/project=*/*.txt")
-           .withColumn("project", F.regexp_extract("_metadata.file_path", r"project=([^/]+)/", 1)))
-    path_free = raw.select("project", "traces")
-    return _registry_from_raw(path_free)
+    line = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("trace", TRACE_JSON)])
+    raw = spark.read.schema(line).json(f"{root}/project=*/*.txt")
+    return _registry_entries(raw.select(
+        F.regexp_extract("_metadata.file_path", r"project=([^/]+)/", 1).alias("project"), "ord", F.col("trace").alias("t")))
 
 
 def _registry_from_raw(raw: DataFrame) -> DataFrame:
-    t = raw.select("project", F.posexplode("traces").alias("ord", "t"))
+    return _registry_entries(raw.select("project", F.posexplode("traces").alias("ord", "t")))
+
+
+def _registry_entries(t: DataFrame) -> DataFrame:
     st = F.coalesce(F.col("t.state"), F.lit("Active"))
     is_der = F.coalesce(F.col("t.derivative"), F.lit(False))
     ov = F.col("t.overlay")
