@@ -46,12 +46,22 @@ def test_winnowing_guarantee():
         shared = rnd.choices(VOCAB, k=2 * pg.WINDOW - 1)
         texts = [" ".join(rnd.choices(VOCAB, k=rnd.randrange(90)) + shared + rnd.choices(VOCAB, k=rnd.randrange(90))) for _ in range(2)]
         *_, first, h = pg._analyse(pa.array(texts))
-        own, pos, fp = pg.winnow(h, first)
+        own, pos, fp, _ = pg.winnow(h, first)
         assert set(fp[own == 0]) & set(fp[own == 1])
         alone = pg.winnow(h[first[1]:], first[1:] - first[1])
         assert alone[1].tolist() == pos[own == 1].tolist() and alone[2].tolist() == fp[own == 1].tolist()
 
 
+def test_repetitive_text_is_one_entry(spark):
+    texts = ["a " * 500, "x y " * 300, "a " * 200]
+    *_, first, h = pg._analyse(pa.array(texts))
+    own, pos, fp, reach = pg.winnow(h, first)
+    assert np.bincount(own).max() <= 3 and (reach[own == 0].sum() > 400)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in pg.dedup(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 200}
+
+
 def test_cut():
     def go(t, gone):
         b = np.frombuffer(t.encode(), np.uint8)

@@ -85,12 +85,14 @@ def bands(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def winnow(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word position in it, hash) of the winnowed windows."""
+def winnow(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word position in it, hash, reach) of the winnowed windows.  Text
+    that repeats itself selects one hash again and again; such a stretch is
+    one entry, whose ``reach`` is the distance to the last of its windows."""
     n = len(h) - WINDOW + 1
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return none, none, none
+        return none, none, none, none
     pw, inv = (_POW, _INV) if len(h) < len(_POW) else (_powers(len(h) + 1, _BASE), _powers(len(h) + 1, _INVERSE))
     acc = np.zeros(len(h) + 1, dtype=U64)
     np.cumsum(h * pw[:len(h)], dtype=U64, out=acc[1:])
@@ -108,12 +110,17 @@ def winnow(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     j = np.arange(len(least))
     inside = j + 2 * WINDOW - 1 <= first[1:][who[:len(least)]]
     at = np.unique((least[inside] & low).astype(np.int64))
-    own = who[at]
-    return own, at - first[:-1][own], v[at].view(np.int64)
+    own, fp = who[at], v[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (fp[1:] != fp[:-1]) | (own[1:] != own[:-1]) | (at[1:] - at[:-1] > WINDOW)
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(at)) - 1
+    own = own[head]
+    return own, at[head] - first[:-1][own], fp[head].view(np.int64), at[last] - at[head]
 
 
 PAR = "array<struct<at: int, size: int, s1: bigint, s2: bigint, bands: array<bigint>>>"
-WIN = "array<struct<fp: bigint, pos: int>>"
+WIN = "array<struct<fp: bigint, pos: int, reach: int>>"
 
 
 def _list(own: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
@@ -142,8 +149,9 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                 par = pa.StructArray.from_arrays(
                     [pa.array(line), pa.array(np.diff(at).astype(np.int32)), *map(pa.array, sums), flat],
                     ["at", "size", "s1", "s2", "bands"])
-                own, pos, fp = winnow(h, first)
-                win = pa.StructArray.from_arrays([pa.array(fp), pa.array(pos.astype(np.int32))], ["fp", "pos"])
+                own, pos, fp, reach = winnow(h, first)
+                win = pa.StructArray.from_arrays([pa.array(fp), pa.array(pos.astype(np.int32)), pa.array(reach.astype(np.int32))],
+                                                 ["fp", "pos", "reach"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("id"), _list(who, part.num_rows, par), _list(own, part.num_rows, win)],
                     ["node", "id", "par", "win"])
@@ -201,12 +209,12 @@ def repeated_paragraphs(table: DataFrame, docs: DataFrame, key: str, text: str)
 
 def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(node, start, end): word ranges that repeat an earlier document's."""
-    win = table.select("node", "id", F.explode("win").alias("w")).select("node", "id", "w.fp", "w.pos")
-    first = win.groupBy("fp").agg(F.min(F.struct("id", "node", "pos")).alias("f"), F.min("node").alias("lo"),
-                                  F.max("node").alias("hi")).where("lo <> hi").select("fp", "f.node", "f.pos")
-    first = first.withColumnsRenamed({"node": "from", "pos": "there"})
+    win = table.select("node", "id", F.explode("win").alias("w")).select("node", "id", "w.fp", "w.pos", "w.reach")
+    first = win.groupBy("fp").agg(F.min(F.struct("id", "node", "pos", "reach")).alias("f"), F.min("node").alias("lo"),
+                                  F.max("node").alias("hi")).where("lo <> hi").select("fp", "f.node", "f.pos", "f.reach")
+    first = first.withColumnsRenamed({"node": "from", "pos": "there", "reach": "far"})
     seeds = win.join(first, "fp").where(F.col("node") != F.col("from")).groupBy("node").agg(
-        F.collect_set(F.struct("pos", "from", "there")).alias("s"))
+        F.collect_set(F.struct("pos", F.least("reach", "far").alias("reach"), "from", "there")).alias("s"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,14 +222,17 @@ def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str) -> Dat
             for node, s in zip(b.column("node").to_pylist(), b.column("s").to_pylist()):
                 s.sort(key=lambda r: r["pos"])
                 head = last = s[0]
+                end = head["pos"] + head["reach"] + WINDOW
                 for r in [*s[1:], None]:
-                    if r is None or r["pos"] > last["pos"] + WINDOW:
-                        end = last["pos"] + WINDOW
+                    if r is None or r["pos"] > end:
                         # the words before the run, here and there; the words after it
                         out += [(node, head["pos"], end, 0, head["pos"], head["from"], head["there"]),
-                                (node, head["pos"], end, 1, end, last["from"], last["there"] + WINDOW)]
-                        head = r
-                    last = r
+                                (node, head["pos"], end, 1, end, last["from"], last["there"] + end - last["pos"])]
+                        if r is None:
+                            break
+                        head, end = r, 0
+                    if r["pos"] + r["reach"] + WINDOW >= end:
+                        last, end = r, r["pos"] + r["reach"] + WINDOW
             cols = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
