@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,9 +34,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    distribute(spark)
     return spark
 
 
+def distribute(spark: SparkSession) -> None:
+    """Send this package to the Python workers (``addPyFile``).  Needed where
+    it is on the driver's path only; not where it is installed on the
+    executors or on their PYTHONPATH."""
+    here = Path(__file__).resolve().parent
+    if str(spark.conf.get("wavespark.distributed", "")) == str(here):
+        return
+    zipped = Path(tempfile.mkdtemp(prefix="wavespark-zip-")) / "wavespark.zip"
+    with zipfile.ZipFile(zipped, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(zipped))
+    spark.conf.set("wavespark.distributed", str(here))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
