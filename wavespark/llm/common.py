@@ -7,7 +7,6 @@ different words of one comparison collide with probability 2**-64.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import remove, scratch_path
 
 U64 = np.uint64
 #: Bytes hashed at a time and bytes of text worked on at a time.
@@ -165,15 +164,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete a table of ``saved`` that no later step reads."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(p) for p in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that no later step reads."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch)
 
 
 def text_of(c: str = "text"):

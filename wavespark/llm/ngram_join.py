@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.util import bounded_broadcast
-from .common import U64, distinct_per_text, mix, saved, shingles, slices, words
+from .common import U64, distinct_per_text, drop_saved, mix, saved, shingles, slices, words
 from .components import connected_components
 from .groups import block_pairs, common_elements, link_blocks, share_any
 
@@ -56,6 +56,12 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def class_a(num: int, den: int) -> U64:
+    """Hashes below this are class A: a quarter more of a set than the p - 1
+    shingles that may be its own."""
+    return U64(min(int(1.25 * (den - num) / den * 2**64), 2**64 - 1))
+
+
 def _required(size: np.ndarray, num: int, den: int) -> np.ndarray:
     """Elements that a set shares with any partner at least."""
     return -(-size * num // den)
@@ -64,8 +70,7 @@ def _required(size: np.ndarray, num: int, den: int) -> np.ndarray:
 def signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """node, id, size, s1, s2 (the set), in_a (shingles of class A) and low:
     class A and, where needed, the next shingles by hash."""
-    share = min(1.0, 2 * (den - num) / den)
-    edge = U64(min(int(share * 2**64), 2**64 - 1))
+    edge = class_a(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,7 +85,7 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int)
                 owner = np.repeat(np.arange(len(size)), size)
                 in_a = np.bincount(owner[x < edge], minlength=len(size))
                 p = size - _required(size, num, den) + 1
-                take = np.maximum(in_a, np.minimum(size, p + np.maximum(p // 2, 1)))
+                take = np.maximum(in_a, np.minimum(size, p + np.maximum(p // 8, 1)))
                 keep = np.arange(len(x)) - begin[:-1][owner] < take[owner]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("id"), pa.array(size), pa.array(s1.view(np.int64)),
@@ -97,15 +102,14 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int)
 def prefixes(table: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """node, size, rank and the prefix p0, p1, ... under each order, of the
     classes that can have partners."""
-    share = min(1.0, 2 * (den - num) / den)
-    edge = U64(min(int(share * 2**64), 2**64 - 1))
+    edge = class_a(num, den)
     if _has_repeats(table):  # rows that repeat a document have equal content
         table = table.dropDuplicates(["node"])
-    rows = table.join(classes.select("node"), "node", "left_semi").select(
-        "node", "size", "in_a", F.size("low").alias("held"), F.explode("low").alias("token"))
+    table = table.join(classes.select("node"), "node", "left_semi")
+    rows = table.select("node", F.explode("low").alias("token"))  # as narrow as can be: most rows of all
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(often, "token").groupBy("node", "size", "in_a", "held").agg(
-        F.collect_list(F.struct("token", "df")).alias("t"))
+    shared = rows.join(often, "token").groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("t"))
+    shared = shared.join(table.select("node", "size", "in_a", F.size("low").alias("held")), "node")
     alone = F.col("held") - F.size("t")
     alive = shared.where(alone <= F.col("size") - F.ceil(F.col("size") * num / den)).select(
         "node", "size", "in_a", alone.cast("long").alias("rank"), F.col("t.token").alias("token"), F.col("t.df").alias("df"))
@@ -162,9 +166,11 @@ def verifier(num: int, den: int):
 def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
               num: int = 80, den: int = 100) -> DataFrame:
     """node, id, size and root (of the node's component) of every row."""
-    table = signatures(docs, key, text, n, num, den)
+    shingled = signatures(docs, key, text, n, num, den)
+    table = saved(shingled.drop("low"), "ngram-documents")
     classes = table.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("node").alias("node"))
-    pre = prefixes(table, classes, num, den)
+    pre = prefixes(shingled, classes, num, den)
+    drop_saved(shingled)
     postings = pre.select("node", "rank", F.col("size").alias("n"), F.explode("p0").alias("key"))
     pairs = saved(block_pairs(postings), "ngram-blocks")
     wanted = pairs.select("node").distinct()
@@ -179,25 +185,29 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
         bounded_broadcast(wanted), "node", "left_semi")
     full = chosen.mapInArrow(sets, "node long, tokens array<long>").join(pre.drop("size", "rank"), "node")
     roots = connected_components(link_blocks(pairs, full, verifier(num, den)))
-    return table.join(classes.withColumnRenamed("node", "class"), ["s1", "s2", "size"], "left").join(
+    done = saved(table.join(classes.withColumnRenamed("node", "class"), ["s1", "s2", "size"], "left").join(
         roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
-        "node", "id", "size", F.coalesce("root", "class", "node").alias("root"))
+        "node", "id", "size", F.coalesce("root", "class", "node").alias("root")), "ngram-roots")
+    drop_saved(table, pre, pairs)
+    return done
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
                    num: int = 80, den: int = 100) -> DataFrame:
     """id (as ``key``), n_shingles and component_id: the smallest id that links reach."""
     rows = near_sets(docs, key, text, n, num, den)
-    least = rows.where("size > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.join(least, "root", "left").select(
+    # a document alone in its component names it itself; only the others are joined
+    least = rows.where("size > 0").groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("c")).where(
+        "c > 1").drop("c")
+    return rows.join(bounded_broadcast(least), "root", "left").select(
         F.col("id").alias(key), F.col("size").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        F.when(F.col("size") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
              num: int = 80, den: int = 100) -> DataFrame:
     """The documents without near duplicates of a smaller id, columns as given."""
-    rows = saved(near_sets(docs, key, text, n, num, den), "ngram-roots")
+    rows = near_sets(docs, key, text, n, num, den)
     best = rows.where("size > 0").groupBy("root").agg(
         F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)), "node"))["node"].alias("best"), F.count("*").alias("c"))
     gone = rows.where("size > 0").join(best.where("c > 1"), "root").where("node <> best").select("node").distinct()

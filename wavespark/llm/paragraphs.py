@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.util import bounded_broadcast
-from .common import (_BASE, _INV, _INVERSE, _POW, U64, _powers, distinct_per_text, mix, saved, shingles, slices,
+from .common import (_BASE, _INV, _INVERSE, _POW, U64, _powers, distinct_per_text, drop_saved, mix, saved, shingles, slices,
                      span_hashes, utf8, word_spans)
 from .components import connected_components
 from .groups import block_pairs, common_elements, link_blocks, share_any
@@ -170,8 +170,8 @@ def verify(c: dict[str, list]) -> np.ndarray:
     return ok & (both * DEN >= (np.add.outer(size, size) - both) * NUM)
 
 
-def repeated_paragraphs(table: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, at): the lines to remove."""
+def repeated_paragraphs(table: DataFrame, docs: DataFrame, key: str, text: str, scratch: list) -> DataFrame:
+    """(node, at): the lines to remove.  Tables it reads are added to ``scratch``."""
     par = table.select("node", "id", F.explode("par").alias("p")).select("node", "id", "p.*").withColumn(
         "pid", F.xxhash64("node", "at"))
     classes = par.groupBy("s1", "s2", "size").agg(F.min("pid").alias("class"))
@@ -179,6 +179,7 @@ def repeated_paragraphs(table: DataFrame, docs: DataFrame, key: str, text: str)
         F.col("pid").alias("node"), F.lit(0).alias("rank"), F.col("size").cast("long").alias("n"),
         F.explode("bands").alias("key")).distinct()
     pairs = saved(block_pairs(postings), "paragraph-blocks")
+    scratch.append(pairs)
     wanted = pairs.select(F.col("node").alias("pid")).distinct().join(par.select("pid", "node", "at"), "pid").groupBy(
         "node").agg(F.collect_set(F.struct("at", "pid")).alias("take"))
 
@@ -207,7 +208,7 @@ def repeated_paragraphs(table: DataFrame, docs: DataFrame, key: str, text: str)
     return rows.join(kept.select("root", "kept"), "root").where(place != F.col("kept")).select("node", "at")
 
 
-def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str, scratch: list) -> DataFrame:
     """(node, start, end): word ranges that repeat an earlier document's."""
     win = table.select("node", "id", F.explode("win").alias("w")).select("node", "id", "w.fp", "w.pos", "w.reach")
     first = win.groupBy("fp").agg(F.min(F.struct("id", "node", "pos", "reach")).alias("f"), F.min("node").alias("lo"),
@@ -239,6 +240,7 @@ def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str) -> Dat
                                              ["node", "start", "end", "side", "pos", "from", "there"])
 
     ends = saved(seeds.mapInArrow(merge, "node long, start int, end int, side int, pos int, from long, there int"), "run-ends")
+    scratch.append(ends)
     asked = ends.select("node", "pos", "side").union(ends.select("from", "there", "side")).distinct().groupBy("node").agg(
         F.collect_list(F.struct("pos", "side")).alias("take"))
 
@@ -259,8 +261,9 @@ def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str) -> Dat
 
     chosen = docs.select(text_key(key, text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
         bounded_broadcast(asked), "node")
-    near = saved(chosen.mapInArrow(context, "node long, pos int, side int, near array<int>"), "run-context").groupBy(
-        "node", "pos", "side").agg(F.any_value("near").alias("near"))
+    near = saved(chosen.mapInArrow(context, "node long, pos int, side int, near array<int>"), "run-context")
+    scratch.append(near)
+    near = near.groupBy("node", "pos", "side").agg(F.any_value("near").alias("near"))
     there = near.withColumnsRenamed({"node": "from", "pos": "there", "near": "other"})
     both = F.arrays_zip("near", "other")
     differs = F.array_position(F.transform(both, lambda p: p["near"].eqNullSafe(p["other"])), False)
@@ -296,11 +299,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     adds n_words, n_removed (words) and removed (first word, words)."""
     new = {"n_words": "long", "n_removed": "long", "removed": "array<struct<start: int, words: int>>"}
     rest = [c for c in docs.columns if c not in new]
-    table = describe(docs, key, text)
-    lines = repeated_paragraphs(table, docs, key, text).groupBy("node").agg(F.collect_set("at").alias("__lines"))
-    runs = repeated_runs(table, docs, key, text).groupBy("node").agg(
+    table, scratch = describe(docs, key, text), []
+    lines = repeated_paragraphs(table, docs, key, text, scratch).groupBy("node").agg(F.collect_set("at").alias("__lines"))
+    runs = repeated_runs(table, docs, key, text, scratch).groupBy("node").agg(
         F.collect_list(F.struct("start", "end")).alias("__runs"))
     edits = saved(lines.join(runs, "node", "full").withColumnRenamed("node", "__node"), "paragraph-edits")
+    drop_saved(table, *scratch)
     frame = docs.select(*rest).withColumn("__node", text_key(key, text)).join(
         bounded_broadcast(edits), "__node", "left").drop("__node")
     schema = docs.select(*rest, *(F.lit(None).cast(t).alias(c) for c, t in new.items())).schema

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, saved, slices, span_hashes, utf8, word_spans
+from .common import U64, drop_saved, mix, saved, slices, span_hashes, utf8, word_spans
 
 WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 64, 32, 16
 ROUNDS, FIRST_STEPS, STEPS = 3, 6, 2
@@ -292,6 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     good, bad = tally.get(1.0, 0), tally.get(0.0, 0)
     model = Model(prior=good / (good + bad) if good + bad else 1.0)
     if not good or not bad:
+        drop_saved(table)
         return model
 
     def moments(x, _label, _fold):
@@ -307,6 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for _ in range(STEPS if r else FIRST_STEPS):
             _newton(table, model, teacher, exchange=r > 0)
         _calibrate(table, model)
+    drop_saved(table)
     return model
 
 
