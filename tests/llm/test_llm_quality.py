@@ -49,6 +49,22 @@ def test_learns_from_few_labels(spark):
     assert all(0 <= v <= 1 for r in got.values() for v in (r.text_score, r.meta_score, r.score))
 
 
+def test_a_view_cannot_teach_what_it_cannot_see(spark):
+    """Rare junk that metadata does not show stays recognised by the text."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(1500):
+        junk = i % 10 == 0
+        w = rng.choice(["the", "river", "runs", "by", "old", "stones"], 40)
+        t = (" | " if junk else " ").join(w) + "\nThe end of it."
+        rows.append((i, t, "ab"[i % 2], "en", 200, "x"))
+        if i % 40 in (0, 1, 2, 3):
+            labels.append((i, int(not junk)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = q.classify(df, q.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"))).collect()
+    assert all(r.keep == (r.doc_id % 10 != 0) for r in got)
+
+
 def test_edges(spark):
     rows, _ = docs(60)
     odd = [(900, None, None, None, None, None), (901, "", "a", None, 0, "x"), (1, rows[1][1], "b", "en", 5, "x"),

@@ -38,8 +38,9 @@ from .common import U64, drop_saved, mix, saved, slices, span_hashes, utf8, word
 WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 64, 32, 16
 ROUNDS, FIRST_STEPS, STEPS = 3, 6, 2
 #: Calibrated probability from which a view's prediction becomes a pseudo-label,
-#: the weight of such a label, and the ridge penalty.
-CONFIDENT, PSEUDO_WEIGHT, RIDGE = 0.97, 0.5, 1.0
+#: unless the taught view gives that label less than ``DISSENT`` (a view cannot
+#: teach what it cannot see); the weight of such a label, and the ridge penalty.
+CONFIDENT, DISSENT, PSEUDO_WEIGHT, RIDGE = 0.99, 0.3, 0.5, 1.0
 #: One labelled document in so many calibrates and is not fitted.
 HOLD = 5
 BINS, REACH = 200, 20.0
@@ -190,8 +191,8 @@ def _targets(model: Model, parts: list[np.ndarray], label, fold, exchange: bool)
     for i in range(2):
         y, w = np.where(known, label, 0.0), (known & (fold != 0)).astype(np.float64)
         if exchange:
-            told = sigmoid(model.views[1 - i].logit(parts[1 - i]))
-            sure = ~known & ((told >= CONFIDENT) | (told <= 1 - CONFIDENT))
+            told, own = (sigmoid(model.views[j].logit(parts[j])) for j in (1 - i, i))
+            sure = ~known & (((told >= CONFIDENT) & (own > DISSENT)) | ((told <= 1 - CONFIDENT) & (own < 1 - DISSENT)))
             y, w = np.where(sure, told > 0.5, y), np.where(sure, PSEUDO_WEIGHT, w)
         out.append((y, w))
     return out
