@@ -44,7 +44,10 @@ def test_frames(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r.ids == c.encode(r.text) and r.decoded == c.decode(r.ids)
+    both = bpe.encode_decode(df, PATH).collect()
+    assert sorted((r.doc_id or -1, r.ids, r.decoded) for r in both) == sorted((r.doc_id or -1, r.ids, r.decoded) for r in got)
     assert bpe.encode(df.limit(0), PATH).count() == 0
+    assert bpe.encode_decode(df.limit(0), PATH).count() == 0
 
 
 def test_query(spark, reference):

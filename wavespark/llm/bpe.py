@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 #: Parts up to which the rank array is scanned.
 SHORT = 48
 #: Memoised words per Python worker.
-MEMO = 250_000
+MEMO = 150_000
 
 SPECIAL = regex.compile(r"<\|(?:start|end)oftext\|>")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
@@ -249,15 +249,36 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = [c.encode_bytes(t) for t in part.column(text).to_pylist()]
-                off = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=off[1:])
-                col = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+                col = _id_lists([c.encode_bytes(t) for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in rest), col], [*rest, out])
 
     return df.mapInArrow(run, _with_schema(df, out, "array<int>"))
 
 
+def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Both in one pass: add ``ids`` and the text decoded from them."""
+    rest = [c for c in df.columns if c not in (ids, out)]
+    schema = df.select(*rest, F.lit(None).cast("array<int>").alias(ids), F.lit("").alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                raw = [c.encode_bytes(t) for t in part.column(text).to_pylist()]
+                texts = [c.decode(array("i", x)) for x in raw]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(x) for x in rest), _id_lists(raw), pa.array(texts, pa.string())], [*rest, ids, out])
+
+    return df.mapInArrow(run, schema)
+
+
+def _id_lists(raw: list[bytes]) -> pa.Array:
+    off = np.zeros(len(raw) + 1, dtype=np.int32)
+    np.cumsum([len(x) // 4 for x in raw], out=off[1:])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` string: the decoded text of the id column."""
     rest = [c for c in df.columns if c != out]

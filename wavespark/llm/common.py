@@ -154,7 +154,23 @@ def slices(batch: pa.RecordBatch, col: str, most: int = SLICE_BYTES) -> Iterator
         at = to
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to ``BATCH_BYTES`` (a lower
+    one stays): with long texts the default of 64 MB, doubled while a batch is
+    built, is the largest single use of memory on either side."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower().removesuffix("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1] in "kmg" else int(now)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -162,6 +178,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared checkpoint folder and read back, so a
     lost executor costs a re-read and never a recomputation with other rows."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -28,9 +28,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = read(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    enc = bpe.encode(docs, path).drop("text")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return bpe.decode(enc, path).select(
+    return bpe.encode_decode(docs, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(ids, "utf-8"), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
