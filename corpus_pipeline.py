@@ -43,8 +43,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text and the text decoded from them."""
     path = tokenizer_path()
-    ids = bpe.encode(docs.withColumn("text", text_of()), path).drop("text")
-    return bpe.decode(ids.withColumn("n_tokens", F.size("ids").cast("long")), path)
+    coded = bpe.encode_decode(docs.withColumn("text", text_of()), path).drop("text")
+    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
