@@ -68,8 +68,8 @@ def _required(size: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """node, id, size, s1, s2 (the set), in_a (shingles of class A) and low:
-    class A and, where needed, the next shingles by hash."""
+    """node, id, size, s1, s2 (the set), in_a (shingles of class A) and the
+    ``held`` shingles ``low``: class A and, where needed, the next by hash."""
     edge = class_a(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,27 +89,30 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int)
                 keep = np.arange(len(x)) - begin[:-1][owner] < take[owner]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("id"), pa.array(size), pa.array(s1.view(np.int64)),
-                     pa.array(s2.view(np.int64)), pa.array(in_a.astype(np.int64)),
+                     pa.array(s2.view(np.int64)), pa.array(in_a.astype(np.int64)), pa.array(take * (size > 0)),
                      _lists(x[keep], np.concatenate([[0], np.cumsum(take * (size > 0))]))],
-                    ["node", "id", "size", "s1", "s2", "in_a", "low"])
+                    ["node", "id", "size", "s1", "s2", "in_a", "held", "low"])
 
     frame = docs.select(text_key(key, text).alias("node"), F.col(key).cast("long").alias("id"),
                         F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return saved(frame.mapInArrow(run, "node long, id long, size long, s1 long, s2 long, in_a long, low array<long>"),
+    return saved(frame.mapInArrow(run, "node long, id long, size long, s1 long, s2 long, in_a long, "
+                                  "held long, low array<long>"),
                  "ngram-sets")
 
 
-def prefixes(table: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def prefixes(shingled: DataFrame, table: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
     """node, size, rank and the prefix p0, p1, ... under each order, of the
-    classes that can have partners."""
+    classes that can have partners.  ``table`` is ``shingled`` without its
+    lists, ``copies`` the nodes that another one of their class stands for."""
     edge = class_a(num, den)
+    narrow = table.select("node", "size", "in_a", "held")
     if _has_repeats(table):  # rows that repeat a document have equal content
-        table = table.dropDuplicates(["node"])
-    table = table.join(classes.select("node"), "node", "left_semi")
-    rows = table.select("node", F.explode("low").alias("token"))  # as narrow as can be: most rows of all
+        shingled, narrow = shingled.dropDuplicates(["node"]), narrow.dropDuplicates(["node"])
+    alone = shingled.where("size > 0").select("node", "low").join(bounded_broadcast(copies), "node", "left_anti")
+    rows = alone.select("node", F.explode("low").alias("token"))  # as narrow as can be: most rows of all
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "token").groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("t"))
-    shared = shared.join(table.select("node", "size", "in_a", F.size("low").alias("held")), "node")
+    shared = shared.join(narrow, "node")
     alone = F.col("held") - F.size("t")
     alive = shared.where(alone <= F.col("size") - F.ceil(F.col("size") * num / den)).select(
         "node", "size", "in_a", alone.cast("long").alias("rank"), F.col("t.token").alias("token"), F.col("t.df").alias("df"))
@@ -169,7 +172,9 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     shingled = signatures(docs, key, text, n, num, den)
     table = saved(shingled.drop("low"), "ngram-documents")
     classes = table.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("node").alias("node"))
-    pre = prefixes(shingled, classes, num, den)
+    copies = table.join(classes.withColumnRenamed("node", "class"), ["s1", "s2", "size"]).where(
+        "node <> class").select("node").distinct()
+    pre = prefixes(shingled, table, copies, num, den)
     drop_saved(shingled)
     postings = pre.select("node", "rank", F.col("size").alias("n"), F.explode("p0").alias("key"))
     pairs = saved(block_pairs(postings), "ngram-blocks")
