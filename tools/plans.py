@@ -13,7 +13,8 @@ from wavespark.plans import catalog  # noqa: E402
 from wavespark.session import local_session  # noqa: E402
 
 NAMES = ["linear_transform", "trace_stats", "power_multiply", "version_compare", "savgol_odd",
-         "spectrum", "lowpass", "capture_ingest", "trace_stats_selected"]
+         "spectrum", "lowpass", "capture_ingest", "trace_stats_selected", "trace_divide", "derived_of_derived",
+         "savgol_percent", "view_rows"]
 KEEP = re.compile(r"^\(\d+\) (Scan|BroadcastHashJoin|SortMergeJoin|Exchange)|^(PushedFilters|PartitionFilters|"
                   r"ReadSchema|Arguments: (hashpartitioning|rangepartitioning|SinglePartition))")
 
