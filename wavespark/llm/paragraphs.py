@@ -120,7 +120,6 @@ def winnow(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 PAR = "array<struct<at: int, size: int, s1: bigint, s2: bigint, bands: array<bigint>>>"
-WIN = "array<struct<fp: bigint, pos: int, reach: int>>"
 
 
 def _list(own: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
@@ -134,8 +133,44 @@ def _analyse(col: pa.Array):
     return buf, off, starts, ends, first, span_hashes(buf, starts, ends)
 
 
+def left_over(part: pa.RecordBatch, buf, off, starts, first) -> tuple[np.ndarray, np.ndarray]:
+    """Which words stay once the lines in the column ``lines`` are gone, and
+    the first of them of each text."""
+    keep = np.ones(len(starts), dtype=bool)
+    newline = np.flatnonzero(buf == 10)
+    for d, ls in enumerate(part.column("lines").to_pylist()):
+        if ls:
+            w = slice(first[d], first[d + 1])
+            keep[w] = ~np.isin(np.searchsorted(newline, starts[w]) - np.searchsorted(newline, off[d]), ls)
+    return keep, np.concatenate([[0], np.cumsum(keep)])[first]
+
+
+def texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(text_key(key, text).alias("node"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"),
+                       F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def fingerprints(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
+    """node, id, fp, pos, reach of what is left of every text without its
+    removed lines (node, lines); positions count the words left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "text", STEP):
+                buf, off, starts, _, first, h = _analyse(part.column("text"))
+                keep, first = left_over(part, buf, off, starts, first)
+                own, pos, fp, reach = winnow(h[keep], first)
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node").take(own), part.column("id").take(own), pa.array(fp),
+                     pa.array(pos.astype(np.int32)), pa.array(reach.astype(np.int32))], ["node", "id", "fp", "pos", "reach"])
+
+    return saved(texts(docs, key, text).join(bounded_broadcast(lines), "node", "left").mapInArrow(
+        run, "node long, id long, fp long, pos int, reach int"), "passages")
+
+
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """node, id, par (long lines) and win (fingerprints) of every text."""
+    """node, id and par (long lines) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,16 +184,10 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                 par = pa.StructArray.from_arrays(
                     [pa.array(line), pa.array(np.diff(at).astype(np.int32)), *map(pa.array, sums), flat],
                     ["at", "size", "s1", "s2", "bands"])
-                own, pos, fp, reach = winnow(h, first)
-                win = pa.StructArray.from_arrays([pa.array(fp), pa.array(pos.astype(np.int32)), pa.array(reach.astype(np.int32))],
-                                                 ["fp", "pos", "reach"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("id"), _list(who, part.num_rows, par), _list(own, part.num_rows, win)],
-                    ["node", "id", "par", "win"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), _list(who, part.num_rows, par)],
+                                                 ["node", "id", "par"])
 
-    frame = docs.select(text_key(key, text).alias("node"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"),
-                        F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return saved(frame.mapInArrow(run, f"node long, id long, par {PAR}, win {WIN}"), "paragraphs")
+    return saved(texts(docs, key, text).mapInArrow(run, f"node long, id long, par {PAR}"), "paragraphs")
 
 
 def verify(c: dict[str, list]) -> np.ndarray:
@@ -208,10 +237,13 @@ def repeated_paragraphs(table: DataFrame, docs: DataFrame, key: str, text: str,
     return rows.join(kept.select("root", "kept"), "root").where(place != F.col("kept")).select("node", "at")
 
 
-def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str, scratch: list) -> DataFrame:
-    """(node, start, end): word ranges that repeat an earlier document's."""
-    win = table.select("node", "id", F.explode("win").alias("w")).select("node", "id", "w.fp", "w.pos", "w.reach")
-    first = win.groupBy("fp").agg(F.min(F.struct("id", "node", "pos", "reach")).alias("f"), F.min("node").alias("lo"),
+def repeated_runs(lines: DataFrame, docs: DataFrame, key: str, text: str, scratch: list) -> DataFrame:
+    """(node, start, end): word ranges that repeat an earlier document's, in
+    what is left without ``lines``, so that one copy of everything stays."""
+    win = fingerprints(docs, lines, key, text)
+    scratch.append(win)
+    # the first stays; of stretches that repeat themselves the first longest one
+    first = win.groupBy("fp").agg(F.min(F.struct((-F.col("reach")).alias("short"), "id", "node", "pos", "reach")).alias("f"), F.min("node").alias("lo"),
                                   F.max("node").alias("hi")).where("lo <> hi").select("fp", "f.node", "f.pos", "f.reach")
     first = first.withColumnsRenamed({"node": "from", "pos": "there", "reach": "far"})
     seeds = win.join(first, "fp").where(F.col("node") != F.col("from")).groupBy("node").agg(
@@ -247,7 +279,9 @@ def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str, scratc
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text", STEP):
-                *_, first, h = _analyse(part.column("text"))
+                buf, off, starts, _, first, h = _analyse(part.column("text"))
+                keep, first = left_over(part, buf, off, starts, first)
+                h = h[keep]
                 out = [], [], [], []
                 nodes = part.column("node").to_pylist()
                 for d, ts in enumerate(part.column("take").to_pylist()):
@@ -259,8 +293,7 @@ def repeated_runs(table: DataFrame, docs: DataFrame, key: str, text: str, scratc
                 kinds = pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["node", "pos", "side", "near"])
 
-    chosen = docs.select(text_key(key, text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        bounded_broadcast(asked), "node")
+    chosen = texts(docs, key, text).join(bounded_broadcast(asked), "node").join(bounded_broadcast(lines), "node", "left")
     near = saved(chosen.mapInArrow(context, "node long, pos int, side int, near array<int>"), "run-context")
     scratch.append(near)
     near = near.groupBy("node", "pos", "side").agg(F.any_value("near").alias("near"))
@@ -300,11 +333,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     new = {"n_words": "long", "n_removed": "long", "removed": "array<struct<start: int, words: int>>"}
     rest = [c for c in docs.columns if c not in new]
     table, scratch = describe(docs, key, text), []
-    lines = repeated_paragraphs(table, docs, key, text, scratch).groupBy("node").agg(F.collect_set("at").alias("__lines"))
-    runs = repeated_runs(table, docs, key, text, scratch).groupBy("node").agg(
-        F.collect_list(F.struct("start", "end")).alias("__runs"))
-    edits = saved(lines.join(runs, "node", "full").withColumnRenamed("node", "__node"), "paragraph-edits")
+    lines = repeated_paragraphs(table, docs, key, text, scratch).groupBy("node").agg(F.collect_set("at").alias("lines"))
+    lines = saved(lines, "paragraph-lines")
     drop_saved(table, *scratch)
+    scratch = [lines]
+    runs = repeated_runs(lines, docs, key, text, scratch).groupBy("node").agg(
+        F.collect_list(F.struct("start", "end")).alias("__runs"))
+    edits = saved(lines.join(runs, "node", "full").withColumnsRenamed({"node": "__node", "lines": "__lines"}), "paragraph-edits")
+    drop_saved(*scratch)
     frame = docs.select(*rest).withColumn("__node", text_key(key, text)).join(
         bounded_broadcast(edits), "__node", "left").drop("__node")
     schema = docs.select(*rest, *(F.lit(None).cast(t).alias(c) for c, t in new.items())).schema
@@ -325,8 +361,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     at, to = starts[first[d]:first[d + 1]] - off[d], ends[first[d]:first[d + 1]] - off[d]
                     raw = buf[off[d]:off[d + 1]]
                     gone = np.isin(np.searchsorted(np.flatnonzero(raw == 10), at), ls)
+                    left = np.flatnonzero(~gone)
                     for r in rs:
-                        gone[r["start"]:r["end"]] = True
+                        gone[left[r["start"]:r["end"]]] = True
                     texts[d] = cut(raw.tobytes(), at, to, gone)
                     count[d] = gone.sum()
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
