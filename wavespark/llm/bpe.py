@@ -114,10 +114,17 @@ class Codec(dict):
 
     def _odd(self) -> frozenset[str]:
         """Characters that ``re`` and the tokenizer's tables class differently."""
-        every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-        space = set(regex.findall(r"\s", every)) ^ set(re.findall(r"\s", every))
-        l, n = set(re.findall(r"[^\W\d_]", every)), set(re.findall(r"\d", every))
-        return frozenset(space | set(map(chr, self.lower)) | (l ^ set(map(chr, self._members("L")))) | (n ^ set(map(chr, self._members("N")))))
+        odd = set(map(chr, self.lower))
+        newer = {k: {chr(c) for a, b in NEWER[k] for c in range(a, b + 1)} for k in "LN"}
+        for at in range(0, 0x110000, 0x800):  # in pieces: a worker keeps what it once allocated
+            if 0xD800 <= at < 0xE000:
+                continue
+            every = "".join(map(chr, range(at, at + 0x800)))
+            odd |= set(regex.findall(r"\s", every)) ^ set(re.findall(r"\s", every))
+            for k, pattern in (("L", r"[^\W\d_]"), ("N", r"\d")):
+                own = {c for c in every if unicodedata.category(c)[0] == k or c in newer[k]}
+                odd |= own ^ set(re.findall(pattern, every))
+        return frozenset(odd)
 
     @staticmethod
     def _members(kind: str) -> list[int]:

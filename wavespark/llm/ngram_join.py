@@ -57,9 +57,11 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
 
 
 def class_a(num: int, den: int) -> U64:
-    """Hashes below this are class A: a quarter more of a set than the p - 1
-    shingles that may be its own."""
-    return U64(min(int(1.25 * (den - num) / den * 2**64), 2**64 - 1))
+    """Hashes below this are class A: up to twice the p - 1 shingles of a set
+    that may be its own, so that a text without partners stands out, but no
+    more than 30 % of a set (at least a quarter more than p - 1)."""
+    own = (den - num) / den
+    return U64(min(int(max(min(2 * own, 0.3), 1.25 * own) * 2**64), 2**64 - 1))
 
 
 def _required(size: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -85,7 +87,7 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int)
                 owner = np.repeat(np.arange(len(size)), size)
                 in_a = np.bincount(owner[x < edge], minlength=len(size))
                 p = size - _required(size, num, den) + 1
-                take = np.maximum(in_a, np.minimum(size, p + np.maximum(p // 8, 1)))
+                take = np.maximum(in_a, np.minimum(size, p + np.maximum(p // 4, 1)))
                 keep = np.arange(len(x)) - begin[:-1][owner] < take[owner]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("id"), pa.array(size), pa.array(s1.view(np.int64)),
