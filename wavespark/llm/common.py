@@ -12,14 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import remove, scratch_path
 
 U64 = np.uint64
-#: Bytes hashed at a time and bytes of text worked on at a time.
-BLOCK = 1 << 20
+#: Bytes hashed at a time (they fit a core's cache) and bytes of text worked on at a time.
+BLOCK = 1 << 17
 SLICE_BYTES = 6 << 20
 
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -142,8 +143,15 @@ def distinct_per_text(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return x, np.searchsorted(owner, np.arange(len(first)))
 
 
+def _lean() -> None:
+    """In a task: let Arrow give freed memory back (its own pool keeps it)."""
+    if TaskContext.get() is not None and pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def slices(batch: pa.RecordBatch, col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of at most ``most`` bytes of text (one row at least)."""
+    _lean()
     if not batch.num_rows:
         return
     _, off = utf8(batch.column(col))
