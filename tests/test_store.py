@@ -141,3 +141,47 @@ def test_stream_ingest_restart_is_idempotent(spark, tmpdir_fresh):
     start_ingest(spark, landing, st, "s", os.path.join(tmpdir_fresh, "ckpt2")).awaitTermination()
     assert st.captures(spark).count() == 2
     assert st.samples(spark).where(F.col("version") == 2).count() == 8
+
+
+def test_retry_after_a_crash_and_digit_names(spark, tmpdir_fresh):
+    """The captures table is written last.  Without it (a crash before) the
+    version is not visible, and a retry writes nothing twice; a project called
+    007 keeps its name in every table."""
+    src = os.path.join(tmpdir_fresh, "src")
+    os.makedirs(src)
+    st = store.Store(os.path.join(tmpdir_fresh, "store"))
+    p = _capture(src, "cap.csv", [1, 2, 3, 4], trig=[0, 0, 1, 1])
+    os.utime(p, (1_000_000, 1_000_000))
+    assert store.ingest_changed(spark, st, src, "007").count() == 1
+    os.rename(os.path.join(st.root, "captures"), os.path.join(tmpdir_fresh, "lost"))
+    assert st.samples(spark).count() == 0 and st.samples(spark, committed=False).count() == 8
+    assert store.ingest_changed(spark, st, src, "007").count() == 1
+    assert store.ingest_changed(spark, st, src, "007").count() == 0
+    for df in (st.samples(spark), st.captures(spark), st.registry(spark), st.notes(spark)):
+        assert {r.project for r in df.select("project").distinct().collect()} == {"007"}
+    assert st.notes(spark).count() == 2 and st.registry(spark).count() == 2 and st.samples(spark).count() == 8
+
+
+def test_legacy_versions_of_different_columns(spark, tmpdir_fresh):
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    d = os.path.join(tmpdir_fresh, "legacy")
+    for version, cols in ((1, {"a": [1, 2], "b": [3, None]}), (2, {"a": [4, 5, 6], "c": [7, 8, 9]})):
+        path = os.path.join(d, "data", f"{version:05}")
+        os.makedirs(path)
+        pq.write_table(pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()}),
+                       os.path.join(path, "traces.parquet.lz4"), compression="lz4")
+        with open(os.path.join(path, "trigger.json"), "w") as f:
+            json.dump({"t0_index": version}, f)
+        with open(os.path.join(path, "config.json"), "w") as f:
+            json.dump({"a": {"note": f"note {version}"}}, f)
+    rows = store.read_legacy_project(spark, d, "007").collect()
+    got = {(r.version, r.trace): [] for r in rows}
+    for r in sorted(rows, key=lambda r: r.i):
+        got[r.version, r.trace].append(r.y_raw)
+    assert got == {(1, "a"): [1, 2], (1, "b"): [3, None], (2, "a"): [4, 5, 6], (2, "c"): [7, 8, 9]}
+    assert {(r.version, r.t0_index) for r in store.read_legacy_captures(spark, d, "007").collect()} == {(1, 1), (2, 2)}
+    assert {(r.version, r.trace, r.note) for r in store.read_legacy_notes(spark, d, "007").collect()} == {
+        (1, "a", "note 1"), (2, "a", "note 2")}
