@@ -1,6 +1,8 @@
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavespark.llm import decontaminate as dc
@@ -13,6 +15,12 @@ def passage(rnd, n):
     return rnd.choices(VOCAB, k=n)
 
 
+def analyse(ws):
+    buf, off = dc.utf8(pa.array([" ".join(ws)]))
+    starts, ends, _ = dc.word_spans(buf, off)
+    return dc.span_hashes(buf, starts, ends)
+
+
 def words(t):
     out, w = [], ""
     for c in (t or "") + " ":
@@ -48,6 +56,45 @@ def brute(doc, item):
     return False
 
 
+def overlaps(doc, item):
+    """Any alignment with 12 words between equal ones, 80 % of them equal."""
+    d, b = words(doc), words(item)
+    for line in range(-len(b) + 1, len(d)):
+        at = [k for k in range(len(b)) if 0 <= line + k < len(d) and d[line + k] == b[k]]
+        if any(y - x + 1 >= dc.MIN_WORDS and j - i + 1 >= dc.SHARE * (y - x + 1) - 1e-9
+               for i, x in enumerate(at) for j, y in enumerate(at)):
+            return True
+    return False
+
+
+def test_masks_leave_out_no_overlap():
+    for n in range(dc.MIN_WORDS, 2 * dc.MIN_WORDS):
+        if int((1 - dc.SHARE) * n + 1e-9) == int((1 - dc.SHARE) * (n - 1) + 1e-9) and n > dc.MIN_WORDS:
+            continue  # holds a shorter one with as many substitutions
+        for changed in itertools.combinations(range(n), int((1 - dc.SHARE) * n + 1e-9)):
+            assert any(not any(m[c - k] == "1" for c in changed if k <= c < k + dc.SPAN)
+                       for k in range(n - dc.SPAN + 1) for m in dc.MASKS), (n, changed)
+
+
+def test_every_overlap_is_found():
+    rnd = random.Random(8)
+    items, docs = [], []
+    for i in range(300):
+        items.append(passage(rnd, rnd.randrange(13, 60)))
+        w = list(items[-1])
+        n, k = (range(4, len(w), 5), range(3, len(w), 4), rnd.sample(range(len(w)), len(w) // 5))[i % 3], rnd.randrange(20)
+        for c in n:
+            w[c] = "changed"
+        docs.append(passage(rnd, k) + w + passage(rnd, rnd.randrange(20)))
+    hashes = [analyse(t) for t in (*items, *docs)]
+    index = dc.Index(list(enumerate(hashes[:300])))
+    first = np.concatenate([[0], np.cumsum([len(h) for h in hashes[300:]])])
+    got = {(d, i) for d, i, *_ in index.find(np.concatenate(hashes[300:]), first)}
+    want = {(d, d) for d in range(300) if overlaps(" ".join(docs[d]), " ".join(items[d]))}
+    assert want <= got and len(want) > 150
+    assert all(overlaps(" ".join(docs[d]), " ".join(items[i])) for d, i in got)
+
+
 def test_longest_overlap():
     rnd = np.random.default_rng(2)
     for _ in range(300):
