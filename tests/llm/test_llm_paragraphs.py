@@ -133,6 +133,38 @@ def test_embedded_passages_and_clean_documents(spark):
     assert pg.dedup(df.limit(0)).count() == 0
 
 
+def test_runs_of_every_earlier_holder(spark):
+    """Variants of a passage come first; a run that only a later holder has is found."""
+    rnd = random.Random(13)
+    rows = []
+    for k in range(60):
+        passage = rnd.choices(VOCAB, k=rnd.randrange(50, 90))
+        for j in range(4):
+            p = list(passage)
+            if j < 2:
+                p[rnd.randrange(len(p))] = f"edit{k}x{j}"
+            rows.append((j * 1000 + k, " ".join(rnd.choices(VOCAB, k=rnd.randrange(40, 90)) + p + rnd.choices(VOCAB, k=rnd.randrange(40, 90)))))
+    got = {r.doc_id: r for r in pg.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, cuts = set(), 0
+    for d, t in sorted(rows):
+        w = words(t)
+        mine = [tuple(w[i:i + pg.MIN_RUN]) for i in range(len(w) - pg.MIN_RUN + 1)]
+        gone = {i + j for i, m in enumerate(mine) if m in seen for j in range(pg.MIN_RUN)}
+        seen.update(mine)
+        assert words(got[d].text) == [x for i, x in enumerate(w) if i not in gone], d
+        cuts += d >= 2000 and bool(gone)
+    assert cuts >= 60
+
+
+def test_the_longest_stretch_stays_whole(spark):
+    rnd = random.Random(14)
+    lead, tail, *around = (rnd.choices(VOCAB, k=k) for k in (40, 40, 100, 100, 100, 100))
+    texts = [around[i] + lead + ["a"] * n + tail + around[i + 2] for i, n in enumerate((55, 60))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    left = {r.doc_id: words(r.text) for r in pg.dedup(df).collect()}
+    assert left == {0: around[0] + lead + tail + around[2], 1: around[1] + ["a"] * 60 + around[3]}
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -11,9 +11,12 @@ first (smallest id, then position) stays and the others are removed.
 A passage may also stand inside lines that differ around it, where the
 paragraphs as a whole are not alike.  So each text is also fingerprinted by
 hashes of ``WINDOW`` consecutive words, winnowed so that any common run of
-``2 * WINDOW - 1`` words has a common fingerprint.  Where a fingerprint occurs
-in several documents, all but the first are followed to both ends of the common
-run by comparing words, and a run of ``MIN_RUN`` words or more is removed.
+``2 * WINDOW - 1`` words has a common fingerprint.  All windows of ``MIN_RUN``
+words around a fingerprint that several documents have are compared, each with
+all others of its hash: a window stays in the first document that has it and is
+removed from all later ones, so that a run of ``MIN_RUN`` words or more goes
+whole, whichever of the earlier documents has it and however others vary it.
+Text that repeats itself stays where it is longest.
 
 Rows: null, empty and wordless texts stay as they are; rows that repeat id and
 text are one document and no copies of each other; ties of ids go to the
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +89,62 @@ def bands(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def rolling(h: np.ndarray, words: int) -> np.ndarray:
+    """Hash of each window of so many consecutive words."""
+    n = len(h) - words + 1
+    if n < 1:
+        return np.zeros(0, dtype=U64)
+    pw, inv = (_POW, _INV) if len(h) < len(_POW) else (_powers(len(h) + 1, _BASE), _powers(len(h) + 1, _INVERSE))
+    acc = np.zeros(len(h) + 1, dtype=U64)
+    np.cumsum(h * pw[:len(h)], dtype=U64, out=acc[1:])
+    return mix((acc[words:] - acc[:-words]) * inv[:n], 17)
+
+
+def stretch(h: np.ndarray, lo: int, hi: int, run: int) -> tuple[int, int, int] | None:
+    """Period and ends of the text around h[lo:hi] that repeats itself, if it
+    does with a period of ``WINDOW`` words at most."""
+    for d in range(1, min(WINDOW, hi - lo - 1) + 1):
+        if h[lo] == h[lo + d] and (h[lo + d:hi] == h[lo:hi - d]).all():
+            break
+    else:
+        return None
+    near = slice(max(lo - 2 * WINDOW, 0), lo), slice(hi, min(hi + 2 * WINDOW, len(h)))
+    before = h[near[0]] == h[near[0].start + d:near[0].stop + d]
+    after = h[near[1]] == h[near[1].start - d:near[1].stop - d]
+    lo -= int(np.argmin(np.append(before[::-1], False)))
+    hi += int(np.argmin(np.append(after, False)))
+    return (d, lo, hi) if hi - lo >= run else None
+
+
+def windows(h: np.ndarray, first: np.ndarray, own: np.ndarray, pos: np.ndarray, reach: np.ndarray, run: int):
+    """(text, hash, position, words, short) of the windows of ``run`` words
+    around the fingerprints ``own``, ``pos``, ``reach``.  Where text repeats
+    itself they stand for all of it, and short is less the longer it is."""
+    v = rolling(h, run)
+    size = np.diff(first)
+    delta = np.zeros(len(h) + 2, dtype=np.int64)
+    lo, hi = np.maximum(pos - (run - WINDOW), 0), np.minimum(pos + reach, size[own] - run)
+    some = lo <= hi
+    np.add.at(delta, (first[own] + lo)[some], 1)
+    np.add.at(delta, (first[own] + hi + 1)[some], -1)
+    wanted = np.cumsum(delta)[:len(v)] > 0
+    long = []
+    for i in np.flatnonzero(reach > 0).tolist():
+        text = h[first[own[i]]:first[own[i] + 1]]
+        found = stretch(text, int(pos[i]), int(pos[i] + reach[i] + WINDOW), run)
+        if found:
+            d, a, b = found
+            at = int(first[own[i]]) + a
+            wanted[at:at + b - a - run + 1] = False
+            long += [(int(own[i]), int(x), a, b - a, a - b) for x in v[at:at + min(d, b - a - run + 1)].view(np.int64)]
+    at = np.flatnonzero(wanted)
+    who = np.searchsorted(first, at, side="right") - 1
+    cols = who, v[at].view(np.int64), at - first[who], np.full(len(at), run), np.zeros(len(at), np.int64)
+    if long:
+        cols = [np.concatenate([c, np.array(x, np.int64)]) for c, x in zip(cols, zip(*sorted(set(long))))]
+    return cols
+
+
 def winnow(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, word position in it, hash, reach) of the winnowed windows.  Text
     that repeats itself selects one hash again and again; such a stretch is
@@ -93,10 +153,7 @@ def winnow(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     none = np.zeros(0, np.int64)
     if n < WINDOW:
         return none, none, none, none
-    pw, inv = (_POW, _INV) if len(h) < len(_POW) else (_powers(len(h) + 1, _BASE), _powers(len(h) + 1, _INVERSE))
-    acc = np.zeros(len(h) + 1, dtype=U64)
-    np.cumsum(h * pw[:len(h)], dtype=U64, out=acc[1:])
-    v = mix((acc[WINDOW:] - acc[:-WINDOW]) * inv[:n], 17)
+    v = rolling(h, WINDOW)
     bits = U64(max(int(n).bit_length(), 22))
     low = (U64(1) << bits) - U64(1)
     least = (v & ~low) | np.arange(n, dtype=U64)
@@ -240,73 +297,56 @@ def repeated_paragraphs(table: DataFrame, docs: DataFrame, key: str, text: str,
 def repeated_runs(lines: DataFrame, docs: DataFrame, key: str, text: str, scratch: list) -> DataFrame:
     """(node, start, end): word ranges that repeat an earlier document's, in
     what is left without ``lines``, so that one copy of everything stays."""
+    least = MIN_RUN
     win = fingerprints(docs, lines, key, text)
     scratch.append(win)
-    # the first stays; of stretches that repeat themselves the first longest one
-    first = win.groupBy("fp").agg(F.min(F.struct((-F.col("reach")).alias("short"), "id", "node", "pos", "reach")).alias("f"), F.min("node").alias("lo"),
-                                  F.max("node").alias("hi")).where("lo <> hi").select("fp", "f.node", "f.pos", "f.reach")
-    first = first.withColumnsRenamed({"node": "from", "pos": "there", "reach": "far"})
-    seeds = win.join(first, "fp").where(F.col("node") != F.col("from")).groupBy("node").agg(
-        F.collect_set(F.struct("pos", F.least("reach", "far").alias("reach"), "from", "there")).alias("s"))
+    shared = win.groupBy("fp").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("fp")
+    asked = win.join(shared, "fp", "left_semi").groupBy("node").agg(F.collect_set(F.struct("pos", "reach")).alias("take"))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for node, s in zip(b.column("node").to_pylist(), b.column("s").to_pylist()):
-                s.sort(key=lambda r: r["pos"])
-                head = last = s[0]
-                end = head["pos"] + head["reach"] + WINDOW
-                for r in [*s[1:], None]:
-                    if r is None or r["pos"] > end:
-                        # the words before the run, here and there; the words after it
-                        out += [(node, head["pos"], end, 0, head["pos"], head["from"], head["there"]),
-                                (node, head["pos"], end, 1, end, last["from"], last["there"] + end - last["pos"])]
-                        if r is None:
-                            break
-                        head, end = r, 0
-                    if r["pos"] + r["reach"] + WINDOW >= end:
-                        last, end = r, r["pos"] + r["reach"] + WINDOW
-            cols = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             ["node", "start", "end", "side", "pos", "from", "there"])
-
-    ends = saved(seeds.mapInArrow(merge, "node long, start int, end int, side int, pos int, from long, there int"), "run-ends")
-    scratch.append(ends)
-    asked = ends.select("node", "pos", "side").union(ends.select("from", "there", "side")).distinct().groupBy("node").agg(
-        F.collect_list(F.struct("pos", "side")).alias("take"))
-
-    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text", STEP):
                 buf, off, starts, _, first, h = _analyse(part.column("text"))
                 keep, first = left_over(part, buf, off, starts, first)
-                h = h[keep]
-                out = [], [], [], []
-                nodes = part.column("node").to_pylist()
-                for d, ts in enumerate(part.column("take").to_pylist()):
-                    for t in ts:
-                        at = int(first[d]) + t["pos"]
-                        near = h[at:min(at + WINDOW, first[d + 1])] if t["side"] else h[max(at - WINDOW, first[d]):at][::-1]
-                        for o, v in zip(out, (nodes[d], t["pos"], t["side"], near.astype(np.int64).astype(np.int32))):
-                            o.append(v)
-                kinds = pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["node", "pos", "side", "near"])
+                take = part.column("take")
+                own = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(take).to_numpy())
+                take = take.flatten()
+                own, *cols = windows(h[keep], first, own, *(take.field(i).to_numpy().astype(np.int64) for i in (0, 1)), least)
+                own = pa.array(own)
+                for i in range(0, len(own), 100_000):
+                    some = own[i:i + 100_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("node").take(some), part.column("id").take(some),
+                         *(pa.array(c[i:i + 100_000], k) for c, k in zip(cols, (pa.int64(), *[pa.int32()] * 3)))],
+                        ["node", "id", "hash", "pos", "words", "short"])
 
     chosen = texts(docs, key, text).join(bounded_broadcast(asked), "node").join(bounded_broadcast(lines), "node", "left")
-    near = saved(chosen.mapInArrow(context, "node long, pos int, side int, near array<int>"), "run-context")
-    scratch.append(near)
-    near = near.groupBy("node", "pos", "side").agg(F.any_value("near").alias("near"))
-    there = near.withColumnsRenamed({"node": "from", "pos": "there", "near": "other"})
-    both = F.arrays_zip("near", "other")
-    differs = F.array_position(F.transform(both, lambda p: p["near"].eqNullSafe(p["other"])), False)
-    reach = F.when(differs > 0, differs - 1).otherwise(F.size("near")).cast("int")
-    grown = ends.join(near, ["node", "pos", "side"]).join(there, ["from", "there", "side"]).withColumn("reach", reach)
-    return grown.groupBy("node", "start", "end").agg(
-        F.sum(F.when(F.col("side") == 0, F.col("reach")).otherwise(0)).cast("int").alias("l"),
-        F.sum(F.when(F.col("side") == 1, F.col("reach")).otherwise(0)).cast("int").alias("r")).select(
-        "node", (F.col("start") - F.col("l")).alias("start"), (F.col("end") + F.col("r")).alias("end")).where(
-        F.col("end") - F.col("start") >= MIN_RUN)
+    rows = saved(chosen.mapInArrow(around, "node long, id long, hash long, pos int, words int, short int"), "run-windows")
+    scratch.append(rows)
+    # the first stays; of stretches that repeat themselves the first longest one
+    first = rows.groupBy("hash").agg(F.min(F.struct("short", "id", "node")).alias("f"), F.min("node").alias("lo"),
+                                     F.max("node").alias("hi")).where("lo <> hi").select("hash", F.col("f.node").alias("from"))
+    gone = F.col("node") != F.col("from")
+    marked = rows.join(first, "hash").where(gone | (F.col("short") < 0)).groupBy("node").agg(
+        F.collect_set(F.struct("pos", "words", gone.alias("gone"))).alias("s"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [], [], []
+            for node, s in zip(b.column("node").to_pylist(), b.column("s")):
+                pos, words, lost = (s.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                delta = np.zeros((2, int((pos + words).max()) + 1), dtype=np.int64)
+                for side, some in enumerate((lost, ~lost)):
+                    np.add.at(delta[side], pos[some], 1)
+                    np.add.at(delta[side], (pos + words)[some], -1)
+                there, kept = np.cumsum(delta, axis=1) > 0
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], there & ~kept, [False]]).astype(np.int8))).reshape(-1, 2)
+                for o, v in zip(out, ([node] * len(edge), *edge.T.tolist())):
+                    o.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int32(), pa.int32()))],
+                                             ["node", "start", "end"])
+
+    return marked.mapInArrow(merge, "node long, start int, end int")
 
 
 def cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> str:
