@@ -64,6 +64,17 @@ def test_derivative_maintenance(spark):
     assert R.delete_derivative(r4, "p", "a").where("trace = 'a'").count() == 1  # raw kept
 
 
+def test_cycle_check_collects_reachable_entries_only(spark, monkeypatch):
+    reg = R.add_derivative(_reg(spark), "p", "s", "add", ["a", "c"])
+    reg = R.add_derivative(reg, "p", "t", "multiply", ["s", "c"])
+    reg = R.add_derivative(reg, "p", "u", "multiply", ["t", "c"])
+    got, collect = [], type(reg).collect
+    monkeypatch.setattr(type(reg), "collect", lambda self: got.append(collect(self)) or got[-1])
+    assert not R._dependency_cycle(reg, "p", "u", ["s", "c"])
+    assert sum(map(len, got)) == 1  # s; neither raw traces nor t and u
+    assert R._dependency_cycle(reg, "p", "s", ["u"])
+
+
 def test_view_maintenance(spark):
     v = spark.createDataFrame([], schemas.VIEWS)
     with pytest.raises(ValueError):

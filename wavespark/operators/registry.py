@@ -221,19 +221,15 @@ def add_derivative(registry: DataFrame, project: str, name: str, function: str,
 
 
 def _dependency_cycle(registry: DataFrame, project: str, name: str, new_sources: list[str]) -> bool:
-    rows = registry.where(F.col("project") == project).select("trace", "derivative").collect()
-    deps = {r["trace"]: list((r["derivative"] or {}).asDict().get("sources") or [])
-            if r["derivative"] is not None else [] for r in rows}
-    deps[name] = new_sources
-    seen, stack = set(), list(new_sources)
-    while stack:
-        t = stack.pop()
-        if t == name:
+    """Level by level; only the derivatives reached are collected."""
+    seen, frontier = set(), set(new_sources)
+    while frontier:
+        if name in frontier:
             return True
-        if t in seen:
-            continue
-        seen.add(t)
-        stack.extend(deps.get(t, []))
+        seen |= frontier
+        rows = registry.where((F.col("project") == project) & F.col("derivative").isNotNull()
+                              & F.col("trace").isin(sorted(frontier))).select("derivative.sources").collect()
+        frontier = {t for r in rows for t in r["sources"] or []} - seen
     return False
 
 
