@@ -59,5 +59,7 @@ def dense_index(df: DataFrame, by: list[str], order: list[Column | str],
                   [F.col(f"_t.{c}").eqNullSafe(F.col(f"_o.{c}")) for c in ["_pid", *by]])
     joined = t.join(o, cond, "inner")
     cols = [F.col(f"_t.{c}") for c in df.columns]
-    return joined.select(*cols, (F.col("_o._off") + F.col("_t._pos") - F.col("_o._first"))
-                         .cast("bigint").alias(index_col))
+    out = joined.select(*cols, (F.col("_o._off") + F.col("_t._pos") - F.col("_o._first"))
+                        .cast("bigint").alias(index_col))
+    out.scratch = path  # for callers that drop it once the result is written
+    return out

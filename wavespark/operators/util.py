@@ -32,8 +32,8 @@ def _bytes(c: Column, kind: T.DataType) -> Column:
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast hint only behind a proven bound: rows (a LIMIT-capped count)
-    and estimated bytes, in one job.
+    """Broadcast hint only behind a proven bound: rows and estimated bytes, as
+    partial sums per task in one job (no rows move).
 
     For derived inputs (aggregates, exploded specs).  Stored metadata tables
     (registry, captures, projects) are not hinted: the planner's own check of
@@ -42,7 +42,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     beyond it, without an extra job.
     """
     size = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16))
-    got = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     return F.broadcast(df) if got["n"] <= max_rows and (got["b"] or 0) <= max_bytes else df
 
 
