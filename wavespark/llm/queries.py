@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hidden_markov, language_id, ngram_join, order_minhash, paragraphs, quality, shards, warc
+from . import (bpe, decontaminate, hidden_markov, language_id, merkle, ngram_join, order_minhash, paragraphs, quality,
+               shards, warc)
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,73 @@ FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, t"""
 def op5_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return paragraphs.dedup(docs).select("doc_id", "n_words", "n_removed", "removed", "text")
+
+
+@query
+def op13_merkle_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = [lower if f == "text" else F.col(f) for f in merkle.FIELDS]
+    manifest = merkle.build(docs, presented=tampered, where=crc_of_id() % 3 == 0)
+    return merkle.prove(manifest).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest("siblings").alias("proof_sha256"),
+        merkle.folded("presented", "siblings").alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit (DuckDB)."""
+    return f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+  string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, c: list_reduce(
+  [xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode({f})) || ':' || {f} END"
+                                   for f in fields) + ")"
+
+
+#: Levels as rows: a node's run is a list, a proof goes up one level a step.
+ORACLE["op13_merkle_levels"] = f"""
+WITH RECURSIVE d AS (
+  SELECT *, {crc_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 AS changed,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+l AS (
+  SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+         CASE WHEN changed THEN {_leaf_sql("low")} ELSE {_leaf_sql("text")} END AS shown FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY lang) AS n FROM l),
+t(k, lang, i, n, h) AS (
+  SELECT 0, lang, i, n, leaf FROM r
+  UNION ALL
+  SELECT k + 1, lang, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1
+  GROUP BY k, lang, i // 8),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+      FROM t WHERE n = 1),
+u(k, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM s
+  UNION ALL
+  SELECT k + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1
+  GROUP BY k, i // 8),
+runs AS (SELECT k, lang, i // 8 AS run, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY ALL),
+tops AS (SELECT k, i // 8 AS run, list(h ORDER BY i) AS hs FROM u WHERE n > 1 GROUP BY ALL),
+p(doc_id, lang, leaf, j, k, i, cur, proof) AS (
+  SELECT doc_id, lang, leaf, i, 0, i, shown, '' FROM r
+  UNION ALL
+  SELECT doc_id, p.lang, leaf, j, p.k + 1, i // 8,
+         sha256(array_to_string(list_slice(hs, 1, i % 8), '') || cur || array_to_string(list_slice(hs, i % 8 + 2, 8), '')),
+         proof || array_to_string(list_slice(hs, 1, i % 8), '') || array_to_string(list_slice(hs, i % 8 + 2, 8), '')
+  FROM p JOIN runs ON runs.k = p.k AND runs.lang IS NOT DISTINCT FROM p.lang AND run = i // 8),
+q AS (SELECT p.* EXCLUDE (i), s.i AS i, subroot FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang
+      QUALIFY k = max(k) OVER (PARTITION BY p.lang, j)),
+v(doc_id, lang, leaf, j, subroot, k, i, cur, proof) AS (
+  SELECT doc_id, lang, leaf, j, subroot, 0, i, cur, proof FROM q
+  UNION ALL
+  SELECT doc_id, lang, leaf, j, subroot, v.k + 1, i // 8,
+         sha256(array_to_string(list_slice(hs, 1, i % 8), '') || cur || array_to_string(list_slice(hs, i % 8 + 2, 8), '')),
+         proof || array_to_string(list_slice(hs, 1, i % 8), '') || array_to_string(list_slice(hs, i % 8 + 2, 8), '')
+  FROM v JOIN tops ON tops.k = v.k AND run = i // 8),
+e AS (SELECT * FROM v QUALIFY k = max(k) OVER (PARTITION BY lang, j))
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = h AS verified
+FROM e, (SELECT h FROM u WHERE n = 1)"""
