@@ -41,6 +41,8 @@ def _byte_table() -> np.ndarray:
 
 
 _TABLE = _byte_table()
+#: Byte values where case counts.
+EXACT = mix(np.arange(256, dtype=U64), 7)
 
 
 def _powers(n: int, base: U64) -> np.ndarray:
@@ -88,9 +90,10 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the lower-cased bytes of each span (spans ascending and
-    disjoint): a polynomial prefix sum over blocks that end between spans."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+    """64-bit hash of the bytes of each span, lower-cased unless ``table`` is
+    ``EXACT`` (spans ascending and disjoint): a polynomial prefix sum over
+    blocks that end between spans."""
     out = np.empty(len(starts), dtype=U64)
     k = 0
     while k < len(starts):
@@ -99,7 +102,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         size = int(ends[j - 1] - lo)
         pw, inv = (_POW, _INV) if size <= BLOCK else (_powers(size + 1, _BASE), _powers(size + 1, _INVERSE))
         acc = np.zeros(size + 1, dtype=U64)
-        np.cumsum(_TABLE[buf[lo:lo + size]] * pw[:size], dtype=U64, out=acc[1:])
+        np.cumsum(table[buf[lo:lo + size]] * pw[:size], dtype=U64, out=acc[1:])
         a, b = starts[k:j] - lo, ends[k:j] - lo
         out[k:j] = (acc[b] - acc[a]) * inv[a]
         k = j

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, hidden_markov, language_id, merkle, ngram_join, order_minhash, paragraphs, quality,
-               shards, warc)
+from . import (bpe, decontaminate, hidden_markov, language_id, merkle, ngram_join, order_minhash, paragraphs,
+               periodic, quality, shards, warc)
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,60 @@ v(doc_id, lang, leaf, j, subroot, k, i, cur, proof) AS (
 e AS (SELECT * FROM v QUALIFY k = max(k) OVER (PARTITION BY lang, j))
 SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = h AS verified
 FROM e, (SELECT h FROM u WHERE n = 1)"""
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Texts of every tenth document (by h = crc32 of the id) go over into
+    repeats of a stretch of their own words, as op12's contract plants them."""
+    h = crc_of_id()
+    some = docs.withColumn("__h", h).withColumn("__w", F.when(h % 10 == 0, F.filter(
+        F.split(text_of(), r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    some = some.withColumn("__a", F.expr("if(size(__w) > 0, int((__h div 10) % size(__w)), null)")).withColumn(
+        "__p", F.expr("int(1 + (size(__w) - __a) div (3 + (__h div 10) % 8))"))
+    planted = F.expr("array_join(transform(sequence(0, size(__w) - 1), i -> "
+                     "__w[if(i < __a, i, __a + (i - __a) % __p)]), ' ')")
+    return some.withColumn("text", F.when(F.col("__a").isNotNull(), planted).otherwise(F.col("text"))).select(*docs.columns)
+
+
+@query
+def op12_maximal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periods(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return periodic.find_runs(docs).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: Equal runs of five words (any run has them a period apart) as an equality
+#: join; consecutive pairs of one distance are islands.
+ORACLE["op12_maximal_pairs"] = rf"""
+WITH h AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+         {crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM h),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+        lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+e AS (SELECT doc_id, unnest(range(n - 4)) AS i, w FROM d WHERE n >= 5),
+k AS (SELECT doc_id, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5]) AS k FROM e),
+j AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM j),
+r AS (SELECT doc_id, min(i) AS start, count(*) + 4 + q AS length, q FROM o GROUP BY doc_id, q, island),
+s AS (SELECT doc_id, start, length, min(q) AS period FROM r WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_max(start, (length, -start, -period)) AS start,
+             max(length) AS length, arg_max(period, (length, -start, -period)) AS period,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+             list(struct_pack(f := start + period, t := start + length)) AS cuts FROM s GROUP BY doc_id),
+u AS (SELECT d.doc_id, unnest(range(n)) AS i, w, cuts FROM d JOIN t ON d.doc_id = t.doc_id),
+v AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS c FROM u
+      WHERE len(list_filter(cuts, lambda x: x.f <= i AND i < x.t)) = 0 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(CASE WHEN n_runs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(c, '') END) AS collapsed_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN v ON d.doc_id = v.doc_id"""
