@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, decontaminate, hidden_markov, language_id, merkle, ngram_join, order_minhash, paragraphs,
-               periodic, quality, shards, warc)
+               periodic, quality, shards, simhash, warc)
 from .common import read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,7 +232,8 @@ def op12_maximal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: join; consecutive pairs of one distance are islands.
 ORACLE["op12_maximal_pairs"] = rf"""
 WITH h AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
          {crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
 g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM h),
 a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
@@ -256,3 +257,8 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
        CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
        sha256(CASE WHEN n_runs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(c, '') END) AS collapsed_sha256
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN v ON d.doc_id = v.doc_id"""
+
+
+@query
+def op11_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
