@@ -185,3 +185,103 @@ def test_legacy_versions_of_different_columns(spark, tmpdir_fresh):
     assert {(r.version, r.t0_index) for r in store.read_legacy_captures(spark, d, "007").collect()} == {(1, 1), (2, 2)}
     assert {(r.version, r.trace, r.note) for r in store.read_legacy_notes(spark, d, "007").collect()} == {
         (1, "a", "note 1"), (2, "a", "note 2")}
+
+
+def _two_sources(d):
+    a, b = (os.path.join(d, x) for x in "ab")
+    for p in (a, b):
+        os.makedirs(p)
+    for p, name, rows, t in ((a, "1.csv", [1, 2, 3], 100), (a, "2.csv", [4, 5], 200), (b, "3.csv", [6, 7, 8, 9], 300)):
+        f = _capture(p, name, rows)
+        os.utime(f, (t, t))
+    return a, b
+
+
+def test_two_loads_at_once_keep_both(spark, tmpdir_fresh, monkeypatch):
+    """The second load runs from start to end after the first has numbered its
+    versions and before it writes."""
+    a, b = _two_sources(tmpdir_fresh)
+    st = store.Store(os.path.join(tmpdir_fresh, "store"))
+    write, inner = store.write_samples, []
+
+    def slow(df, path):
+        if not inner:
+            inner.append(None)
+            inner[0] = store.ingest_changed(spark, st, b, "p").collect()
+        write(df, path)
+
+    monkeypatch.setattr(store, "write_samples", slow)
+    outer = store.ingest_changed(spark, st, a, "p").collect()
+    got = {r.version: [] for r in outer + inner[0]}
+    assert sorted(got) == [1, 2, 3] and [r.version for r in inner[0]] == [3]
+    for r in st.samples(spark).where("trace = 'a'").orderBy("i").collect():
+        got[r.version].append(r.y_raw)
+    assert got == {1: [1, 2, 3], 2: [4, 5], 3: [6, 7, 8, 9]}
+    assert st.captures(spark).count() == 3
+    assert [(r.trace, r.ord) for r in st.registry(spark).orderBy("ord").collect()] == [("TRIGGER", 0), ("a", 1)]
+    assert store.ingest_changed(spark, st, [a, b], "p").count() == 0
+
+
+def test_the_same_change_twice_at_once_is_one_version(spark, tmpdir_fresh, monkeypatch):
+    a, _ = _two_sources(tmpdir_fresh)
+    st = store.Store(os.path.join(tmpdir_fresh, "store"))
+    write, inner = store.write_samples, []
+
+    def slow(df, path):
+        if not inner:
+            inner.append(None)
+            inner[0] = store.ingest_changed(spark, st, a, "p").collect()
+        write(df, path)
+
+    monkeypatch.setattr(store, "write_samples", slow)
+    assert [r.version for r in store.ingest_changed(spark, st, a, "p").orderBy("version").collect()] == [1, 2]
+    assert inner == [[]] and st.captures(spark).count() == 2
+
+
+def test_claims_of_many_threads_do_not_overlap(spark, tmpdir_fresh):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from wavespark.sources import claims
+    folder = os.path.join(tmpdir_fresh, "claims")
+    with ThreadPoolExecutor(8) as pool:
+        first = list(pool.map(lambda n: claims.claim(spark, folder, f"load {n}", f"change {n}", 0, n % 5 + 1), range(40)))
+    taken = [v for n, f in enumerate(first) for v in range(f, f + n % 5 + 1)]
+    assert sorted(taken) == list(range(1, len(taken) + 1))
+
+
+def test_claims_are_taken_over_once(spark, tmpdir_fresh, monkeypatch):
+    from wavespark.sources import claims
+    folder = os.path.join(tmpdir_fresh, "claims")
+    with claims.load() as mine:
+        assert claims.claim(spark, folder, mine, "x", 4, 2) == 5
+        assert claims.claim(spark, folder, "other", "x", 4, 2) is None    # running
+        assert claims.claim(spark, folder, "other", "y", 4, 3) == 7
+    with claims.load() as again:                                          # the first one died
+        assert claims.claim(spark, folder, again, "x", 4, 2) == 5
+        assert claims.claim(spark, folder, "third", "x", 4, 2) is None
+    far = {"application": "elsewhere", "load": "l", "change": "z", "count": 1, "at": time.time()}
+    import json
+
+    from wavespark.session import create_exclusive
+    assert create_exclusive(spark, f"{folder}/0000000010.0", json.dumps(far))
+    assert not create_exclusive(spark, f"{folder}/0000000010.0", "no")
+    assert claims.claim(spark, folder, "l2", "z", 9, 1) is None
+    monkeypatch.setattr(claims, "STALE_SECONDS", -1.0)
+    assert claims.claim(spark, folder, "l2", "z", 9, 1) == 10
+    assert not [f for f in os.listdir(folder) if f.startswith(".")]
+
+
+def test_a_capture_written_while_it_is_loaded_raises(spark, tmpdir_fresh):
+    import pytest
+    a, _ = _two_sources(tmpdir_fresh)
+    st = store.Store(os.path.join(tmpdir_fresh, "store"))
+    lines = capture.read_lines(spark, a)
+    moving = lines.withColumn("mtime", F.when(F.col("line_no") < 2, F.col("mtime")).otherwise(F.col("mtime") + F.expr("INTERVAL 1 SECOND")))
+    heads = capture.capture_heads(lines)
+    real, capture.capture_heads = capture.capture_heads, lambda _: heads
+    try:
+        with pytest.raises(Exception, match="written again while"):
+            store.ingest(spark, st, moving, "p")
+    finally:
+        capture.capture_heads = real
+    assert st.captures(spark).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -103,3 +104,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     fs, p = _hadoop(spark, path)
     fs.mkdirs(p)
     return path
+
+
+def create_exclusive(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its content in one step; False if the path is
+    taken.  The content is written beside it first; what then puts it in place
+    fails if the name exists: a hard link on a local (or mounted) file system,
+    a rename elsewhere, which needs a store with such a rename (HDFS has it;
+    Spark's own checkpoints ask for the same)."""
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p.getParent())
+    beside = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(beside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(beside.toUri().getPath(), p.toUri().getPath())
+            return True
+        files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+        how = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        files.rename(beside, p, how)
+        return True
+    except Exception:
+        if fs.exists(p):
+            return False
+        raise
+    finally:
+        fs.delete(beside, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import radix as R
 from ..operators.util import bounded_broadcast
+from ..session import scratch_path
 
 _POS_BITS = 33
 
@@ -43,6 +44,10 @@ def number_lines(raw: DataFrame) -> DataFrame:
                                                        F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    # this narrow pass runs once; later uses of the lines scan the text only
+    path = scratch_path(raw.sparkSession, "line-offsets")
+    splits.write.mode("overwrite").parquet(path)
+    splits = raw.sparkSession.read.schema(splits.schema).parquet(path)
     # one row per input split: broadcast (bounded) so the lines are not shuffled
     return (tagged.join(bounded_broadcast(splits), ["file", "blk", "_pid"])
             .select("file", "mtime",
@@ -50,15 +55,17 @@ def number_lines(raw: DataFrame) -> DataFrame:
 
 
 def capture_heads(lines: DataFrame) -> DataFrame:
-    """One row per file: column names, radix words, first data line.
+    """One row per file: column names, radix words, first data line (S2) and
+    number of data lines.
 
     Line 1 is a radix row iff it contains "Radix"; otherwise it is data and
     every column is base 10.  A header-only file and a radix row whose word
     count differs from the column count raise.
     """
-    head = (lines.where(F.col("line_no") < 2).groupBy("file", "mtime")
+    head = (lines.groupBy("file", "mtime")
             .agg(F.max(F.when(F.col("line_no") == 0, F.col("value"))).alias("header"),
-                 F.max(F.when(F.col("line_no") == 1, F.col("value"))).alias("line1")))
+                 F.max(F.when(F.col("line_no") == 1, F.col("value"))).alias("line1"),
+                 F.max("line_no").alias("last")))
     names = R.split_csv_line(F.col("header"))
     has = R.is_radix_row(F.col("line1"))
     words = F.when(has, R.radix_words(F.col("line1"))).otherwise(
@@ -70,7 +77,8 @@ def capture_heads(lines: DataFrame) -> DataFrame:
         F.when(F.col("line1").isNull(), err_short)
         .when(F.size(words) != F.size(names), err_count)
         .otherwise(words).alias("radix"),
-        F.when(has, F.lit(2)).otherwise(F.lit(1)).cast("bigint").alias("first_data"))
+        F.when(has, F.lit(2)).otherwise(F.lit(1)).cast("bigint").alias("first_data"),
+        F.when(has, F.col("last") - 1).otherwise(F.col("last")).alias("n_data"))
 
 
 def decode_captures(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
@@ -82,7 +90,7 @@ def decode_captures(lines: DataFrame, heads: DataFrame | None = None) -> DataFra
     enormous file count falls back to a shuffle join.
     """
     heads = heads if heads is not None else capture_heads(lines)
-    data = lines.where(F.col("line_no") >= 1).join(bounded_broadcast(heads.drop("mtime")), "file")
+    data = lines.where(F.col("line_no") >= 1).join(bounded_broadcast(heads.drop("mtime", "n_data")), "file")
     data = data.where(F.col("line_no") >= F.col("first_data"))
     cells = R.split_csv_line(F.col("value"))
     err = F.raise_error(F.concat(F.lit("wrong number of cells in line "),

@@ -8,20 +8,23 @@ Layout under ``root``::
     registry/    trace registry rows (bootstrapped at a project's first load)
     notes/       (project, version, trace, note)
     projects/    project settings
+    claims/P/    which load has which versions (:mod:`claims`)
 
-The captures row is written last: it is the commit marker of a version.  A
-re-run after a failure recomputes the same version numbers (they derive from
-committed captures) and overwrites the half-written sample partitions
+The captures row is written last: it is the commit marker of a version.  Loads
+may run at once: each claims its versions before it writes, and adds its rows
+to captures, registry and notes in a folder of its own.  A retry after a
+failure takes the claim over and overwrites the half-written sample partitions
 (dynamic partition overwrite), so ingest is idempotent.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -29,7 +32,7 @@ from ..operators.indexing import dense_index
 from ..operators.signal import trigger_index
 from ..operators.util import BROADCAST_MAX_ROWS, bounded_broadcast
 from ..session import exists, remove, scratch_path
-from . import capture
+from . import capture, claims
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,15 @@ class Store:
         p = self.path(table)
         if not exists(spark, p):
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(p)
+        reader = spark.read.schema(schema)
+        if table != "samples":  # every load adds a folder
+            reader = reader.option("recursiveFileLookup", "true")
+        return reader.parquet(p)
+
+    def add(self, df: DataFrame, table: str, load: str) -> None:
+        """Rows of one load, in its own folder: loads that end at once do not
+        touch each other's uncommitted files, and a retry replaces its own."""
+        df.write.mode("overwrite").parquet(f"{self.path(table)}/load-{load}")
 
     def samples(self, spark: SparkSession, committed: bool = True) -> DataFrame:
         """Samples of committed versions (those that have a captures row)."""
@@ -87,9 +98,8 @@ def changed_files(files: DataFrame, captures: DataFrame, reference: DataFrame |
         return (files.join(last, ["project", "file"], "left")
                 .where(F.col("_last").isNull() | (F.col("_last") != F.col("mtime")))
                 .drop("_last"))
-    w = Window.partitionBy("project", "source_uri").orderBy(F.desc("version"))
-    last = (captures.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-            .select("project", F.col("source_uri").alias("file"), F.col("change_id").alias("_last")))
+    last = captures.groupBy("project", F.col("source_uri").alias("file")).agg(
+        F.max_by("change_id", "version").alias("_last"))
     return (files.join(last, ["project", "file"], "left")
             .where(F.col("_last").isNull() | (F.col("_last") != F.col("mtime")))
             .drop("_last"))
@@ -106,14 +116,8 @@ def ingest(spark: SparkSession, store: Store, lines: DataFrame,
     order.  Returns the committed captures rows.
     """
     pcol = F.lit(project) if isinstance(project, str) else project
-    # The numbered lines feed the heads, the plan and the decode: computed
-    # once.  A lost cached block is recomputed from the (deterministic) file
-    # scan with the same numbers.
-    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _ingest(spark, store, lines, pcol)
-    finally:
-        lines.unpersist()
+    with claims.load() as load:
+        return _ingest(spark, store, lines, pcol, load)
 
 
 def list_captures(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -136,93 +140,115 @@ def ingest_changed(spark: SparkSession, store: Store, paths: str | list[str], pr
     return ingest(spark, store, capture.read_lines(spark, changed), project)
 
 
-def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column) -> DataFrame:
+WRITTEN_MEANWHILE = "the capture was written again while it was loaded: "
+
+
+def _versions(spark: SparkSession, store: Store, new: DataFrame, load: str) -> DataFrame:
+    """(project, before): versions of the load's files are before + 1, + 2, ...
+    One row a project that has new files goes to the driver, to be claimed;
+    projects whose change another load is at are left to it."""
+    latest = store.captures(spark).groupBy("project").agg(F.max("version").alias("latest"))
+    each = new.groupBy("project").agg(F.count("*").alias("count"), F.sum(
+        F.xxhash64("file", "mtime").cast("decimal(38,0)")).cast("string").alias("change"))
+    rows = []
+    for r in each.join(latest, "project", "left").collect():
+        change = hashlib.sha256(f"{r['change']} {r['count']}".encode()).hexdigest()
+        folder = f"{store.path('claims')}/{quote(r['project'], safe='')}"
+        first = claims.claim(spark, folder, load, change, r["latest"] or 0, r["count"])
+        if first is not None:
+            rows.append((r["project"], first - 1))
+    return spark.createDataFrame(rows, "project string, before int")
+
+
+def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column, load: str) -> DataFrame:
+    # one pass over the text for the heads, one for the samples
+    heads_at = scratch_path(spark, "capture-heads")
     heads = capture.capture_heads(lines).withColumn("project", pcol)
+    heads.write.mode("overwrite").parquet(heads_at)
+    heads = spark.read.schema(heads.schema).parquet(heads_at)
     caps = store.captures(spark)
     new = changed_files(heads.select("project", "file", "mtime"), caps)
-    latest = caps.groupBy("project").agg(F.max("version").alias("_latest"))
     # many files of one project may be new at once: numbered without a task per project
     new = dense_index(new, ["project"], ["mtime", "file"], "_nth")
-    new = (new.join(latest, "project", "left")
-           .withColumn("version", (F.coalesce("_latest", F.lit(0)) + F.col("_nth") + 1).cast("int"))
-           .drop("_latest", "_nth"))
+    ranked = new.scratch
+    new = new.join(_versions(spark, store, new, load), "project").select(
+        "project", "file", "mtime", (F.col("before") + F.col("_nth") + 1).cast("int").alias("version"))
     # The new-file table (one row per file) is the plan of this ingest; it is
     # written once so every later step sees the same version numbers.
     staging = scratch_path(spark, "ingest-plan")
-    new.join(capture.column_specs(heads), "file").write.mode("overwrite").parquet(staging)
+    new.join(capture.column_specs(heads), "file").join(heads.select("file", "n_data"), "file").write.mode(
+        "overwrite").parquet(staging)
+    remove(spark, ranked)
     plan = spark.read.parquet(staging)
-    n_new = plan.limit(BROADCAST_MAX_ROWS + 1).count()  # one bounded count: emptiness and size
+    n_new = plan.count()
     if n_new == 0:
         return spark.createDataFrame([], schemas.CAPTURES)
-    plan_b = plan.select("file", "project", "version")
+    plan_b = plan.select("file", F.col("mtime").alias("_mtime"), "project", "version")
     plan_b = F.broadcast(plan_b) if n_new <= BROADCAST_MAX_ROWS else plan_b
 
     data = capture.decode_captures(lines.join(plan_b.select("file"), "file", "left_semi"), heads)
-    smp = data.join(plan_b, "file").select("project", "version", "trace", "i", "y_raw")
+    same = F.when(F.col("mtime") == F.col("_mtime"), F.col("i")).otherwise(
+        F.raise_error(F.concat(F.lit(WRITTEN_MEANWHILE), "file")))
+    smp = data.join(plan_b, "file").select("project", "version", "trace", same.alias("i"), "y_raw")
     write_samples(smp, store.path("samples"))
 
-    # sample count = data lines of the file (lines are numbered densely):
-    # from the cached lines, without re-reading the written samples
-    last = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
-    n = (last.join(plan_b, "file")
-         .join(heads.select("file", "first_data"), "file")
-         .select("project", "version",
-                 F.greatest(F.col("_last") - F.col("first_data") + 1, F.lit(0)).cast("bigint").alias("n_samples")))
     # trigger: only the TRIGGER trace of the new versions is read back
     # (partition pruning + pushed-down trace filter)
     written = (store.samples(spark, committed=False).where(F.col("trace") == "TRIGGER")
                .join(plan_b.select("project", "version"), ["project", "version"], "left_semi"))
     t0 = trigger_index(written)
-    rows = (plan.join(n, ["project", "version"], "left").join(t0, ["project", "version"], "left")
+    rows = (plan.join(t0, ["project", "version"], "left")
             .select("project", "version", F.col("file").alias("source_uri"),
                     F.col("mtime").alias("change_id"),
                     F.coalesce("t0_index", F.lit(0)).cast("bigint").alias("t0_index"),
-                    F.coalesce("n_samples", F.lit(0)).cast("bigint").alias("n_samples"), "columns"))
+                    F.col("n_data").alias("n_samples"), "columns"))
     rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.CAPTURES.fields])
 
-    _bootstrap_registry(spark, store, plan)
-    _carry_notes(spark, store, plan)
-    rows.write.mode("append").parquet(store.path("captures"))  # commit marker
-    added = [tuple(r) for r in plan.select("project", "version").collect()] if n_new <= BROADCAST_MAX_ROWS else None
-    if added is None:
+    _bootstrap_registry(spark, store, plan, load)
+    _carry_notes(spark, store, plan, load)
+    store.add(rows, "captures", load)  # commit marker
+    remove(spark, heads_at)
+    if n_new > BROADCAST_MAX_ROWS:
         return store.captures(spark).join(plan.select("project", "version"), ["project", "version"], "left_semi")
+    keys = spark.createDataFrame([tuple(r) for r in plan.select("project", "version").collect()],
+                                 "project string, version int")
     remove(spark, staging)
-    keys = spark.createDataFrame(added, "project string, version int")
     return store.captures(spark).join(keys, ["project", "version"], "left_semi")
 
 
-def _bootstrap_registry(spark: SparkSession, store: Store, plan: DataFrame) -> None:
+def _bootstrap_registry(spark: SparkSession, store: Store, plan: DataFrame, load: str) -> None:
     """A project's registry is written once, from the columns of its
-    first loaded version: one Active entry per column, label = name."""
+    first loaded version: one Active entry per column, label = name.  Of
+    several first loads at once, that with version 1 writes it."""
     reg = store.registry(spark)
-    first = (plan.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("project").orderBy("version"))).where(F.col("_rn") == 1)
-        .join(reg.select("project").distinct(), "project", "left_anti"))
+    known = store.captures(spark).select("project").distinct().withColumn("_known", F.lit(True))
+    first = (plan.groupBy("project").agg(F.min("version").alias("version"), F.min_by("columns", "version").alias("columns"))
+             .join(known, "project", "left").where((F.col("version") == 1) | F.col("_known"))
+             .join(reg.select("project").distinct(), "project", "left_anti"))
     rows = first.select("project", F.posexplode("columns").alias("ord", "c")).select(
         "project", F.col("c.name").alias("trace"), F.col("c.name").alias("label"),
         F.lit("Active").alias("state"), F.lit(1.0).alias("y_scale"), F.lit(0.0).alias("y_offset"),
         F.lit(None).cast(schemas.OVERLAY).alias("overlay"),
         F.array().cast("array<string>").alias("stat_functions"),
         F.lit(None).cast(schemas.DERIVATIVE).alias("derivative"), F.col("ord").cast("int"))
-    rows.write.mode("append").parquet(store.path("registry"))
+    store.add(rows, "registry", load)
 
 
-def _carry_notes(spark: SparkSession, store: Store, plan: DataFrame) -> None:
+def _carry_notes(spark: SparkSession, store: Store, plan: DataFrame, load: str) -> None:
     """New versions start with the notes of the latest existing version;
     a first load starts with empty notes for every column."""
     notes = store.notes(spark)
     done = store.captures(spark).select("project", "version")
     lastv = done.groupBy("project").agg(F.max("version").alias("version"))
     prev = notes.join(lastv, ["project", "version"], "left_semi").drop("version")
-    firsts = (plan.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("project").orderBy("version"))).where(F.col("_rn") == 1)
-        .join(prev.select("project").distinct(), "project", "left_anti")
-        .select("project", F.explode("columns.name").alias("trace"), F.lit("").alias("note")))
+    firsts = (plan.groupBy("project").agg(F.min_by("columns", "version").alias("columns"))
+              .join(prev.select("project").distinct(), "project", "left_anti")
+              .select("project", F.explode("columns.name").alias("trace"), F.lit("").alias("note")))
     base = prev.unionByName(firsts)
     out = plan.select("project", "version").join(base, "project")
     # a load that failed after this step left its rows: add none twice
     out = out.join(notes.select("project", "version", "trace"), ["project", "version", "trace"], "left_anti")
-    out.select("project", "version", "trace", "note").write.mode("append").parquet(store.path("notes"))
+    store.add(out.select("project", "version", "trace", "note"), "notes", load)
 
 
 def set_note(notes: DataFrame, project: str, version: int, trace: str, note: str) -> DataFrame:

@@ -28,11 +28,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..session import qualified
 from ..sources import capture
-from ..sources.store import Store, ingest
+from ..sources.store import WRITTEN_MEANWHILE, Store, ingest
 
 EVENTS = "file string, change_id bigint"
 STATE = "reference bigint, pending bigint"
 ACCEPT, DECLINE = "accept", "decline"
+#: Times a batch reads files that are written meanwhile.
+ATTEMPTS = 3
 _WILD = "*?["
 
 
@@ -176,12 +178,18 @@ def start_watch(spark: SparkSession, landing: str, store: Store, project: str |
     folder of decision files (see :func:`decision_stream`), else every change
     is accepted.  A file is read as it is when its batch runs; if it was
     written once more since, that is what the version holds, and the next
-    change id, being loaded already, adds none.
+    change id, being loaded already, adds none.  One written while it is read
+    is read again.
     """
     def batch(rows: DataFrame, epoch_id: int) -> None:
         paths = [r["file"] for r in rows.select("file").distinct().collect()]
-        if paths:
-            ingest(spark, store, capture.read_lines(spark, paths), project)
+        for more in range(ATTEMPTS - 1, -1, -1) if paths else ():
+            try:
+                ingest(spark, store, capture.read_lines(spark, paths), project)
+                return
+            except Exception as e:
+                if not more or WRITTEN_MEANWHILE not in str(e):
+                    raise
 
     said = None if decisions is None else decision_stream(spark, decisions)
     w = accepted(change_stream(spark, landing), said).writeStream.foreachBatch(batch)
