@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def resolve_versions(requests: DataFrame, captures: DataFrame) -> DataFrame:
     """(project, requested) -> resolved ``version``.
 
@@ -34,26 +33,25 @@ def compare_versions(sig: DataFrame, captures: DataFrame, version_a: int, versio
     """One trace at two versions side by side.
 
     Rows are aligned on ``k = i - t0_index`` (each version has its own
-    trigger) or on ``i`` (``align='index'``); a full outer join keeps samples
-    present in only one version.  Output (project, trace, k, y_a, y_b, diff).
-    The join shuffles on (project, trace, k): fine-grained, no hot key.
+    trigger) or on ``i`` (``align='index'``); a sample that only one version
+    has keeps its row, with the other side null.  Output (project, trace, k,
+    y_a, y_b, diff).  One aggregate with a column per version instead of a
+    join: both versions are read in one scan and meet in one exchange on
+    (project, trace, k), which is fine-grained and has no hot key.
     """
     if version_a == version_b:
         raise ValueError("need two different versions")
-    cap = captures.select("project", "version", "t0_index")  # planner size check
-
-    def side(v: int, tag: str) -> DataFrame:
-        s = sig.where(F.col("version") == v)
-        if align == "trigger":
-            s = (s.join(cap, ["project", "version"], "left")
-                 .withColumn("k", F.col("i") - F.coalesce("t0_index", F.lit(0))))
-        elif align == "index":
-            s = s.withColumn("k", F.col("i"))
-        else:
-            raise ValueError("align must be 'trigger' or 'index'")
-        return s.select("project", "trace", "k", F.col("y").alias(f"y_{tag}"))
-
-    return (side(version_a, "a").join(side(version_b, "b"), ["project", "trace", "k"], "full")
+    rows = sig.where(F.col("version").isin(version_a, version_b))
+    if align == "trigger":
+        cap = captures.select("project", "version", "t0_index")  # planner size check
+        rows = rows.join(cap, ["project", "version"], "left")
+        k = F.col("i") - F.coalesce("t0_index", F.lit(0))
+    elif align == "index":
+        k = F.col("i")
+    else:
+        raise ValueError("align must be 'trigger' or 'index'")
+    side = (lambda v: F.max(F.when(F.col("version") == v, F.col("y"))))
+    return (rows.groupBy("project", "trace", k.alias("k")).agg(side(version_a).alias("y_a"), side(version_b).alias("y_b"))
             .withColumn("diff", F.col("y_b") - F.col("y_a")))
 
 

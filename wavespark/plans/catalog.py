@@ -44,6 +44,10 @@ def rnd(c):
     return F.when(finite, F.floor(x * F.lit(GRID) + F.lit(0.5)) / F.lit(GRID)).otherwise(x)
 
 
+def _r(e: str) -> str:
+    return f"(floor(({e}) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6)"
+
+
 def _raw_signal(spark, sf, project=None):
     st = fixture_store(spark, sf)
     smp = st.samples(spark)
@@ -249,17 +253,17 @@ def q_version_resolve(spark, sf):
     return compare.resolve_versions(requests, cap).select("project", "requested", "version")
 
 
-def _side(v: int) -> str:
-    return f"""SELECT s2.project, s2.trace, s2.i - coalesce(t0.t0_index, 0) AS k, s2.y FROM s2
-  LEFT JOIN t0 ON t0.project = s2.project AND t0.version = s2.version
-  WHERE s2.version = {v}"""
+def _compare_sql(k: str, a: str = "1", b: str = "2") -> str:
+    """Two versions side by side without a join of samples: a column each."""
+    side = (lambda v: f"max(CASE WHEN version = {v} THEN y END)")
+    return f"""cmp AS (SELECT project, trace, {k} AS k, {side(a)} AS y_a, {side(b)} AS y_b
+  FROM (SELECT f.project, f.version, f.trace, f.i, r.y_scale * f.y_raw + r.y_offset AS y, t.t0_index
+        FROM f2 f JOIN reg r ON r.project = f.project AND r.trace = f.trace
+        JOIN t0 t ON t.version = f.version WHERE f.version IN ({a}, {b})) GROUP BY ALL)
+SELECT project, trace, k, {_r("y_a")} AS y_a, {_r("y_b")} AS y_b, {_r("y_b - y_a")} AS diff FROM cmp"""
 
 
-@register("version_compare", S.with_(*S.BASE, f"va AS ({_side(1)})", f"vb AS ({_side(2)})") + f"""
-SELECT coalesce(va.project, vb.project) AS project, coalesce(va.trace, vb.trace) AS trace,
-       coalesce(va.k, vb.k) AS k, (floor((va.y) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6) AS y_a, (floor((vb.y) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6) AS y_b,
-       (floor((vb.y - va.y) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6) AS diff
-FROM va FULL OUTER JOIN vb ON vb.project = va.project AND vb.trace = va.trace AND vb.k = va.k""")
+@register("version_compare", S.with_(S.F2W, S.F2, S.REG, S.T0, _compare_sql("i - t0_index")))
 def q_version_compare(spark, sf):
     sig, st = _raw_signal(spark, sf, "lineitem")
     out = compare.compare_versions(sig, st.captures(spark), 1, 2)
@@ -540,10 +544,6 @@ def _sig_out(df, ycol="y"):
                      *[c for c in df.columns if c in ("domain", "filter")])
 
 
-def _r(e: str) -> str:
-    return f"(floor(({e}) * 1.414213562373095e6 + 0.5) / 1.414213562373095e6)"
-
-
 def _dft_sql(src: str, out_trace: str, f1_expr: str, project: str) -> str:
     return f"""src AS ({src}),
 nn AS (SELECT version, trace, count(*) AS n FROM src GROUP BY version, trace),
@@ -739,19 +739,6 @@ WHERE a.trace = 'l_extendedprice' AND a.version = 7"""
 _TAX6 = "tax6 AS (SELECT * FROM s2 WHERE trace = 'l_tax' AND version = 6)"
 
 
-@register("view_rows", S.with_(*S.BASE, _TAX6, _savgol_sql("tax6", "5").replace(
-    "\nSELECT a.project, a.version, a.trace, a.i,", ",\nsg AS (SELECT a.project, a.version, a.trace, a.i,")
-    .replace("GROUP BY a.project, a.version, a.trace, a.i, a.x", "GROUP BY a.project, a.version, a.trace, a.i, a.x)")
-) + "SELECT v.*, 'us' AS x_unit FROM (" + _VIEW_RAW_SQL + f"""
-UNION ALL
-SELECT 'lineitem', 'prices', 1, 0, 0, trace, version, 'left', 'overlay', i, x, y_overlay FROM sg) v""")
-def q_view_rows(spark, sf):
-    views, sig, reg, cap, prj = _view_inputs(spark, sf)
-    rows = VW.materialize(views.where(F.col("view_name") == "prices"), sig, reg, cap, prj)
-    return rows.select("project", "view_name", F.col("row"), F.col("column"), "spec_pos", "trace", "version",
-                       "on_axis", "series", "i", rnd("x").alias("x"), rnd("y").alias("y"), "x_unit")
-
-
 def _fmt2g(e: str) -> str:
     return f"CAST(CAST(printf('%.1e', {e}) AS DOUBLE) AS VARCHAR)"
 
@@ -1003,22 +990,6 @@ def q_lowpass_overlay(spark, sf):
                       rnd("y_overlay").alias("y_overlay"), "filter")
 
 
-@register("domain_check", ORACLE["view_cells"].replace(
-    "SELECT t.project, t.view_name, t.\"row\", t.\"column\", t.domain, t.compatible, t.summary,",
-    "SELECT t.project, t.view_name, t.\"row\", t.\"column\", t.domain, t.compatible,"))
-def q_domain_check(spark, sf):
-    """R12 per subplot (with the materialised sample count)."""
-    return q_view_cells(spark, sf).drop("summary")
-
-
-@register("view_summary", ORACLE["view_cells"].replace(
-    "SELECT t.project, t.view_name, t.\"row\", t.\"column\", t.domain, t.compatible, t.summary,",
-    "SELECT t.project, t.view_name, t.\"row\", t.\"column\", t.summary,"))
-def q_view_summary(spark, sf):
-    """R15 per subplot (with the materialised sample count)."""
-    return q_view_cells(spark, sf).drop("domain", "compatible")
-
-
 # --------------------------------------------------------------------------
 # SQL oracle for the zero-phase low-pass: the cascade recurrence, sample by
 # sample, in a recursive CTE (independent of the FFT path of the library).

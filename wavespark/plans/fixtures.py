@@ -12,6 +12,7 @@ and read back with partition pruning, like any ingested store.
 
 from __future__ import annotations
 
+import json
 import threading
 
 import pandas as pd
@@ -254,3 +255,35 @@ def write_legacy_snapshots(spark: SparkSession, sf_dir: str, project_dir: str, a
 
     fr.groupBy("bucket").applyInPandas(write, "version int, rows long").write.format("noop").mode("overwrite").save()
     return project_dir
+
+
+def write_legacy_notes(spark: SparkSession, sf_dir: str, project_dir: str) -> str:
+    """``project_dir/data/NNNNN/config.json`` of every capture block: a note
+    on two traces, and a trace without one."""
+    from pyarrow import fs as pafs
+
+    uri = qualified(spark, project_dir)
+
+    def write(frames):
+        filesystem, root = pafs.FileSystem.from_uri(uri)
+        for pdf in frames:
+            for version, n in zip(pdf["version"], pdf["n"]):
+                d = f"{root}/data/{version:05}"
+                filesystem.create_dir(d, recursive=True)
+                note = {"note": f"{n} orders"}
+                with filesystem.open_output_stream(f"{d}/config.json") as out:
+                    out.write(json.dumps({"TRIGGER": note, "orders/key[31:0]": note, "orders/price": {}}).encode())
+            yield pdf
+
+    n = capture_frame(spark, sf_dir).groupBy((F.col("bucket") + 1).cast("int").alias("version")).agg(F.count("*").alias("n"))
+    n.mapInPandas(write, "version int, n long").write.format("noop").mode("overwrite").save()
+    return project_dir
+
+
+def copy_over(spark: SparkSession, source: str, target: str) -> None:
+    """Write ``source`` over ``target`` (one small file, both on the cluster's
+    file systems)."""
+    path, util = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.hadoop.fs.FileUtil
+    conf = spark._jsc.hadoopConfiguration()
+    a, b = path(source), path(target)
+    util.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)

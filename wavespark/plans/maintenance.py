@@ -140,7 +140,8 @@ def q_source_dispatch(spark, sf):
 
 @register("config_layout", f"""WITH {_EMB_REG}
 SELECT e.project, trace, label, state, CAST(y_scale AS DOUBLE) AS y_scale, CAST(y_offset AS DOUBLE) AS y_offset, ord,
-       CAST(1.0 AS DOUBLE) AS implied_dt, 'ns' AS dt_unit, 'all' AS view_name, count(*) OVER () AS traces_shown
+       CAST(1.0 AS DOUBLE) AS implied_dt, 'ns' AS dt_unit, 'traces ' || ord // 64 AS view_name,
+       count(*) OVER (PARTITION BY ord // 64) AS traces_shown
 FROM ereg e""")
 def q_config_layout(spark, sf):
     """S12, S13 through the layout on disk: ``<project>/project.json``,
@@ -151,17 +152,20 @@ def q_config_layout(spark, sf):
     root = scratch_path(spark, "projects")
     CFG.export_projects(st.projects(spark).where("project = 'embeddings'"), root)
     CFG.export_registry(reg, root)
-    v = VW.create_view(spark.createDataFrame([], SC.VIEWS), "embeddings", "all", 1, 1, "All")
+    block = F.concat(F.lit("traces "), F.floor(F.col("ord") / 64).cast("string")).alias("view_name")
     spec = F.struct(F.col("trace").alias("name"), F.lit(-1).alias("trace_version"), F.lit("left").alias("on_axis"),
                     F.lit("auto").alias("color"), F.lit(False).alias("show_filtered_trace"), F.lit(False).alias("show_legends"))
-    every = reg.groupBy("project").agg(F.collect_list(spec).alias("_t"))  # one cell that shows all traces
-    v = v.join(every, "project").withColumn("sub_plots", F.transform(
-        "sub_plots", lambda sp: sp.withField("traces", F.col("_t")))).drop("_t")
+    plot = F.struct(F.lit(0).alias("row"), F.lit(0).alias("column"), F.lit("").alias("left_axis_label"),
+                    F.lit("").alias("right_axis_label"), F.lit("").alias("x_axis_label"), F.lit(False).alias("show_grid"),
+                    F.lit("None").alias("legend_location"), F.collect_list(spec).alias("traces"))
+    v = reg.groupBy("project", block).agg(F.lit("Traces").alias("title"), F.lit(1).alias("num_rows"),
+                                          F.lit(1).alias("num_columns"), F.array(plot).alias("sub_plots"))
     CFG.export_views(v, root)
     names = CFG.list_project_names(spark, root)
     shown = VW.specs(CFG.read_views(spark, root)).groupBy("project", "view_name").agg(F.count("*").alias("traces_shown"))
     prj = CFG.read_projects(spark, root).select("project", "implied_dt", "dt_unit")
-    return (CFG.read_registry(spark, root).join(names, "project").join(prj, "project").join(shown, "project")
+    back = CFG.read_registry(spark, root)
+    return (back.withColumn("view_name", block).join(names, "project").join(prj, "project").join(shown, ["project", "view_name"])
             .select("project", "trace", "label", "state", "y_scale", "y_offset", "ord", "implied_dt", "dt_unit",
                     "view_name", "traces_shown"))
 
