@@ -262,3 +262,23 @@ def test_lowpass_very_low_cutoff_and_null(spark):
     for chunk in (500, 65536):
         got = _ys(filters.lowpass(d, "100 Hz", 0.5, "ms", min_chunk=chunk))
         assert got == [None] * len(y)
+
+
+def test_lowpass_states_by_segments(spark):
+    """Traces of 1 to 250 blocks in segments of 4 (up to four levels) give
+    what one segment gives; a null keeps its trace out, a short one raises."""
+    rng = np.random.default_rng(8)
+    data = {f"t{n}": np.cumsum(rng.normal(size=n)) for n in (40, 41, 170, 1999, 10_000)}
+    s = _sig(spark, data)
+    prm = spark.createDataFrame([("p", t, 0.01 * (k + 1)) for k, t in enumerate(data)], "project string, trace string, wn double")
+    out = filters.lowpass_by(s, prm, min_chunk=40, segment=4)
+    for k, (t, y) in enumerate(data.items()):
+        ref = filters.filtfilt_reference(y, 0.01 * (k + 1))
+        assert np.abs(np.array(_ys(out, t)) - ref).max() < 1e-9 * max(1.0, np.abs(ref).max()), t
+    rows = [("p", 1, "n", i, float(i), None if i == 900 else 1.0, "TIME") for i in range(2000)]
+    got = filters.lowpass_by(s.unionByName(spark.createDataFrame(rows, SIG)), prm.union(
+        spark.createDataFrame([("p", "n", 0.1)], prm.schema)), min_chunk=40, segment=4)
+    assert _ys(got, "n") == [None] * 2000 and None not in _ys(got, "t1999")
+    with pytest.raises(Exception, match="more than 33 samples"):
+        short = _sig(spark, {"t40": data["t1999"], "t41": np.ones(20)})
+        filters.lowpass_by(short, prm, min_chunk=40, segment=4).collect()

@@ -4,10 +4,10 @@ overlay dispatch (L4), normalised cutoff (U11).
 Both filters work on blocks of ``blocks.MIN_CHUNK`` samples, whatever the
 width of the window or the length of the impulse response.
 
-Low-pass: every block is filtered from zero state; the ten numbers of filter
-state that it hands on are carried along the trace by a scan over one small
-row per block; then each block is filtered again from its true state.  The
-backward pass does the same from the end.  There is no truncated response and
+Low-pass: every block is filtered from zero state; what it makes of the filter
+state (ten numbers) is an affine map, and a scan over these maps, by segments
+of bounded size, gives the state that enters each block.  The backward pass
+does the same from the end.  Then each block is filtered from its true states.  There is no truncated response and
 no halo.  A trace with a null sample is null throughout (the recurrence would
 carry it to every later sample of either pass).
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import blocks
 from ..functions import units
 from ..functions.units import frequency_hz, sampling_rate_hz
-from ..session import scratch_path
+from ..session import remove, scratch_path
 from .util import bounded_broadcast
 
 KEY = blocks.KEY
@@ -87,7 +87,15 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``_saved`` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch)
 
 
 @lru_cache(maxsize=64)
@@ -433,7 +441,14 @@ def filter_block(u: np.ndarray, state: np.ndarray, wn: float) -> tuple[np.ndarra
 
 
 def final_state(u: np.ndarray, wn: float) -> np.ndarray:
-    return filter_block(u, np.zeros(len(butter_sos(wn)) * 2), wn)[1]
+    """The state that ``u`` leaves from zero state (no output is computed)."""
+    _, _, into, powers = _dense(wn)
+    full = len(u) // RUN
+    state = np.zeros(into.shape[1])
+    for gain in u[:full * RUN].reshape(full, RUN) @ into:
+        state = powers[RUN] @ state + gain
+    rest = u[full * RUN:]
+    return powers[len(rest)] @ state + rest @ into[RUN - len(rest):] if len(rest) else state
 
 
 @lru_cache(maxsize=64)
@@ -442,79 +457,145 @@ def carry(wn: float, n: int) -> np.ndarray:
     return np.linalg.matrix_power(state_space(wn)[0], n)
 
 
-def _forward_scan(rows: list[dict]) -> list[dict]:
-    """Entry state of every block of one trace, and the entry state of the
-    backward pass (after the extension at the end)."""
-    wn, n = rows[0]["wn"], sum(r["len"] for r in rows)
+# A block turns the state that enters it into A^len state + end: an affine map,
+# and so is a stretch of blocks.  States are handed along a trace by a scan
+# over these maps: stretches of SEGMENT blocks become one row each, and so on
+# until a trace is one row; then each row hands its entry state to its parts.
+
+SEGMENT = 512
+KEEP = FILTFILT_PADLEN + 1
+STRETCH = ("project string, version int, trace string, block bigint, wn double, len bigint, bad boolean, "
+           "end array<double>, start array<double>, tail array<double>")
+ENTRY = "project string, version int, trace string, block bigint, state array<double>, back array<double>"
+
+
+def _order(rows: list[dict], back: bool) -> list[dict]:
+    return sorted(rows, key=lambda r: -r["block"] if back else r["block"])
+
+
+def _stretch(rows: list[dict], back: bool) -> dict:
+    """The map of consecutive rows as one row: its length, whether it holds a
+    null, the state it leaves from zero state, the trace's start state if the
+    rows have it, and its last samples."""
+    rows, wn = _order(rows, back), rows[0]["wn"]
+    bad, end = any(r["bad"] for r in rows), np.zeros(2 * len(butter_sos(wn)))
+    if not bad:
+        for r in rows:
+            end = carry(wn, r["len"]) @ end + r["end"]
+    start = next((r["start"] for r in rows if r["start"] is not None), None)
+    tail = [] if back else np.concatenate([r["tail"] for r in rows[-KEEP:]])[-KEEP:]
+    return {**{c: rows[0][c] for c in KEY}, "wn": wn, "len": sum(r["len"] for r in rows), "bad": bad,
+            "end": end.tolist(), "start": start, "tail": tail}
+
+
+def _turn(trace: dict) -> list[float] | None:
+    """The state in which the backward pass enters the last block, from the
+    whole trace as one stretch (null: a null sample)."""
+    wn, n = trace["wn"], trace["len"]
     if n <= FILTFILT_PADLEN:
-        raise ValueError(f"trace {rows[0]['trace']!r}: the low-pass needs more than {FILTFILT_PADLEN} samples, got {n}")
-    key = {c: rows[0][c] for c in KEY}
-    if any(r["bad"] for r in rows):
-        return [{**key, "block": r["block"], "state": None, "back": None} for r in rows]
-    head = rows[0]["head"]
-    tail = np.concatenate([r["tail"] for r in rows[-2:]])[-FILTFILT_PADLEN - 1:]
-    left = 2 * head[0] - head[FILTFILT_PADLEN:0:-1]
-    right = 2 * tail[-1] - tail[-2::-1]
-    _, state = filter_block(left, steady_state(wn, left[0]), wn)
-    out = []
-    for r in rows:
-        out.append({**key, "block": r["block"], "state": state.tolist(), "back": None})
-        state = carry(wn, r["len"]) @ state + r["end"]
-    beyond, _ = filter_block(right, state, wn)
-    _, back = filter_block(beyond[::-1], steady_state(wn, beyond[-1]), wn)
-    for o in out:
-        o["back"] = back.tolist()
-    return out
+        raise ValueError(f"trace {trace['trace']!r}: the low-pass needs more than {FILTFILT_PADLEN} samples, got {n}")
+    if trace["bad"]:
+        return None
+    tail = np.asarray(trace["tail"])
+    beyond, _ = filter_block(2 * tail[-1] - tail[-2::-1], carry(wn, n) @ np.asarray(trace["start"]) + trace["end"], wn)
+    return filter_block(beyond[::-1], steady_state(wn, beyond[-1]), wn)[1].tolist()
 
 
-def _backward_scan(rows: list[dict]) -> list[dict]:
-    rows = sorted(rows, key=lambda r: -r["block"])
-    wn, state, out = rows[0]["wn"], rows[0]["back"], []
-    for r in rows:
-        ok = r["back"] is not None
-        out.append({**{c: r[c] for c in KEY}, "block": r["block"], "state": np.asarray(state).tolist() if ok else None})
-        if ok:
-            state = carry(wn, r["len"]) @ state + r["end"]
+def _spread(rows: list[dict], state, back: bool) -> list[dict]:
+    """The entry state of each of consecutive rows (null where the trace has a
+    null sample)."""
+    out = []
+    for r in _order(rows, back):
+        out.append({**{c: r[c] for c in KEY}, "block": r["block"], "state": None if state is None else np.asarray(state).tolist()})
+        if state is not None:
+            state = carry(r["wn"], r["len"]) @ np.asarray(state) + r["end"]
     return out
 
 
-def lowpass_by(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK) -> DataFrame:
+def _whole(rows: list[dict], back: bool) -> list[dict]:
+    """The scan of a trace of at most a segment's blocks."""
+    trace = _stretch(rows, back)
+    turn = None if back else _turn(trace)
+    return [{**o, "back": turn} for o in _spread(rows, None if trace["bad"] else trace["start"], back)]
+
+
+def scan_states(first: DataFrame, back: bool, largest: int, segment: int = SEGMENT) -> DataFrame:
+    """ENTRY rows of the blocks in ``first`` (STRETCH rows; ``largest``: the
+    highest block number): the state that enters each block, and (forward) the
+    state that the backward pass starts with.  No task has more than
+    ``segment`` rows of a trace."""
+    if largest < segment:
+        return _saved(blocks.map_groups(first, KEY, "block", lambda rows: _whole(rows, back), ENTRY), "lowpass-states")
+    levels = [_saved(first, "lowpass-level")]
+    own = F.floor(F.col("block") / segment).cast("bigint")
+    while largest:
+        up = blocks.map_groups(levels[-1].withColumn("part", own), [*KEY, "part"], "block",
+                               lambda rows: [{**_stretch(rows, back), "block": rows[0]["part"]}], STRETCH)
+        levels.append(_saved(up, "lowpass-level"))
+        largest //= segment
+    entry = _saved(blocks.map_rows(levels[-1], lambda r: [{
+        **{c: r[c] for c in KEY}, "block": 0, "state": None if r["bad"] else r["start"], "back": None if back else _turn(r)}],
+        ENTRY), "lowpass-states")
+    for level in reversed(levels[:-1]):
+        above = bounded_broadcast(entry.withColumnRenamed("block", "part"))
+        rows = level.drop("start", "tail").withColumn("part", own).join(above, [*KEY, "part"])
+        below = _saved(blocks.map_groups(rows, [*KEY, "part"], "block", lambda rs: [
+            {**o, "back": rs[0]["back"]} for o in _spread(rs, rs[0]["state"], back)], ENTRY), "lowpass-states")
+        _dropped(entry, level)
+        entry = below
+    _dropped(levels[-1])
+    return entry
+
+
+def lowpass_by(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK,
+               segment: int = SEGMENT) -> DataFrame:
     """L1/L2 on every trace of ``sig`` with a row in ``params`` (project, trace,
-    wn): all traces and cutoffs in one pass of four jobs."""
-    size = max(int(min_chunk), FILTFILT_PADLEN + 1)
+    wn): all traces and cutoffs in one pass.
+
+    The blocks are written once.  Two passes over their values give each
+    block's map, forward and backward (only rows of some dozen numbers leave
+    them); the last pass filters a block both ways from its true states, and
+    only there x comes along."""
+    size = max(int(min_chunk), KEEP)
     key = "project string, version int, trace string, block bigint"
     data = _saved(blocks.to_blocks(sig.join(params.select("project", "trace", "wn"), ["project", "trace"]), size, ["wn"]),
                   "lowpass-blocks")
-    keep = FILTFILT_PADLEN + 1
-
-    def ends(r):
-        y = r["y"].astype(float)
-        bad = bool(np.isnan(y).any())
-        yield {**{c: r[c] for c in [*KEY, "block", "wn"]}, "len": len(y), "bad": bad, "head": y[:keep].tolist(),
-               "tail": y[-keep:].tolist(), "end": None if bad else final_state(y, r["wn"]).tolist()}
-
-    first = blocks.map_rows(data, ends, f"{key}, wn double, len bigint, bad boolean, head array<double>, "
-                                        "tail array<double>, end array<double>")
-    entry = _saved(blocks.map_groups(first, KEY, "block", _forward_scan,
-                                     f"{key}, state array<double>, back array<double>"), "lowpass-states")
+    largest = data.agg(F.max("block")).first()[0] or 0
 
     def forward(r):
-        y = None if r["state"] is None else filter_block(r["y"].astype(float), r["state"], r["wn"])[0]
-        yield {**{c: r[c] for c in [*KEY, "block", "wn", "domain", "back"]}, "len": len(r["y"]), "x": r["x"], "y": y,
-               "end": None if y is None else final_state(y[::-1], r["wn"])}
+        y = r["y"].astype(float)
+        bad, wn = bool(np.isnan(y).any()), r["wn"]
+        start = None
+        if r["block"] == 0 and not bad and len(y) > FILTFILT_PADLEN:
+            left = 2 * y[0] - y[FILTFILT_PADLEN:0:-1]
+            start = filter_block(left, steady_state(wn, left[0]), wn)[1].tolist()
+        yield {**{c: r[c] for c in [*KEY, "block", "wn"]}, "len": len(y), "bad": bad, "start": start,
+               "tail": y[-KEEP:].tolist(), "end": None if bad else final_state(y, wn).tolist()}
 
-    half = _saved(blocks.map_rows(
-        data.join(bounded_broadcast(entry), [*KEY, "block"]), forward,
-        f"{key}, wn double, domain string, back array<double>, len bigint, x array<double>, y array<double>, end array<double>"),
-        "lowpass-forward")
-    back = _saved(blocks.map_groups(half.select(*KEY, "block", "wn", "len", "back", "end"), KEY, "block", _backward_scan,
-                                    f"{key}, state array<double>"), "lowpass-back")
+    entry = scan_states(blocks.map_rows(data.select(*KEY, "block", "wn", "y"), forward, STRETCH), False, largest, segment)
 
     def backward(r):
-        y = np.full(len(r["x"]), np.nan) if r["state"] is None else filter_block(r["y"][::-1], r["state"], r["wn"])[0][::-1]
+        bad, end = r["state"] is None, None
+        if not bad:
+            end = final_state(filter_block(r["y"].astype(float), r["state"], r["wn"])[0][::-1], r["wn"]).tolist()
+        yield {**{c: r[c] for c in [*KEY, "block", "wn"]}, "len": len(r["y"]), "bad": bad,
+               "start": None if bad else r["back"].tolist(), "tail": [], "end": end}
+
+    turned = blocks.map_rows(data.select(*KEY, "block", "wn", "y").join(bounded_broadcast(entry), [*KEY, "block"]),
+                             backward, STRETCH)
+    again = scan_states(turned, True, largest, segment)
+    states = _saved(entry.drop("back").join(again.select(*KEY, "block", F.col("state").alias("back")), [*KEY, "block"]),
+                    "lowpass-states")
+    _dropped(entry, again)
+
+    def both(r):
+        y = np.full(len(r["y"]), np.nan)
+        if r["state"] is not None:
+            out = filter_block(r["y"].astype(float), r["state"], r["wn"])[0]
+            y = filter_block(out[::-1], r["back"], r["wn"])[0][::-1]
         yield {**{c: r[c] for c in [*KEY, "block", "domain"]}, "x": r["x"], "y": y}
 
-    done = blocks.map_rows(half.drop("back", "end").join(bounded_broadcast(back), [*KEY, "block"]), backward,
+    done = blocks.map_rows(data.join(bounded_broadcast(states), [*KEY, "block"]), both,
                            f"{key}, domain string, x array<double>, y array<double>")
     return blocks.from_blocks(done, size).select("project", "version", "trace", "i", "x",
                                                  F.nanvl("y", F.lit(None).cast("double")).alias("y"), "domain")
