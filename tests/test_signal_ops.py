@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavespark.functions import units as U
-from wavespark.operators import blocks, filters, pointwise, spectrum, stats
+from wavespark.operators import filters, pointwise, spectrum, stats
 
 SIG = "project string, version int, trace string, i long, x double, y double, domain string"
 
@@ -127,15 +127,6 @@ def test_spectrum_peak_constant_and_four_step(spark):
     assert spectrum.split_factor(10007) == 1 and spectrum.split_factor(64) == 8
 
 
-def test_blocks_replication_exactly_once(spark):
-    df = spark.range(0, 10000).select(F.lit("p").alias("project"), F.lit(1).alias("version"),
-                                      F.lit("t").alias("trace"), F.col("id").alias("i"))
-    rep = blocks.with_halo(df, 2000, 100)
-    own = rep.where(F.floor(F.col("i") / 2000) == F.col("chunk"))
-    assert own.count() == 10000
-    assert rep.count() == 10000 + 2 * 100 * 4 + 100  # halos around 4 inner edges, +100 past the end
-
-
 def test_two_significant_matches_python(spark):
     vals = [1234.5, 0.0012345, 0.00012345, 1.2345e-05, 98765432.1, 1.5e17, -0.5, 7.0, 0.0, 99.9, 1e-4, 5e-7, 3e-250]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
@@ -282,3 +273,28 @@ def test_lowpass_states_by_segments(spark):
     with pytest.raises(Exception, match="more than 33 samples"):
         short = _sig(spark, {"t40": data["t1999"], "t41": np.ones(20)})
         filters.lowpass_by(short, prm, min_chunk=40, segment=4).collect()
+
+
+@pytest.mark.parametrize("lo, hi, top", [(0, 0, 0), (3, 200, 2), (8, 63, 3), (5, 8, 1), (0, 511, 3), (63, 64, 2), (1, 4000, 1)])
+def test_cover_is_exact(lo, hi, top):
+    got = [b for level, v in filters.cover(lo, hi, top) for b in range(v * filters.FAN ** level, (v + 1) * filters.FAN ** level)]
+    assert sorted(got) == list(range(lo, hi + 1))
+    if hi - lo < filters.FAN ** (top + 1):
+        assert len(filters.cover(lo, hi, top)) <= 2 * filters.FAN * (top + 1)
+
+
+def test_savgol_of_many_tiny_blocks(spark):
+    """A 3 % window on 20,000 blocks: 600 whole blocks in every window, by a
+    tree of moments; nulls and both ends stay exact."""
+    rng = np.random.default_rng(9)
+    n, size = 80_000, 4
+    y = rng.normal(size=n) + 3.0
+    s = _sig(spark, {"w": y})
+    prm = spark.createDataFrame([("p", "w", "3 %", 3)], "project string, trace string, window_length string, polyorder int")
+    got = np.array(_ys(filters.savgol(s, prm, min_chunk=size)))
+    assert np.abs(got - filters.savgol_reference(y, 2400, 3)).max() < 1e-9
+    z = [None if i in (0, 40_000) else float(v) for i, v in enumerate(y)]
+    d = spark.createDataFrame([("p", 1, "w", i, float(i), v, "TIME") for i, v in enumerate(z)], SIG)
+    got = _ys(filters.savgol(d, prm, min_chunk=size))
+    gone = {i for i in range(n) if i <= 1199 or 40_000 - 1200 <= i <= 40_000 + 1199}
+    assert {i for i, v in enumerate(got) if v is None} == gone

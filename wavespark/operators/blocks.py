@@ -1,56 +1,22 @@
-"""Chunk + halo layout for sliding computations over one trace.
+"""Block rows: a trace as rows of ``MIN_CHUNK`` samples (arrays), and maps over
+block rows and over bounded groups of them.
 
 A trace can hold a third of all samples, and a grouped-map task cannot be
-split by AQE.  So a trace is cut into chunks of C samples (``chunk = i div
-C``) and every row is also copied into the neighbouring chunks whose range
-lies within H samples (``explode(sequence(...))``); each (project, version,
-trace, chunk) group then sees its own rows plus a halo of H on each side and
-emits only its own rows.  With H <= C a row is copied at most twice.
-
-``C`` and ``H`` may be literals or per-row columns (joined per trace).
-Requires a dense index ``i`` = 0..n-1 per trace.
+split; so operators that need neighbouring samples work on blocks and exchange
+only what crosses a block's border.  Requires a dense index ``i`` = 0..n-1 per
+trace.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["project", "version", "trace"]
 MIN_CHUNK = 1 << 16
 
 
-def _c(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(int(v))
-
-
-def with_halo(df: DataFrame, chunk, halo) -> DataFrame:
-    """Replicate rows into (own and neighbour) chunks: adds ``chunk``,
-    ``chunk_size`` and ``halo`` columns."""
-    C, H = _c(chunk).cast("bigint"), _c(halo).cast("bigint")
-    i = F.col("i")
-    first = F.greatest(F.lit(0).cast("bigint"), F.floor((i - H) / C).cast("bigint"))
-    last = F.floor((i + H) / C).cast("bigint")
-    return (df.withColumn("chunk_size", C).withColumn("halo", H)
-            .withColumn("chunk", F.explode(F.sequence(first, last))))
-
-
-def chunk_size_for(halo: Column | int, min_chunk: int = MIN_CHUNK) -> Column:
-    """C = max(min_chunk, 8 H): replication overhead <= 25 %."""
-    return F.greatest(F.lit(min_chunk).cast("bigint"), _c(halo).cast("bigint") * 8)
-
-
-def trace_lengths(df: DataFrame) -> DataFrame:
-    """(project, version, trace, n): partial + final count, no hot task."""
-    return df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-
-
-def own_range(chunk: int, chunk_size: int) -> tuple[int, int]:
-    return chunk * chunk_size, (chunk + 1) * chunk_size - 1
-
-
-def grouped_map(df: DataFrame, keys: list[str], order: str, fn, schema: str,
-                num_partitions: int | None = None) -> DataFrame:
+def grouped_map(df: DataFrame, keys: list[str], order: str, fn, schema: str) -> DataFrame:
     """Apply ``fn(pdf) -> pdf`` to every ``keys`` group, groups sorted by
     ``order``.
 
@@ -61,8 +27,7 @@ def grouped_map(df: DataFrame, keys: list[str], order: str, fn, schema: str,
     joined once at its end, so the work is linear in the group's size.  Memory
     holds one group at a time (plus a batch); callers keep groups bounded.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.withColumn("_gid", F.xxhash64(*keys)).repartition(n, *keys).sortWithinPartitions("_gid", *keys, order)
+    part = df.withColumn("_gid", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions("_gid", *keys, order)
 
     def run(batches):
         import numpy as np
@@ -144,8 +109,7 @@ def map_groups(df: DataFrame, keys: list[str], order: str, fn, schema: str) -> D
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartition(n, *keys).sortWithinPartitions(*keys, order)
+    part = df.repartition(*keys).sortWithinPartitions(*keys, order)
 
     def run(batches):
         import pyarrow as pa

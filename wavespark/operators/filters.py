@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -187,42 +187,100 @@ def _reach(a: int, e: int, hl: int, hr: int, size: int) -> tuple[int, int]:
     return -(-(e - hl) // size), (a + hr + 1) // size - 1
 
 
-def _savgol_plan(rows: list[dict], size: int) -> list[dict]:
-    """Per block of one trace: window, ends, and the moments of the whole
-    blocks between the moving ends of its windows (``rows``: one per block)."""
-    n = sum(r["len"] for r in rows)
-    key = {c: rows[0][c] for c in KEY}
-    p, w = rows[0]["_p"], savgol_window(rows[0]["window_length"], n)
-    hl, hr, _, _ = savgol_poly(w, p)
-    h = max(hr, 1)
-    first, last = rows[0]["first"], rows[-1]["last"]
-    moments = np.stack([r["moments"] for r in rows])  # [blocks, p + 1] about b * size + size // 2, in units of size
-    bad = np.cumsum([0, *(r["bad"] for r in rows)])
-    out = []
-    for r in rows:
-        a = r["block"] * size
-        e = a + r["len"] - 1
-        centre = (a + e) // 2
-        m0, m1 = _reach(a, e, hl, hr, size)
-        mid, gone = None, 0
-        if m1 >= m0:
-            mid = np.zeros(p + 1)
-            lo, hi = max(m0, 0), min(m1, len(rows) - 1)
-            if hi >= lo:
-                b = np.arange(lo, hi + 1)
-                d = (b * size + size // 2 - centre) / h
-                for q in range(p + 1):
-                    mid[q] += sum(math.comb(q, k) * (size / h) ** k * (d ** (q - k) * moments[b, k]).sum()
-                                  for k in range(q + 1))
-                gone += int(bad[hi + 1] - bad[lo])
-            for value, x, y in ((first, m0 * size, min(-1, (m1 + 1) * size - 1)),
-                                (last, max(n, m0 * size), (m1 + 1) * size - 1)):
-                if y >= x:  # padding that every window has
-                    gone += int(np.isnan(value))
-                    v = 0.0 if np.isnan(value) else value
-                    mid += [v * float(Fraction(power_sum(x - centre, y - centre, k), h ** k)) for k in range(p + 1)]
-        out.append({**key, "target": r["block"], "w": w, "p": p, "n": n, "first": first, "last": last,
-                    "mid": mid if mid is None else mid.tolist(), "gone": gone})
+# Moments of stretches of whole blocks: level 0 has one row per block, every
+# further level one per FAN rows of the level below, each about its own centre
+# and in units of its own length.  A window's whole blocks are a few nodes of
+# every level, so the work per output block grows with the logarithm of the
+# window, and no task needs a trace's blocks together.
+
+FAN = 8
+NODE = "project string, version int, trace string, level int, node bigint, p int, bad bigint, moments array<double>"
+
+
+def _shifted(moments: np.ndarray, unit: float, to: float, by: float) -> np.ndarray:
+    """Moments in units of ``unit`` as moments in units of ``to`` about a
+    centre ``by`` samples lower."""
+    p = len(moments) - 1
+    return np.array([sum(math.comb(q, k) * (unit / to) ** k * (by / to) ** (q - k) * moments[k] for k in range(q + 1))
+                     for q in range(p + 1)])
+
+
+def _centre(level: int, node: int, size: int) -> int:
+    return node * size * FAN ** level + size * FAN ** level // 2
+
+
+def _block_node(r: dict, size: int) -> dict:
+    y = r["y"].astype(float)
+    nan = np.isnan(y)
+    u, z = (np.arange(len(y)) - size // 2) / size, np.where(nan, 0.0, y)
+    return {**{c: r[c] for c in KEY}, "level": 0, "node": r["block"], "p": r["p"], "bad": int(nan.sum()),
+            "moments": [float((u ** k * z).sum()) for k in range(r["p"] + 1)]}
+
+
+def _parent(rows: list[dict], size: int) -> dict:
+    level, node = rows[0]["level"] + 1, rows[0]["parent"]
+    unit, to = size * FAN ** (level - 1), size * FAN ** level
+    total = sum(_shifted(r["moments"], unit, to, _centre(level - 1, r["node"], size) - _centre(level, node, size)) for r in rows)
+    return {**{c: rows[0][c] for c in [*KEY, "p"]}, "level": level, "node": node, "bad": sum(r["bad"] for r in rows),
+            "moments": total.tolist()}
+
+
+def cover(lo: int, hi: int, top: int) -> list[tuple[int, int]]:
+    """The nodes (level, node) of levels 0..top that make up blocks lo..hi."""
+    out, end = [], hi + 1
+    for level in range(top + 1):
+        up, down = -(-lo // FAN), end // FAN
+        if level == top or up >= down:
+            return out + [(level, v) for v in range(lo, end)]
+        out += [(level, v) for v in (*range(lo, up * FAN), *range(down * FAN, end))]
+        lo, end = up, down
+    return out
+
+
+def _span(r: dict, size: int) -> tuple[int, int, int, int, int]:
+    """(a, e, centre, m0, m1) of an output block: its samples, their centre,
+    and the whole blocks that all its windows contain."""
+    hl, hr, _, _ = savgol_poly(r["w"], r["p"])
+    a = r["target"] * size
+    e = min(a + size, r["n"]) - 1
+    return a, e, (a + e) // 2, *_reach(a, e, hl, hr, size)
+
+
+def _middles(data: DataFrame, plan: DataFrame, size: int, whole: int) -> DataFrame:
+    """(KEY, target, mid, gone): moments about the target's centre, in units of
+    its half window, and nulls of the whole blocks in all its windows.
+    ``whole``: the largest number of such blocks."""
+    top = 0
+    while FAN ** (top + 1) <= whole:
+        top += 1
+    key = "project string, version int, trace string"
+    wide = plan.select(*KEY, "p").where("target = 0")
+    level = _saved(blocks.map_rows(data.select(*KEY, "block", "y").join(bounded_broadcast(wide), KEY),
+                                   lambda r: [_block_node(r, size)], NODE), "savgol-moments")
+    levels = [level]
+    for _ in range(top):
+        up = level.withColumn("parent", F.floor(F.col("node") / FAN).cast("bigint"))
+        level = _saved(blocks.map_groups(up, [*KEY, "parent"], "node", lambda rows: [_parent(rows, size)], NODE), "savgol-moments")
+        levels.append(level)
+
+    def wanted(r):
+        a, e, centre, m0, m1 = _span(r, size)
+        own = (r["n"] - 1) // size
+        for k, v in cover(max(m0, 0), min(m1, own), top) if m1 >= m0 and m0 <= own and m1 >= 0 else ():
+            yield {**{c: r[c] for c in KEY}, "target": r["target"], "centre": centre, "h": max(r["w"] // 2, 1), "level": k, "node": v}
+
+    asked = blocks.map_rows(plan.select(*KEY, "target", "w", "p", "n"), wanted,
+                            f"{key}, target bigint, centre bigint, h bigint, level int, node bigint")
+    nodes = reduce(DataFrame.unionByName, levels).drop("p")
+
+    def add(rows):
+        total = sum(_shifted(r["moments"], size * FAN ** r["level"], r["h"], _centre(r["level"], r["node"], size) - r["centre"])
+                    for r in rows)
+        return [{**{c: rows[0][c] for c in [*KEY, "target"]}, "mid": total.tolist(), "gone": sum(r["bad"] for r in rows)}]
+
+    out = _saved(blocks.map_groups(asked.join(nodes, [*KEY, "level", "node"]), [*KEY, "target"], "node", add,
+                                   f"{key}, target bigint, mid array<double>, gone bigint"), "savgol-middles")
+    _dropped(*levels)
     return out
 
 
@@ -231,94 +289,120 @@ def _savgol_block(rows: list[dict], size: int) -> list[dict]:
     r = next(r for r in rows if r["block"] == r["target"])
     w, p, n = r["w"], r["p"], r["n"]
     hl, hr, _, _ = savgol_poly(w, p)
-    a = r["target"] * size
-    e = a + len(r["x"]) - 1
+    a, e, centre, m0, m1 = _span(r, size)
+    first, last = (np.nan if r[c] is None else r[c] for c in ("first", "last"))
 
     def span(lo: int, hi: int) -> np.ndarray:
         """Samples lo..hi, padded beyond the signal's ends."""
         v = np.empty(max(hi - lo + 1, 0))
-        v[:max(min(-lo, len(v)), 0)] = r["first"]
-        v[max(n - lo, 0):] = r["last"]
+        v[:max(min(-lo, len(v)), 0)] = first
+        v[max(n - lo, 0):] = last
         for s in rows:
             x, y = max(lo, s["at"]), min(hi, s["at"] + len(s["piece"]) - 1)
             if y >= x:
                 v[x - lo:y + 1 - lo] = s["piece"][x - s["at"]:y + 1 - s["at"]]
         return v
 
-    if r["mid"] is None:
+    if m1 < m0:
         y = span(a - hl, e + hr)
         nan = np.isnan(y)
         out = savgol_run(np.where(nan, 0.0, y), a - hl, a, e, w, p)
-        count = np.concatenate([[0], np.cumsum(nan)])
-        out[count[hl + hr + 1:] - count[:-(hl + hr + 1)] > 0] = np.nan
+        if nan.any():
+            count = np.concatenate([[0], np.cumsum(nan)])
+            out[count[hl + hr + 1:] - count[:-(hl + hr + 1)] > 0] = np.nan
     else:
-        m0, m1 = _reach(a, e, hl, hr, size)
+        h = max(hr, 1)
+        mid, gone = (np.zeros(p + 1), 0) if r["mid"] is None else (np.array(r["mid"]), r["gone"])
+        for value, x, y in ((first, m0 * size, min(-1, (m1 + 1) * size - 1)), (last, max(n, m0 * size), (m1 + 1) * size - 1)):
+            if y >= x:  # padding that every window has
+                gone += int(np.isnan(value))
+                mid += [np.nan_to_num(value) * float(Fraction(power_sum(x - centre, y - centre, k), h ** k)) for k in range(p + 1)]
         lead, tail = span(a - hl, m0 * size - 1), span((m1 + 1) * size, e + hr)
         bad_l, bad_r = np.isnan(lead), np.isnan(tail)
-        out = savgol_ends(a, e, w, p, np.where(bad_l, 0.0, lead), a - hl, np.where(bad_r, 0.0, tail), (m1 + 1) * size,
-                          np.asarray(r["mid"]))
+        out = savgol_ends(a, e, w, p, np.where(bad_l, 0.0, lead), a - hl, np.where(bad_r, 0.0, tail), (m1 + 1) * size, mid)
         i = np.arange(a, e + 1)
         nl, nr = np.concatenate([[0], np.cumsum(bad_l)]), np.concatenate([[0], np.cumsum(bad_r)])
-        out[(r["gone"] + nl[-1] - nl[i - hl - (a - hl)] + nr[i + hr + 1 - (m1 + 1) * size]) > 0] = np.nan
+        out[(gone + nl[-1] - nl[i - hl - (a - hl)] + nr[i + hr + 1 - (m1 + 1) * size]) > 0] = np.nan
     return [{**{c: r[c] for c in KEY}, "block": r["target"], "x": r["x"], "y": out, "domain": r["domain"]}]
 
 
+def _window_column(n):
+    """:func:`savgol_window` of ``window_length`` for traces of ``n`` samples."""
+    share = F.regexp_extract("window_length", r"^(.*?)\s*%$", 1)
+    return F.when(share != "", (n * share.cast("double") / 100).cast("bigint")).otherwise(
+        F.when(share == "", F.col("window_length")).cast("bigint"))
+
+
 def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK) -> DataFrame:
     """L3 on every trace of ``sig`` that has a row in ``params``
     (project, trace, window_length STRING, polyorder INT); ``min_chunk``
     samples make a block.
 
-    The blocks are written once (the input may be a computed trace); lengths,
-    which an "N%" window needs, come from the block rows.  Each sample travels
-    to the blocks whose windows begin or end in its reach: once plus the
-    window's share of a block for narrow windows, about four times for wide
-    ones, never more.
+    The blocks are written once (the input may be a computed trace).  Traces of
+    one block are filtered where they lie.  Otherwise each sample travels to
+    the blocks whose windows begin or end in its reach: once plus the window's
+    share of a block for narrow windows, about four times for wide ones, never
+    more; whole blocks within a window come as moments (:func:`_middles`).
     """
     size = int(min_chunk)
     prm = params.select("project", "trace", F.trim("window_length").alias("window_length"),
-                        F.col("polyorder").cast("int").alias("_p"))
-    data = _saved(blocks.to_blocks(sig.join(prm, ["project", "trace"]), size, ["window_length", "_p"]), "savgol-blocks")
+                        F.col("polyorder").cast("int").alias("p"))
+    data = _saved(blocks.to_blocks(sig.join(prm, ["project", "trace"]), size, ["window_length", "p"]), "savgol-blocks")
     key = "project string, version int, trace string"
-
-    def stats(r):
-        y, p = r["y"].astype(float), r["_p"]
-        nan = np.isnan(y)
-        u = (np.arange(len(y)) - size // 2) / size
-        z = np.where(nan, 0.0, y)
-        yield {**{c: r[c] for c in [*KEY, "block", "window_length", "_p"]}, "len": len(y), "first": y[0], "last": y[-1],
-               "bad": int(nan.sum()), "moments": [float((u ** k * z).sum()) for k in range(p + 1)]}
-
-    per_block = blocks.map_rows(data, stats, f"{key}, block bigint, window_length string, _p int, len bigint, "
-                                             "first double, last double, bad bigint, moments array<double>")
-    plan = _saved(blocks.map_groups(
-        per_block, KEY, "block", lambda rows: _savgol_plan(rows, size),
-        f"{key}, target bigint, w bigint, p int, n bigint, first double, last double, mid array<double>, gone bigint"),
-        "savgol-plan")
+    schema = f"{key}, block bigint, x array<double>, y array<double>, domain string"
+    done = (lambda df: blocks.from_blocks(df, size).select(
+        "project", "version", "trace", "i", "x", F.nanvl("y", F.lit(None).cast("double")).alias("y"), "domain"))
+    n, ends = F.size("y").cast("bigint"), (F.element_at("y", 1).alias("first"), F.element_at("y", -1).alias("last"))
+    none = (F.lit(None).cast("array<double>").alias("mid"), F.lit(0).cast("bigint").alias("gone"))
+    if not data.agg(F.max("block")).first()[0]:
+        rows = data.withColumn("n", n).withColumn("w", _window_column(F.col("n"))).select(
+            *KEY, "block", F.col("block").alias("target"), "w", "p", "n", *ends, *none, F.lit(0).cast("bigint").alias("at"),
+            F.col("y").alias("piece"), "x", "domain")
+        return done(blocks.map_rows(rows, lambda r: _savgol_block([r], size), schema))
+
+    per_trace = data.select(*KEY, "block", "window_length", "p", n.alias("len"), *ends).groupBy(*KEY).agg(
+        F.sum("len").alias("n"), F.min_by("first", "block").alias("first"), F.max_by("last", "block").alias("last"),
+        F.first("window_length").alias("window_length"), F.first("p").alias("p"))
+    per_trace = bounded_broadcast(_saved(per_trace.withColumn("w", _window_column(F.col("n"))).drop("window_length"),
+                                         "savgol-traces"))
+    plan = data.select(*KEY, F.col("block").alias("target")).join(per_trace, KEY)
     w, n, b = F.col("w"), F.col("n"), F.col("block")
     hl, hr = F.floor((w - 1) / 2), F.floor(w / 2)
-    per_trace = plan.where("target = 0").select(*KEY, "w", "n")
-    rows = data.drop("window_length", "_p").join(bounded_broadcast(per_trace), KEY)
 
-    def ends(t):
-        """Sample ranges that block t needs: (from, to) of its left and right part."""
+    def reach(t):
+        """Samples of block t, and the whole blocks in all its windows."""
         a = t * size
         e = F.least(a + size, n) - 1
-        m0, m1 = F.ceil((e - hl) / size), F.floor((a + hr + 1) / size) - 1
-        whole = m1 >= m0
-        return (a - hl, F.when(whole, m0 * size - 1).otherwise(e + hr),
-                F.when(whole, (m1 + 1) * size).otherwise(a - hl), e + hr)
+        return a, e, F.ceil((e - hl) / size), F.floor((a + hr + 1) / size) - 1
+
+    _, _, m0, m1 = reach(F.col("target"))
+    whole = plan.agg(F.max(m1 - m0 + 1)).first()[0]
+    if whole > 0:
+        plan = plan.join(bounded_broadcast(_middles(data, plan, size, whole)), [*KEY, "target"], "left")
+    else:
+        plan = plan.select("*", *none)
+    rows = data.select(*KEY, "block", "x", "y", "domain").join(per_trace.select(*KEY, "w", "n"), KEY)
+
+    def ends_of(t):
+        """Sample ranges that block t needs: (from, to) of its left and right part."""
+        a, e, m0, m1 = reach(t)
+        inner = m1 >= m0
+        return (a - hl, F.when(inner, m0 * size - 1).otherwise(e + hr),
+                F.when(inner, (m1 + 1) * size).otherwise(a - hl), e + hr)
 
     def wanted(t):
-        lo, l1, r0, hi = ends(t)
+        lo, l1, r0, hi = ends_of(t)
         mine = (lambda x, y: (x <= b * size + size - 1) & (y >= b * size))
         return (t == b) | mine(lo, l1) | mine(r0, hi)
 
-    top = F.ceil(n / size) - 1
-    targets = F.filter(F.sequence(F.greatest(F.lit(0), F.floor((b * size - hr) / size) - 1),
-                                  F.least(top, F.floor((b * size + size - 1 + hl) / size) + 1)), wanted)
+    # the blocks whose moving ends reach this one: around it, and a half window away on either side
+    top, near = F.ceil(n / size) - 1, 2
+    far_l, far_r = F.floor((b * size - hr) / size), F.floor((b * size + size - 1 + hl) / size)
+    around = F.flatten(F.array(*(F.sequence(c - near, c + near) for c in (b, far_l, far_r))))
+    targets = F.filter(F.array_distinct(around), lambda t: (t >= 0) & (t <= top) & wanted(t))
     rows = rows.withColumn("target", F.explode(targets))
     # only the part of the block that the target's windows end in
-    lo, l1, r0, hi = ends(F.col("target"))
+    lo, l1, r0, hi = ends_of(F.col("target"))
     left = (lo <= b * size + size - 1) & (l1 >= b * size)
     right = (r0 <= b * size + size - 1) & (hi >= b * size)
     frm = F.greatest(b * size, F.when(left, lo).otherwise(r0))
@@ -329,11 +413,8 @@ def savgol(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK)
         .otherwise(F.array().cast("array<double>")))
     own = F.col("target") == b
     rows = rows.select(*KEY, "target", "block", "at", "piece", "domain", F.when(own, F.col("x")).alias("x"))
-    rows = rows.join(bounded_broadcast(plan), [*KEY, "target"])
-    out = blocks.map_groups(rows, [*KEY, "target"], "block", lambda rs: _savgol_block(rs, size),
-                            f"{key}, block bigint, x array<double>, y array<double>, domain string")
-    return blocks.from_blocks(out, size).select("project", "version", "trace", "i", "x",
-                                                F.nanvl("y", F.lit(None).cast("double")).alias("y"), "domain")
+    rows = rows.join(bounded_broadcast(_saved(plan, "savgol-plan")), [*KEY, "target"])
+    return done(blocks.map_groups(rows, [*KEY, "target"], "block", lambda rs: _savgol_block(rs, size), schema))
 
 
 def savgol_reference(y: np.ndarray, window: int, polyorder: int) -> np.ndarray:
