@@ -628,12 +628,34 @@ def scan_states(first: DataFrame, back: bool, largest: int, segment: int = SEGME
     return entry
 
 
+def _forward(r: dict) -> dict:
+    """A block's map in the forward pass; the first block knows the start."""
+    y, wn = r["y"].astype(float), r["wn"]
+    bad, start = bool(np.isnan(y).any()), None
+    if r["block"] == 0 and not bad and len(y) > FILTFILT_PADLEN:
+        left = 2 * y[0] - y[FILTFILT_PADLEN:0:-1]
+        start = filter_block(left, steady_state(wn, left[0]), wn)[1].tolist()
+    return {**{c: r[c] for c in [*KEY, "block", "wn"]}, "len": len(y), "bad": bad, "start": start,
+            "tail": y[-KEEP:].tolist(), "end": None if bad else final_state(y, wn).tolist()}
+
+
+def _filtfilt(r: dict) -> np.ndarray:
+    """A trace that is one block, both ways."""
+    trace = _forward(r)
+    back = _turn(trace)
+    if back is None:
+        return np.full(trace["len"], np.nan)
+    out = filter_block(r["y"].astype(float), np.asarray(trace["start"]), r["wn"])[0]
+    return filter_block(out[::-1], np.asarray(back), r["wn"])[0][::-1]
+
+
 def lowpass_by(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CHUNK,
                segment: int = SEGMENT) -> DataFrame:
     """L1/L2 on every trace of ``sig`` with a row in ``params`` (project, trace,
     wn): all traces and cutoffs in one pass.
 
-    The blocks are written once.  Two passes over their values give each
+    The blocks are written once.  Where every trace is one block, that is
+    filtered where it lies.  Otherwise two passes over their values give each
     block's map, forward and backward (only rows of some dozen numbers leave
     them); the last pass filters a block both ways from its true states, and
     only there x comes along."""
@@ -643,17 +665,14 @@ def lowpass_by(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CH
                   "lowpass-blocks")
     largest = data.agg(F.max("block")).first()[0] or 0
 
-    def forward(r):
-        y = r["y"].astype(float)
-        bad, wn = bool(np.isnan(y).any()), r["wn"]
-        start = None
-        if r["block"] == 0 and not bad and len(y) > FILTFILT_PADLEN:
-            left = 2 * y[0] - y[FILTFILT_PADLEN:0:-1]
-            start = filter_block(left, steady_state(wn, left[0]), wn)[1].tolist()
-        yield {**{c: r[c] for c in [*KEY, "block", "wn"]}, "len": len(y), "bad": bad, "start": start,
-               "tail": y[-KEEP:].tolist(), "end": None if bad else final_state(y, wn).tolist()}
+    out_schema = f"{key}, domain string, x array<double>, y array<double>"
+    done = (lambda df: blocks.from_blocks(df, size).select(
+        "project", "version", "trace", "i", "x", F.nanvl("y", F.lit(None).cast("double")).alias("y"), "domain"))
+    if not largest:
+        return done(blocks.map_rows(data, lambda r: [{**{c: r[c] for c in [*KEY, "block", "domain", "x"]}, "y": _filtfilt(r)}],
+                                    out_schema))
 
-    entry = scan_states(blocks.map_rows(data.select(*KEY, "block", "wn", "y"), forward, STRETCH), False, largest, segment)
+    entry = scan_states(blocks.map_rows(data.select(*KEY, "block", "wn", "y"), lambda r: [_forward(r)], STRETCH), False, largest, segment)
 
     def backward(r):
         bad, end = r["state"] is None, None
@@ -676,10 +695,7 @@ def lowpass_by(sig: DataFrame, params: DataFrame, min_chunk: int = blocks.MIN_CH
             y = filter_block(out[::-1], r["back"], r["wn"])[0][::-1]
         yield {**{c: r[c] for c in [*KEY, "block", "domain"]}, "x": r["x"], "y": y}
 
-    done = blocks.map_rows(data.join(bounded_broadcast(states), [*KEY, "block"]), both,
-                           f"{key}, domain string, x array<double>, y array<double>")
-    return blocks.from_blocks(done, size).select("project", "version", "trace", "i", "x",
-                                                 F.nanvl("y", F.lit(None).cast("double")).alias("y"), "domain")
+    return done(blocks.map_rows(data.join(bounded_broadcast(states), [*KEY, "block"]), both, out_schema))
 
 
 def lowpass(sig: DataFrame, cutoff: str, implied_dt: float, dt_unit: str,
