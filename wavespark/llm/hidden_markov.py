@@ -1,29 +1,35 @@
 """Hidden Markov language model: Baum-Welch training, exact forward scores.
 
-The hidden states emit symbols: a word's symbol is its hash modulo
-``SYMBOLS``, the end of a text is a symbol of its own.  Within a symbol a word
-has its share of the symbol's training count, so that with one slot for words
-never seen the model is a distribution over all token sequences, and its size
-depends on ``states`` x ``SYMBOLS`` alone, whatever the vocabulary.
-
-Counts of words cover all training texts.  Every Baum-Welch round runs over
-all training texts: each task sums the expected counts of its texts, one
-aggregate adds them up.  The first parameters come from a few rounds on a
-sample of at most ``START_TEXTS`` texts of at most ``START_LONGEST`` bytes;
-they only break the symmetry of the states.
-
-Texts are cut into segments of ``SEGMENT`` tokens that advance together; the
-product of the transition and emission matrices of each segment (scaled)
-carries the exact forward and backward vectors across segment borders, so
+Every word has an emission probability of its own in every hidden state: its
+expected count there, smoothed towards the base distribution, so a state is a
+distribution over all words, the end of a text and a slot for words never
+seen, and the model one over all token sequences.
+
+Training covers all training texts in every pass.  Words are counted; the
+co-occurrence of the most frequent ones over all texts (a matrix of fixed
+size) tells the states apart at the start; then Baum-Welch rounds run until
+the summed likelihood rises by less than ``GAIN`` of itself (at most
+``ROUNDS``): each task sums the expected counts of its texts, one aggregate
+adds them up, and each round's parameters go out as a broadcast of fixed size.
+That is possible because the rounds update the words by turns: first the
+``HEAD`` most frequent words, each by itself, with the states' share of all
+other words; the last pass then gives each of the others its own expected
+counts, as a distributed table with a row per word that never passes through
+the driver.
+
+Scoring looks frequent words up in a broadcast table of fixed size and joins
+all others with the table: the words that a text asks for (equal texts ask
+once) come back to the text in one row.
+
+Texts are cut into segments of ``SEGMENT`` tokens that advance together; for
+texts of several segments the scaled products of the transition and emission
+matrices carry the exact forward and backward vectors across the borders, so
 likelihoods and counts are those of the whole text.
 
-Word counts of a score are exact too: frequent words are looked up in a table
-of fixed size, all others go through a join with the counts.
-
 Rows: a null text is empty and has its end token only; repeated rows are
-scored each on its own; without training rows every count is 0 and the symbols
-are equally likely; an empty table gives an empty result; other columns pass
-through, columns named like an output are replaced.
+scored each on its own; without training rows every count is 0 and all states
+are the base distribution; an empty table gives an empty result; other columns
+pass through, columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -37,20 +43,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, saved, slices, utf8, word_spans, span_hashes
+from .common import U64, drop_saved, mix, saved, slices, span_hashes, utf8, word_spans
 
 STATES = 6
-SYMBOLS = 1 << 15
-ROUNDS = 2
-SEGMENT = 128
-START_TEXTS, START_LONGEST, START_ROUNDS = 512, 1 << 15, 12
-#: Weight of the overall symbol distribution in a state's emissions for each
-#: symbol the state has (Witten-Bell), and pseudo-count of a transition.
+SEGMENT = 1024
+#: Rounds at most, and the relative gain in likelihood below which they end.
+ROUNDS, GAIN = 4, 0.002
+#: Words with emissions of their own in the rounds, words that a score looks
+#: up without a join, and slots of the tables for them.
+HEAD, FREQUENT, SLOTS = 1 << 16, 1 << 18, 1 << 20
+#: Frequent words whose co-occurrence starts the states, and their weight.
+SEEDS, SEED_WEIGHT = 256, 0.9
+#: Weight of the base distribution in a state's emissions for each word the
+#: state has (Witten-Bell), and pseudo-count of a transition.
 EMIT_PRIOR, MOVE_PRIOR = 2.0, 0.5
-#: Slots of the table of frequent words, and words offered to it.
-SLOTS, FREQUENT = 1 << 20, 1 << 18
 ADD = 0.1
 STEP = 4 << 20
+#: Entries that a task gathers before it hands them on.
+FLUSH = 2_000_000
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,124 +70,153 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(buf, starts, ends), first
 
 
-def symbols(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols with the end of each text put in, and each text's first token."""
-    n = np.diff(first) + 1
-    begin = np.concatenate([[0], np.cumsum(n)])
-    out = np.full(begin[-1], SYMBOLS, dtype=np.int32)
-    owner = np.repeat(np.arange(len(n)), n - 1)
-    out[np.arange(len(h)) + owner] = (h & U64(SYMBOLS - 1)).astype(np.int32)
-    return out, begin
+def with_ends(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word among all tokens (every text has its end as a
+    token), and each text's first token."""
+    n = np.diff(first)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) + owner, np.concatenate([[0], np.cumsum(n + 1)])
+
+
+class Table:
+    """Words in a direct-mapped table; a word whose slot a more frequent one
+    has is not in it.  ``words`` come by falling frequency."""
+
+    def __init__(self, words: np.ndarray, most: int):
+        slot = self._slot(words)
+        slot, at = np.unique(slot, return_index=True)  # the first of a slot is its most frequent
+        at = np.sort(at)[:most]
+        self.words = words[at]
+        self.keys, self.index = np.zeros(SLOTS, dtype=U64), np.full(SLOTS, -1, dtype=np.int32)
+        self.keys[self._slot(self.words)] = self.words
+        self.index[self._slot(self.words)] = np.arange(len(at))
+        self.taken = at
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h >> U64(40) & U64(SLOTS - 1)).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of each word, -1 if it is not in the table."""
+        slot = self._slot(h)
+        return np.where(self.keys[slot] == h, self.index[slot], -1)
 
 
 @dataclass
 class Model:
     start: np.ndarray  # [K]
     move: np.ndarray   # [K, K]
-    emit: np.ndarray   # [SYMBOLS + 1, K]
-
-    def scaled(self):
-        top = self.emit.max(axis=1)
-        return ((self.emit / top[:, None]).astype(np.float32), np.log(top),
-                self.move.astype(np.float32), self.start.astype(np.float32))
+    emit: np.ndarray   # [symbols, K]
 
 
 class Segments:
-    """Segments of all texts of a slice, longest first within the arrays that
-    step; ``chain`` holds each text's segments in order."""
+    """Segments of all texts of a slice; ``order`` has the longest first."""
 
     def __init__(self, begin: np.ndarray):
         n = np.diff(begin)
         per = -(-n // SEGMENT)
         self.head = np.concatenate([[0], np.cumsum(per)])
-        owner = np.repeat(np.arange(len(n)), per)
-        nth = np.arange(len(owner)) - self.head[:-1][owner]
-        self.at = begin[:-1][owner] + nth * SEGMENT
-        self.size = np.minimum(n[owner] - nth * SEGMENT, SEGMENT)
+        self.owner = np.repeat(np.arange(len(n)), per)
+        nth = np.arange(len(self.owner)) - self.head[:-1][self.owner]
+        self.at = begin[:-1][self.owner] + nth * SEGMENT
+        self.size = np.minimum(n[self.owner] - nth * SEGMENT, SEGMENT)
         self.first = nth == 0
         self.order = np.argsort(-self.size, kind="stable")
-        size = self.size[self.order]
-        longest = int(size[0]) if len(size) else 0
-        self.active = np.searchsorted(-size, -np.arange(1, longest + 1), side="right").tolist()
-        # texts by number of segments, for the steps along the chains
-        self.texts = np.argsort(-per, kind="stable")
+        self.active = self._active(self.order)
+        # segments of texts that have several, and those texts by number of segments
+        self.several = self.order[per[self.owner[self.order]] > 1]
+        texts = np.flatnonzero(per > 1)
+        self.texts = texts[np.argsort(-per[texts], kind="stable")]
         most = int(per.max()) if len(per) else 0
         self.chains = np.searchsorted(-per[self.texts], -np.arange(1, most + 1), side="right").tolist()
 
+    def _active(self, order: np.ndarray) -> list[int]:
+        """How many segments have a token 0, 1, ..."""
+        size = self.size[order]
+        longest = int(size[0]) if len(size) else 0
+        return np.searchsorted(-size, -np.arange(1, longest + 1), side="right").tolist()
+
 
-def products(sym: np.ndarray, g: Segments, emit, move) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled matrix product of each segment and the log of its scale."""
+def products(e: np.ndarray, g: Segments, move: np.ndarray) -> np.ndarray:
+    """Scaled matrix product of each segment in ``g.several``."""
     k = move.shape[0]
-    at = g.at[g.order]
-    m = np.where(g.first[g.order][:, None, None], np.eye(k, dtype=np.float32), move)
-    log = np.zeros(len(at))
-    for t, n in enumerate(g.active):
-        e = emit[sym[at[:n] + t]]
+    at = g.at[g.several]
+    m = np.where(g.first[g.several][:, None, None], np.eye(k, dtype=np.float32), move)
+    for t, n in enumerate(g._active(g.several)):
         if t:
             m[:n] = (m[:n].reshape(-1, k) @ move).reshape(n, k, k)
-        m[:n] *= e[:, None, :]
-        if t % 4 == 3 or t + 1 == len(g.active):
-            top = m[:n].max(axis=(1, 2))
-            m[:n] /= top[:, None, None]
-            log[:n] += np.log(top)
-    out, scale = np.empty_like(m), np.empty_like(log)
-    out[g.order], scale[g.order] = m, log
-    return out, scale
-
-
-def along(g: Segments, m, scale, start) -> tuple[np.ndarray, np.ndarray]:
-    """State distribution before each segment and log likelihood of each text."""
-    before = np.empty((len(g.at), len(start)), dtype=np.float32)
-    v = np.tile(start, (len(g.texts), 1))
-    log = np.zeros(len(g.texts))
-    for i, n in enumerate(g.chains):
-        s = g.head[g.texts[:n]] + i
-        before[s] = v[:n]
-        w = np.einsum("ni,nij->nj", v[:n], m[s])
-        z = w.sum(axis=1)
-        v[:n] = w / z[:, None]
-        log[:n] += np.log(z.astype(np.float64)) + scale[s]
-    out = np.empty_like(log)
-    out[g.texts] = log
-    return before, out
-
-
-def back_along(g: Segments, m) -> np.ndarray:
-    """Scaled likelihood of all that follows each segment, by its last state."""
-    after = np.ones((len(g.at), m.shape[1]), dtype=np.float32)
-    for i in range(len(g.chains) - 1, 0, -1):
-        s = g.head[g.texts[:g.chains[i]]] + i
-        v = np.einsum("nij,nj->ni", m[s], after[s])
-        after[s - 1] = v / v.max(axis=1, keepdims=True)
-    return after
-
-
-def log_likelihood(sym: np.ndarray, begin: np.ndarray, model: Model) -> np.ndarray:
-    """Natural log probability of each text's symbols (scaled forward)."""
-    emit, top, move, start = model.scaled()
-    g = Segments(begin)
-    m, scale = products(sym, g, emit, move)
-    _, log = along(g, m, scale, start)
-    return log + np.add.reduceat(top[sym], begin[:-1]) if len(log) else log
-
-
-def expected(sym: np.ndarray, begin: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts [K], moves [K, K] and emissions [SYMBOLS + 1, K]."""
-    emit, _, move, start = model.scaled()
-    k = len(start)
-    g = Segments(begin)
-    m, scale = products(sym, g, emit, move)
-    before, _ = along(g, m, scale, start)
-    after = back_along(g, m)[g.order]
-    at, first, before = g.at[g.order], g.first[g.order], before[g.order]
-    size = g.size[g.order]
-    alphas, v = [], np.where(first[:, None], before, before @ move)
+        m[:n] *= e[at[:n] + t][:, None, :]
+        if t % 4 == 3:
+            m[:n] /= m[:n].max(axis=(1, 2))[:, None, None]
+    out = np.empty((len(g.at), k, k), dtype=np.float32)
+    out[g.several] = m / m.max(axis=(1, 2))[:, None, None]
+    return out
+
+
+def borders(e: np.ndarray, g: Segments, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State distribution before each segment, and the scaled likelihood of
+    all that follows it, by its last state."""
+    before = np.tile(start, (len(g.at), 1))
+    after = np.ones((len(g.at), len(start)), dtype=np.float32)
+    if len(g.texts):
+        m = products(e, g, move)
+        v = np.tile(start, (len(g.texts), 1))
+        for i, n in enumerate(g.chains):
+            s = g.head[g.texts[:n]] + i
+            before[s] = v[:n]
+            w = np.einsum("ni,nij->nj", v[:n], m[s])
+            v[:n] = w / w.sum(axis=1, keepdims=True)
+        for i in range(len(g.chains) - 1, 0, -1):
+            s = g.head[g.texts[:g.chains[i]]] + i
+            w = np.einsum("nij,nj->ni", m[s], after[s])
+            after[s - 1] = w / w.max(axis=1, keepdims=True)
+    return before, after
+
+
+def forward(e: np.ndarray, g: Segments, move: np.ndarray, before: np.ndarray, keep: bool):
+    """Log likelihood of each text, and the state distributions after each
+    token (by step, for the segments still active), if kept."""
+    at, first = g.at[g.order], g.first[g.order]
+    b = before[g.order]
+    v = np.where(first[:, None], b, b @ move)
+    log, kept = np.zeros(len(at)), []
     for t, n in enumerate(g.active):
-        v = (v[:n] @ move if t else v[:n]) * emit[sym[at[:n] + t]]
-        v /= v.sum(axis=1, keepdims=True)
-        alphas.append(v)
-    gamma = np.empty((len(sym), k), dtype=np.float32)
-    moves = np.zeros((k, k))
+        v = (v[:n] @ move if t else v) * e[at[:n] + t]
+        z = v.sum(axis=1)
+        v /= z[:, None]
+        log[:n] += np.log(z)
+        if keep:
+            kept.append(v)
+    return np.bincount(g.owner[g.order], weights=log, minlength=len(g.head) - 1), kept
+
+
+def scaled(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions relative to each symbol's largest, and the log of that."""
+    top = emit.max(axis=1)
+    return (emit / top[:, None]).astype(np.float32), np.log(top)
+
+
+def log_likelihood(e: np.ndarray, top: np.ndarray, begin: np.ndarray, model: Model) -> np.ndarray:
+    """Natural log probability of each text (scaled forward); ``e`` and
+    ``top``: scaled emissions of each token."""
+    move, start, g = model.move.astype(np.float32), model.start.astype(np.float32), Segments(begin)
+    before, _ = borders(e, g, move, start)
+    log, _ = forward(e, g, move, before, keep=False)
+    return log + np.add.reduceat(top, begin[:-1]) if len(log) else log
+
+
+def posteriors(e: np.ndarray, begin: np.ndarray, model: Model):
+    """State posteriors of each token, expected moves [K, K], and each text's
+    log likelihood (of the scaled emissions)."""
+    move, start, g = model.move.astype(np.float32), model.start.astype(np.float32), Segments(begin)
+    before, after = borders(e, g, move, start)
+    log, alphas = forward(e, g, move, before, keep=True)
+    at, first, before, after = g.at[g.order], g.first[g.order], before[g.order], after[g.order]
+    gamma = np.empty((len(e), len(start)), dtype=np.float32)
+    moves = np.zeros(move.shape)
     follow = None  # emission times backward vector of the next token
     for t in range(len(g.active) - 1, -1, -1):
         n = g.active[t]
@@ -186,174 +225,312 @@ def expected(sym: np.ndarray, begin: np.ndarray, model: Model) -> tuple[np.ndarr
             more = len(follow)  # segments that go on
             beta[:more] = follow @ move.T
             z = (alphas[t][:more] * beta[:more]).sum(axis=1)
-            moves += (alphas[t][:more] / z[:, None]).astype(np.float64).T @ follow
+            moves += (alphas[t][:more] / z[:, None]).T @ follow
         own = alphas[t] * beta
         gamma[at[:n] + t] = own / own.sum(axis=1, keepdims=True)
         beta /= beta.max(axis=1, keepdims=True)
-        follow = emit[sym[at[:n] + t]] * beta
+        follow = e[at[:n] + t] * beta
     joined = ~first  # moves across segment borders
     if joined.any():
         f, b = follow[joined], before[joined]
         z = (b * (f @ move.T)).sum(axis=1)
-        moves += (b / z[:, None]).astype(np.float64).T @ f
-    counts = np.stack([np.bincount(sym, weights=gamma[:, i], minlength=SYMBOLS + 1) for i in range(k)], axis=1)
-    return gamma[begin[:-1]].sum(axis=0, dtype=np.float64), moves * move, counts
+        moves += (b / z[:, None]).T @ f
+    return gamma, moves * move, log
 
 
-def maximise(start, moves, counts, prior: np.ndarray) -> Model:
+def by_symbol(sym: np.ndarray, gamma: np.ndarray, symbols: int) -> np.ndarray:
+    return np.stack([np.bincount(sym, weights=gamma[:, i], minlength=symbols) for i in range(gamma.shape[1])], axis=1)
+
+
+def maximise(start: np.ndarray, moves: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> Model:
+    """Parameters from expected counts; ``prior``: base probability of each symbol."""
     move = moves + MOVE_PRIOR
     move += 1e-5 * move.sum(axis=1, keepdims=True)
-    emit = counts + EMIT_PRIOR * np.minimum(counts, 1).sum(axis=0) * prior[:, None] + 1e-9 * prior[:, None]
+    weight = EMIT_PRIOR * np.minimum(counts, 1).sum(axis=0) + 1e-9
+    emit = (counts + weight * prior[:, None]) / (counts.sum(axis=0) + weight)
     s = start + 1e-3 * (start.sum() + 1)
-    return Model(s / s.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
+    return Model(s / s.sum(), move / move.sum(axis=1, keepdims=True), emit)
 
 
-def first_model(texts: pa.Array, prior: np.ndarray, states: int) -> Model:
-    """Baum-Welch on the sample from seeded random emissions."""
-    rng = np.random.default_rng(17)
-    move = np.full((states, states), 0.1 / states) + np.eye(states) * 0.9
-    model = maximise(np.ones(states), move * 100, prior[:, None] * 1e4 * rng.gamma(2.0, 0.5, (len(prior), states)), prior)
-    h, first = tokens(texts)
-    if not len(first) - 1:
-        return model
-    sym, begin = symbols(h, first)
-    for _ in range(START_ROUNDS):
-        model = maximise(*expected(sym, begin, model), prior)
-    return model
+def base_probability(n, tokens: int, kinds: int):
+    """Of tokens that occur ``n`` times (0: any word never seen)."""
+    return (n + ADD) / (tokens + ADD * (kinds + 1))
 
 
 @dataclass
 class Corpus:
-    counts: DataFrame        # word (hash), n
-    tokens: int              # N
-    kinds: int               # V
+    counts: DataFrame  # word (hash), n
+    tokens: int        # N
+    kinds: int         # V
     texts: int
-    in_symbol: np.ndarray    # training tokens of each symbol
-    kinds_in: np.ndarray     # words of each symbol
 
+    def base(self, n):
+        return base_probability(n, self.tokens, self.kinds)
 
-def count_words(train: DataFrame, text: str) -> Corpus:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush():
-            w, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(w[i:i + 100_000].view(np.int64)), pa.array(n[i:i + 100_000])],
-                                                 ["word", "n"])
+def _gathered(held: list[tuple], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sums by word of (words, values [n, columns]), in batches."""
+    w, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    values = np.concatenate([h[1] for h in held])
+    sums = [np.bincount(inverse, weights=values[:, i], minlength=len(w)) for i in range(values.shape[1])]
+    for i in range(0, len(w), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(w[i:i + 100_000].view(np.int64)),
+                                          *(pa.array(s[i:i + 100_000]) for s in sums)], ["word", *columns])
+
 
+def _sums_by_word(texts: DataFrame, text: str, part_of, columns: list[str]) -> DataFrame:
+    """(word, columns): sums over all texts of what ``part_of(column of
+    texts)`` gives: words and values.  Tasks add up what they gather."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for part in slices(b, text, STEP):
-                h, _ = tokens(part.column(text))
-                held.append(h)
-                size += len(h)
-                if size > 4_000_000:
-                    yield from flush()
+                held.append(part_of(part.column(text)))
+                size += len(held[-1][0])
+                if size > FLUSH:
+                    yield from _gathered(held, columns)
                     held, size = [], 0
         if size:
-            yield from flush()
-
-    counts = saved(train.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(
-        F.sum("n").alias("n")), "word-counts")
-    by = counts.groupBy(F.col("word").bitwiseAND(SYMBOLS - 1).cast("int").alias("s")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
-    in_symbol, kinds = np.zeros(SYMBOLS + 1), np.zeros(SYMBOLS + 1)
-    s = by["s"].to_numpy()
-    in_symbol[s], kinds[s] = by["n"].to_numpy(), by["v"].to_numpy()
+            yield from _gathered(held, columns)
+
+    rows = texts.select(text).mapInArrow(run, "word long, " + ", ".join(f"{c} double" for c in columns))
+    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def count_words(train: DataFrame, text: str) -> Corpus:
+    def each(col: pa.Array):
+        w, n = np.unique(tokens(col)[0], return_counts=True)
+        return w, n[:, None].astype(np.float64)
+
+    counts = saved(_sums_by_word(train, text, each, ["n"]).select("word", F.col("n").cast("long").alias("n")), "word-counts")
+    t = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     texts = train.count()
-    in_symbol[SYMBOLS], kinds[SYMBOLS] = texts, int(texts > 0)
-    return Corpus(counts, int(in_symbol.sum()), int(kinds.sum()), texts, in_symbol, kinds)
+    return Corpus(counts, (t["n"] or 0) + texts, t["v"] + int(texts > 0), texts)
+
+
+def most_frequent(counts: DataFrame, most: int) -> tuple[Table, pa.Table]:
+    """The table of the most frequent words, and their rows in its order."""
+    rows = counts.orderBy(F.desc("n"), "word").limit(most + most // 4).toArrow()
+    table = Table(rows["word"].to_numpy().view(U64), most)
+    return table, rows.take(pa.array(table.taken))
+
+
+def _totals(texts: DataFrame, text: str, total_of, shape: tuple[int, int]) -> np.ndarray:
+    """Sum over all texts of the matrix that ``total_of(column of texts)``
+    gives; rows of zeros stay in the task."""
+    columns = [f"e{i}" for i in range(shape[1])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            for part in slices(b, text, STEP):
+                total += total_of(part.column(text))
+        at = np.flatnonzero(total.any(axis=1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, i]) for i in range(shape[1]))], ["at", *columns])
+
+    rows = texts.select(text).mapInArrow(run, ", ".join(["at int", *(f"{c} double" for c in columns)])).groupBy(
+        "at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    out = np.zeros(shape)
+    out[rows["at"].to_numpy()] = np.stack([rows[c].to_numpy() for c in columns], axis=1)
+    return out
+
+
+def clusters(together: np.ndarray, k: int) -> np.ndarray:
+    """A cluster for each of some words from how often they stand in the same
+    texts: the leading directions of the normalised matrix, then k-means from
+    the points farthest from each other."""
+    size = np.sqrt(np.maximum(np.diag(together), 1e-12))
+    _, axes = np.linalg.eigh(together / size[:, None] / size[None, :])
+    x = axes[:, -k:]
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = [x[0]]
+    while len(centres) < min(k, len(x)):
+        centres.append(x[np.argmin(np.max(x @ np.array(centres).T, axis=1))])
+    centres = np.array(centres)
+    for _ in range(20):
+        label = np.argmax(x @ centres.T, axis=1)
+        centres = np.array([x[label == c].sum(axis=0) if (label == c).any() else centres[c] for c in range(len(centres))])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return label
+
+
+def first_model(train: DataFrame, text: str, table: Table, prior: np.ndarray, states: int) -> Model:
+    """States that differ in the most frequent words: each cluster of words
+    that stand in the same texts is likelier in one state.  The matrix of
+    their co-occurrence covers all training texts."""
+    few = min(SEEDS, len(table))
+    lift = np.ones((len(prior), states))
+    if few >= states:
+        sent = train.sparkSession.sparkContext.broadcast(table)
+
+        def together(col: pa.Array) -> np.ndarray:
+            h, first = tokens(col)
+            at = sent.value.find(h)
+            owner = np.repeat(np.arange(len(col)), np.diff(first))
+            ok = (at >= 0) & (at < few)
+            x = np.bincount(owner[ok] * few + at[ok], minlength=len(col) * few).reshape(len(col), few).astype(np.float64)
+            x = np.sqrt(x)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            return x.T @ x
+
+        label = clusters(_totals(train, text, together, (few, few)), states)
+        lift[:few] = (1 - SEED_WEIGHT) / max(states - 1, 1)
+        lift[np.arange(few), label] = SEED_WEIGHT
+        lift[:few] *= states
+        sent.unpersist()
+    emit = prior[:, None] * lift
+    move = np.full((states, states), 0.05 / max(states - 1, 1))
+    np.fill_diagonal(move, 0.95)
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0, keepdims=True))
 
 
-def frequent_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Direct-mapped table (keys, counts) of the most frequent words; a word
-    whose slot is taken by a more frequent one is not in it."""
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    w, n = top["word"].to_numpy().view(U64), top["n"].to_numpy()
-    slot = (w >> U64(40) & U64(SLOTS - 1)).astype(np.int64)
-    keys, found = np.zeros(SLOTS, dtype=U64), np.zeros(SLOTS, dtype=np.int64)
-    slot, at = np.unique(slot, return_index=True)  # the first of a slot is its most frequent
-    keys[slot], found[slot] = w[at], n[at]
-    return keys, found
+@dataclass
+class Trained:
+    start: np.ndarray
+    move: np.ndarray
+    end: np.ndarray        # emission of a text's end, by state
+    unseen: np.ndarray     # of a word never seen
+    words: DataFrame       # word, n, e0, e1, ...: emissions by state
+    rounds: list[float]    # summed log likelihood (of the scaled emissions) of each round
 
 
-def fit(train: DataFrame, text: str = "text", key: str = "doc_id", states: int = STATES,
-        rounds: int = ROUNDS) -> tuple[Corpus, Model]:
+def fit(train: DataFrame, text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> tuple[Corpus, Trained]:
     """Word counts and model of the training texts (nulls: empty)."""
-    train = train.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    spark = train.sparkSession
+    train = train.select(F.coalesce(F.col(text), F.lit("")).alias(text))
     corpus = count_words(train, text)
-    prior = corpus.in_symbol + ADD * (corpus.kinds_in + 1)
-    prior /= prior.sum()
-    some = train.where(F.octet_length(text) <= START_LONGEST).orderBy(
-        F.xxhash64(F.col(key).cast("string"), text)).limit(START_TEXTS).select(text).toArrow()[text]
-    model = first_model(some.combine_chunks(), prior, states)
+    table, rows = most_frequent(corpus.counts, HEAD)
+    h = len(table)
+    rest, end = h, h + 1  # symbols: the head's words, all other words, the end
+    n = rows["n"].to_numpy().astype(np.float64)
+    others = corpus.tokens - corpus.texts - n.sum()
+    prior = np.concatenate([corpus.base(n), [max((others + ADD * (corpus.kinds - int(corpus.texts > 0) - h)), 0) / (
+        corpus.tokens + ADD * (corpus.kinds + 1)) + 1e-12, corpus.base(corpus.texts)]])
+    model = first_model(train, text, table, prior, states)
+    sent = spark.sparkContext.broadcast(table)
     columns = [f"e{i}" for i in range(states)]
-    for _ in range(rounds):
-        sent = train.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((SYMBOLS + 2 + states, states))
-            for b in batches:
-                for part in slices(b, text, STEP):
-                    h, first = tokens(part.column(text))
-                    start, moves, counts = expected(*symbols(h, first), sent.value)
-                    total += np.vstack([counts, start[None], moves])
-            at = np.flatnonzero(total.any(axis=1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, i]) for i in range(states))],
-                                             ["at", *columns])
-
-        rows = train.select(text).mapInArrow(run, ", ".join(["at int", *(f"{c} double" for c in columns)])).groupBy(
-            "at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
-        total = np.zeros((SYMBOLS + 2 + states, states))
-        total[rows["at"].to_numpy()] = np.stack([rows[c].to_numpy() for c in columns], axis=1)
-        model = maximise(total[SYMBOLS + 1], total[SYMBOLS + 2:], total[:SYMBOLS + 1], prior)
-        sent.unpersist()
-    return corpus, model
 
-
-def score(docs: DataFrame, corpus: Corpus, model: Model, text: str = "text") -> DataFrame:
+    def symbols(table: Table, col: pa.Array):
+        words, first = tokens(col)
+        place, begin = with_ends(first)
+        sym = np.full(begin[-1], end, dtype=np.int32)
+        at = table.find(words)
+        sym[place] = np.where(at < 0, rest, at)
+        return words, at, place, sym, begin
+
+    def round_of(now):
+        def total(col: pa.Array) -> np.ndarray:
+            emit, top, model = now.value
+            _, _, _, sym, begin = symbols(sent.value, col)
+            gamma, moves, log = posteriors(emit[sym], begin, model)
+            like = np.zeros((1, states))
+            like[0, 0] = log.sum() + top[sym].sum()
+            return np.vstack([by_symbol(sym, gamma, h + 2), gamma[begin[:-1]].sum(axis=0, dtype=np.float64)[None], moves, like])
+        return total
+
+    likelihoods = []
+    for _ in range(rounds):
+        now = spark.sparkContext.broadcast((*scaled(model.emit), model))
+        total = _totals(train, text, round_of(now), (h + 4 + states, states))
+        likelihoods.append(float(total[-1, 0]))
+        model = maximise(total[h + 2], total[h + 3:-1], total[:h + 2], prior)
+        now.unpersist()
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < GAIN * abs(likelihoods[-2]):
+            break
+
+    # the others' turn: expected counts of every word, by the model so far
+    now = spark.sparkContext.broadcast((*scaled(model.emit), model))
+
+    def each(col: pa.Array):
+        emit, _, model = now.value
+        words, at, place, sym, begin = symbols(sent.value, col)
+        gamma, _, _ = posteriors(emit[sym], begin, model)
+        own, inverse = np.unique(words, return_inverse=True)
+        return own, by_symbol(inverse, gamma[place], len(own))
+
+    expected = saved(_sums_by_word(train, text, each, columns), "hmm-expected")
+    s = expected.agg(*(F.sum(c).alias(c) for c in columns), *(F.sum(F.least(F.col(c), F.lit(1.0))).alias(f"k{c}") for c in columns)).first()
+    ends = total[end] if likelihoods else np.full(states, corpus.texts / states)  # expected ends, by state
+    mass = np.array([s[c] or 0.0 for c in columns]) + ends
+    weight = EMIT_PRIOR * (np.array([s[f"k{c}"] or 0.0 for c in columns]) + np.minimum(ends, 1)) + 1e-9
+    base = F.lit(1.0 / (corpus.tokens + ADD * (corpus.kinds + 1))) * (F.col("n") + ADD)
+    words = saved(expected.join(corpus.counts, "word").select("word", "n", *(
+        ((F.col(c) + base * float(weight[i])) / float(mass[i] + weight[i])).alias(c) for i, c in enumerate(columns))), "hmm-words")
+    drop_saved(expected)
+    return corpus, Trained(model.start, model.move, (ends + weight * corpus.base(corpus.texts)) / (mass + weight),
+                           weight * corpus.base(0) / (mass + weight), words, likelihoods)
+
+
+def score(docs: DataFrame, corpus: Corpus, model: Trained, text: str = "text") -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score (log10)."""
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    rest = [c for c in docs.columns if c not in new]
-    keep = [c for c in rest if c != text]
-    frame = docs.select(*rest).withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn(
-        "__row", F.monotonically_increasing_id())
-    sent = docs.sparkSession.sparkContext.broadcast((model, *frequent_table(corpus.counts)))
-    share = np.log10(corpus.in_symbol + ADD * (corpus.kinds_in + 1))
-    share[SYMBOLS] = end = math.log10(corpus.texts + ADD)  # the end is the only kind of its symbol
-    end_known = int(corpus.texts > 0)
-    parts = {"__tokens": "long", "__known": "long", "__words": "double", "__symbols": "double",
-             "__rare": "array<long>"}
-    schema = frame.select(*keep, "__row", *(F.lit(None).cast(t).alias(c) for c, t in parts.items())).schema
+    keep = [c for c in docs.columns if c not in (*new, text)]
+    states = len(model.start)
+    columns = [f"e{i}" for i in range(states)]
+    table, rows = most_frequent(model.words, FREQUENT)
+    known = (np.stack([rows[c].to_numpy() for c in columns], axis=1).astype(np.float32) if len(table) else
+             np.zeros((0, states), np.float32), rows["n"].to_numpy())
+    sent = docs.sparkSession.sparkContext.broadcast((table, known))
+    hidden, unseen, end = Model(model.start, model.move, None), model.unseen.astype(np.float32), model.end.astype(np.float32)
+    total, kinds, texts = corpus.tokens, corpus.kinds, corpus.texts
+    # input columns keep numbers instead of names, so that none can clash
+    frame = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)),
+                        F.coalesce(F.col(text), F.lit("")).alias("text"))
+    frame = frame.withColumn("key", F.unhex(F.md5("text")))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "text", STEP):
+                h, first = tokens(part.column("text"))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+                far = sent.value[0].find(h) < 0
+                pair = np.unique(np.stack([owner[far].astype(U64), h[far]]), axis=1)
+                off = np.searchsorted(pair[0], np.arange(part.num_rows + 1).astype(U64))
+                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(pair[1].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("key"), lists], ["key", "words"])
+
+    wanted = frame.select("key", "text").mapInArrow(asked, "key binary, words array<long>").where(F.size("words") > 0)
+    wanted = wanted.groupBy("key").agg(F.first("words").alias("words"))  # equal texts ask once
+    found = wanted.select("key", F.explode("words").alias("word")).join(model.words, "word").groupBy("key").agg(
+        F.collect_list(F.struct("word", "n", *columns)).alias("found"))
+    schema = frame.drop("text", "key").withColumns({c: F.lit(0).cast(t) for c, t in zip(
+        new, ("long", "long", "long", "double", "double"))}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, keys, found = sent.value
-        in_words = np.log10(found + ADD)
+        table, (vectors, counts) = sent.value
         for b in batches:
-            for part in slices(b, text, STEP):
-                h, first = tokens(part.column(text))
-                sym, begin = symbols(h, first)
-                log = log_likelihood(sym, begin, m) / math.log(10) - np.add.reduceat(share[sym], begin[:-1])
-                slot = (h >> U64(40) & U64(SLOTS - 1)).astype(np.int64)
-                hit = (keys[slot] == h) & (found[slot] > 0)
-                owner = np.repeat(np.arange(part.num_rows), np.diff(first))
-                known = np.bincount(owner[hit], minlength=part.num_rows) + end_known
-                words = np.bincount(owner[hit], weights=in_words[slot[hit]], minlength=part.num_rows) + end
-                cut = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=part.num_rows))])
-                rare = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h[~hit].view(np.int64)))
+            for part in slices(b, "text", STEP):
+                h, first = tokens(part.column("text"))
+                place, begin = with_ends(first)
+                owner = np.repeat(np.arange(part.num_rows).astype(U64), np.diff(first))
+                at = table.find(h)
+                emit, n = np.tile(unseen, (len(h), 1)), np.zeros(len(h), dtype=np.int64)
+                near = at >= 0
+                emit[near], n[near] = vectors[at[near]], counts[at[near]]
+                got = part.column("found")
+                rows = got.flatten()
+                if len(rows):
+                    whose = np.repeat(np.arange(part.num_rows).astype(U64), pa.compute.fill_null(got.value_lengths(), 0).to_numpy())
+                    key = rows.field(0).to_numpy().view(U64) ^ mix(whose, 5)
+                    order = np.argsort(key)
+                    key = key[order]
+                    mine = h[~near] ^ mix(owner[~near], 5)
+                    k = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+                    hit = key[k] == mine
+                    here = np.flatnonzero(~near)[hit]
+                    k = order[k[hit]]
+                    n[here] = rows.field(1).to_numpy()[k]
+                    emit[here] = np.stack([rows.field(2 + i).to_numpy()[k] for i in range(states)], axis=1)
+                full = np.tile(end, (begin[-1], 1))
+                full[place] = emit
+                seen = np.full(begin[-1], texts, dtype=np.int64)
+                seen[place] = n
+                log = log_likelihood(*scaled(full), begin, hidden) / math.log(10)
+                base = np.add.reduceat(np.log10(base_probability(seen, total, kinds)), begin[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in (*keep, "__row")), pa.array(np.diff(begin)), pa.array(known),
-                     pa.array(words), pa.array(log), rare],
-                    [*keep, "__row", *parts])
-
-    done = saved(frame.mapInArrow(run, schema), "hmm-texts")
-    rare = done.select("__row", F.explode("__rare").alias("word")).join(corpus.counts, "word", "left")
-    rare = rare.groupBy("__row").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("__w"), F.count("n").alias("__k"))
-    out = done.drop("__rare").join(rare, "__row", "left")
-    words = F.col("__words") + F.coalesce("__w", F.lit(0.0))
-    whole = math.log10(corpus.tokens + ADD * (corpus.kinds + 1))
-    return out.select(
-        *keep, F.col("__tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
-        F.lit(corpus.tokens).cast("long").alias("train_tokens"),
-        (words - F.col("__tokens") * F.lit(whole)).alias("base_score"), (words + F.col("__symbols")).alias("score"))
+                    [*(part.column(c) for c in schema.names[:len(keep)]), pa.array(np.diff(begin)),
+                     pa.array(np.add.reduceat((seen > 0).astype(np.int64), begin[:-1])),
+                     pa.array(np.full(part.num_rows, total, dtype=np.int64)), pa.array(base), pa.array(log)], schema.names)
+
+    done = frame.join(found, "key", "left").mapInArrow(run, schema)
+    return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *new)
