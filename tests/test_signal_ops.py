@@ -298,3 +298,29 @@ def test_savgol_of_many_tiny_blocks(spark):
     got = _ys(filters.savgol(d, prm, min_chunk=size))
     gone = {i for i in range(n) if i <= 1199 or 40_000 - 1200 <= i <= 40_000 + 1199}
     assert {i for i, v in enumerate(got) if v is None} == gone
+
+
+@pytest.mark.parametrize("bundle, chunk", [(64, 50), (1 << 20, 1 << 16), (7, 1000)])
+def test_spectrum_on_array_pieces(spark, bundle, chunk):
+    """The kernels of both long paths, pieces of every shape, against numpy."""
+    rng = np.random.default_rng(3)
+    for n in (64, 60, 63, 97, 2 * 53, 1000, 1009, 121):
+        y = rng.normal(size=n) + 2
+        want = np.abs(np.fft.rfft(y))[1:n // 2]
+        for own in (True, False):
+            a = spectrum.split_factor(n)
+            bits = (2 * n - 2).bit_length()
+            dims = (n // a, a) if own else (1 << (bits // 2), 1 << (bits - bits // 2))
+            head = {"project": "p", "version": 1, "trace": "t", "size_n": n, "size_a": dims[0], "size_b": dims[1]}
+            rows = [p for b in range(0, n, chunk) for p in spectrum._cut({**head, "block": b // chunk, "y": y[b:b + chunk]}, bundle, chunk)]
+            steps = (spectrum._columns, spectrum._bins) if own else (spectrum._chirp_columns, spectrum._chirp_rows, spectrum._chirp_bins)
+            for fn in steps:
+                groups = {}
+                for r in rows:
+                    groups.setdefault(r["bundle"], []).append(r)
+                rows = [o for g in sorted(groups) for o in fn(sorted(groups[g], key=lambda r: r["col"]), bundle)]
+            got = np.full(n // 2 - 1, np.nan)
+            for r in rows:
+                assert np.isnan(got[r["k"] - 1]).all()  # each bin once
+                got[r["k"] - 1] = r["mag"]
+            assert np.abs(got - want).max() < 1e-9 * want.max(), (n, own)

@@ -7,13 +7,18 @@ the reference's configuration are stored but not applied, and neither are
 they here.  A constant signal whose bins are exactly 0 gives NaN (no error).
 
 Traces up to ``max_single`` samples are transformed in one grouped task
-(numpy FFT over an Arrow batch).  Longer traces use the four-step FFT: with
-N = N1*N2, pass 1 groups by n2 = i mod N2 and transforms the N1 samples
-n1 = i div N2, multiplied by the twiddle exp(-2 pi i n2 k1 / N); pass 2 groups
-by k1 and transforms over n2, giving bin k1 + N1*k2.  Every group holds about
-sqrt(N) values, so one trace is spread over ~sqrt(N) tasks.  A length with no
-balanced split (a prime, 2 x prime, ...) goes through Bluestein's chirp-z
-transform instead: three four-step transforms of a power of two M >= 2N-1.
+(numpy FFT over an Arrow batch).  Longer traces use the four-step FFT on array
+pieces.  With N = A * B the samples are a matrix of A rows of B; a task takes a
+bundle of columns, transforms them, multiplies by exp(-2 pi i n2 k1 / N), and
+hands each bundle of the A transformed rows on; there a task has whole rows,
+transforms them over n2 and has the bins k1 + A * k2.  The samples are real, so
+only rows k1 <= A / 2 exist (the others mirror them): 8 bytes a sample move to
+the columns and 8 to the rows, as slices of many values, and no task holds more
+than about ``BUNDLE`` values or one row.  A length with no balanced split (a
+prime, 2 x prime, ...) goes through Bluestein's chirp-z transform: the chirp is
+made in the column tasks, both sequences are transformed together, multiplied
+where their rows are, and the way back begins there, as a row of the product is
+a column of the inverse.
 """
 
 from __future__ import annotations
@@ -21,7 +26,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,99 +81,176 @@ def split_factor(n: int) -> int:
     return 1
 
 
-# Column names: Spark resolves names case-insensitively, so sizes and
-# indexes get distinct names: size_m = transform length M, size_a = M1,
-# size_b = M2, index ia = n1, ib = n2, bin ka = k1.
-
-_P1 = ("project string, version int, trace string, size_m bigint, size_a bigint, "
-       "ka bigint, ib bigint, re double, im double")
-_P2 = "project string, version int, trace string, size_m bigint, k bigint, re double, im double"
-
-
-def _pass1(pdf: pd.DataFrame) -> pd.DataFrame:
-    m, ma = int(pdf["size_m"].iloc[0]), int(pdf["size_a"].iloc[0])
-    ib = int(pdf["ib"].iloc[0])
-    v = np.zeros(ma, dtype=complex)  # absent rows are zeros (padding)
-    v[pdf["ia"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-    ka = np.arange(ma)
-    t = np.fft.fft(v) * np.exp(-2j * np.pi * (ib * ka) / m)  # ib * ka < m: exact
-    return pd.DataFrame({"project": pdf["project"].iloc[0], "version": pdf["version"].iloc[0],
-                         "trace": pdf["trace"].iloc[0], "size_m": m, "size_a": ma, "ka": ka, "ib": ib,
-                         "re": t.real, "im": t.imag})
-
-
-def _pass2(pdf: pd.DataFrame) -> pd.DataFrame:
-    m, ma, ka = int(pdf["size_m"].iloc[0]), int(pdf["size_a"].iloc[0]), int(pdf["ka"].iloc[0])
-    mb = m // ma
-    v = np.zeros(mb, dtype=complex)
-    v[pdf["ib"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-    b = np.fft.fft(v)
-    return pd.DataFrame({"project": pdf["project"].iloc[0], "version": pdf["version"].iloc[0],
-                         "trace": pdf["trace"].iloc[0], "size_m": m,
-                         "k": (ka + ma * np.arange(mb)).astype(np.int64), "re": b.real, "im": b.imag})
-
-
-def fft_distributed(rows: DataFrame) -> DataFrame:
-    """Complex DFT of length M = size_m per trace, four-step with M = M1*M2
-    (M1 = size_a): rows (KEY, n, re, im, size_m, size_a), absent n = 0 ->
-    (KEY, size_m, k, re, im) for k = 0..M-1.  Pass 1 groups by n2 = n mod M2
-    (M1 values each), pass 2 by k1 (M2 values each)."""
-    r = rows.withColumn("size_b", (F.col("size_m") / F.col("size_a")).cast("bigint"))
-    r = r.withColumn("ia", F.floor(F.col("n") / F.col("size_b")).cast("bigint")) \
-         .withColumn("ib", (F.col("n") % F.col("size_b")).cast("bigint"))
-    p1 = blocks.grouped_map(r.select(*KEY, "size_m", "size_a", "ia", "ib", "re", "im"), [*KEY, "ib"], "ia",
-                            _pass1, _P1)
-    return blocks.grouped_map(p1, [*KEY, "ka"], "ib", _pass2, _P2)
-
-
-def _four_step(rows: DataFrame) -> DataFrame:
-    """rows: (KEY, i, y, size_n, size_a) with size_a | size_n ->
-    (KEY, size_n, k, mag) for k in 1..N/2-1."""
-    x = rows.select(*KEY, F.col("i").alias("n"), F.col("y").alias("re"), F.lit(0.0).alias("im"),
-                    F.col("size_n").alias("size_m"), "size_a")
-    out = fft_distributed(x).withColumnRenamed("size_m", "size_n")
-    return (out.where((F.col("k") >= 1) & (F.col("k") < F.floor(F.col("size_n") / 2)))
-            .select(*KEY, "size_n", "k", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("mag")))
-
-
-def _bluestein(rows: DataFrame) -> DataFrame:
-    """rows: (KEY, i, y, size_n) -> (KEY, size_n, k, mag), k in 1..N/2-1, for
-    any N: chirp-z with three power-of-two transforms of M >= 2N-1
-    (balanced M1 = 2^floor(log2(M)/2)).  |X_k| = |(a * b)_k| with
-    a_n = x_n e^{-i pi n^2/N}, b_m = e^{i pi m^2/N}; the convolution is
-    conj(FFT(conj(FFT(a) FFT(b)))) / M.  n^2 mod 2N is exact (decimal)."""
-    n = F.col("size_n")
-    bits = F.ceil(F.log2(n * 2 - 1)).cast("int")
-    r = (rows.withColumn("size_m", F.pow(F.lit(2.0), bits).cast("bigint"))
-         .withColumn("size_a", F.pow(F.lit(2.0), F.floor(bits / 2)).cast("bigint")))
-    dec = "decimal(38,0)"
-    sq = F.pmod(F.col("i").cast(dec) * F.col("i").cast(dec), (n * 2).cast(dec)).cast("double")
-    r = r.withColumn("_th", F.lit(math.pi) * sq / n.cast("double"))
-    a = r.select(*KEY, F.col("i").alias("n"), (F.col("y") * F.cos("_th")).alias("re"),
-                 (-F.col("y") * F.sin("_th")).alias("im"), "size_m", "size_a")
-    # b_m at m = i and at M - i (i >= 1): derived from the trace's own rows
-    b = (r.select(*KEY, "i", "_th", "size_m", "size_a",
-                  F.explode(F.array(F.col("i"), F.col("size_m") - F.col("i"))).alias("n"))
-         .where((F.col("n") == F.col("i")) | (F.col("i") >= 1))
-         .select(*KEY, "n", F.cos("_th").alias("re"), F.sin("_th").alias("im"), "size_m", "size_a"))
-    fa = fft_distributed(a).alias("fa")
-    fb = fft_distributed(b).alias("fb")
-    keys = [F.col(f"fa.{c}") == F.col(f"fb.{c}") for c in [*KEY, "k"]]
-    cond = keys[0]
-    for c in keys[1:]:
-        cond = cond & c
-    prod = fa.join(fb, cond).select(
-        *[F.col(f"fa.{c}") for c in KEY], F.col("fa.k").alias("n"),
-        (F.col("fa.re") * F.col("fb.re") - F.col("fa.im") * F.col("fb.im")).alias("re"),
-        (-(F.col("fa.re") * F.col("fb.im") + F.col("fa.im") * F.col("fb.re"))).alias("im"),  # conjugate
-        F.col("fa.size_m").alias("size_m"))
-    sizes = r.select(*KEY, "size_n", "size_a").distinct()
-    sizes = bounded_broadcast(sizes)
-    conv = fft_distributed(prod.join(sizes, KEY))
-    out = conv.join(sizes.drop("size_a"), KEY)
-    return (out.where((F.col("k") >= 1) & (F.col("k") < F.floor(F.col("size_n") / 2)))
-            .select(*KEY, "size_n", "k",
-                    (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.col("size_m")).alias("mag")))
+#: Values that a column or row task holds at a time (or one column, one row).
+BUNDLE = 1 << 20
+
+_TRACE = "project string, version int, trace string"
+#: A piece of a column bundle: row n1, first column, values.
+_COLUMNS = f"{_TRACE}, size_n bigint, size_a bigint, size_b bigint, bundle bigint, n1 bigint, col bigint, re array<double>"
+#: A piece of a row bundle: its rows' values in some columns, row by row.
+_ROWS = (f"{_TRACE}, size_n bigint, size_a bigint, size_b bigint, bundle bigint, col bigint, width bigint, "
+         "re array<double>, im array<double>, re2 array<double>, im2 array<double>")
+_BINS = f"{_TRACE}, size_n bigint, k array<bigint>, mag array<double>"
+_SIZES = ["size_n", "size_a", "size_b"]
+
+
+def _width(other: int, bundle: int) -> int:
+    """Columns (of ``other`` values each) or rows in a bundle."""
+    return max(1, bundle // other)
+
+
+def _cut(r: dict, bundle: int, chunk: int) -> list[dict]:
+    """A block of samples as pieces of column bundles."""
+    y, at = r["y"].astype(float), r["block"] * chunk
+    b, w = r["size_b"], _width(r["size_a"], bundle)
+    head = {c: r[c] for c in [*KEY, *_SIZES]}
+    out, i = [], at
+    while i < at + len(y):
+        n1, n2 = divmod(i, b)
+        to = min(i + w - n2 % w, (n1 + 1) * b, at + len(y))  # the end of the bundle, the row or the block
+        out.append({**head, "bundle": n2 // w, "n1": n1, "col": n2, "re": y[i - at:to - at]})
+        i = to
+    return out
+
+
+def _matrix(rows: list[dict], bundle: int) -> tuple[int, np.ndarray]:
+    """First column and the values [A, columns] of a column bundle (absent: 0)."""
+    a, b = rows[0]["size_a"], rows[0]["size_b"]
+    w = _width(a, bundle)
+    first = rows[0]["bundle"] * w
+    v = np.zeros((a, min(w, b - first)))
+    for r in rows:
+        at = r["col"] - first
+        v[r["n1"], at:at + len(r["re"])] = r["re"]
+    return first, v
+
+
+def _rows_out(rows: list[dict], first: int, width: int, tall: int, *values: np.ndarray) -> list[dict]:
+    """Transformed columns [rows, width], dealt to row bundles of ``tall``."""
+    head = {c: rows[0][c] for c in [*KEY, *_SIZES]}
+    out = []
+    for g, at in enumerate(range(0, len(values[0]), tall)):
+        part = [x for v in values for x in (np.ascontiguousarray(v[at:at + tall].real).ravel(),
+                                            np.ascontiguousarray(v[at:at + tall].imag).ravel())]
+        part += [None] * (4 - len(part))
+        out.append({**head, "bundle": g, "col": first, "width": width, **dict(zip(("re", "im", "re2", "im2"), part))})
+    return out
+
+
+def _columns(rows: list[dict], bundle: int) -> list[dict]:
+    """Real columns transformed and twisted."""
+    n, b = rows[0]["size_n"], rows[0]["size_b"]
+    first, v = _matrix(rows, bundle)
+    t = np.fft.rfft(v, axis=0)
+    n2, k1 = np.arange(first, first + v.shape[1]), np.arange(len(t))
+    t *= np.exp(-2j * np.pi * (k1[:, None] * n2[None, :]) / n)  # k1 * n2 < n: exact
+    return _rows_out(rows, first, v.shape[1], _width(b, bundle), t)
+
+
+def _gather(rows: list[dict], length: int, names: tuple[str, str]) -> np.ndarray:
+    """The rows of a bundle [rows, length] from their pieces."""
+    tall = len(rows[0]["re"]) // rows[0]["width"]
+    out = np.empty((tall, length), dtype=complex)
+    for r in rows:
+        out[:, r["col"]:r["col"] + r["width"]] = (r[names[0]] + 1j * r[names[1]]).reshape(tall, r["width"])
+    return out
+
+
+def _bins(rows: list[dict], bundle: int) -> list[dict]:
+    """Magnitudes of all bins that a bundle of rows holds, mirrored where the
+    row that holds them was left out."""
+    n, a, b = (rows[0][c] for c in _SIZES)
+    z = np.abs(np.fft.fft(_gather(rows, b, ("re", "im")), axis=1))
+    head, out, first = {**{c: rows[0][c] for c in KEY}, "size_n": n}, [], rows[0]["bundle"] * _width(b, bundle)
+    for k1, m in enumerate(z, first):
+        k = k1 + a * np.arange(b, dtype=np.int64)
+        direct = (k >= 1) & (k < n // 2)
+        if k1 and 2 * k1 != a:  # the row a - k1 mirrors this one
+            far = (n - k >= 1) & (n - k < n // 2)
+            k, m = np.concatenate([k[direct], n - k[far]]), np.concatenate([m[direct], m[far]])
+        else:
+            k, m = k[direct], m[direct]
+        out.append({**head, "k": k, "mag": m})
+    return out
+
+
+def _passes(columns: DataFrame, steps, bundle: int) -> DataFrame:
+    """Array pieces through grouped steps: (function, key columns, schema)."""
+    df = columns
+    for fn, schema in steps:
+        df = blocks.map_groups(df, [*KEY, "bundle"], "col", lambda rows, fn=fn: fn(rows, bundle), schema)
+    return df
+
+
+def _four_step(data: DataFrame, bundle: int, chunk: int) -> DataFrame:
+    """Blocks with size_n = size_a * size_b -> bins of 1..N/2-1 (_BINS)."""
+    return _passes(blocks.map_rows(data, lambda r: _cut(r, bundle, chunk), _COLUMNS),
+                   ((_columns, _ROWS), (_bins, _BINS)), bundle)
+
+
+def _phase(start: np.ndarray, width: int, n: int) -> np.ndarray:
+    """pi j^2 / n for j = start + 0..width-1, from j^2 mod 2n in integers."""
+    s2 = np.array([int(s) * int(s) % (2 * n) for s in start], dtype=np.int64)
+    d = np.arange(width, dtype=np.int64)
+    return np.pi * ((s2[:, None] + (2 * start[:, None] % (2 * n)) * d % (2 * n) + d * d % (2 * n)) % (2 * n)) / n
+
+
+def _chirp_columns(rows: list[dict], bundle: int) -> list[dict]:
+    """Columns of a_j = y_j e^(-i pi j^2 / N) and of b_j = e^(i pi j^2 / N)
+    (j and M - j), transformed and twisted; M = A * B >= 2 N - 1."""
+    n, a, b = (rows[0][c] for c in _SIZES)
+    m = a * b
+    first, y = _matrix(rows, bundle)
+    w = y.shape[1]
+    at = np.arange(a, dtype=np.int64) * b + first
+    th = _phase(at, w, n)
+    j = at[:, None] + np.arange(w)
+    far = _phase(np.maximum(m - at - w + 1, 0), w, n)[:, ::-1]  # of m - j
+    chirp = np.where(j < n, np.exp(1j * th), np.where(m - j < n, np.exp(1j * far), 0))
+    twist = np.exp(-2j * np.pi * (np.arange(a)[:, None] * (first + np.arange(w))[None, :]) / m)
+    va, vb = (np.fft.fft(x, axis=0) * twist for x in (y * np.exp(-1j * th), chirp))
+    return _rows_out(rows, first, w, _width(b, bundle), va, vb)
+
+
+def _chirp_rows(rows: list[dict], bundle: int) -> list[dict]:
+    """Rows of both transforms multiplied; the inverse's columns (k1 fixed, k2
+    running), transformed and twisted: its rows are the A-long ones."""
+    _, a, b = (rows[0][c] for c in _SIZES)
+    va, vb = (np.fft.fft(_gather(rows, b, names), axis=1) for names in (("re", "im"), ("re2", "im2")))
+    first = rows[0]["bundle"] * _width(b, bundle)
+    t = np.fft.fft(np.conj(va * vb), axis=1)
+    t *= np.exp(-2j * np.pi * ((first + np.arange(len(t)))[:, None] * np.arange(b)[None, :]) / (a * b))
+    return _rows_out(rows, first, len(t), _width(a, bundle), np.ascontiguousarray(t.T))
+
+
+def _chirp_bins(rows: list[dict], bundle: int) -> list[dict]:
+    n, a, b = (rows[0][c] for c in _SIZES)
+    z = np.abs(np.fft.fft(_gather(rows, a, ("re", "im")), axis=1)) / (a * b)
+    head, out = {**{c: rows[0][c] for c in KEY}, "size_n": n}, []
+    for j1, m in enumerate(z, rows[0]["bundle"] * _width(a, bundle)):
+        k = j1 + b * np.arange(a, dtype=np.int64)
+        ok = (k >= 1) & (k < n // 2)
+        out.append({**head, "k": k[ok], "mag": m[ok]})
+    return out
+
+
+def _bluestein(data: DataFrame, bundle: int, chunk: int) -> DataFrame:
+    """Blocks of traces of any length size_n, with size_a * size_b >= 2 N - 1 ->
+    bins (_BINS): |X_k| = |(a * b)_k|, the convolution being
+    conj(FFT(conj(FFT(a) FFT(b)))) / M."""
+    return _passes(blocks.map_rows(data, lambda r: _cut(r, bundle, chunk), _COLUMNS),
+                   ((_chirp_columns, _ROWS), (_chirp_rows, _ROWS), (_chirp_bins, _BINS)), bundle)
+
+
+def _sizes(r: dict, max_single: int) -> dict:
+    """The matrix of a long trace: its own balanced factors, else those of the
+    power of two that Bluestein needs."""
+    n = r["size_n"]
+    a = split_factor(n)
+    if n // a <= max_single:
+        return {**r, "size_a": n // a, "size_b": a, "own": True}
+    bits = (2 * n - 2).bit_length()
+    return {**r, "size_a": 1 << (bits // 2), "size_b": 1 << (bits - bits // 2), "own": False}
 
 
 def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str | None = None,
@@ -200,19 +281,17 @@ def spectrum(sig: DataFrame, implied_dt: float, dt_unit: str, display_unit: str
     big_traces = lengths.where(F.col("size_n") > max_single)
     if big_traces.limit(1).count() == 0:
         return out
-    facts = blocks.map_rows(big_traces, lambda r: [{**r, "size_a": split_factor(r["size_n"])}],
-                            "project string, version int, trace string, size_n bigint, size_a bigint")
-    # a split whose larger factor still exceeds max_single (primes, 2 x prime,
-    # ...) would leave ~N values in one task: those traces take Bluestein
-    balanced = F.greatest(F.col("size_a"), F.col("size_n") / F.col("size_a")) <= max_single
-    long = blocks.from_blocks(data, blocks.MIN_CHUNK).select(*KEY, "i", "y")
-    big = long.join(bounded_broadcast(facts.select(*KEY, "size_n", "size_a", balanced.alias("_bal"))), KEY)
-    bins = _four_step(big.where("_bal").drop("_bal")).unionByName(
-        _bluestein(big.where(~F.col("_bal")).drop("_bal", "size_a")))
+    facts = blocks.map_rows(big_traces, lambda r: [_sizes(r, max_single)],
+                            f"{_TRACE}, size_n bigint, size_a bigint, size_b bigint, own boolean")
+    long = data.select(*KEY, "block", "y").join(bounded_broadcast(facts), KEY)
+    pieces = min(BUNDLE, max_single * 4)
+    bins = _four_step(long.where("own").drop("own"), pieces, blocks.MIN_CHUNK).unionByName(
+        _bluestein(long.where("not own").drop("own"), pieces, blocks.MIN_CHUNK))
     path = scratch_path(spark, "spectrum-bins")
     bins.write.mode("overwrite").parquet(path)
     bins = spark.read.parquet(path)
-    sums = bins.groupBy(*KEY).agg(F.sum("mag").alias("_s"))
+    sums = bins.groupBy(*KEY).agg(F.sum(F.aggregate("mag", F.lit(0.0), lambda a, v: a + v)).alias("_s"))
+    bins = bins.select(*KEY, "size_n", F.explode(F.arrays_zip("k", "mag")).alias("v")).select(*KEY, "size_n", "v.k", "v.mag")
     unit = {u.lower(): u for u in TIME_UNITS}[dt_unit.strip().lower()]
     per_disp = FREQUENCY_PERIOD_S[_freq_unit(display_unit)]
     per_own = FREQUENCY_PERIOD_S[TIME_TO_FREQ[unit]]
