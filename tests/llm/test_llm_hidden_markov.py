@@ -44,7 +44,13 @@ def test_kernels_equal_the_definition():
     begin = np.concatenate([[0], np.cumsum(sizes)])
     sym = rng.integers(0, 50, begin[-1])
     emit, top = hm.scaled(m.emit)
-    gamma, moves, log = hm.posteriors(emit[sym], begin, m)
+    gamma, order, starts, moves, log = hm.posteriors(emit[sym], begin, m)
+    assert np.sort(order).tolist() == list(range(len(sym)))
+    assert np.allclose(hm.by_symbol(sym[order], gamma, 50).sum(axis=1), np.bincount(sym, minlength=50), rtol=1e-4)
+    text = np.empty((len(sym), 3))
+    text[order] = gamma.T
+    gamma = text
+    assert np.allclose(starts, gamma[begin[:-1]].sum(axis=0), rtol=1e-5)
     got = hm.log_likelihood(emit[sym], top[sym], begin, m)
     x = np.zeros((3, 3))
     for i in range(len(sizes)):
@@ -54,7 +60,6 @@ def test_kernels_equal_the_definition():
         assert np.abs(gamma[at] - g).max() < 1e-3
         x += e
     assert np.allclose(moves, x, rtol=1e-3)
-    assert np.allclose(hm.by_symbol(sym, gamma, 50).sum(axis=1), np.bincount(sym, minlength=50), rtol=1e-4)
 
 
 def test_table_keeps_the_more_frequent_word():

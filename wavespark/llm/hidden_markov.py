@@ -46,12 +46,12 @@ from pyspark.sql import functions as F
 from .common import U64, drop_saved, mix, saved, slices, span_hashes, utf8, word_spans
 
 STATES = 6
-SEGMENT = 1024
+SEGMENT = 2048
 #: Rounds at most, and the relative gain in likelihood below which they end.
-ROUNDS, GAIN = 4, 0.002
+ROUNDS, GAIN = 4, 0.01
 #: Words with emissions of their own in the rounds, words that a score looks
 #: up without a join, and slots of the tables for them.
-HEAD, FREQUENT, SLOTS = 1 << 16, 1 << 18, 1 << 20
+HEAD, FREQUENT, SLOTS = 1 << 15, 1 << 19, 1 << 21
 #: Frequent words whose co-occurrence starts the states, and their weight.
 SEEDS, SEED_WEIGHT = 256, 0.9
 #: Weight of the base distribution in a state's emissions for each word the
@@ -126,6 +126,10 @@ class Segments:
         self.first = nth == 0
         self.order = np.argsort(-self.size, kind="stable")
         self.active = self._active(self.order)
+        # all tokens by step: a step's tokens lie together, the longest segment's first
+        self.step = np.concatenate([[0], np.cumsum(self.active, dtype=np.int64)])
+        at = self.at[self.order]
+        self.tokens = np.concatenate([at[:n] + t for t, n in enumerate(self.active)]) if self.active else self.at
         # segments of texts that have several, and those texts by number of segments
         self.several = self.order[per[self.owner[self.order]] > 1]
         texts = np.flatnonzero(per > 1)
@@ -176,21 +180,20 @@ def borders(e: np.ndarray, g: Segments, move: np.ndarray, start: np.ndarray) ->
     return before, after
 
 
-def forward(e: np.ndarray, g: Segments, move: np.ndarray, before: np.ndarray, keep: bool):
+def forward(e: np.ndarray, g: Segments, move: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log likelihood of each text, and the state distributions after each
-    token (by step, for the segments still active), if kept."""
-    at, first = g.at[g.order], g.first[g.order]
+    token; ``e`` and these are [K, tokens], in the order of ``g.tokens``."""
     b = before[g.order]
-    v = np.where(first[:, None], b, b @ move)
-    log, kept = np.zeros(len(at)), []
+    v = np.ascontiguousarray(np.where(g.first[g.order][:, None], b, b @ move).T)
+    log, back, out = np.zeros(len(g.order)), np.ascontiguousarray(move.T), np.empty_like(e)
     for t, n in enumerate(g.active):
-        v = (v[:n] @ move if t else v) * e[at[:n] + t]
-        z = v.sum(axis=1)
-        v /= z[:, None]
+        now = slice(g.step[t], g.step[t + 1])
+        v = (back @ v[:, :n] if t else v) * e[:, now]
+        z = v.sum(axis=0)
+        v /= z
         log[:n] += np.log(z)
-        if keep:
-            kept.append(v)
-    return np.bincount(g.owner[g.order], weights=log, minlength=len(g.head) - 1), kept
+        out[:, now] = v
+    return np.bincount(g.owner[g.order], weights=log, minlength=len(g.head) - 1), out
 
 
 def scaled(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,42 +207,45 @@ def log_likelihood(e: np.ndarray, top: np.ndarray, begin: np.ndarray, model: Mod
     ``top``: scaled emissions of each token."""
     move, start, g = model.move.astype(np.float32), model.start.astype(np.float32), Segments(begin)
     before, _ = borders(e, g, move, start)
-    log, _ = forward(e, g, move, before, keep=False)
+    log, _ = forward(np.ascontiguousarray(e[g.tokens].T), g, move, before)
     return log + np.add.reduceat(top, begin[:-1]) if len(log) else log
 
 
 def posteriors(e: np.ndarray, begin: np.ndarray, model: Model):
-    """State posteriors of each token, expected moves [K, K], and each text's
-    log likelihood (of the scaled emissions)."""
+    """State posteriors [K, tokens] and the order of the tokens, expected
+    starts [K] and moves [K, K], and each text's log likelihood (of the scaled
+    emissions ``e`` [tokens, K])."""
     move, start, g = model.move.astype(np.float32), model.start.astype(np.float32), Segments(begin)
     before, after = borders(e, g, move, start)
-    log, alphas = forward(e, g, move, before, keep=True)
-    at, first, before, after = g.at[g.order], g.first[g.order], before[g.order], after[g.order]
-    gamma = np.empty((len(e), len(start)), dtype=np.float32)
+    e = np.ascontiguousarray(e[g.tokens].T)
+    log, gamma = forward(e, g, move, before)  # distributions first, posteriors in the end
+    first, before, after = g.first[g.order], before[g.order], after[g.order].T
     moves = np.zeros(move.shape)
     follow = None  # emission times backward vector of the next token
     for t in range(len(g.active) - 1, -1, -1):
-        n = g.active[t]
-        beta = after[:n].copy()
+        now = slice(g.step[t], g.step[t + 1])
+        alpha, beta = gamma[:, now], after[:, :g.active[t]].copy()
         if follow is not None:
-            more = len(follow)  # segments that go on
-            beta[:more] = follow @ move.T
-            z = (alphas[t][:more] * beta[:more]).sum(axis=1)
-            moves += (alphas[t][:more] / z[:, None]).T @ follow
-        own = alphas[t] * beta
-        gamma[at[:n] + t] = own / own.sum(axis=1, keepdims=True)
-        beta /= beta.max(axis=1, keepdims=True)
-        follow = e[at[:n] + t] * beta
+            more = follow.shape[1]  # segments that go on
+            beta[:, :more] = move @ follow
+            z = (alpha[:, :more] * beta[:, :more]).sum(axis=0)
+            moves += (alpha[:, :more] / z) @ follow.T
+        follow = e[:, now] * beta
+        alpha *= beta
+        alpha /= alpha.sum(axis=0)
+        follow /= follow.max(axis=0)
     joined = ~first  # moves across segment borders
     if joined.any():
-        f, b = follow[joined], before[joined]
+        f, b = follow[:, joined].T, before[joined]
         z = (b * (f @ move.T)).sum(axis=1)
         moves += (b / z[:, None]).T @ f
-    return gamma, moves * move, log
+    starts = gamma[:, :len(first)][:, first].sum(axis=1, dtype=np.float64)
+    return gamma, g.tokens, starts, moves * move, log
 
 
 def by_symbol(sym: np.ndarray, gamma: np.ndarray, symbols: int) -> np.ndarray:
-    return np.stack([np.bincount(sym, weights=gamma[:, i], minlength=symbols) for i in range(gamma.shape[1])], axis=1)
+    """Sums of the posteriors [K, tokens] of each symbol."""
+    return np.stack([np.bincount(sym, weights=v, minlength=symbols) for v in gamma], axis=1)
 
 
 def maximise(start: np.ndarray, moves: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> Model:
@@ -309,10 +315,22 @@ def count_words(train: DataFrame, text: str) -> Corpus:
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[Table, pa.Table]:
-    """The table of the most frequent words, and their rows in its order."""
-    rows = counts.orderBy(F.desc("n"), "word").limit(most + most // 4).toArrow()
-    table = Table(rows["word"].to_numpy().view(U64), most)
-    return table, rows.take(pa.array(table.taken))
+    """The table of the most frequent words, and their rows in its order.  How
+    often a word must occur comes from a histogram of the counts, of a bounded
+    number of classes, so that no more rows than asked for leave the tasks."""
+    rank = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    steps = sorted(((r["r"], r["c"]) for r in counts.groupBy(rank.alias("r")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    total, least = 0, 2**31 - 1
+    for r, c in steps:
+        total += c
+        if total > most + most // 4:
+            break
+        least = r
+    rows = counts.where(rank >= least).toArrow()
+    word, n = rows["word"].to_numpy().view(U64), rows["n"].to_numpy()
+    order = np.lexsort((word, -n))
+    table = Table(word[order], most)
+    return table, rows.take(pa.array(order[table.taken]))
 
 
 def _totals(texts: DataFrame, text: str, total_of, shape: tuple[int, int]) -> np.ndarray:
@@ -394,9 +412,14 @@ class Trained:
     rounds: list[float]    # summed log likelihood (of the scaled emissions) of each round
 
 
+#: Spark's own switch: shuffle files go when the query that wrote them is done.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def fit(train: DataFrame, text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> tuple[Corpus, Trained]:
     """Word counts and model of the training texts (nulls: empty)."""
     spark = train.sparkSession
+    spark.conf.set(CLEAN_UP, "true")
     train = train.select(F.coalesce(F.col(text), F.lit("")).alias(text))
     corpus = count_words(train, text)
     table, rows = most_frequent(corpus.counts, HEAD)
@@ -422,10 +445,10 @@ def fit(train: DataFrame, text: str = "text", states: int = STATES, rounds: int
         def total(col: pa.Array) -> np.ndarray:
             emit, top, model = now.value
             _, _, _, sym, begin = symbols(sent.value, col)
-            gamma, moves, log = posteriors(emit[sym], begin, model)
+            gamma, order, starts, moves, log = posteriors(emit[sym], begin, model)
             like = np.zeros((1, states))
             like[0, 0] = log.sum() + top[sym].sum()
-            return np.vstack([by_symbol(sym, gamma, h + 2), gamma[begin[:-1]].sum(axis=0, dtype=np.float64)[None], moves, like])
+            return np.vstack([by_symbol(sym[order], gamma, h + 2), starts[None], moves, like])
         return total
 
     likelihoods = []
@@ -444,18 +467,21 @@ def fit(train: DataFrame, text: str = "text", states: int = STATES, rounds: int
     def each(col: pa.Array):
         emit, _, model = now.value
         words, at, place, sym, begin = symbols(sent.value, col)
-        gamma, _, _ = posteriors(emit[sym], begin, model)
+        gamma, order, *_ = posteriors(emit[sym], begin, model)
         own, inverse = np.unique(words, return_inverse=True)
-        return own, by_symbol(inverse, gamma[place], len(own))
+        which = np.full(len(sym), len(own))  # an end is no word
+        which[place] = inverse
+        return own, np.hstack([np.bincount(inverse, minlength=len(own))[:, None], by_symbol(which[order], gamma, len(own) + 1)[:-1]])
 
-    expected = saved(_sums_by_word(train, text, each, columns), "hmm-expected")
+    expected = saved(_sums_by_word(train, text, each, ["n", *columns]), "hmm-expected")
     s = expected.agg(*(F.sum(c).alias(c) for c in columns), *(F.sum(F.least(F.col(c), F.lit(1.0))).alias(f"k{c}") for c in columns)).first()
     ends = total[end] if likelihoods else np.full(states, corpus.texts / states)  # expected ends, by state
     mass = np.array([s[c] or 0.0 for c in columns]) + ends
     weight = EMIT_PRIOR * (np.array([s[f"k{c}"] or 0.0 for c in columns]) + np.minimum(ends, 1)) + 1e-9
     base = F.lit(1.0 / (corpus.tokens + ADD * (corpus.kinds + 1))) * (F.col("n") + ADD)
-    words = saved(expected.join(corpus.counts, "word").select("word", "n", *(
-        ((F.col(c) + base * float(weight[i])) / float(mass[i] + weight[i])).alias(c) for i, c in enumerate(columns))), "hmm-words")
+    words = saved(expected.select("word", F.col("n").cast("long").alias("n"), *(
+        ((F.col(c) + base * float(weight[i])) / float(mass[i] + weight[i])).cast("float").alias(c)
+        for i, c in enumerate(columns))), "hmm-words")
     drop_saved(expected)
     return corpus, Trained(model.start, model.move, (ends + weight * corpus.base(corpus.texts)) / (mass + weight),
                            weight * corpus.base(0) / (mass + weight), words, likelihoods)
