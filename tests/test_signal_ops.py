@@ -324,3 +324,28 @@ def test_spectrum_on_array_pieces(spark, bundle, chunk):
                 assert np.isnan(got[r["k"] - 1]).all()  # each bin once
                 got[r["k"] - 1] = r["mag"]
             assert np.abs(got - want).max() < 1e-9 * want.max(), (n, own)
+
+
+def test_statistics_and_triggers_from_blocks(spark):
+    """Block statistics merge to what the samples give, also far from zero,
+    with nulls, under a negative scale, and without any value."""
+    from wavespark.operators.signal import trigger_index
+    rng = np.random.default_rng(12)
+    rows = [("p", 1, "a", i, float(v)) for i, v in enumerate(rng.normal(size=1000) + 1e8)]
+    rows += [("p", 1, "b", i, None if i % 3 else float(i)) for i in range(500)]
+    rows += [("p", 2, "none", i, None) for i in range(5)] + [("p", 2, "one", 0, 4.0)]
+    rows += [("p", v, "TRIGGER", i, 1.0 if i >= at else 0.0) for v, at, n in ((1, 150, 400), (2, 0, 2), (3, 0, 300), (4, 999, 70)) for i in range(n)]
+    smp = spark.createDataFrame(rows, "project string, version int, trace string, i long, y_raw double")
+    reg = spark.createDataFrame([("p", "a", -2.0, 3.0), ("p", "b", 0.5, -1.0)], "project string, trace string, y_scale double, y_offset double")
+    scaled = smp.join(reg, ["project", "trace"], "left").withColumn(
+        "y", F.coalesce("y_scale", F.lit(1.0)) * F.col("y_raw") + F.coalesce("y_offset", F.lit(0.0)))
+    blocks = stats.block_stats(smp, 64)
+    want = {(r.version, r.trace): r for r in stats.trace_stats(scaled).collect()}
+    got = stats.stats_of_blocks(blocks, reg).collect()
+    assert len(got) == len(want)
+    for r in got:
+        for c in ("n", *stats.STAT_FUNCTIONS):
+            a, b = r[c], want[r.version, r.trace][c]
+            assert a == b or abs(a - b) <= 1e-7 * max(1, abs(b)), (r, c)
+    assert {(r.version, r.t0_index) for r in stats.trigger_of_blocks(blocks).collect()} == {
+        (r.version, r.t0_index) for r in trigger_index(smp).collect()}

@@ -285,3 +285,13 @@ def test_a_capture_written_while_it_is_loaded_raises(spark, tmpdir_fresh):
     finally:
         capture.capture_heads = real
     assert st.captures(spark).count() == 0
+
+
+def test_statistics_read_no_sample(spark, tmpdir_fresh):
+    from wavespark.operators import stats
+    a, _ = _two_sources(tmpdir_fresh)
+    st = store.Store(os.path.join(tmpdir_fresh, "store"))
+    store.ingest_changed(spark, st, a, "p").collect()
+    out = stats.stats_of_blocks(st.block_stats(spark), st.registry(spark))
+    assert not [f for f in out.inputFiles() if "/samples/" in f] and out.inputFiles()
+    assert {(r.version, r.n, r["max"]) for r in out.where("trace = 'a'").collect()} == {(1, 3, 3.0), (2, 2, 5.0)}

@@ -3,6 +3,11 @@
 All five statistics are computed in one grouped aggregate with partial
 (map-side) and final phases; population standard deviation is decomposable,
 so a hot trace never lands in one task.
+
+Stored samples have block statistics beside them (:func:`block_stats`): count,
+extremes, mean and sum of squared deviations of every ``BLOCK`` samples.  They
+merge exactly, and a linear transform (P5) can be applied to them, so the
+statistics and triggers of raw traces need no sample.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import bounded_broadcast
 
 # Statistic names, in the order the configuration dialog lists
 # them, and the legend symbols shown for each (must equal the reference's).
@@ -23,6 +29,8 @@ STAT_SYMBOLS = {
 }
 
 KEY = ["project", "version", "trace"]
+#: Samples that one row of block statistics stands for.
+BLOCK = 1 << 16
 
 
 def trace_stats(sig: DataFrame, value_col: str = "y") -> DataFrame:
@@ -37,6 +45,44 @@ def trace_stats(sig: DataFrame, value_col: str = "y") -> DataFrame:
             .select(*KEY, "n", *STAT_FUNCTIONS))
 
 
+def block_stats(samples: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(KEY, block, rows, n, low, high, mean, m2, first_set) of raw samples: n
+    values that are not null, m2 their sum of squared deviations from the
+    block's mean, first_set the least index from 1 on whose value is not 0."""
+    y = F.col("y_raw").cast("double")
+    return (samples.groupBy(*KEY, F.floor(F.col("i") / block).cast("bigint").alias("block"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.count(y).alias("n"), F.min(y).alias("low"), F.max(y).alias("high"),
+                 F.avg(y).alias("mean"), (F.var_pop(y) * F.count(y)).alias("m2"),
+                 F.min(F.when((F.col("i") >= 1) & (y != 0), F.col("i"))).alias("first_set")))
+
+
+def stats_of_blocks(blocks: DataFrame, registry: DataFrame) -> DataFrame:
+    """A1-A5 of raw traces from their block statistics, after P5: the same rows
+    as ``trace_stats`` of the signal frame.  Deviations are taken from the mean
+    of the whole trace (blocks are joined with one row a trace), so nothing
+    cancels."""
+    whole = blocks.groupBy(*KEY).agg(F.sum("n").alias("_n"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_mean"))
+    apart = F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) ** 2
+    out = (blocks.join(bounded_broadcast(whole), KEY).groupBy(*KEY, "_n", "_mean")
+           .agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.sum(apart).alias("_m2")))
+    reg = registry.select("project", "trace", "y_scale", "y_offset")  # planner size check
+    a, b = F.coalesce("y_scale", F.lit(1.0)), F.coalesce("y_offset", F.lit(0.0))
+    ends = a * F.col("_low") + b, a * F.col("_high") + b
+    return (out.join(reg, ["project", "trace"], "left")
+            .select(*KEY, F.col("_n").alias("n"), F.least(*ends).alias("min"), F.greatest(*ends).alias("max"),
+                    (a * F.col("_mean") + b).alias("mean"), (F.abs(a) * F.sqrt(F.col("_m2") / F.col("_n"))).alias("stdev"))
+            .withColumn("range", F.col("max") - F.col("min"))
+            .select(*KEY, "n", *STAT_FUNCTIONS))
+
+
+def trigger_of_blocks(blocks: DataFrame, trigger_trace: str = "TRIGGER") -> DataFrame:
+    """S9 from block statistics: the rows of ``signal.trigger_index``."""
+    agg = blocks.where(F.col("trace") == trigger_trace).groupBy("project", "version").agg(
+        F.min("first_set").alias("_first"), F.sum("rows").alias("_n"))
+    return agg.select("project", "version", F.when(F.col("_n") > 2, F.coalesce(F.col("_first") - 1, F.lit(0)))
+                      .otherwise(F.lit(0)).cast("bigint").alias("t0_index"))
+
+
 def check_stat_names(names: list[str]) -> None:
     bad = [n for n in names if n not in STAT_FUNCTIONS]
     if bad:

@@ -98,6 +98,17 @@ FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY project, version, tr
 
 @register("trace_stats", S.with_(*S.BASE) + _STATS_SQL)
 def q_trace_stats(spark, sf):
+    """A1-A5 of raw traces, from the block statistics stored with them."""
+    st = fixture_store(spark, sf)
+    blocks = st.block_stats(spark).where(F.col("project").isin("events", "lineitem"))
+    out = stats.stats_of_blocks(blocks, st.registry(spark))
+    return out.select("project", "version", "trace", "n",
+                      *[rnd(c).alias(c) for c in stats.STAT_FUNCTIONS])
+
+
+@register("trace_stats_samples", S.with_(*S.BASE) + _STATS_SQL)
+def q_trace_stats_samples(spark, sf):
+    """A1-A5 of any signal frame, from its samples."""
     st = fixture_store(spark, sf)
     smp = st.samples(spark).where(F.col("project").isin("events", "lineitem"))
     sig = signal.signal_frame(smp, st.registry(spark), st.captures(spark), st.projects(spark))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.indexing import dense_index
 from ..operators.signal import capture_summary
+from ..operators.stats import block_stats
 from ..session import qualified, scratch_path
 from ..sources.store import write_samples
 
@@ -131,6 +132,9 @@ class FixtureStore:
     def samples(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/samples")
 
+    def block_stats(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/block_stats")
+
     def captures(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/captures")
 
@@ -156,6 +160,7 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> FixtureStore:
                    .unionByName(embeddings_samples(spark, sf_dir)))
         write_samples(samples, f"{root}/samples")  # the store's shuffle-free sink
         stored = spark.read.parquet(f"{root}/samples")
+        block_stats(stored).write.mode("overwrite").parquet(f"{root}/block_stats")
         capture_summary(stored).write.mode("overwrite").parquet(f"{root}/captures")
         reg = spark.createDataFrame(registry_rows(), schemas.REGISTRY)
         reg.unionByName(embeddings_registry(spark, sf_dir)) \

@@ -13,7 +13,8 @@ from ..sources import store as STORE
 from ..streaming import changes as CH
 from . import fixtures as FX
 from . import sqlparts as S
-from .catalog import _CAP_TRACES, _FR, _SEL_SQL, _bucket_of, _compare_sql, _raw_signal, _sym_sql, register, rnd
+from .catalog import (_CAP_TRACES, _FR, _SEL_SQL, _bucket_of, _compare_sql, _r, _raw_signal, _sym_sql, ingest_orders, register,
+                      rnd)
 from .fixtures import fixture_store
 
 
@@ -125,3 +126,20 @@ def q_legacy_notes(spark, sf):
     ``config.json`` maps traces to their notes (absent: empty)."""
     d = FX.write_legacy_notes(spark, sf, scratch_path(spark, "legacy-notes"))
     return STORE.read_legacy_notes(spark, d, "007")
+
+
+# --------------------------------------------------------------------------
+# A1-A5 of ingested captures
+
+@register("capture_stats", f"WITH {_FR}, cells AS (SELECT * FROM fr), s AS (\n" + _samples_sql("bucket", "cells") + f""")
+SELECT bucket, trace, count(y_raw) AS n, CAST(min(y_raw) AS DOUBLE) AS "min", CAST(max(y_raw) AS DOUBLE) AS "max",
+       CAST(max(y_raw) - min(y_raw) AS DOUBLE) AS "range", {_r("avg(y_raw)")} AS mean, {_r("stddev_pop(y_raw)")} AS stdev
+FROM s GROUP BY bucket, trace""")
+def q_capture_stats(spark, sf):
+    """The statistics of every trace of every version of an ingested project:
+    ingest wrote them by blocks, so no sample is read."""
+    store = ingest_orders(spark, sf)
+    out = stats.stats_of_blocks(store.block_stats(spark), store.registry(spark))
+    caps = store.captures(spark).select("project", "version", _bucket_of("source_uri").alias("bucket"))
+    return out.join(caps, ["project", "version"]).select(
+        "bucket", "trace", "n", "min", "max", "range", rnd("mean").alias("mean"), rnd("stdev").alias("stdev"))

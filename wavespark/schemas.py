@@ -28,6 +28,20 @@ CAPTURES = T.StructType([
     T.StructField("columns", T.ArrayType(COLUMN_SPEC), True),
 ])
 
+BLOCK_STATS = T.StructType([
+    T.StructField("project", T.StringType(), False),
+    T.StructField("version", T.IntegerType(), False),
+    T.StructField("trace", T.StringType(), False),
+    T.StructField("block", T.LongType(), False),
+    T.StructField("rows", T.LongType(), False),
+    T.StructField("n", T.LongType(), False),
+    T.StructField("low", T.DoubleType(), True),
+    T.StructField("high", T.DoubleType(), True),
+    T.StructField("mean", T.DoubleType(), True),
+    T.StructField("m2", T.DoubleType(), True),
+    T.StructField("first_set", T.LongType(), True),
+])
+
 PROJECTS = T.StructType([
     T.StructField("project", T.StringType(), False),
     T.StructField("implied_dt", T.DoubleType(), False),

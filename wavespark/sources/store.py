@@ -4,6 +4,7 @@ and the project catalogue (S13).
 Layout under ``root``::
 
     samples/project=P/version=V/*.parquet   (trace, i, y_raw), sorted by trace, i
+    block_stats/ statistics of every 65,536 samples of a trace (A1-A6 read no sample)
     captures/    one row per (project, version): source, change id, t0, size, columns
     registry/    trace registry rows (bootstrapped at a project's first load)
     notes/       (project, version, trace, note)
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.indexing import dense_index
-from ..operators.signal import trigger_index
+from ..operators.stats import block_stats, trigger_of_blocks
 from ..operators.util import BROADCAST_MAX_ROWS, bounded_broadcast
 from ..session import exists, remove, scratch_path
 from . import capture, claims
@@ -58,6 +59,9 @@ class Store:
         touch each other's uncommitted files, and a retry replaces its own."""
         df.write.mode("overwrite").parquet(f"{self.path(table)}/load-{load}")
 
+    def added(self, spark: SparkSession, table: str, load: str, schema) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{self.path(table)}/load-{load}")
+
     def samples(self, spark: SparkSession, committed: bool = True) -> DataFrame:
         """Samples of committed versions (those that have a captures row)."""
         rows = self._read(spark, "samples", schemas.SAMPLES)
@@ -65,6 +69,12 @@ class Store:
             return rows
         return rows.join(self.captures(spark).select("project", "version"), ["project", "version"], "left_semi")
 
+    def block_stats(self, spark: SparkSession) -> DataFrame:
+        """Block statistics of committed versions."""
+        rows = self._read(spark, "block_stats", schemas.BLOCK_STATS)
+        return rows.join(self.captures(spark).select("project", "version"), ["project", "version"], "left_semi").dropDuplicates(
+            ["project", "version", "trace", "block"])  # a retry after a crash wrote them again
+
     def captures(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "captures", schemas.CAPTURES)
 
@@ -192,11 +202,11 @@ def _ingest(spark: SparkSession, store: Store, lines: DataFrame, pcol: Column, l
     smp = data.join(plan_b, "file").select("project", "version", "trace", same.alias("i"), "y_raw")
     write_samples(smp, store.path("samples"))
 
-    # trigger: only the TRIGGER trace of the new versions is read back
-    # (partition pruning + pushed-down trace filter)
-    written = (store.samples(spark, committed=False).where(F.col("trace") == "TRIGGER")
-               .join(plan_b.select("project", "version"), ["project", "version"], "left_semi"))
-    t0 = trigger_index(written)
+    # one pass over the columns just written gives the block statistics, and
+    # these the triggers
+    written = store.samples(spark, committed=False).join(plan_b.select("project", "version"), ["project", "version"], "left_semi")
+    store.add(block_stats(written).select(*[F.col(f.name).cast(f.dataType) for f in schemas.BLOCK_STATS.fields]), "block_stats", load)
+    t0 = trigger_of_blocks(store.added(spark, "block_stats", load, schemas.BLOCK_STATS))
     rows = (plan.join(t0, ["project", "version"], "left")
             .select("project", "version", F.col("file").alias("source_uri"),
                     F.col("mtime").alias("change_id"),
