@@ -8,8 +8,8 @@ seen, and the model one over all token sequences.
 Training covers all training texts in every pass.  Words are counted; the
 co-occurrence of the most frequent ones over all texts (a matrix of fixed
 size) tells the states apart at the start; then Baum-Welch rounds run until
-the summed likelihood rises by less than ``GAIN`` of itself (at most
-``ROUNDS``): each task sums the expected counts of its texts, one aggregate
+the summed likelihood rises by less than ``GAIN`` of itself, at most ``ROUNDS``
+and one last (more gain next to nothing, see README): each task sums the expected counts of its texts, one aggregate
 adds them up, and each round's parameters go out as a broadcast of fixed size.
 That is possible because the rounds update the words by turns: first the
 ``HEAD`` most frequent words, each by itself, with the states' share of all
@@ -47,11 +47,11 @@ from .common import U64, drop_saved, mix, saved, slices, span_hashes, utf8, word
 
 STATES = 6
 SEGMENT = 2048
-#: Rounds at most, and the relative gain in likelihood below which they end.
-ROUNDS, GAIN = 4, 0.01
+#: Rounds at most before the last, and the relative gain in likelihood below which they end.
+ROUNDS, GAIN = 2, 0.01
 #: Words with emissions of their own in the rounds, words that a score looks
 #: up without a join, and slots of the tables for them.
-HEAD, FREQUENT, SLOTS = 1 << 15, 1 << 19, 1 << 21
+HEAD, FREQUENT, SLOTS = 1 << 15, 1 << 18, 1 << 20
 #: Frequent words whose co-occurrence starts the states, and their weight.
 SEEDS, SEED_WEIGHT = 256, 0.9
 #: Weight of the base distribution in a state's emissions for each word the
