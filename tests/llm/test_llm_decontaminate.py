@@ -159,3 +159,32 @@ def test_query_finds_every_whole_passage(spark):
         t = " " + " ".join(words(r.text)) + " "
         assert {i for i, b in bench if f" {b} " in t} <= got[r.doc_id]
     assert sum(map(bool, got.values())) < 0.1 * len(got)
+
+
+def test_repetitive_texts_are_cheap_and_whole():
+    """Equal words and short periods: one hit, in seconds; the same overlaps as
+    by all alignments."""
+    import time
+    begin = time.time()
+    index = dc.Index([(1, analyse(["a"] * 100))])
+    hits = index.find(analyse(["a"] * 1_000_000), np.array([0, 1_000_000]))
+    assert [(h[1], h[3], h[4]) for h in hits] == [(1, 100, 100)] and time.time() - begin < 30
+    rnd = random.Random(21)
+    parts = [["a"] * 15, list("ab") * 8, list("abc") * 7, list("aab") * 6, ["x1", "x2", "x3"], list("b") * 13]
+    for _ in range(150):
+        docs = [[w for _ in range(rnd.randrange(1, 5)) for w in rnd.choice(parts)] for _ in range(4)]
+        items = [[w for _ in range(rnd.randrange(1, 4)) for w in rnd.choice(parts)] for _ in range(3)]
+        items = [i for i in items if len(i) >= dc.SPAN]
+        if not items:
+            continue
+        hashes = [analyse(t) for t in docs]
+        first = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
+        got = {(d, i): n for d, i, _, n, _ in dc.Index([(k, analyse(t)) for k, t in enumerate(items)]).find(np.concatenate(hashes), first)}
+        for d, doc in enumerate(docs):
+            for i, item in enumerate(items):
+                best = 0
+                for line in range(-len(item) + 1, len(doc)):
+                    lo, hi = max(line, 0), min(line + len(item), len(doc))
+                    same = np.array([doc[k] == item[k - line] for k in range(lo, hi)])
+                    best = max(best, dc.longest_overlap(same)[1])
+                assert got.get((d, i), 0) == (best if best >= dc.MIN_WORDS else 0), (doc, item)

@@ -13,8 +13,13 @@ the item are laid side by side and a stretch counts as overlap when at least
 equal.  Items of fewer than ``SPAN`` words must occur whole (all words equal).
 
 The table is broadcast in blocks of items of a bounded number of windows, one
-pass over the documents for each block, so a benchmark of any size keeps the
-memory bound.  Nothing of the documents is shuffled.
+pass over the documents for each block.  All blocks are in the driver's memory
+(a benchmark is small beside a corpus); nothing of the documents is shuffled.
+
+A document and an item have one hit: their longest overlap (ties: the first
+alignment).  Where both repeat themselves after the same number of words, only
+the first of the equal pairs of windows is looked at, since the others lie on
+the same diagonals; very long repetitive texts stay cheap and lose no alignment.
 
 Rows: null or wordless texts and items overlap with nothing; repeated rows and
 items are judged each on its own; an empty benchmark marks nothing, an empty
@@ -91,72 +96,104 @@ class Index:
 
     @staticmethod
     def _sorted(w, owner, where):
-        order = np.argsort(w)
+        order = np.argsort(w, kind="stable")
         seen = np.zeros(1 << BITS, dtype=bool)
         seen[(w & U64((1 << BITS) - 1)).astype(np.int64)] = True
-        return w[order], owner, where, order.astype(np.int32), seen
+        back = steps(w, np.arange(len(w)), where)
+        rows = {0: (w[order], order.astype(np.int32))}
+        for d in np.unique(back[back > 0]).tolist():  # without the rows that repeat after d words
+            some = order[back[order] != d]
+            rows[d] = (w[some], some.astype(np.int32))
+        return rows, owner, where, seen
 
     @staticmethod
-    def _matches(h, table):
-        """(window of the text, row of the table) for all equal hashes."""
-        key, *_, order, seen = table
+    def _matches(h, first, table):
+        """(window of the text, row of the table) for equal hashes.  Where both
+        texts repeat themselves after the same number of words, only the first
+        of equal pairs: the others lie on the same diagonal."""
+        rows, *_, seen = table
         maybe = np.flatnonzero(seen[(h & U64((1 << BITS) - 1)).astype(np.int64)])
-        at, to = (np.searchsorted(key, h[maybe], side=s) for s in ("left", "right"))
-        n = to - at
-        rows = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(maybe, n), order[rows]
-
-    def _alike(self, h, first, text, item, line):
-        """Which alignments have as many equal words as an overlap needs."""
+        back = steps(h, maybe, maybe - first[np.searchsorted(first, maybe, side="right") - 1])
+        out = []
+        for d in np.unique(back).tolist():
+            key, order = rows.get(d, rows[0])
+            mine = maybe[back == d]
+            at, to = (np.searchsorted(key, h[mine], side=s) for s in ("left", "right"))
+            n = to - at
+            k = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((np.repeat(mine, n), order[k]))
+        return [np.concatenate(x) for x in zip(*out)] if out else (maybe, maybe)
+
+    def _equal(self, h, first, text, item, line):
+        """Equal words of each alignment."""
         lo = np.maximum(line, first[text])
         n = np.minimum(line + self.size[item], first[text + 1]) - lo
         b = self.begin[item] + lo - line
         upto = np.concatenate([[0], np.cumsum(n)])
-        need = np.minimum(np.ceil(SHARE * MIN_WORDS), self.size[item])
-        ok = np.zeros(len(n), dtype=bool)
+        out = np.zeros(len(n), dtype=np.int64)
         at = 0
         while at < len(n):
             to = max(int(np.searchsorted(upto, upto[at] + COMPARED, side="right")) - 1, at + 1)
             step = np.arange(upto[to] - upto[at]) - np.repeat(upto[at:to] - upto[at], n[at:to])
             same = h[np.repeat(lo[at:to], n[at:to]) + step] == self.words[np.repeat(b[at:to], n[at:to]) + step]
-            ok[at:to] = np.add.reduceat(same, upto[at:to] - upto[at], dtype=np.int64) >= need[at:to]
+            out[at:to] = np.add.reduceat(same, upto[at:to] - upto[at], dtype=np.int64)
             at = to
-        return ok
+        return out
 
     def find(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item_id, start word, words, equal words) of every overlap of
-        texts first[d]:first[d + 1] of the word hashes ``h``."""
-        pairs = []
+        """(text, item_id, start word, words, equal words) of the longest
+        overlap of each text first[d]:first[d + 1] of the word hashes ``h`` with
+        each item."""
+        found = []
 
         def align(w, rows, table, span):
             item, off = table[1][rows], table[2][rows]
             text = np.searchsorted(first, w, side="right") - 1
             inside = w + span <= first[text + 1]
-            # one alignment for each text, item and diagonal
-            lines = np.stack([text, item, w - off], axis=1)[inside]
-            lines = lines[np.lexsort(lines.T)]
-            new = np.ones(len(lines), dtype=bool)
-            new[1:] = (lines[1:] != lines[:-1]).any(axis=1)
-            lines = lines[new]
-            pairs.append(lines[self._alike(h, first, *lines.T)])
+            found.append(_distinct(np.stack([text, item, w - off], axis=1)[inside]))
 
         for m, table in zip(MASKS, self.tables):
-            if len(table[0]) and len(h) >= SPAN:
-                align(*self._matches(masked(h, m), table), table, SPAN)
+            if len(table[1]) and len(h) >= SPAN:
+                align(*self._matches(masked(h, m), first, table), table, SPAN)
         for n, table in self.short.items():
             if len(h) >= n:
-                align(*self._matches(self._whole(h, n), table), table, n)
-        lines = sorted(set(map(tuple, np.concatenate(pairs).tolist()))) if pairs else []
-        out = []
-        for d, i, line in lines:
+                align(*self._matches(self._whole(h, n), first, table), table, n)
+        if not found:
+            return []
+        lines = _distinct(np.concatenate(found))  # one alignment for each text, item and diagonal
+        equal = self._equal(h, first, *lines.T)
+        enough = equal >= np.minimum(np.ceil(SHARE * MIN_WORDS), self.size[lines[:, 1]])
+        lines, equal = lines[enough], equal[enough]
+        order = np.lexsort((lines[:, 2], -equal, lines[:, 1], lines[:, 0]))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}  # (words, start, equal)
+        for d, i, line, most in np.column_stack([lines, equal])[order].tolist():
+            longest = best.get((d, i), (0, 0, 0))[0]
             lo, hi = max(line, int(first[d])), min(line + int(self.size[i]), int(first[d + 1]))
+            if min(hi - lo, int(most / SHARE + 1e-9)) <= longest:
+                continue  # no stretch of it can be longer
             b = int(self.begin[i]) + lo - line
-            same = h[lo:hi] == self.words[b:b + hi - lo]
-            need = min(MIN_WORDS, int(self.size[i]))
-            start, words, equal = longest_overlap(same)
-            if words >= need and (self.size[i] >= SPAN or equal == self.size[i]):
-                out.append((d, int(self.ids[i]), lo + start - int(first[d]), words, equal))
-        return out
+            start, words, same = longest_overlap(h[lo:hi] == self.words[b:b + hi - lo])
+            whole = self.size[i] >= SPAN or same == self.size[i]
+            if words > longest and words >= min(MIN_WORDS, int(self.size[i])) and whole:
+                best[d, i] = words, lo + start - int(first[d]), same
+        return [(d, int(self.ids[i]), start, words, same) for (d, i), (words, start, same) in sorted(best.items())]
+
+
+def steps(h: np.ndarray, at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """For the windows ``at`` how many words before, at most ``SPAN``, the same
+    hash stands in the same text (0: none); ``inside``: place in the text."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for d in range(SPAN, 0, -1):
+        some = np.flatnonzero(inside >= d)
+        out[some[h[at[some]] == h[at[some] - d]]] = d
+    return out
+
+
+def _distinct(lines: np.ndarray) -> np.ndarray:
+    lines = lines[np.lexsort(lines.T[::-1])]
+    new = np.ones(len(lines), dtype=bool)
+    new[1:] = (lines[1:] != lines[:-1]).any(axis=1)
+    return lines[new]
 
 
 def longest_overlap(same: np.ndarray) -> tuple[int, int, int]:
@@ -205,8 +242,8 @@ def blocks(items: DataFrame, most: int) -> list[list[tuple[int, np.ndarray]]]:
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                   item_text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Add ``hits``: item, first word, length in words and equal words of each
-    overlap of the document with a benchmark item (empty: clean)."""
+    """Add ``hits``: item, first word, length in words and equal words of the
+    document's longest overlap with each benchmark item (empty: clean)."""
     rest = [c for c in docs.columns if c != "hits"]
     frame = docs.select(*rest).withColumn("hits", F.lit(None).cast(HITS))
     fields = ("item_id", "start", "words", "equal")
