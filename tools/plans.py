@@ -9,7 +9,7 @@ import sys
 from contextlib import redirect_stdout
 
 sys.path.insert(0, ".")
-from wavespark.plans import catalog  # noqa: E402
+from wavespark.plans import catalog, viewing  # noqa: E402, F401
 from wavespark.session import local_session  # noqa: E402
 
 NAMES = ["linear_transform", "trace_stats", "power_multiply", "version_compare", "savgol_odd",
