@@ -43,7 +43,10 @@ TRACE_JSON = T.StructType([
     T.StructField("derivative_sources", T.ArrayType(T.StringType())),
 ])
 
-REGISTRY_JSON = T.StructType([T.StructField("traces", T.ArrayType(TRACE_JSON))])
+#: ``before``: traces in the documents before this one (absent: none).
+REGISTRY_JSON = T.StructType([T.StructField("before", T.LongType()), T.StructField("traces", T.ArrayType(TRACE_JSON))])
+
+REGISTRY_FILE, VIEWS_FILE = "data/config.json", "data/views.json"
 
 PROJECT_JSON = T.StructType([
     T.StructField("project_version", T.LongType()),
@@ -92,12 +95,13 @@ def _float_text(c: F.Column, key: str, default: float) -> F.Column:
 
 
 def read_registry(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/<project>/data/config.json`` -> registry rows (defaults: state
-    Active, scale 1.0, offset 0.0, overlay None, no statistics)."""
+    """``<root>/<project>/data/config.json`` and the documents it goes on in
+    -> registry rows (defaults: state Active, scale 1.0, offset 0.0, overlay
+    None, no statistics)."""
     raw = (spark.read.schema(REGISTRY_JSON).option("multiLine", True)
-           .json(f"{root}/*/data/config.json")
+           .json(_documents(root, REGISTRY_FILE))
            .withColumn("project", _project_of("_metadata.file_path", 3)))
-    return _registry_from_raw(raw.select("project", "traces"))
+    return _registry_from_raw(raw.select("project", "before", "traces"))
 
 
 def write_registry(registry: DataFrame, root: str) -> None:
@@ -117,38 +121,77 @@ def _trace_json() -> F.Column:
                     F.coalesce(d["sources"], F.array().cast("array<string>")).alias("derivative_sources"))
 
 
-def export_documents(rows: DataFrame, root: str, name: str, opening: str, closing: str) -> DataFrame:
+#: Items (traces, views) of one document; a longer list goes on in numbered
+#: documents beside it, so that no task writes or reads a whole long list.
+DOCUMENT_ITEMS = 20_000
+
+
+def continued(name: str, part: int) -> str:
+    """Name of a document's ``part``: ``config.json``, ``config.00001.json``, ..."""
+    stem, dot, ending = name.rpartition(".")
+    return f"{stem}.{part:05}{dot}{ending}" if part else name
+
+
+def _documents(root: str, name: str) -> str:
+    """Pattern of a document of every project with the documents that go on."""
+    stem, _, ending = name.rpartition(".")
+    return f"{root}/*/{stem}{{.{ending},.[0-9]*.{ending}}}"
+
+
+def export_documents(rows: DataFrame, root: str, name: str, opening: str, closing: str,
+                     items: int | None = None) -> DataFrame:
     """Write ``<root>/<project>/<name>`` for every project, the layout that
     :func:`read_registry` and :func:`read_views` scan: ``rows`` (project, ord,
-    value) are sorted by (project, ord) and streamed into the document between
-    ``opening`` and ``closing``, so a long document is never held whole.
-    Returns (project, items), after the files are written."""
-    from ..session import qualified, scratch_path
+    value), sorted by (project, ord), are streamed into the document between
+    ``opening`` (where ``%d`` stands for the number of items before) and
+    ``closing``; after ``items`` of them the next document begins
+    (:func:`continued`), so a long list is spread over tasks.  Documents of an
+    earlier, longer list are deleted.  Returns (project, items), after the
+    files are written."""
+    from ..operators.indexing import dense_index
+    from ..operators.util import bounded_broadcast
+    from ..session import qualified, remove, scratch_path
     spark = rows.sparkSession
     uri = qualified(spark, root)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = rows.select("project", "ord", "value").repartition(n, "project").sortWithinPartitions("project", "ord")
+    size = items or DOCUMENT_ITEMS
+    numbered = dense_index(rows.select("project", "ord", "value"), ["project"], ["ord"], "_nth")
+    ranked = numbered.scratch
+    numbered = numbered.withColumn("_part", F.floor(F.col("_nth") / size))
+    last = numbered.groupBy("project").agg(F.max("_part").alias("_last"))
+    part = (numbered.join(bounded_broadcast(last), "project").select("project", "_part", "_last", "_nth", "value")
+            .repartition(n, "project", "_part").sortWithinPartitions("project", "_part", "_nth"))
 
     def run(batches):
         import pandas as pd
         from pyarrow import fs
         store, base = fs.FileSystem.from_uri(uri)
-        project, out, count = None, None, 0
+        at, out, count = None, None, 0
+
+        def clear(folder, document, last):
+            stem, _, ending = document.rpartition(".")
+            for f in store.get_file_info(fs.FileSelector(folder)):
+                middle = f.base_name[len(stem) + 1:-len(ending) - 1]
+                if f.base_name == f"{stem}.{middle}.{ending}" and middle.isdecimal() and int(middle) > last:
+                    store.delete_file(f.path)
 
         def close():
             out.write(closing.encode())
             out.close()
-            return pd.DataFrame({"project": [project], "items": [count]})
+            return pd.DataFrame({"project": [at[0]], "items": [count]})
 
         for pdf in batches:
-            for p, v in zip(pdf["project"], pdf["value"]):
-                if p != project:
+            for p, k, last, v in zip(pdf["project"], pdf["_part"], pdf["_last"], pdf["value"]):
+                if (p, k) != at:
                     if out is not None:
                         yield close()
-                    path = f"{base}/{p}/{name}"
-                    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    project, out, count = p, store.open_output_stream(path), 0
-                    out.write(opening.encode())
+                    path = f"{base}/{p}/{continued(name, k)}"
+                    folder, _, document = path.rpartition("/")
+                    store.create_dir(folder, recursive=True)
+                    if k == 0:
+                        clear(folder, document, last)
+                    at, out, count = (p, k), store.open_output_stream(path), 0
+                    out.write(opening.replace("%d", str(k * size)).encode())
                 out.write((("," if count else "") + v).encode())
                 count += 1
         if out is not None:
@@ -156,20 +199,21 @@ def export_documents(rows: DataFrame, root: str, name: str, opening: str, closin
 
     done = scratch_path(spark, "documents")
     part.mapInPandas(run, "project string, items bigint").write.mode("overwrite").parquet(done)
-    return spark.read.parquet(done)
+    remove(spark, ranked)
+    return spark.read.parquet(done).groupBy("project").agg(F.sum("items").alias("items"))
 
 
 def export_registry(registry: DataFrame, root: str) -> DataFrame:
     """``<root>/<project>/data/config.json`` of every project."""
     rows = registry.select("project", "ord", F.to_json(_trace_json(), {"ignoreNullFields": "true"}).alias("value"))
-    return export_documents(rows, root, "data/config.json", '{"traces": [', "]}")
+    return export_documents(rows, root, REGISTRY_FILE, '{"before": %d, "traces": [', "]}")
 
 
 def export_views(views: DataFrame, root: str) -> DataFrame:
     """``<root>/<project>/data/views.json`` of every project."""
     doc = F.struct(F.lit(1).alias("spec_version"), "title", "view_name", "num_rows", "num_columns", "sub_plots")
     rows = views.select("project", F.col("view_name").alias("ord"), F.to_json(doc).alias("value"))
-    return export_documents(rows, root, "data/views.json", "[", "]")
+    return export_documents(rows, root, VIEWS_FILE, "[", "]", DOCUMENT_ITEMS // 32)
 
 
 def export_projects(projects: DataFrame, root: str) -> DataFrame:
@@ -188,7 +232,8 @@ def read_registry_written(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _registry_from_raw(raw: DataFrame) -> DataFrame:
-    return _registry_entries(raw.select("project", F.posexplode("traces").alias("ord", "t")))
+    each = raw.select("project", "before", F.posexplode("traces").alias("pos", "t"))
+    return _registry_entries(each.select("project", (F.coalesce("before", F.lit(0)) + F.col("pos")).alias("ord"), "t"))
 
 
 def _registry_entries(t: DataFrame) -> DataFrame:
@@ -240,10 +285,10 @@ def write_projects(projects: DataFrame, root: str) -> None:
 
 
 def read_views(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/<project>/data/views.json`` (a JSON array of view specs) ->
-    views rows; optional keys default to "", false or "None"; a spec version
+    """``<root>/<project>/data/views.json`` (a JSON array of view specs) and
+    the documents it goes on in -> views rows; optional keys default to "", false or "None"; a spec version
     other than 1 raises."""
-    raw = (spark.read.schema(VIEW_JSON).option("multiLine", True).json(f"{root}/*/data/views.json")
+    raw = (spark.read.schema(VIEW_JSON).option("multiLine", True).json(_documents(root, VIEWS_FILE))
            .withColumn("project", _project_of("_metadata.file_path", 3)))
     return views_from_raw(raw)
 
