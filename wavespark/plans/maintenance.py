@@ -187,5 +187,5 @@ def q_view_maintenance(spark, sf):
     v = v.unionByName(VW.adhoc_view(spark, "lineitem", ["l_quantity", "Discount"]))
     v = spark.createDataFrame(v.collect(), SC.VIEWS)  # two rows of metadata
     rows = VW.materialize(v, sig, st.registry(spark), st.captures(spark), st.projects(spark), with_overlay=False)
-    return rows.join(v.select("project", "view_name", "title"), ["project", "view_name"]).groupBy(
+    return rows.join(F.broadcast(v.select("project", "view_name", "title")), ["project", "view_name"]).groupBy(
         "project", "view_name", "title", "trace", "version").agg(F.count("*").alias("n_samples"))
