@@ -37,21 +37,19 @@ def decode(cell: Column, base: Column, what: Column | None = None) -> Column:
     # base 10: the cast itself validates (sign + digits, 64-bit range); it
     # trims blanks and accepts a trailing "L"-free integer only, so blanks and
     # '.' are rejected explicitly.
-    dec = cell.try_cast("bigint")
-    dec_ok = dec.isNotNull() & (F.length(F.trim(cell)) == F.length(cell)) & (F.instr(cell, ".") == 0)
+    dec_ok = (F.length(F.trim(cell)) == F.length(cell)) & (F.instr(cell, ".") == 0)
     ok = F.lit(False)
     for b, d in _DIGITS.items():
         if b != 10:
             ok = F.when(base == b, cell.rlike(f"^[+-]?{d}+$")).otherwise(ok)
+    # each part stands once in the expression: it runs for every cell, and a
+    # larger one would be too long for the JIT compiler
     signed = cell.startswith("-") | cell.startswith("+")
     digits = F.when(signed, cell.substr(F.lit(2), F.length(cell))).otherwise(cell)
-    conv = _conv(digits, base)
-    other = F.when(cell.startswith("-"), F.concat(F.lit("-"), conv)).otherwise(conv).try_cast("bigint")
+    other = F.concat(F.when(cell.startswith("-"), F.lit("-")).otherwise(F.lit("")), _conv(digits, base))
+    decimal = F.when(base == 10, F.when(dec_ok, cell)).otherwise(F.when(ok, other))
     return (F.when(cell.isNull() | (cell == ""), F.lit(None).cast("bigint"))
-            .when(base == 10, F.when(dec_ok, dec).otherwise(err))
-            .when(~ok, err)
-            .when(other.isNull(), err)
-            .otherwise(other))
+            .otherwise(F.coalesce(decimal.try_cast("bigint"), err)))
 
 
 def _conv(digits: Column, base: Column) -> Column:

@@ -81,8 +81,10 @@ def capture_heads(lines: DataFrame) -> DataFrame:
         F.when(has, F.col("last") - 1).otherwise(F.col("last")).alias("n_data"))
 
 
-def decode_captures(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """(file, mtime, trace, i, y_raw BIGINT) long samples (S1 + S3).
+def decode_captures(lines: DataFrame, heads: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(file, mtime, trace, i, y_raw BIGINT) long samples (S1 + S3); with
+    ``keep``, these columns of ``heads`` instead of file and mtime (what a file
+    is known by is then looked up for each line, not for each sample).
 
     The per-file heads join the data lines by file name.  A sort-merge join
     on ``file`` would send every line of a huge capture to one task, so the
@@ -90,24 +92,25 @@ def decode_captures(lines: DataFrame, heads: DataFrame | None = None) -> DataFra
     enormous file count falls back to a shuffle join.
     """
     heads = heads if heads is not None else capture_heads(lines)
-    data = lines.where(F.col("line_no") >= 1).join(bounded_broadcast(heads.drop("mtime", "n_data")), "file")
+    keep = keep or ["file", "mtime"]
+    per_file = heads.select(*dict.fromkeys(["file", *[c for c in keep if c != "mtime"]]), "first_data", "names", F.transform(
+        F.arrays_zip("names", "radix"), lambda c: F.struct(c["names"].alias("name"), R.base_of(c["radix"]).alias("base"))).alias("_cols"))
+    data = lines.where(F.col("line_no") >= 1).join(bounded_broadcast(per_file), "file")
     data = data.where(F.col("line_no") >= F.col("first_data"))
-    cells = R.split_csv_line(F.col("value"))
+    data = data.withColumn("_cells", R.split_csv_line(F.col("value")))
+    cells = F.col("_cells")
     err = F.raise_error(F.concat(F.lit("wrong number of cells in line "),
                                  F.col("line_no").cast("string"), F.lit(" of "), F.col("file")))
     checked = F.when(F.size(cells) == F.size("names"), cells).otherwise(err)
-    z = F.arrays_zip(F.col("names").alias("name"), F.col("radix").alias("radix"),
-                     checked.alias("cell"))
-    long = data.select("file", "mtime", (F.col("line_no") - F.col("first_data")).alias("i"),
-                       F.explode(z).alias("c"))
+    z = F.arrays_zip(F.col("_cols").alias("col"), checked.alias("cell"))
+    long = data.select(*keep, (F.col("line_no") - F.col("first_data")).alias("i"), F.explode(z).alias("c"))
     cell = F.col("c.cell")
-    out = long.select("file", "mtime", F.col("c.name").alias("trace"), "i",
-                      R.decode(cell, R.base_of(F.col("c.radix")), cell).alias("y_raw"))
+    out = long.select(*keep, F.col("c.col.name").alias("trace"), "i", R.decode(cell, F.col("c.col.base"), cell).alias("y_raw"))
     # Files without data rows never reach the decode above; evaluating their
     # head (one row per file) makes a header-only file or a bad radix row
     # raise instead of vanishing.  Valid heads produce no rows here.
     bad = heads.where(F.size("radix") < 0).select(
-        "file", "mtime", F.lit(None).cast("string").alias("trace"), F.lit(None).cast("bigint").alias("i"),
+        *keep, F.lit(None).cast("string").alias("trace"), F.lit(None).cast("bigint").alias("i"),
         F.lit(None).cast("bigint").alias("y_raw"))
     return out.unionByName(bad)
 
