@@ -8,7 +8,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 
 from ..operators import compare, signal, stats
-from ..session import scratch_path
+from ..operators.indexing import dense_index
+from ..session import qualified, scratch_path
 from ..sources import store as STORE
 from ..streaming import changes as CH
 from . import fixtures as FX
@@ -41,15 +42,16 @@ def q_watch_overwritten(spark, sf):
     every other source, the third accepted.  Each round is a restart of the
     query from its checkpoint."""
     src = FX.write_order_captures(spark, sf, scratch_path(spark, "captures"))
-    held = [r[0] for r in STORE.list_captures(spark, f"{src}/*/*.txt").select("file").orderBy("file").collect()]
+    held = dense_index(STORE.list_captures(spark, f"{src}/*/*.txt").select("file"), [], ["file"], "k")
+    n = held.count()
     landing, said, ckpt = (scratch_path(spark, x) for x in ("watched", "decisions", "watch-ckpt"))
     store = STORE.Store(scratch_path(spark, "watch-store"))
     project = F.concat(F.lit("source "), F.regexp_extract("file", r"/(\d+)\.txt$", 1).cast("int").cast("string"))
     for turn in range(ROUNDS):
-        for k in range(len(held)):
-            FX.copy_over(spark, held[(k + turn) % len(held)], f"{landing}/{k:05}.txt")
+        FX.copy_over(held.select(F.col("file").alias("source"), F.format_string(
+            f"{qualified(spark, landing)}/%05d.txt", F.pmod(F.col("k") - turn, F.lit(n).cast("bigint"))).alias("target")))
         what = F.when(F.lit(turn == 1) & (F.col("id") % 2 == 1), CH.DECLINE).otherwise(CH.ACCEPT)
-        CH.write_decisions(spark, said, spark.range(len(held)).select(
+        CH.write_decisions(spark, said, spark.range(n).select(
             F.format_string(f"{landing}/%05d.txt", "id").alias("file"), F.lit(str(turn)).alias("at"), what.alias("decision")))
         CH.start_watch(spark, landing, store, project, ckpt, decisions=said).awaitTermination()
     return store.samples(spark).select("project", "version", "trace", "i", "y_raw")
